@@ -160,30 +160,29 @@ def rows_around(
     return d.where(F.col("_chunk") == F.floor(F.col("_pos") / chunk)).drop("_pos", "_chunk")
 
 
-def range_around(
-    df: DataFrame,
-    line: Line,
-    before: float,
-    after: float,
-    exprs: Mapping[str, str],
-) -> DataFrame:
-    """Add aggregates over ``[t-before, t+after]``; ``exprs`` are SQL aggregates, e.g. ``avg(y)``."""
+def range_around(df: DataFrame, line: Line, exprs: Mapping[str, tuple[str, float, float]]) -> DataFrame:
+    """Add aggregates over ``[t-before, t+after]``.
+
+    ``exprs`` maps an output name to ``(sql aggregate, before, after)``, e.g. ``("avg(y)", 1.5, 1.5)``.
+    """
     keys = [f"`{k}`" for k in line.keys]
-    frame = f"RANGE BETWEEN {float(before)!r}D PRECEDING AND {float(after)!r}D FOLLOWING"
-    cut = line.width is not None
+    before, after = (max(e[i] for e in exprs.values()) for i in (1, 2))
+    t = F.col(line.time)
     d = df
-    if cut:
+    if line.width is not None:
         # slices much longer than the frame keep the share of copied rows small
         width = max(float(line.width), 4.0 * (before + after))
-        t = F.col(line.time)
         lo, hi = F.floor((t - after) / width).cast("long"), F.floor((t + before) / width).cast("long")
         d = d.withColumn("_s", F.explode_outer(F.sequence(lo, hi)))
         keys.append("_s")
-    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY `{line.time}` {frame})"
-    d = d.withColumns({n: F.when(F.col(line.time).isNotNull(), F.expr(f"{e} {over}")) for n, e in exprs.items()})
-    if cut:
-        home = F.floor(F.col(line.time) / width).cast("long")
-        d = d.where(F.col("_s").eqNullSafe(home)).drop("_s")
+
+    def over(expr: str, back: float, ahead: float) -> Column:
+        frame = f"RANGE BETWEEN {float(back)!r}D PRECEDING AND {float(ahead)!r}D FOLLOWING"
+        return F.expr(f"{expr} OVER (PARTITION BY {', '.join(keys)} ORDER BY `{line.time}` {frame})")
+
+    d = d.withColumns({n: F.when(t.isNotNull(), over(*e)) for n, e in exprs.items()})
+    if line.width is not None:
+        d = d.where(F.col("_s").eqNullSafe(F.floor(t / width).cast("long"))).drop("_s")
     return d
 
 
