@@ -268,17 +268,17 @@ def _(spark, d):
 
 
 @query("p20_distance_share", f"""
-WITH {EV}, t AS (SELECT user_id, period, clock, event_id, sum(value) OVER w AS dp, sum(k::DOUBLE) OVER w AS dn FROM ev
+WITH {EV}, t AS (SELECT user_id, period, clock, event_id, sum(value * 80 / 97) OVER w AS dp, sum(k::DOUBLE) OVER w AS dn FROM ev
   WINDOW w AS (PARTITION BY user_id, period ORDER BY clock, event_id))
-SELECT event_id, CASE WHEN dp + dn >= 200 THEN round(((dp - dn) / (dp + dn) + 1) / 2, 9) END AS share,
-  CASE WHEN dp + dn >= 200 AND dn >= 200 THEN round(greatest(0, least(1, (greatest(-1, least(1, dp / dn - 1)) + 1) / 2)), 9) END AS ratio FROM t""")
+SELECT event_id, CASE WHEN dp + dn >= 200 THEN round(((dp - dn) / (dp + dn) + 1) / 2, 8) END AS share,
+  CASE WHEN dp + dn >= 200 AND dn >= 200 THEN round(greatest(0, least(1, (greatest(-1, least(1, dp / dn - 1)) + 1) / 2)), 8) END AS ratio FROM t""")
 def _(spark, d):
-    t = windows.period_to_date(ev(spark, d), HALF, {"dp": F.col("value"), "dn": F.col("k").cast("double")})
+    t = windows.period_to_date(ev(spark, d), HALF, {"dp": F.col("value") * 80 / 97, "dn": F.col("k").cast("double")})
     q = S.distance_ratio(F.col("dp"), F.col("dn"), 200.0)
     return t.select(
         "event_id",
-        F.round(S.distance_share(F.col("dp"), F.col("dn"), 200.0), 9).alias("share"),
-        F.round(S.clip_unit(q, 1.0), 9).alias("ratio"),
+        F.round(S.distance_share(F.col("dp"), F.col("dn"), 200.0), 8).alias("share"),
+        F.round(S.clip_unit(q, 1.0), 8).alias("ratio"),
     )
 
 

@@ -278,13 +278,13 @@ def line_sql(rows: int, least: int, span: float) -> str:
  st AS (SELECT *, CASE WHEN roll_n < {least} THEN 'too_few' WHEN span < {span} THEN 'x_range' ELSE 'ols' END AS roll_method FROM fr)"""
 
 
-LINE_OUT = """round(CASE WHEN roll_method = 'ols' THEN b END, 4) AS roll_b, round(CASE WHEN roll_method = 'ols' THEN degrees(atan(b * sx / sy)) END, 5) AS roll_theta_deg,
+LINE_OUT = """round(CASE WHEN roll_method = 'ols' THEN b END, 4) AS roll_slope, round(CASE WHEN roll_method = 'ols' THEN degrees(atan(b * sx / sy)) END, 5) AS roll_theta_deg,
   round(CASE WHEN roll_method = 'ols' THEN (atan(b * sx / sy) + pi() / 2) / pi() END, 7) AS roll_A, round(CASE WHEN roll_method = 'ols' THEN a + b * xr END, 3) AS roll_H"""
 
 
 def _line_out(df):
-    df = df.withColumns({"roll_b": F.round("roll_b", 4), "roll_theta_deg": F.round("roll_theta_deg", 5), "roll_A": F.round("roll_A", 7), "roll_H": F.round("roll_H", 3)})
-    return df.select("o_orderkey", "roll_n", "roll_method", "roll_b", "roll_theta_deg", "roll_A", "roll_H")
+    df = df.withColumns({"roll_slope": F.round("roll_slope", 4), "roll_theta_deg": F.round("roll_theta_deg", 5), "roll_A": F.round("roll_A", 7), "roll_H": F.round("roll_H", 3)})
+    return df.select("o_orderkey", "roll_n", "roll_method", "roll_slope", "roll_theta_deg", "roll_A", "roll_H")
 
 
 @query("w20_rolling_line", f"""
@@ -314,7 +314,7 @@ def _(spark, d):
         order_gaps(spark, d), ORD_LINE, "x", "y", table_keys=["o_custkey"], rows=5, min_rows=4, s_x=1.0, s_y=1.0, x_ref=0.0, method="theilsen"
     )
     out = out.where(F.col("roll_method") == "theilsen")
-    return out.select("o_orderkey", F.round("roll_b", 4).alias("slope"), F.round("roll_a", 3).alias("intercept"))
+    return out.select("o_orderkey", F.round("roll_slope", 4).alias("slope"), F.round("roll_intercept", 3).alias("intercept"))
 
 
 # minute curve of a user group against the profile of its coarse group
@@ -390,9 +390,9 @@ def _(spark, d):
 
 
 @query("w25_synergy_windows", f"""
-WITH {EV}, s AS (SELECT *, (0.5 * (greatest(-1, least(1, (value - 50) / 80)) + 1) + 0.5 * (greatest(-1, least(1, (k - 50) * 40 / 1450.0)) + 1)) / 2 AS m0 FROM ev)
+WITH {EV}, s AS (SELECT *, (0.5 * (greatest(-1, least(1, (value - 50) / 97)) + 1) + 0.5 * (greatest(-1, least(1, (k - 50) * 40 / 1450.0)) + 1)) / 2 AS m0 FROM ev)
 SELECT event_id, round(m0, 9) AS m, {', '.join(f"round(avg(m0) OVER (PARTITION BY user_id, period ORDER BY clock RANGE BETWEEN {w / 2 + 1e-6!r} PRECEDING AND {w / 2 + 1e-6!r} FOLLOWING), 9) AS m_w{w}" for w in (1, 3, 5, 10))} FROM s""")
 def _(spark, d):
-    e = ev(spark, d).withColumns({"p": F.col("value") - 50, "t": (F.col("k") - 50) * 40.0})
+    e = ev(spark, d).withColumns({"p": (F.col("value") - 50) * 80 / 97, "t": (F.col("k") - 50) * 40.0})
     out = W.synergy_windows(e, HALF, "p", "t").select("event_id", "m", "m_w1", "m_w3", "m_w5", "m_w10")
     return rounded(out, "m", "m_w1", "m_w3", "m_w5", "m_w10", digits=9)

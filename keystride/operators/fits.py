@@ -26,24 +26,33 @@ def usable(x: str, y: str) -> Column:
     return F.col(x).isNotNull() & (F.col(x) > 0) & F.col(y).isNotNull()
 
 
-def _median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 
 
-def _theil_sen(points: Column) -> tuple[Column, Column]:
-    """Median pairwise slope and its intercept over a short array of ``(x, y)`` structs."""
+def _theil_sen(df: DataFrame, points: str) -> DataFrame:
+    """Add ``_tb``/``_ta``: median pairwise slope and its intercept over a short array of ``(x, y)``."""
+    pts = F.col(points)
     slopes = F.flatten(
         F.transform(
-            points,
+            pts,
             lambda a: F.transform(
-                F.filter(points, lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"])
+                F.filter(pts, lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"])
             ),
         )
     )
-    slope = _median(slopes)
-    mid_x = _median(F.transform(points, lambda a: a["x"]))
-    return slope, _median(F.transform(points, lambda a: a["y"])) - slope * mid_x
+    d = df.withColumns(
+        {
+            "_slopes": F.array_sort(slopes),
+            "_xs": F.array_sort(F.transform(pts, lambda a: a["x"])),
+            "_ys": F.array_sort(F.transform(pts, lambda a: a["y"])),
+        }
+    )
+    d = d.withColumn("_tb", _middle(F.col("_slopes")))
+    d = d.withColumn("_ta", _middle(F.col("_ys")) - F.col("_tb") * _middle(F.col("_xs")))
+    return d.drop("_slopes", "_xs", "_ys")
 
 
 def rolling_line(
@@ -68,7 +77,8 @@ def rolling_line(
     """
     if method not in ("ols", "theilsen"):
         raise ValueError("method is ols or theilsen")
-    good = df.where(usable(x, y))
+    df = df.withColumn("_ok", F.coalesce(usable(x, y), F.lit(False)))
+    good = df.where("_ok")
     wants = {"_x9": (x, 0.9), "_x5": (x, 0.5), "_y9": (y, 0.9), "_y5": (y, 0.5)}
     needed = [n for n, given in (("_x9", s_x), ("_y9", s_y), ("_x5", x_ref)) if given is None]
     if s_x is None and "_x5" not in needed:
@@ -84,8 +94,7 @@ def rolling_line(
 
     def build(d: DataFrame, w) -> DataFrame:
         f = w.rowsBetween(-(rows - 1), 0)
-        n, span = F.count(F.lit(1)).over(f), (F.max(x) - F.min(x))
-        d = d.withColumns({"roll_n": n, "_span": F.max(x).over(f) - F.min(x).over(f)})
+        d = d.withColumns({"roll_n": F.count(F.lit(1)).over(f), "_span": F.max(x).over(f) - F.min(x).over(f)})
         d = d.withColumn(
             "roll_method",
             F.when(F.col("roll_n") < min_rows, "too_few").when(F.col("_span") < min_range, "x_range").otherwise(method),
@@ -94,38 +103,34 @@ def rolling_line(
         if method == "theilsen":
             d = d.withColumn("_pts", F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(f))
             d = d.withColumns({"_b": slope, "_a": icept})
-            ts_b, ts_a = _theil_sen(F.col("_pts"))
-            d = d.withColumns({"_tb": ts_b, "_ta": ts_a}).drop("_pts")
+            d = _theil_sen(d, "_pts").drop("_pts")
             ts = F.col("_tb").isNotNull()
             d = d.withColumns({"_b": F.coalesce("_tb", "_b"), "_a": F.when(ts, F.col("_ta")).otherwise(F.col("_a"))})
             d = d.withColumn("roll_method", F.when((F.col("roll_method") == method) & ~ts, "ols").otherwise(F.col("roll_method")))
             slope, icept = F.col("_b"), F.col("_a")
         fitted = ~F.col("roll_method").isin("too_few", "x_range")
-        d = d.withColumns({"roll_b": slope, "roll_a": icept})
-        d = d.withColumns({c: F.when(fitted, F.col(c)) for c in ("roll_b", "roll_a")})
+        d = d.withColumns({"roll_slope": slope, "roll_intercept": icept})
+        d = d.withColumns({c: F.when(fitted, F.col(c)) for c in ("roll_slope", "roll_intercept")})
         return d.drop("_span", "_b", "_a", "_tb", "_ta")
 
-    d = rows_around(good, line, rows - 1, 0, build)
+    # usable and unusable rows are lines of their own, so frames count usable rows only
+    d = rows_around(df, line.by("_ok"), rows - 1, 0, build)
+    d = d.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in ("roll_n", "roll_method", "roll_slope", "roll_intercept")})
     if scales is not None:
-        d = d.join(scales, list(table_keys))
+        d = d.join(scales, list(table_keys), "left")
 
     def scale(given, p90, p50):
         return F.lit(float(given)) if given is not None else F.when(F.col(p90) > 0, F.col(p90)).otherwise(F.col(p50))
 
     ref = F.lit(float(x_ref)) if x_ref is not None else F.col("_x5")
-    out = S.slope_score(F.col("roll_b"), F.col("roll_a"), scale(s_x, "_x9", "_x5"), scale(s_y, "_y9", "_y5"), ref)
-    d = d.withColumns(out).drop("_x9", "_x5", "_y9", "_y5")
-    rest = df.where(~F.coalesce(usable(x, y), F.lit(False)))
-    return d.unionByName(rest, allowMissingColumns=True)
+    out = S.slope_score(F.col("roll_slope"), F.col("roll_intercept"), scale(s_x, "_x9", "_x5"), scale(s_y, "_y9", "_y5"), ref)
+    return d.withColumns(out).drop("_ok", "_x9", "_x5", "_y9", "_y5")
 
 
 def pooled_scales(df: DataFrame, cols: Sequence[str], p: float = 0.9) -> DataFrame:
-    """One row with the pooled quantile of each column over all entities."""
-    out = None
-    for c in cols:
-        q = quantiles(df, [], F.col(c), {f"s_{c}": p})
-        out = q if out is None else out.crossJoin(q)  # one row each
-    return out
+    """The pooled quantile of each column over all entities, one row per column."""
+    long = df.select(*cols).unpivot([], list(cols), "scale_of", "_v")
+    return quantiles(long, ["scale_of"], F.col("_v"), {"scale": p})
 
 
 def setting_sweep(df: DataFrame, line: Line, x: str, ys: Mapping[str, float], s_x: float = SCALE_X, settings=SETTINGS) -> DataFrame:
@@ -216,20 +221,22 @@ def maxnorm_scores(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
     return d.withColumns({n: F.when(ok, c) for n, c in out.items()}).drop("_xm", "_ym")
 
 
-def _local_fit(points: Column, at: Column, k: Column, y: str) -> Column:
-    """Tricube-weighted line through ``points`` evaluated at ``at``; bandwidth is the k-th distance."""
-    far = F.get(F.array_sort(F.transform(points, lambda p: F.abs(p["x"] - at))), (k - 1).cast("int"))
+def _local_fit(points: Column, at: Column, far: Column, y: str) -> Column:
+    """Tricube-weighted line through ``points`` evaluated at ``at`` with bandwidth ``far``."""
     zero = F.lit(0.0)
     start = F.struct(*[zero.alias(c) for c in ("w", "u", "y", "uu", "uy")])
 
-    def add(acc, p):
+    def near(p):
         u = p["x"] - at
         r = F.abs(u) / far
-        c = 1.0 - r * r * r
-        w = F.when(r < 1, c * c * c).otherwise(0.0)
+        w = F.when(r < 1, F.pow(1.0 - F.pow(r, F.lit(3.0)), F.lit(3.0))).otherwise(0.0)
+        return F.struct(u.alias("u"), p[y].alias("y"), w.alias("w"))
+
+    def add(acc, p):
+        wu, wy = p["w"] * p["u"], p["w"] * p["y"]
         return F.struct(
-            (acc["w"] + w).alias("w"), (acc["u"] + w * u).alias("u"), (acc["y"] + w * p[y]).alias("y"),
-            (acc["uu"] + w * u * u).alias("uu"), (acc["uy"] + w * u * p[y]).alias("uy"),
+            (acc["w"] + p["w"]).alias("w"), (acc["u"] + wu).alias("u"), (acc["y"] + wy).alias("y"),
+            (acc["uu"] + wu * p["u"]).alias("uu"), (acc["uy"] + wu * p["y"]).alias("uy"),
         )
 
     def finish(s):
@@ -237,7 +244,7 @@ def _local_fit(points: Column, at: Column, k: Column, y: str) -> Column:
         spread = s["uu"] / s["w"] - um * um
         return F.when(s["w"] > 0, F.when(spread > 1e-12, ym - um * (s["uy"] / s["w"] - um * ym) / spread).otherwise(ym))
 
-    return F.aggregate(points, start, add, finish)
+    return F.aggregate(F.transform(points, near), start, add, finish)
 
 
 def lowess(df: DataFrame, keys: Sequence[str], x: str, ys: Mapping[str, str], *, carry: Sequence[str] = (), fraction: float = LOWESS_FRACTION, min_n: int = 4) -> DataFrame:
@@ -253,16 +260,22 @@ def lowess(df: DataFrame, keys: Sequence[str], x: str, ys: Mapping[str, str], *,
     def known(y: str) -> Column:
         return F.filter("_pts", lambda p: p[y].isNotNull())
 
+    def bandwidths(y: str) -> Column:
+        # distance to the k-th nearest known point, for every point
+        n = F.size(f"_p{y}")
+        share = F.greatest(F.lit(min(float(fraction), 1.0)), 3.0 / n)
+        k = F.floor(F.least(share, F.lit(1.0)) * n + 1e-10).cast("int")
+        return F.when(n >= min_n, F.transform("_pts", lambda p: F.get(F.array_sort(F.transform(f"_p{y}", lambda q: F.abs(q["x"] - p["x"]))), k - 1)))
+
     d = d.withColumns({f"_p{y}": known(y) for y in names.values()})
-    d = d.withColumns({f"_n{y}": F.size(f"_p{y}") for y in names.values()})
-    share = {y: F.greatest(F.least(F.lit(float(fraction)), F.lit(1.0)), 3.0 / F.col(f"_n{y}")) for y in names.values()}
-    d = d.withColumns({f"_k{y}": F.floor(share[y] * F.col(f"_n{y}") + 1e-10) for y in names.values()})
+    d = d.withColumns({f"_h{y}": bandwidths(y) for y in names.values()})
 
-    def fitted(p):
+    def fitted(p, i):
         cells = [p["x"].alias(x)]
         for out, y in names.items():
-            fit = _local_fit(F.col(f"_p{y}"), p["x"], F.col(f"_k{y}"), y)
-            cells.append(F.when((F.col(f"_n{y}") >= min_n) & p[y].isNotNull(), F.coalesce(fit, p[y])).alias(out))
+            far = F.get(f"_h{y}", i)
+            fit = _local_fit(F.col(f"_p{y}"), p["x"], far, y)
+            cells.append(F.when(far.isNotNull() & p[y].isNotNull(), F.coalesce(fit, p[y])).alias(out))
             cells.append(p[y].alias(f"_in_{out}"))
         return F.struct(*cells, *[p[c].alias(c) for c in carry])
 

@@ -329,11 +329,13 @@ def centred_median(df: DataFrame, line: Line, value: str, out: str, width: float
 
 def trailing_mean(df: DataFrame, line: Line, value: str, out: str, rows: int = 10) -> DataFrame:
     """Mean of the last ``rows`` non-null rows, shorter at the start; null rows stay null."""
-    known = rows_around(
-        df.where(F.col(value).isNotNull()), line, rows - 1, 0,
-        lambda d, w: d.withColumn(out, F.avg(value).over(w.rowsBetween(-(rows - 1), 0))),
+    # null rows are a line of their own, so frames count known rows only
+    d = df.withColumn("_known", F.col(value).isNotNull())
+    d = rows_around(
+        d, line.by("_known"), rows - 1, 0,
+        lambda part, w: part.withColumn(out, F.avg(value).over(w.rowsBetween(-(rows - 1), 0))),
     )
-    return known.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
+    return d.drop("_known")
 
 
 def running_sums(df: DataFrame, line: Line, value: str) -> DataFrame:
