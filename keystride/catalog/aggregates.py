@@ -17,8 +17,8 @@ CODE_SQL = POS_SQL.replace("k % 12", "player % 12")
 @query("a01_reference_profiles", f"""
 WITH {REG_SQL}, c AS (SELECT *, {CODE_SQL} AS code FROM minutes WHERE value IS NOT NULL),
  b AS (SELECT 'detailed' AS level, code AS "group", minute, metric, value FROM c UNION ALL SELECT 'coarse', CASE WHEN code IN ('LB','LCB','RCB','RB') THEN 'Defender' WHEN code IN ('DM','CM','AM') THEN 'Midfielder' ELSE 'Attacker' END, minute, metric, value FROM c WHERE code NOT IN ('GK', 'XX')),
- g AS (SELECT level, "group", m.i::INT AS minute, t.metric FROM (SELECT DISTINCT level, "group" FROM b), generate_series(1, 90) m(i), (VALUES ('speed'), ('acceleration'), ('distance'), ('jerk')) t(metric))
-SELECT g.level, g."group", g.minute, g.metric, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS sd FROM g LEFT JOIN b ON g.level = b.level AND g."group" = b."group" AND g.minute = b.minute AND g.metric = b.metric GROUP BY ALL""")
+ gg AS (SELECT level, "group", m.i::INT AS minute, t.metric FROM (SELECT DISTINCT level, "group" FROM b), generate_series(1, 90) m(i), (VALUES ('speed'), ('acceleration'), ('distance'), ('jerk')) t(metric))
+SELECT gg.level, gg."group", gg.minute, gg.metric, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS sd FROM gg LEFT JOIN b ON gg.level = b.level AND gg."group" = b."group" AND gg.minute = b.minute AND gg.metric = b.metric GROUP BY ALL""")
 def _(spark, d):
     m = reg_minutes(spark, d).withColumn("code", CODE)
     return rounded(A.reference_profiles(m, "code"), "mean", "sd")
@@ -75,7 +75,7 @@ def _(spark, d):
 
 
 @query("a07_speed_profile", f"""
-WITH {EV}, t AS (SELECT user_id % 3 AS grp, vn / 50 AS sp, k - 50.0 AS acc FROM ev WHERE vn / 50 > 0.2), b AS (SELECT *, ceil(sp / 0.2) AS bin FROM t)
+WITH {EV}, t AS (SELECT user_id % 3 AS grp, vn / 50 AS sp, k - 50.0::DOUBLE AS acc FROM ev WHERE vn / 50 > 0.2), b AS (SELECT *, ceil(sp / 0.2) AS bin FROM t)
 SELECT grp, count(*) AS n, round(avg(acc), 8) AS mean, round(quantile_cont(acc, 0.9), 7) AS p90, round(quantile_cont(acc, 0.1), 7) AS p10, quantile_cont(acc, 0.5) AS median, round((bin - 0.5) * 0.2, 6) AS centre FROM b GROUP BY grp, bin HAVING count(*) >= 15""")
 def _(spark, d):
     t = ev(spark, d).select((F.col("user_id") % 3).alias("grp"), (F.col("vn") / 50).alias("sp"), (F.col("k") - 50.0).alias("acc"))

@@ -80,7 +80,7 @@ def _(spark, d):
     return met_out(E.event_metrics(src(spark, d), ["user_id", "event_type"], "clock_s", "value", **COLS))
 
 
-def merge_sql(gap, atoms="at"):
+def merge_sql(gap, atoms="atom"):
     return f"""{atoms} AS (SELECT user_id, period, min(clock_s) AS s0, max(clock_s) AS s1 FROM hy GROUP BY user_id, period, g),
  m1 AS (SELECT *, s0 - lag(s1) OVER (PARTITION BY user_id, period ORDER BY s0) AS gap FROM {atoms}), m2 AS (SELECT *, sum(CASE WHEN gap >= 0 AND gap < {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, period ORDER BY s0) AS c FROM m1),
  m3 AS (SELECT user_id, period, c, min(s0) AS c0, max(s1) AS c1, count(*) AS n_atoms FROM m2 GROUP BY ALL),

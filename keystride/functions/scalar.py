@@ -204,7 +204,7 @@ def distance_ratio(mine: Column, near: Column, floor: float) -> Column:
 
 def slope_score(slope: Column, intercept: Column, s_x: Column, s_y: Column, x_ref: Column) -> dict[str, Column]:
     """Scale-free slope, its angle, the angle score in ``[0, 1]`` and the height at ``x_ref``."""
-    b = slope * (s_x / s_y)
+    b = slope * F.try_divide(s_x, s_y)
     theta = F.atan(b)
     return {
         "roll_b_star": b,

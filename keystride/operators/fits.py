@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..session import stage
 from .ordered import Line, neighbour, rows_around
 from .quantiles import quantiles
 from .windows import running_sums, trailing_mean
@@ -173,6 +174,7 @@ def setting_sweep(df: DataFrame, line: Line, x: str, ys: Mapping[str, float], s_
 def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
     """Per setting and metric: fits, median, spread, mean step within a period, crossings of 0.5."""
     case = ["n_window", "min_n", "min_x_s", "y_metric"]
+    fits = fits if line.width is None else stage(fits)
     total = fits.groupBy(*table_line.keys, *case).agg(F.count(F.lit(1)).alias("n_usable"))
     a = F.col("roll_A")
     d = fits.where(a.isNotNull())
@@ -228,7 +230,7 @@ def _local_fit(points: Column, at: Column, far: Column, y: str) -> Column:
 
     def near(p):
         u = p["x"] - at
-        r = F.abs(u) / far
+        r = F.try_divide(F.abs(u), far)
         w = F.when(r < 1, F.pow(1.0 - F.pow(r, F.lit(3.0)), F.lit(3.0))).otherwise(0.0)
         return F.struct(u.alias("u"), p[y].alias("y"), w.alias("w"))
 

@@ -23,7 +23,8 @@ GROUP_WEIGHTS = {"cognitive": 1.0, "kinematic": 1.0}
 def unit_grid(curves: DataFrame, case: Sequence[str]) -> DataFrame:
     """Whole minutes per (case, period) covering all series."""
     ends = curves.groupBy(*case, "period").agg(F.floor(F.min("minute")).alias("_lo"), F.ceil(F.max("minute")).alias("_hi"))
-    return ends.select(*case, "period", F.explode(F.sequence("_lo", "_hi")).cast("double").alias("minute"))
+    whole = ends.select(*case, "period", F.explode(F.sequence("_lo", "_hi")).alias("minute"))
+    return whole.withColumn("minute", F.col("minute").cast("double"))
 
 
 def interpolate(curves: DataFrame, case: Sequence[str], width: float | None = None) -> DataFrame:
@@ -39,8 +40,8 @@ def interpolate(curves: DataFrame, case: Sequence[str], width: float | None = No
     first = F.ceil(t0)
     # the follower supplies its own minute; the last knot only itself
     last = F.when(t1.isNull(), F.floor(t0)).otherwise(F.ceil(t1) - 1)
-    d = d.where(last >= first).withColumn("_g", F.explode(F.sequence(first, last)).cast("double"))
-    g = F.col("_g")
+    d = d.where(last >= first).withColumn("_g", F.explode(F.sequence(first, last)))
+    g = F.col("_g").cast("double")
     v = F.when((g == t0) | t1.isNull(), v0).otherwise(v0 + (v1 - v0) / (t1 - t0) * (g - t0))
     return d.select(*keys, g.alias("minute"), v.alias("value"))
 

@@ -103,31 +103,31 @@ def prefix(
         return df.withColumns({n: _over(k, v, w) for n, (k, v) in specs.items()})
 
     # an earlier step of a chain may have cut the same line already; its local column is dropped by then
-    d = df.withColumn("_s", line.slice_id())
+    d = df.withColumn("__slice", line.slice_id())
     flip = {"last": "first", "first": "last"} if reverse else {}
     order = F.struct(*[F.col(c) for c in line.order])
     names = list(specs)
-    totals = d.groupBy(*line.keys, "_s").agg(
-        *[_total(flip.get(specs[n][0], specs[n][0]), specs[n][1], order).alias(f"_c{i}") for i, n in enumerate(names)]
+    totals = d.groupBy(*line.keys, "__slice").agg(
+        *[_total(flip.get(specs[n][0], specs[n][0]), specs[n][1], order).alias(f"__c{i}") for i, n in enumerate(names)]
     )
     across = (
         Window.partitionBy(*line.keys)
-        .orderBy(F.col("_s").desc() if reverse else F.col("_s").asc())
+        .orderBy(F.col("__slice").desc() if reverse else F.col("__slice").asc())
         .rowsBetween(_UNB, -1)
     )
     carries = totals.select(
         *line.keys,
-        "_s",
+        "__slice",
         *[
-            _over("sum" if specs[n][0] == "count" else specs[n][0], F.col(f"_c{i}"), across).alias(f"_c{i}")
+            _over("sum" if specs[n][0] == "count" else specs[n][0], F.col(f"__c{i}"), across).alias(f"__c{i}")
             for i, n in enumerate(names)
         ],
     )
-    local = Window.partitionBy(*line.keys, "_s").orderBy(*asc).rowsBetween(_UNB, end)
-    d = d.withColumns({f"_l{i}": _over(specs[n][0], specs[n][1], local) for i, n in enumerate(names)})
-    d = d.join(carries, [*line.keys, "_s"], "left")
-    d = d.withColumns({n: _combine(specs[n][0], F.col(f"_c{i}"), F.col(f"_l{i}")) for i, n in enumerate(names)})
-    return d.drop("_s", *[f"_{x}{i}" for i in range(len(names)) for x in "cl"])
+    local = Window.partitionBy(*line.keys, "__slice").orderBy(*asc).rowsBetween(_UNB, end)
+    d = d.withColumns({f"__l{i}": _over(specs[n][0], specs[n][1], local) for i, n in enumerate(names)})
+    d = d.join(carries, [*line.keys, "__slice"], "left")
+    d = d.withColumns({n: _combine(specs[n][0], F.col(f"__c{i}"), F.col(f"__l{i}")) for i, n in enumerate(names)})
+    return d.drop("__slice", *[f"__{x}{i}" for i in range(len(names)) for x in "cl"])
 
 
 def neighbour(df: DataFrame, line: Line, names: Mapping[str, Column], *, following: bool = False) -> DataFrame:
@@ -152,12 +152,12 @@ def rows_around(
     """Run ``build(df, window)`` where every kept row sees ``before``/``after`` neighbours."""
     if line.width is None:
         return build(df, line.window())
-    d = prefix(df, line, {"_pos": ("count", F.lit(1))}).withColumn("_pos", F.col("_pos") - 1)
-    lo = F.greatest(F.lit(0), F.floor((F.col("_pos") - after) / chunk)).cast("long")
-    hi = F.floor((F.col("_pos") + before) / chunk).cast("long")
-    d = d.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
-    d = build(d, Window.partitionBy(*line.keys, "_chunk").orderBy("_pos"))
-    return d.where(F.col("_chunk") == F.floor(F.col("_pos") / chunk)).drop("_pos", "_chunk")
+    d = prefix(df, line, {"__pos": ("count", F.lit(1))}).withColumn("__pos", F.col("__pos") - 1)
+    lo = F.greatest(F.lit(0), F.floor((F.col("__pos") - after) / chunk)).cast("long")
+    hi = F.floor((F.col("__pos") + before) / chunk).cast("long")
+    d = d.withColumn("__chunk", F.explode(F.sequence(lo, hi)))
+    d = build(d, Window.partitionBy(*line.keys, "__chunk").orderBy("__pos"))
+    return d.where(F.col("__chunk") == F.floor(F.col("__pos") / chunk)).drop("__pos", "__chunk")
 
 
 def range_around(df: DataFrame, line: Line, exprs: Mapping[str, tuple[str, float, float]]) -> DataFrame:
@@ -173,8 +173,8 @@ def range_around(df: DataFrame, line: Line, exprs: Mapping[str, tuple[str, float
         # slices much longer than the frame keep the share of copied rows small
         width = max(float(line.width), 4.0 * (before + after))
         lo, hi = F.floor((t - after) / width).cast("long"), F.floor((t + before) / width).cast("long")
-        d = d.withColumn("_s", F.explode_outer(F.sequence(lo, hi)))
-        keys.append("_s")
+        d = d.withColumn("__slice", F.explode_outer(F.sequence(lo, hi)))
+        keys.append("__slice")
 
     def over(expr: str, back: float, ahead: float) -> Column:
         frame = f"RANGE BETWEEN {float(back)!r}D PRECEDING AND {float(ahead)!r}D FOLLOWING"
@@ -182,7 +182,7 @@ def range_around(df: DataFrame, line: Line, exprs: Mapping[str, tuple[str, float
 
     d = d.withColumns({n: F.when(t.isNotNull(), over(*e)) for n, e in exprs.items()})
     if line.width is not None:
-        d = d.where(F.col("_s").eqNullSafe(F.floor(t / width).cast("long"))).drop("_s")
+        d = d.where(F.col("__slice").eqNullSafe(F.floor(t / width).cast("long"))).drop("__slice")
     return d
 
 

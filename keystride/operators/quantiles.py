@@ -83,18 +83,18 @@ def quantiles(
 def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add ``100 * share of the group's non-null values <= this value``, for groups of any size."""
     keys = list(keys)
-    d = df.withColumn("_b", value_bucket(F.col(value)))
+    d = df.withColumn("__b", value_bucket(F.col(value)))
     w = Window.partitionBy(*keys)
-    hist = d.where(F.col(value).isNotNull()).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+    hist = d.where(F.col(value).isNotNull()).groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__nb"))
     hist = hist.select(
         *keys,
-        "_b",
-        F.coalesce(F.sum("_nb").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"),
-        F.sum("_nb").over(w).alias("_all"),
+        "__b",
+        F.coalesce(F.sum("__nb").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__at"),
+        F.sum("__nb").over(w).alias("__all"),
     )
     inside = (
-        Window.partitionBy(*keys, "_b").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "__b").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    d = d.withColumn("_in", F.count(value).over(inside)).join(hist, [*keys, "_b"], "left")
-    pct = F.lit(100.0) * (F.col("_at") + F.col("_in")) / F.col("_all")
-    return d.withColumn(out, F.when(F.col(value).isNotNull(), pct)).drop("_b", "_in", "_at", "_all")
+    d = d.withColumn("__in", F.count(value).over(inside)).join(hist, [*keys, "__b"], "left")
+    pct = F.lit(100.0) * (F.col("__at") + F.col("__in")) / F.col("__all")
+    return d.withColumn(out, F.when(F.col(value).isNotNull(), pct)).drop("__b", "__in", "__at", "__all")

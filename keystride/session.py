@@ -26,13 +26,15 @@ def build_session(app: str = "keystride", master: str | None = None, partitions:
     return spark
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a long chain survives lost executors.
-
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors see; only a session without one (tests) gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, so a long chain survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
