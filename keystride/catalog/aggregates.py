@@ -8,9 +8,12 @@ from .base import EV, HALF, ev, query, r6, r8, rounded
 from .events import PHASES, SEGMENTS, phases, segs
 from .possession import CARRY, GEO
 from .scalar import POS_SQL, POSITIONS
-from .windows import CLS, CLS_SQL, CUST_LINE, ORD, ORD_LINE, REG_SQL, RELATIVE, order_gaps, reg_minutes, relative
+from .windows import CLS_SQL, CUST_LINE, ORD, ORD_LINE, REG_SQL, RELATIVE, cls, order_gaps, reg_minutes, relative
+
+def code_of():
+    return F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.col("player") % 12 + 1)
+
 
-CODE = F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.col("player") % 12 + 1)
 CODE_SQL = POS_SQL.replace("k % 12", "player % 12")
 
 
@@ -20,7 +23,7 @@ WITH {REG_SQL}, c AS (SELECT *, {CODE_SQL} AS code FROM minutes WHERE value IS N
  gg AS (SELECT level, "group", m.i::INT AS minute, t.metric FROM (SELECT DISTINCT level, "group" FROM b), generate_series(1, 90) m(i), (VALUES ('speed'), ('acceleration'), ('distance'), ('jerk')) t(metric))
 SELECT gg.level, gg."group", gg.minute, gg.metric, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS sd FROM gg LEFT JOIN b ON gg.level = b.level AND gg."group" = b."group" AND gg.minute = b.minute AND gg.metric = b.metric GROUP BY ALL""")
 def _(spark, d):
-    m = reg_minutes(spark, d).withColumn("code", CODE)
+    m = reg_minutes(spark, d).withColumn("code", code_of())
     return rounded(A.reference_profiles(m, "code"), "mean", "sd")
 
 
@@ -172,5 +175,5 @@ def _(spark, d):
 WITH {EV}, c AS (SELECT *, {CLS_SQL} AS cls FROM ev) SELECT user_id, period, round(avg(CASE WHEN cls = 'IN_POSSESSION' THEN vn END), 8) AS in_avg, round(avg(CASE WHEN cls = 'OUT_OF_POSSESSION' THEN vn END), 8) AS out_avg,
  round(100.0 * count(*) FILTER (WHERE cls = 'IN_POSSESSION') / count(*), 8) AS in_pct, round(100.0 * count(*) FILTER (WHERE cls = 'OUT_OF_POSSESSION') / count(*), 8) AS out_pct FROM c GROUP BY ALL""")
 def _(spark, d):
-    out = W.class_averages(ev(spark, d).withColumn("cls", CLS), ["user_id", "period"], "cls", "vn")
+    out = W.class_averages(ev(spark, d).withColumn("cls", cls()), ["user_id", "period"], "cls", "vn")
     return rounded(out, "in_avg", "out_avg", "in_pct", "out_pct", digits=8)

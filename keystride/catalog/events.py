@@ -6,7 +6,7 @@ from ..functions import scalar as S
 from ..operators import aggregates as A, events as E
 from ..operators.ordered import Line
 from .base import EV, HALF_S, ev, query, r6, rounded
-from .windows import CLS, CLS_SQL
+from .windows import CLS_SQL, cls
 
 KEYS = ["user_id", "period"]
 LINE = "(PARTITION BY user_id, period ORDER BY clock_s, event_id)"
@@ -130,7 +130,7 @@ SEGMENTS = f"""s1 AS (SELECT *, {CLS_SQL} AS cls FROM ev), s2 AS (SELECT *, row_
 
 
 def segs(spark, d):
-    return E.label_segments(ev(spark, d).withColumn("cls", CLS), HALF_S, "cls")
+    return E.label_segments(ev(spark, d).withColumn("cls", cls()), HALF_S, "cls")
 
 
 @query("e09_label_segments", f"WITH {EV}, {SEGMENTS} SELECT user_id, period, cls, round(t0, 4) AS t0, round(t1, 4) AS t1, n_frames, round(t1 - t0, 4) AS duration FROM sg")
@@ -143,7 +143,7 @@ PHASES = f"""{SEGMENTS}, dts AS (SELECT user_id, period, clock_s - lag(clock_s)
 
 
 def phases(spark, d):
-    return E.phase_durations(ev(spark, d).withColumn("cls", CLS), HALF_S, "cls")
+    return E.phase_durations(ev(spark, d).withColumn("cls", cls()), HALF_S, "cls")
 
 
 @query("e10_phase_durations", f"WITH {EV}, {PHASES} SELECT user_id, period, cls, round(t0, 4) AS t0, round(t1, 4) AS t1, round(dur, 4) AS duration_s, round(dur / 60, 6) AS duration_min FROM ph")

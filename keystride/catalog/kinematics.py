@@ -79,8 +79,8 @@ def kin_sql(stride: int = 2, ma: int = 4, gap_from: str = SEG) -> str:
         return f"CASE WHEN count({c}) OVER {f} = {ma} THEN avg({c}) OVER {f} END"
 
     return f"""{gap_from},
- e1 AS (SELECT *, clock_s - lag(clock_s) OVER {w} AS st, count(*) OVER (PARTITION BY user_id, period, segment) AS sn FROM seg),
- e2 AS (SELECT *, CASE WHEN sn >= {2 * s + 1} THEN quantile_cont(st, 0.5) OVER (PARTITION BY user_id, period, segment) END AS h0 FROM e1),
+ e1 AS (SELECT *, clock_s - lag(clock_s) OVER {w} AS step0, count(*) OVER (PARTITION BY user_id, period, segment) AS sn FROM seg),
+ e2 AS (SELECT *, CASE WHEN sn >= {2 * s + 1} THEN quantile_cont(step0, 0.5) OVER (PARTITION BY user_id, period, segment) END AS h0 FROM e1),
  e3 AS (SELECT *, CASE WHEN h0 > 0 THEN h0 END AS h FROM e2),
  e4 AS (SELECT *, {d1('x')} AS vx0, {d1('y')} AS vy0, {d2('x')} AS ax, {d2('y')} AS ay, {d3('x')} AS jx, {d3('y')} AS jy FROM e3),
  e5 AS (SELECT *, sqrt(vx0 * vx0 + vy0 * vy0) AS sp0, sqrt(ax * ax + ay * ay) AS acc, sqrt(jx * jx + jy * jy) AS jerk, {mean('ax')} AS axm, {mean('ay')} AS aym FROM e4),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import mix as M
-from .base import query, r8, rounded, table
+from .base import query, rounded, table
 
 WEIGHTS = {"orders_n": 1.0, "revenue": 1.5, "event_value": 1.0}
 GROUPS = {"demand": ("orders_n", "revenue"), "activity": ("event_value",)}
@@ -31,7 +31,7 @@ def curves(spark, d):
         F.inline(
             F.array(
                 F.struct(F.lit("orders_n").alias("series"), F.least(F.col("n") / 40.0, F.lit(1.0)).alias("value")),
-                F.struct(F.lit("revenue").alias("series"), S.clip_unit(F.col("rev") / 1e5 - 20.0, 40.0).alias("value")),
+                F.struct(F.lit("revenue").alias("series"), S.clip_unit(F.col("rev") / 97000 - 20.0, 40.0).alias("value")),
             )
         ),
     )
@@ -43,7 +43,7 @@ def curves(spark, d):
 
 
 CURVES = """dly AS (SELECT n_regionkey AS region, year(o_orderdate) AS period, dayofyear(o_orderdate) / 7.0::DOUBLE AS minute, count(*) AS n, sum(o_totalprice) AS rev FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
- cv AS (SELECT region, period, minute, 'orders_n' AS series, least(n / 40.0::DOUBLE, 1) AS value FROM dly UNION ALL SELECT region, period, minute, 'revenue', greatest(0, least(1, (rev / 1e5 - 20 + 40) / 80)) FROM dly
+ cv AS (SELECT region, period, minute, 'orders_n' AS series, least(n / 40.0::DOUBLE, 1) AS value FROM dly UNION ALL SELECT region, period, minute, 'revenue', greatest(0, least(1, (rev / 97000 - 20 + 40) / 80)) FROM dly
   UNION ALL SELECT (user_id % 5)::INT, (1995 + user_id % 9)::INT, (dayofyear(ts) - 1) * 12 / 7.0::DOUBLE + hour(ts) / 24.0::DOUBLE AS minute, 'event_value', avg(value) / 500 FROM events GROUP BY ALL),
  gr AS (SELECT region, period, generate_series AS minute FROM (SELECT region, period, floor(min(minute))::INT AS lo, ceil(max(minute))::INT AS hi FROM cv GROUP BY ALL), generate_series(lo, hi)),
  kn AS (SELECT *, lead(minute) OVER (PARTITION BY region, period, series ORDER BY minute) AS t1, lead(value) OVER (PARTITION BY region, period, series ORDER BY minute) AS v1 FROM cv),
@@ -69,7 +69,7 @@ def _(spark, d):
     t = table(spark, d, "events").select(
         "event_id", F.when(i % 3 != 0, F.col("value") / 500).alias("a"), F.when(i % 4 != 0, F.col("value") / 700).alias("b"), F.when(i % 5 != 0, 0.25).alias("c"), F.lit(9.0).alias("off")
     )
-    return t.select("event_id", r8(M.weighted_mean({"a": 1.0, "b": 1.5, "c": 0.5, "off": 0.0})).alias("score"))
+    return t.select("event_id", F.round(M.weighted_mean({"a": 1.0, "b": 1.5, "c": 0.5, "off": 0.0}), 8).alias("score"))
 
 
 SCORES = f"""{CURVES}, wd AS (SELECT g.region, g.period, g.minute::DOUBLE AS minute, max(CASE WHEN series = 'orders_n' THEN value END) AS orders_n, max(CASE WHEN series = 'revenue' THEN value END) AS revenue, max(CASE WHEN series = 'event_value' THEN value END) AS event_value

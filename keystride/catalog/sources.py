@@ -11,7 +11,8 @@ from .base import EV, ev, query, r6, r8, rounded, table
 from .joins import EM, em
 from .scalar import POS_SQL, POSITIONS
 
-CODE = F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.col("k") % 12 + 1)
+def code_of():
+    return F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.col("k") % 12 + 1)
 
 
 @query("s01_tracking_scan", f"""
@@ -265,6 +266,6 @@ def _(spark, d):
 @query("s15_profile_slice", f"""
 WITH {EV} SELECT {POS_SQL} AS "group", floor(clock)::INT + 1 AS minute, round(avg(value), 8) AS mean, count(*) AS n FROM ev WHERE {POS_SQL} = 'CM' GROUP BY ALL""")
 def _(spark, d):
-    p = ev(spark, d).select(F.lit("detailed").alias("level"), CODE.alias("group"), (F.floor("clock") + 1).cast("int").alias("minute"), F.lit("speed").alias("metric"), "value")
+    p = ev(spark, d).select(F.lit("detailed").alias("level"), code_of().alias("group"), (F.floor("clock") + 1).cast("int").alias("minute"), F.lit("speed").alias("metric"), "value")
     p = p.groupBy("level", "group", "minute", "metric").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     return rounded(D.profile_slice(p, "detailed", "CM", "speed").select("group", "minute", "mean", "n"), "mean", digits=8)

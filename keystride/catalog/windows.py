@@ -9,7 +9,11 @@ from .base import EV, HALF, HALF_S, USER, W_HALF, ev, query, r6, r8, rounded, ta
 from .scalar import TEAM_OF
 
 CLS_SQL = "CASE WHEN event_type IN ('view', 'click') THEN 'IN_POSSESSION' WHEN event_type = 'purchase' THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END"
-CLS = S.collapse_team(codes.lookup(F.col("event_type"), TEAM_OF))
+
+
+def cls():
+    """Possession class of an event type."""
+    return S.collapse_team(codes.lookup(F.col("event_type"), TEAM_OF))
 
 
 def grid_sql(keys: str, src: str, time: str, win: str, step: str, more: str = "") -> str:
@@ -49,7 +53,7 @@ WITH {EV}, c AS (SELECT event_id AS cid, user_id, period, clock AS tc FROM ev WH
    FROM c LEFT JOIN (SELECT *, {CLS_SQL} AS cls FROM ev WHERE event_type <> 'purchase' OR k % 2 = 0) e ON c.user_id = e.user_id AND c.period = e.period AND e.clock >= c.tc - 2.0 AND e.clock < c.tc + 2.0 GROUP BY ALL)
 SELECT cid, user_id, period, CASE WHEN a > 0 AND a >= b AND a >= z THEN 'IN_POSSESSION' WHEN b > 0 AND b >= a AND b >= z THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END AS poss_class FROM n""")
 def _(spark, d):
-    e = ev(spark, d).withColumn("cls", CLS)
+    e = ev(spark, d).withColumn("cls", cls())
     centres = e.where(F.col("event_type") == "purchase").select(F.col("event_id").alias("cid"), *KEYS, F.col("clock").alias("tc"))
     points = e.where((F.col("event_type") != "purchase") | (F.col("k") % 2 == 0))
     return W.majority_label(centres, points, KEYS, "tc", "clock", "cls", 4.0).drop("tc")
@@ -64,7 +68,7 @@ WITH {EV}, {PROP}, {grid_sql("user_id, period", "cl", "clock", "3.0::DOUBLE", "2
 SELECT user_id, period, t0, n_frames, round(p_ip, 8) AS p_ip, round(p_oop, 8) AS p_oop, round(p_dead, 8) AS p_dead, round(greatest(p_ip, p_oop, p_dead), 8) AS p_max,
  CASE WHEN p_ip >= p_oop AND p_ip >= p_dead THEN 'IN_POSSESSION' WHEN p_oop >= p_ip AND p_oop >= p_dead THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END AS poss_class FROM p""")
 def _(spark, d):
-    out = W.label_proportions(ev(spark, d).withColumn("cls", CLS), KEYS, "clock", "cls", min_frames=2)
+    out = W.label_proportions(ev(spark, d).withColumn("cls", cls()), KEYS, "clock", "cls", min_frames=2)
     return rounded(out, "p_ip", "p_oop", "p_dead", "p_max", digits=8)
 
 
@@ -85,7 +89,7 @@ SELECT win_min, count(*) AS n_windows, round(avg(pm), 8) AS p_max_mean, round(av
 
 @query("w06_window_length_sweep", _sweep_sql())
 def _(spark, d):
-    out = W.window_length_sweep(ev(spark, d).withColumn("cls", CLS), KEYS, "clock", "cls", wins=(2.0, 4.0, 8.0), step=1.0, min_frames=2)
+    out = W.window_length_sweep(ev(spark, d).withColumn("cls", cls()), KEYS, "clock", "cls", wins=(2.0, 4.0, 8.0), step=1.0, min_frames=2)
     return rounded(out, *[c for c in out.columns if c not in ("win_min", "n_windows")], digits=8)
 
 

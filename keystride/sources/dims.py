@@ -35,7 +35,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_metadata(lines: DataFrame, text: str = "value") -> DataFrame:
     """``(match_id, home_team_id)`` from JSON text, object or one-element array."""
-    return lines.select("match_id", F.from_json(text, schemas.METADATA)["homeTeam"]["id"].alias("home_team_id"))
+    return lines.select("match_id", F.get(F.from_json(text, schemas.METADATA_LIST), 0)["homeTeam"]["id"].alias("home_team_id"))
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:

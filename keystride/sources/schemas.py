@@ -28,4 +28,5 @@ ROSTER_RECORD = f"player {PERSON}, team struct<id: string, name: string>, positi
 ROSTER_ROW = f"struct<player: {PERSON}, team: struct<id: string, name: string>, positionGroupType: string, shirtNumber: string>"
 ROSTER = f"{ROSTER_RECORD}, players array<{ROSTER_ROW}>, roster array<{ROSTER_ROW}>"
 METADATA = "homeTeam struct<id: string>"
+METADATA_LIST = "array<struct<homeTeam: struct<id: string>>>"  # also reads a single object
 PROFILE = "level string, `group` string, minute int, metric string, mean double, sd double, n bigint"
