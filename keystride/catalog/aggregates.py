@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates as A, fits, windows as W
-from .base import EV, HALF, ev, query, r6, r8, rounded
+from .base import EV, ev, query, rounded, user
 from .events import PHASES, SEGMENTS, phases, segs
 from .possession import CARRY, GEO
 from .scalar import POS_SQL, POSITIONS
-from .windows import CLS_SQL, CUST_LINE, ORD, ORD_LINE, REG_SQL, RELATIVE, cls, order_gaps, reg_minutes, relative
+from .windows import CLS_SQL, CUST_LINE, ORD, REG_SQL, RELATIVE, cls, ord_line, order_gaps, reg_minutes, relative
 
 def code_of():
     return F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.col("player") % 12 + 1)
@@ -52,10 +52,9 @@ WITH {EV}, {CARRY}, ab AS (SELECT c.team_possession AS a, g.fallback AS b FROM c
 SELECT CASE WHEN grouping(a) = 1 THEN 'All' ELSE a END AS a, CASE WHEN grouping(b) = 1 THEN 'All' ELSE b END AS b, count(*) AS n, round(avg((a = b)::INT), 8) AS agree FROM ab GROUP BY CUBE (a, b)""")
 def _(spark, d):
     from ..operators import possession as P
-    from ..operators.ordered import Line
-    from .possession import W as WIDTH, geo
+    from .possession import geo
 
-    z = P.carry_possession(P.zone_states(geo(spark, d), 2.5, 2.0), Line(("user_id",), "clock", ("event_id",), WIDTH))
+    z = P.carry_possession(P.zone_states(geo(spark, d), 2.5, 2.0), user(spark, d))
     return rounded(A.agreement(z.select(F.col("team_possession").alias("a"), F.col("fallback").alias("b")), "a", "b"), "agree", digits=8)
 
 
@@ -119,8 +118,9 @@ SELECT tot.o_custkey, tot.n_window, tot.min_n, tot.min_x_s::DOUBLE AS min_x_s, t
 @query("a10_setting_sweep", _sweep_sql())
 def _(spark, d):
     g = order_gaps(spark, d).withColumn("y2", (F.col("o_orderkey") % 5).cast("double"))
-    swept = fits.setting_sweep(g, ORD_LINE, "x", {"y": 420000.0, "y2": 3.0}, 400.0, fits.SETTINGS[:5])
-    out = fits.sweep_summary(swept, ORD_LINE, CUST_LINE)
+    line = ord_line(spark, d)
+    swept = fits.setting_sweep(g, line, "x", {"y": 420000.0, "y2": 3.0}, 400.0, fits.SETTINGS[:5])
+    out = fits.sweep_summary(swept, line, CUST_LINE if line.width else CUST_LINE.bounded())
     return rounded(rounded(out, "min_A", "max_A", "mean_abs_step_A", "median_A", "iqr_A"), "median_theta_star_deg", digits=5)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import Line
+from ..operators.ordered import Line, settle
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -73,4 +73,18 @@ EV = """ev AS (
 HALF = Line(("user_id", "period"), "clock", ("event_id",), width=10.0)
 HALF_S = Line(("user_id", "period"), "clock_s", ("event_id",), width=600.0)
 USER = Line(("user_id",), "clock", ("event_id",), width=10.0)
+
+
+def half(spark: SparkSession, sf_dir: str) -> Line:
+    return settle(ev(spark, sf_dir), HALF)
+
+
+def half_s(spark: SparkSession, sf_dir: str) -> Line:
+    return settle(ev(spark, sf_dir), HALF_S)
+
+
+def user(spark: SparkSession, sf_dir: str) -> Line:
+    return settle(ev(spark, sf_dir), USER)
+
+
 W_HALF = "(PARTITION BY user_id, period ORDER BY clock, event_id)"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import aggregates as A, events as E
 from ..operators.ordered import Line
-from .base import EV, HALF_S, ev, query, r6, rounded
+from .base import EV, ev, half_s, query, rounded
 from .windows import CLS_SQL, cls
 
 KEYS = ["user_id", "period"]
@@ -65,14 +65,14 @@ def with_thr(spark, d, kh, kl, v="vn"):
 
 @query("e02_hysteresis_events", f"WITH {SRC}, {hyst_sql(0.6, 0.4)} SELECT user_id, period, {met('vn')} FROM hy GROUP BY user_id, period, g")
 def _(spark, d):
-    return met_out(E.hysteresis_events(with_thr(spark, d, 0.6, 0.4), HALF_S, "vn", **COLS).drop("t_low", "t_high"))
+    return met_out(E.hysteresis_events(with_thr(spark, d, 0.6, 0.4), half_s(spark, d), "vn", **COLS).drop("t_low", "t_high"))
 
 
 @query("e03_threshold_events", f"""
 WITH {SRC}, a AS (SELECT *, coalesce(vn > 40, false) AS up FROM src), b AS (SELECT *, row_number() OVER {LINE} - row_number() OVER (PARTITION BY user_id, period, up ORDER BY clock_s, event_id) AS g FROM a)
 SELECT user_id, period, 40.0 AS t_low, 40.0 AS t_high, {met('vn')} FROM b WHERE up GROUP BY user_id, period, g HAVING count(vn) >= 3""")
 def _(spark, d):
-    return met_out(E.threshold_events(src(spark, d), HALF_S, "vn", 40.0, **COLS))
+    return met_out(E.threshold_events(src(spark, d), half_s(spark, d), "vn", 40.0, **COLS))
 
 
 @query("e04_event_metrics", f"WITH {SRC} SELECT user_id, event_type, {met('value')} FROM src GROUP BY user_id, event_type")
@@ -89,8 +89,8 @@ def merge_sql(gap, atoms="atom"):
 
 @query("e05_merge_close_events", f"WITH {SRC}, {hyst_sql(0.6, 0.4)}, {merge_sql(120)} SELECT user_id, period, n_atoms, {met('vn')} FROM mr GROUP BY user_id, period, c, n_atoms")
 def _(spark, d):
-    atoms = E.hysteresis_events(with_thr(spark, d, 0.6, 0.4), HALF_S, "vn", **COLS)
-    return met_out(E.merge_close_events(atoms, src(spark, d), HALF_S, "vn", 120.0, **COLS))
+    atoms = E.hysteresis_events(with_thr(spark, d, 0.6, 0.4), half_s(spark, d), "vn", **COLS)
+    return met_out(E.merge_close_events(atoms, src(spark, d), half_s(spark, d), "vn", 120.0, **COLS))
 
 
 INTERVALS = "iv AS (SELECT event_id, user_id, period, clock_s AS s0, clock_s + value / 2 AS s1 FROM ev)"
@@ -106,13 +106,13 @@ def _gap_sql(keys):
 
 @query("e06_recovery_gap", _gap_sql("user_id"))
 def _(spark, d):
-    out = E.recovery_gaps(intervals(spark, d), ["user_id"], 600.0)
+    out = E.recovery_gaps(intervals(spark, d), ["user_id"], half_s(spark, d).width)
     return rounded(out.select("event_id", "recovery_before_s"), "recovery_before_s", digits=5)
 
 
 @query("e07_recovery_gap_by_period", _gap_sql("user_id, period"))
 def _(spark, d):
-    out = E.recovery_gaps(intervals(spark, d), KEYS, 600.0)
+    out = E.recovery_gaps(intervals(spark, d), KEYS, half_s(spark, d).width)
     return rounded(out.select("event_id", "recovery_before_s"), "recovery_before_s", digits=5)
 
 
@@ -121,7 +121,7 @@ WITH {SRC}, {hyst_sql(0.5, -0.1, 'value')}, {merge_sql(120)}, ms AS (SELECT user
  rg AS (SELECT *, raw0 - lag(raw1) OVER (PARTITION BY user_id, period ORDER BY raw0) AS rec FROM ms)
 SELECT * EXCLUDE (raw0, raw1, rec), CASE WHEN rec >= 0 THEN round(rec, 4) END AS recovery_before_s FROM rg""")
 def _(spark, d):
-    out = E.sprint_table(src(spark, d), HALF_S, "value", ["user_id"], k_high=0.5, k_low=-0.1, gap=120.0, **COLS)
+    out = E.sprint_table(src(spark, d), half_s(spark, d), "value", ["user_id"], k_high=0.5, k_low=-0.1, gap=120.0, **COLS)
     return met_out(rounded(out, "recovery_before_s", digits=4))
 
 
@@ -130,7 +130,7 @@ SEGMENTS = f"""s1 AS (SELECT *, {CLS_SQL} AS cls FROM ev), s2 AS (SELECT *, row_
 
 
 def segs(spark, d):
-    return E.label_segments(ev(spark, d).withColumn("cls", cls()), HALF_S, "cls")
+    return E.label_segments(ev(spark, d).withColumn("cls", cls()), half_s(spark, d), "cls")
 
 
 @query("e09_label_segments", f"WITH {EV}, {SEGMENTS} SELECT user_id, period, cls, round(t0, 4) AS t0, round(t1, 4) AS t1, n_frames, round(t1 - t0, 4) AS duration FROM sg")
@@ -143,7 +143,7 @@ PHASES = f"""{SEGMENTS}, dts AS (SELECT user_id, period, clock_s - lag(clock_s)
 
 
 def phases(spark, d):
-    return E.phase_durations(ev(spark, d).withColumn("cls", cls()), HALF_S, "cls")
+    return E.phase_durations(ev(spark, d).withColumn("cls", cls()), half_s(spark, d), "cls")
 
 
 @query("e10_phase_durations", f"WITH {EV}, {PHASES} SELECT user_id, period, cls, round(t0, 4) AS t0, round(t1, 4) AS t1, round(dur, 4) AS duration_s, round(dur / 60, 6) AS duration_min FROM ph")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kinematics as K
 from ..operators.ordered import neighbour, rows_around
-from .base import EV, HALF_S, ev, query, r6, rounded
+from .base import EV, ev, half_s, query, r6, rounded
 
 XY = EV + """, xy AS (SELECT *, value AS x, k::DOUBLE AS y FROM ev)"""
 LINE = "(PARTITION BY user_id, period ORDER BY clock_s, event_id)"
@@ -24,7 +24,7 @@ SEG = XY + f""",
 WITH {SEG} SELECT user_id, period, segment::BIGINT AS segment, count(*) AS n, round(min(clock_s), 5) AS t0, round(max(clock_s), 5) AS t1, count(*) >= 5 AS long_enough
 FROM seg GROUP BY user_id, period, segment""")
 def _(spark, d):
-    t = K.segments(track(spark, d), HALF_S)
+    t = K.segments(track(spark, d), half_s(spark, d))
     out = t.groupBy("user_id", "period", "segment").agg(
         F.count("*").alias("n"), F.min("clock_s").alias("t0"), F.max("clock_s").alias("t1"), (F.count("*") >= 5).alias("long_enough")
     )
@@ -40,7 +40,7 @@ def _(spark, d):
     def build(part, w):
         return part.withColumns(dict(zip("vaj", K.strided(F.col("x"), F.lit(0.5), 2, w))))
 
-    t = rows_around(track(spark, d), HALF_S, 4, 4, build)
+    t = rows_around(track(spark, d), half_s(spark, d), 4, 4, build)
     return rounded(t.select("event_id", "v", "a", "j"), "v", "a", "j", digits=8)
 
 
@@ -53,7 +53,7 @@ def _(spark, d):
     def build(part, w):
         return part.withColumns({"ma16": K.moving_average(F.col("vn"), 16, w), "ma5": K.moving_average(F.col("vn"), 5, w)})
 
-    t = rows_around(track(spark, d), HALF_S, 8, 8, build)
+    t = rows_around(track(spark, d), half_s(spark, d), 8, 8, build)
     return rounded(t.select("event_id", "ma16", "ma5"), "ma16", "ma5", digits=8)
 
 
@@ -92,8 +92,8 @@ def kin_sql(stride: int = 2, ma: int = 4, gap_from: str = SEG) -> str:
 KIN_COLS = ["vx", "vy", "speed", "ax", "ay", "acc", "jx", "jy", "jerk", "a_tan", "acc_use", "jerk_use", "a_tan_use"]
 
 
-def kin(spark, d, line=HALF_S, **kw):
-    return K.stride_kinematics(track(spark, d), line, stride=2, average=4, **kw)
+def kin(spark, d, **kw):
+    return K.stride_kinematics(track(spark, d), half_s(spark, d), stride=2, average=4, **kw)
 
 
 @query("k04_kinematics", f"WITH {kin_sql()} SELECT event_id, {', '.join(f'round({c}, 7) AS {c}' for c in KIN_COLS)} FROM kin")
@@ -105,7 +105,7 @@ def _(spark, d):
 WITH {XY}, t AS (SELECT event_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, clock_s - lag(clock_s) OVER w AS dt FROM xy WINDOW w AS {LINE})
 SELECT event_id, CASE WHEN dt > 0 THEN round(sqrt(dx * dx + dy * dy), 6) END AS step_dist FROM t""")
 def _(spark, d):
-    return K.step_distance(track(spark, d), HALF_S).select("event_id", r6(F.col("step_dist")).alias("step_dist"))
+    return K.step_distance(track(spark, d), half_s(spark, d)).select("event_id", r6(F.col("step_dist")).alias("step_dist"))
 
 
 @query("k06_simple_speed", f"""
@@ -113,7 +113,7 @@ WITH {XY}, t AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) O
  u AS (SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN lead(sp) OVER w ELSE sp END AS sp FROM t WINDOW w AS {LINE})
 SELECT event_id, CASE WHEN sp <= 15 THEN round(sp, 6) END AS speed FROM u""")
 def _(spark, d):
-    return K.simple_speed(track(spark, d), HALF_S).select("event_id", r6(F.col("speed")).alias("speed"))
+    return K.simple_speed(track(spark, d), half_s(spark, d)).select("event_id", r6(F.col("speed")).alias("speed"))
 
 
 @query("k07_time_derivative", f"""
@@ -121,7 +121,7 @@ WITH {XY}, t AS (SELECT *, (x - lag(x) OVER w) / nullif(greatest(clock_s - lag(c
  u AS (SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN CASE WHEN lead(event_id, 2) OVER w IS NOT NULL THEN lead(r) OVER w END ELSE r END AS r FROM t WINDOW w AS {LINE})
 SELECT event_id, round(r, 6) AS rate FROM u""")
 def _(spark, d):
-    return K.time_derivative(track(spark, d), HALF_S, "x", "rate").select("event_id", r6(F.col("rate")).alias("rate"))
+    return K.time_derivative(track(spark, d), half_s(spark, d), "x", "rate").select("event_id", r6(F.col("rate")).alias("rate"))
 
 
 @query("k08_sample_interval", f"""
@@ -130,5 +130,5 @@ WITH {XY}, t AS (SELECT *, clock_s - lag(clock_s) OVER {LINE} AS dt FROM xy),
 SELECT user_id, period, n, round(coalesce(med, 1 / 29.97), 6) AS dt, round(CASE WHEN n >= 3 THEN 1 / med ELSE 29.97 END, 8) AS fps,
   round(CASE WHEN n >= 3 THEN 1 / med ELSE 30 END, 8) AS hz FROM u""")
 def _(spark, d):
-    out = K.sample_interval(track(spark, d), HALF_S).drop("median_dt")
+    out = K.sample_interval(track(spark, d), half_s(spark, d)).drop("median_dt")
     return rounded(rounded(out, "dt"), "fps", "hz", digits=8)

@@ -13,7 +13,6 @@ from .base import query, rounded, table
 WEIGHTS = {"orders_n": 1.0, "revenue": 1.5, "event_value": 1.0}
 GROUPS = {"demand": ("orders_n", "revenue"), "activity": ("event_value",)}
 GROUP_WEIGHTS = {"demand": 1.0, "activity": 1.0}
-WIDTH = 20.0
 
 
 def curves(spark, d):
@@ -31,7 +30,7 @@ def curves(spark, d):
         F.inline(
             F.array(
                 F.struct(F.lit("orders_n").alias("series"), F.least(F.col("n") / 40.0, F.lit(1.0)).alias("value")),
-                F.struct(F.lit("revenue").alias("series"), S.clip_unit(F.col("rev") / 97000 - 20.0, 40.0).alias("value")),
+                F.struct(F.lit("revenue").alias("series"), S.clip_unit(F.col("rev") / 97003 - 20.0, 40.0).alias("value")),
             )
         ),
     )
@@ -43,7 +42,7 @@ def curves(spark, d):
 
 
 CURVES = """dly AS (SELECT n_regionkey AS region, year(o_orderdate) AS period, dayofyear(o_orderdate) / 7.0::DOUBLE AS minute, count(*) AS n, sum(o_totalprice) AS rev FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
- cv AS (SELECT region, period, minute, 'orders_n' AS series, least(n / 40.0::DOUBLE, 1) AS value FROM dly UNION ALL SELECT region, period, minute, 'revenue', greatest(0, least(1, (rev / 97000 - 20 + 40) / 80)) FROM dly
+ cv AS (SELECT region, period, minute, 'orders_n' AS series, least(n / 40.0::DOUBLE, 1) AS value FROM dly UNION ALL SELECT region, period, minute, 'revenue', greatest(0, least(1, (rev / 97003 - 20 + 40) / 80)) FROM dly
   UNION ALL SELECT (user_id % 5)::INT, (1995 + user_id % 9)::INT, (dayofyear(ts) - 1) * 12 / 7.0::DOUBLE + hour(ts) / 24.0::DOUBLE AS minute, 'event_value', avg(value) / 500 FROM events GROUP BY ALL),
  gr AS (SELECT region, period, generate_series AS minute FROM (SELECT region, period, floor(min(minute))::INT AS lo, ceil(max(minute))::INT AS hi FROM cv GROUP BY ALL), generate_series(lo, hi)),
  kn AS (SELECT *, lead(minute) OVER (PARTITION BY region, period, series ORDER BY minute) AS t1, lead(value) OVER (PARTITION BY region, period, series ORDER BY minute) AS v1 FROM cv),
@@ -58,7 +57,7 @@ def _(spark, d):
 
 @query("m02_interpolate", f"WITH {CURVES} SELECT region, period, series, minute, round(value, 8) AS value FROM ip")
 def _(spark, d):
-    return rounded(M.interpolate(curves(spark, d), ["region"], WIDTH), "value", digits=8)
+    return rounded(M.interpolate(curves(spark, d), ["region"]), "value", digits=8)
 
 
 @query("m03_weighted_mean", """
@@ -84,7 +83,7 @@ def _(spark, d):
 
 
 def mixed(spark, d):
-    return M.mix(curves(spark, d), ["region"], weights=WEIGHTS, groups=GROUPS, group_weights=GROUP_WEIGHTS, width=WIDTH)
+    return M.mix(curves(spark, d), ["region"], weights=WEIGHTS, groups=GROUPS, group_weights=GROUP_WEIGHTS)
 
 
 FULL = f"""WITH {SCORES} SELECT region, period, minute, round(orders_n, 8) AS orders_n, round(revenue, 8) AS revenue, round(event_value, 8) AS event_value, round(demand, 8) AS demand, round(activity, 8) AS activity,

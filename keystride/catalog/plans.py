@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, scalar as S
 from ..operators import fits, possession as P
-from ..operators.ordered import Line
+from ..operators.ordered import Line, settle
 from ..plans import jobs
-from .base import EV, ev, query, r6, rounded
+from .base import EV, ev, half, query, rounded, user
 from .events import met, met_out
 from .joins import EM, NEAR_SQL, em
 from .kinematics import kin_sql
@@ -14,7 +14,15 @@ from .possession import DEAD, OTB, dead, otb, span_sql
 from .scalar import POS_SQL, POSITIONS, phi_sql
 from .windows import grid_sql, lowess_sql
 
-WIDTH = 600.0  # clock seconds per slice
+def width(spark, d, keys=("user_id", "period")):
+    """Slice length in clock seconds, none if every player-half is small."""
+    return settle(ev(spark, d), Line(keys, "clock_s", ("event_id",), 600.0)).width
+
+
+def dense_width(spark, d):
+    e = ev(spark, d).withColumn("player", F.col("k") % 20)
+    return settle(e, Line(("player",), "clock_s", ("event_id",), 600.0)).width
+
 
 TRACK = EV + """, xy AS (SELECT *, user_id % 7 AS match_id, user_id AS player_id, value AS x, k::DOUBLE AS y FROM ev)"""
 SEG1 = TRACK + """,
@@ -34,7 +42,7 @@ def track(spark, d):
 
 
 def panel(spark, d):
-    return jobs.kinematic_panel(track(spark, d), WIDTH, stride=1, average=2)
+    return jobs.kinematic_panel(track(spark, d), width(spark, d), stride=1, average=2)
 
 
 def positions(spark, d):
@@ -78,7 +86,7 @@ def dense_track(spark, d):
 
 
 def dense_panel(spark, d):
-    return jobs.kinematic_panel(dense_track(spark, d), WIDTH, stride=1, average=2)
+    return jobs.kinematic_panel(dense_track(spark, d), dense_width(spark, d), stride=1, average=2)
 
 
 def dense_positions(spark, d):
@@ -95,21 +103,23 @@ PROFILE_SQL = f"""{DENSE_PANEL}, {minutes_sql(0.7)}, cc AS (SELECT *, {DPOS} AS
 
 
 @query("c02_relative_speed", f"""
-WITH {PROFILE_SQL}, mg AS (SELECT c.user_id, c.metric, c.minute, c.value, p.mean, p.sd, CASE WHEN c.minute <= 45 THEN 1 ELSE 2 END AS half FROM cc c JOIN prof p ON p.level = 'detailed' AND p."group" = c.code AND p.minute = c.minute AND p.metric = c.metric WHERE c.metric IN ('speed', 'distance')),
+WITH {PROFILE_SQL}, um AS (SELECT user_id, metric, i::INT AS minute FROM (SELECT DISTINCT user_id FROM panel), (VALUES ('speed'), ('distance')) t(metric), generate_series(1, 90) s(i)),
+ mg AS (SELECT u.user_id, u.metric, u.minute, c.value, p.mean, p.sd, CASE WHEN u.minute <= 45 THEN 1 ELSE 2 END AS half FROM um u JOIN prof p ON p.level = 'detailed' AND p."group" = {DPOS.replace('user_id', 'u.user_id')} AND p.minute = u.minute AND p.metric = u.metric LEFT JOIN cc c ON c.user_id = u.user_id AND c.metric = u.metric AND c.minute = u.minute),
  {lowess_sql('mg', 'user_id, metric, half', 'value', 'pfit')}, {lowess_sql('mg', 'user_id, metric, half', 'mean', 'rfit')},
  zz AS (SELECT mg.user_id, mg.metric, mg.half, mg.minute, CASE WHEN mg.sd > 0 THEN (pfit.fit - rfit.fit) / mg.sd END AS z FROM mg JOIN pfit USING (user_id, metric, half, minute) JOIN rfit USING (user_id, metric, half, minute)),
  zn AS (SELECT *, avg(z) OVER (PARTITION BY user_id, metric, half ORDER BY minute) AS m5a, avg(z) OVER (PARTITION BY user_id, metric, half ORDER BY minute ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS r10 FROM zz WHERE z IS NOT NULL)
 SELECT user_id % 7 AS match_id, user_id AS player_id, metric, half, minute, round(z, 5) AS z, round({phi_sql('m5a')}, 6) AS phi_5a, round({phi_sql('r10')}, 6) AS phi_roll10 FROM zn""")
 def _(spark, d):
     p, pos = dense_panel(spark, d), dense_positions(spark, d)
-    s = jobs.relative_speed(p, pos, jobs.profiles(p, pos, WIDTH), ("speed", "distance"), WIDTH)
+    w = dense_width(spark, d)
+    s = jobs.relative_speed(p, pos, jobs.profiles(p, pos, w), ("speed", "distance"), w)
     s = s.where(F.col("z").isNotNull()).select("match_id", "player_id", "metric", "half", F.col("minute").cast("int").alias("minute"), "z", "phi_5a", "phi_roll10")
     return rounded(rounded(s, "z", digits=5), "phi_5a", "phi_roll10")
 
 
 @query("c08_profiles", f'WITH {PROFILE_SQL} SELECT level, "group", minute, metric, n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM prof')
 def _(spark, d):
-    return rounded(jobs.profiles(dense_panel(spark, d), dense_positions(spark, d), WIDTH), "mean", "sd")
+    return rounded(jobs.profiles(dense_panel(spark, d), dense_positions(spark, d), dense_width(spark, d)), "mean", "sd")
 
 
 SPRINT_SQL = f"""{PANEL}, jj AS (SELECT *, (a_tan_use - lag(a_tan_use) OVER w) / nullif(greatest(clock_s - lag(clock_s) OVER w, 0), 0) AS jt0 FROM panel WINDOW w AS (PARTITION BY user_id, period ORDER BY clock_s, event_id)),
@@ -133,10 +143,11 @@ def _line_part(y, sy):
 WITH {sprint_sql()}, ln AS ({_line_part('distance_m', 42.0)} UNION ALL {_line_part('peak_speed', 7.0)})
 SELECT user_id % 7 AS match_id, user_id AS player_id, 'ols_line_angle' AS section, y_metric, period, round(cm, 4) AS minute, round((atan(b) + pi() / 2) / pi(), 6) AS "roll_A" FROM ln""")
 def _(spark, d):
-    table = jobs.sprints(panel(spark, d), WIDTH, k_high=0.3, k_low=0.2, gap=60.0)
+    w = width(spark, d)
+    table = jobs.sprints(panel(spark, d), w, k_high=0.3, k_low=0.2, gap=60.0)
     from ..session import stage
 
-    out = jobs.sprint_recovery(stage(table), rows=4, min_rows=2, width=WIDTH)
+    out = jobs.sprint_recovery(stage(table), rows=4, min_rows=2, width=w)
     return rounded(rounded(out, "minute", digits=4), "roll_A")
 
 
@@ -154,7 +165,7 @@ def _(spark, d):
         {"match_id": F.col("frame") % 3, "player_id": F.col("vec_id") % 10, "period": F.lit(1), "periodGameClockTime": F.col("frame") * 20.0}
     )
     clock = e.select((F.col("frame") % 3).alias("match_id"), (F.col("vec_id") % 10).alias("player_id"), F.col("periodGameClockTime").alias("video_time_s"), F.lit(0).alias("frameNum")).distinct()
-    mins = jobs.N.nearest_minutes(near, jobs.N.fps_of(clock, jobs.player_line(WIDTH)), list(jobs.HALF), "periodGameClockTime")
+    mins = jobs.N.nearest_minutes(near, jobs.N.fps_of(clock, jobs.player_line(6000.0)), list(jobs.HALF), "periodGameClockTime")
     lead = jobs.W.signed_lead(mins, Line(jobs.HALF, "t_centre_min", (), 10.0), {"d_resid_tm": "teammates", "d_resid_op": "opponents"})
     return rounded(rounded(lead.drop("period"), "r", "ma7", digits=7), "C").withColumn("N", F.round("N", 8))
 
@@ -167,7 +178,7 @@ def _(spark, d):
         (F.col("user_id") % 7).alias("match_id"), F.col("user_id").alias("player_id"), "period", F.col("clock_s").alias("game_clock_s"), F.col("clock").alias("minute"),
         ((F.col("value") - 50) * 80 / 97).alias("individual_synergy"), ((F.col("k") - 50) * 40.0).alias("team_synergy"),
     )
-    out = jobs.synergy_curve(e, width=10.0).select("match_id", "player_id", "period", "minute", "m", "m_w1", "m_w3", "m_w5", "m_w10")
+    out = jobs.synergy_curve(e, width=half(spark, d).width).select("match_id", "player_id", "period", "minute", "m", "m_w1", "m_w3", "m_w5", "m_w10")
     return rounded(rounded(out, "m", "m_w1", "m_w3", "m_w5", "m_w10", digits=9), "minute", digits=4)
 
 
@@ -202,7 +213,7 @@ def possession(spark, d):
         "event_id", "user_id", "clock", F.when(k % 23 != 0, F.col("value")).alias("ball_x"), k.cast("double").alias("ball_y"), F.when(k % 19 != 0, F.col("value") / 10).alias("d_focal"),
         F.when(k % 13 != 0, k / 10.0).alias("d_opp"), (k % 11).alias("player_id_focal_nearest"), (k % 7 + 20).alias("player_id_opp_nearest"),
     )
-    return jobs.possession(o, dead(spark, d), fr, ("user_id",), radius=2.5, focal_player=F.lit(3), time="clock", ident="event_id", frame="event_id", width=10.0)
+    return jobs.possession(o, dead(spark, d), fr, ("user_id",), radius=2.5, focal_player=F.lit(3), time="clock", ident="event_id", frame="event_id", width=user(spark, d).width)
 
 
 @query("e16_possession_both", f"""
@@ -220,7 +231,7 @@ def _(spark, d):
 
 
 def report(spark, d):
-    return jobs.player_report(panel(spark, d), width=WIDTH, min_frames=2, win=6.0, step=4.0)
+    return jobs.player_report(panel(spark, d), width=width(spark, d), min_frames=2, win=6.0, step=4.0)
 
 
 RG = f"{PANEL}, {grid_sql('user_id, period', 'panel', 'clock', '6.0::DOUBLE', '4.0::DOUBLE')}"

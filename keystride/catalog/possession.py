@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import possession as P
 from ..operators.ordered import Line
-from .base import EV, ev, query, rounded
+from .base import EV, ev, query, rounded, user
 
-W = 10.0
 M = ["user_id"]
 
 RAW = EV + """, raw AS (SELECT user_id, event_id, k % 40 AS gid, clock AS st, clock + (k % 4) * 0.2 AS en, CASE WHEN k % 3 = 0 THEN (k % 4) * 0.2 END AS du, CASE WHEN k % 13 <> 0 THEN k % 11 END AS pl, CASE WHEN k % 7 <> 0 THEN k % 2 END AS tm, CASE WHEN k % 5 <> 0 THEN k // 25 END AS sq, period, CASE WHEN event_type <> 'click' THEN event_type END AS ty FROM ev WHERE event_type <> 'error')"""
@@ -81,7 +80,7 @@ def span_sql() -> str:
 
 @query("e13_possession_spans", f"WITH {EV}, {span_sql()} SELECT user_id, round(t0, 4) AS t0, round(t1, 4) AS t1, team_possession, reason FROM spans")
 def _(spark, d):
-    return rounded(P.possession_spans(otb(spark, d), dead(spark, d), M, "event_id", width=W), "t0", "t1", digits=4)
+    return rounded(P.possession_spans(otb(spark, d), dead(spark, d), M, "event_id", width=user(spark, d).width), "t0", "t1", digits=4)
 
 
 GEO = """geo AS (SELECT event_id, user_id, clock, CASE WHEN k % 23 <> 0 THEN value END AS ball_x, k::DOUBLE AS ball_y, CASE WHEN k % 19 <> 0 THEN value / 10 END AS d_focal, CASE WHEN k % 13 <> 0 THEN k / 10.0 END AS d_opp, k % 11 AS pf, k % 7 + 20 AS po, event_type = 'error' AS event_dead,
@@ -118,5 +117,5 @@ CARRY = f"""{GEO}, y1 AS (SELECT *, CASE WHEN event_dead THEN 'DEAD' ELSE ct END
 @query("e15_carry_possession", f"WITH {EV}, {CARRY} SELECT event_id, ball_state, team_possession, player_otb, possession_context FROM carried")
 def _(spark, d):
     z = P.zone_states(geo(spark, d), 2.5, 2.0)
-    out = P.carry_possession(z, Line(("user_id",), "clock", ("event_id",), W), focal_player=F.lit(3))
+    out = P.carry_possession(z, user(spark, d), focal_player=F.lit(3))
     return out.select("event_id", "ball_state", "team_possession", "player_otb", "possession_context")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, scalar as S
 from ..operators import fits, windows
-from .base import EV, HALF, ev, query, r6, r8, rounded, table
+from .base import EV, ev, half, query, r6, r8, rounded, table
 
 
 @query("p01_numeric_coercion", """
@@ -273,7 +273,7 @@ WITH {EV}, t AS (SELECT user_id, period, clock, event_id, sum(value * 80 / 97) O
 SELECT event_id, CASE WHEN dp + dn >= 200 THEN round(((dp - dn) / (dp + dn) + 1) / 2, 8) END AS share,
   CASE WHEN dp + dn >= 200 AND dn >= 200 THEN round(greatest(0, least(1, (greatest(-1, least(1, dp / dn - 1)) + 1) / 2)), 8) END AS ratio FROM t""")
 def _(spark, d):
-    t = windows.period_to_date(ev(spark, d), HALF, {"dp": F.col("value") * 80 / 97, "dn": F.col("k").cast("double")})
+    t = windows.period_to_date(ev(spark, d), half(spark, d), {"dp": F.col("value") * 80 / 97, "dn": F.col("k").cast("double")})
     q = S.distance_ratio(F.col("dp"), F.col("dn"), 200.0)
     return t.select(
         "event_id",
@@ -292,7 +292,7 @@ SELECT event_id, CASE WHEN ok THEN round(xn, 6) END AS x_norm, CASE WHEN ok THEN
 def _(spark, d):
     from ..operators.ordered import neighbour
 
-    t = neighbour(ev(spark, d), HALF, {"p": F.col("clock_s")}).withColumn("x", F.col("clock_s") - F.col("p"))
+    t = neighbour(ev(spark, d), half(spark, d), {"p": F.col("clock_s")}).withColumn("x", F.col("clock_s") - F.col("p"))
     t = fits.maxnorm_scores(t, ["user_id"], "x", "vn")
     t = t.withColumn("q_yx", F.round("q_yx", 4))
     return rounded(t, "x_norm", "y_norm", "s_angle", "s_ratio").select("event_id", "x_norm", "y_norm", "q_yx", "s_angle", "s_ratio")

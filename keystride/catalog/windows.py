@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, scalar as S
 from ..operators import fits, windows as W
-from ..operators.ordered import Line, neighbour
-from .base import EV, HALF, HALF_S, USER, W_HALF, ev, query, r6, r8, rounded, table
+from ..operators.ordered import Line, neighbour, settle
+from .base import EV, W_HALF, ev, half_s, query, r6, r8, rounded, table
 from .scalar import TEAM_OF
 
 CLS_SQL = "CASE WHEN event_type IN ('view', 'click') THEN 'IN_POSSESSION' WHEN event_type = 'purchase' THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END"
@@ -163,14 +163,14 @@ WITH {FP}, g AS (SELECT user_id, period, clock_s - lag(clock_s) OVER (PARTITION
 SELECT w.user_id, w.period, round(s0 + 120, 6) AS t_s, round(avg(abs(jerk_use)), 8) AS jerk, round(avg(greatest(a_tan_use, 0)), 8) AS acc, round(avg(speed), 8) AS speed, round(sum(step_dist), 6) AS distance, count(*) AS n_frames
 FROM w JOIN fp ON fp.user_id = w.user_id AND fp.period = w.period AND clock_s >= s0 AND clock_s < s0 + 240 GROUP BY w.user_id, w.period, s0, need HAVING count(*) >= need""")
 def _(spark, d):
-    out = W.fingerprint(fp(spark, d), HALF_S, 240.0)
+    out = W.fingerprint(fp(spark, d), half_s(spark, d), 240.0)
     return rounded(rounded(out, "jerk", "acc", "speed", digits=8), "t_s", "distance")
 
 
 @query("w10_fingerprint_frames", f"""
 WITH {FP} SELECT user_id, period, round(clock_s, 3) AS t_s, round(abs(jerk_use), 6) AS jerk, round(greatest(a_tan_use, 0), 6) AS acc, speed, step_dist AS distance, 1::BIGINT AS n_frames FROM fp""")
 def _(spark, d):
-    return rounded(rounded(W.fingerprint(fp(spark, d), HALF_S, None), "jerk", "acc"), "t_s", digits=3)
+    return rounded(rounded(W.fingerprint(fp(spark, d), half_s(spark, d), None), "jerk", "acc"), "t_s", digits=3)
 
 
 REGMIN = EV + """, rm AS (SELECT k % 20 AS player, event_id, period, clock_s, value AS speed, vn AS acc_use, CASE WHEN k % 3 = 0 THEN NULL ELSE value END AS jerk_use, vn AS step_dist FROM ev)"""
@@ -192,7 +192,7 @@ def reg_minutes(spark, d):
     e = ev(spark, d).withColumns(
         {"player": k % 20, "speed": F.col("value"), "acc_use": F.col("vn"), "jerk_use": F.when(k % 3 != 0, F.col("value")), "step_dist": F.col("vn")}
     )
-    return W.regulation_minutes(e, REG_LINE)
+    return W.regulation_minutes(e, settle(e, REG_LINE))
 
 
 @query("w11_regulation_minutes", f"WITH {REG_SQL} SELECT player, minute, metric, round(value, 6) AS value FROM minutes")
@@ -216,28 +216,28 @@ def _(spark, d):
 WITH {EV} SELECT event_id, {', '.join(f"round(avg(vn) OVER (PARTITION BY user_id, period ORDER BY clock RANGE BETWEEN {w / 2 + 1e-6!r} PRECEDING AND {w / 2 + 1e-6!r} FOLLOWING), 8) AS m_w{w}" for w in (1, 3, 5, 7, 10))} FROM ev""")
 def _(spark, d):
     names = {f"m_w{w}": float(w) for w in (1, 3, 5, 7, 10)}
-    out = W.centred_mean(ev(spark, d), HALF, "vn", names).select("event_id", *names)
+    out = W.centred_mean(ev(spark, d), half(spark, d), "vn", names).select("event_id", *names)
     return rounded(out, *names, digits=8)
 
 
 @query("w15_centred_median", f"""
 WITH {EV} SELECT event_id, round(quantile_cont(vn, 0.5) OVER (PARTITION BY user_id, period ORDER BY clock RANGE BETWEEN 4.5 PRECEDING AND 4.5 FOLLOWING), 6) AS med FROM ev""")
 def _(spark, d):
-    return W.centred_median(ev(spark, d), HALF, "vn", "med").select("event_id", r6(F.col("med")).alias("med"))
+    return W.centred_median(ev(spark, d), half(spark, d), "vn", "med").select("event_id", r6(F.col("med")).alias("med"))
 
 
 @query("w16_trailing_mean", f"""
 WITH {EV}, t AS (SELECT event_id, round(avg(vn) OVER (PARTITION BY user_id, period ORDER BY clock, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS roll10 FROM ev WHERE vn IS NOT NULL)
 SELECT ev.event_id, roll10 FROM ev LEFT JOIN t ON ev.event_id = t.event_id""")
 def _(spark, d):
-    return W.trailing_mean(ev(spark, d), HALF, "vn", "roll10").select("event_id", r8(F.col("roll10")).alias("roll10"))
+    return W.trailing_mean(ev(spark, d), half(spark, d), "vn", "roll10").select("event_id", r8(F.col("roll10")).alias("roll10"))
 
 
 @query("w17_running_sums", f"""
 WITH {EV} SELECT event_id, CASE WHEN vn IS NOT NULL THEN round(sum(vn) OVER {W_HALF}, 6) END AS cum, CASE WHEN vn IS NOT NULL THEN count(vn) OVER {W_HALF} END AS n_so_far,
  CASE WHEN vn IS NOT NULL THEN round(sum(vn) OVER {W_HALF} / count(vn) OVER {W_HALF}, 8) END AS mean_so_far FROM ev""")
 def _(spark, d):
-    out = W.running_sums(ev(spark, d), HALF, "vn").select("event_id", "cum", "n_so_far", "mean_so_far")
+    out = W.running_sums(ev(spark, d), half(spark, d), "vn").select("event_id", "cum", "n_so_far", "mean_so_far")
     return rounded(rounded(out, "cum"), "mean_so_far", digits=8)
 
 
@@ -248,14 +248,14 @@ WITH {EV}, r AS (SELECT event_id, user_id, period, clock, 'teammates' AS referen
 SELECT event_id, reference, round(r, 6) AS r, round(ma7, 8) AS ma7, round(C, 6) AS C, CASE WHEN C IS NOT NULL THEN round(greatest(0, least(1, (C + 600) / 1200)), 8) END AS N FROM c""")
 def _(spark, d):
     e = ev(spark, d).withColumns({"d_resid_tm": F.col("vn") - 50, "d_resid_op": F.col("vn") - F.col("k")})
-    out = W.signed_lead(e, HALF, {"d_resid_tm": "teammates", "d_resid_op": "opponents"})
+    out = W.signed_lead(e, half(spark, d), {"d_resid_tm": "teammates", "d_resid_op": "opponents"})
     return rounded(rounded(out.select("event_id", "reference", "r", "ma7", "C", "N"), "r", "C"), "ma7", "N", digits=8)
 
 
 @query("w19_period_to_date", f"""
 WITH {EV} SELECT event_id, round(sum(value) OVER {W_HALF}, 6) AS dp, sum(k) OVER {W_HALF}::DOUBLE AS dn FROM ev""")
 def _(spark, d):
-    out = W.period_to_date(ev(spark, d), HALF, {"dp": F.col("value"), "dn": F.col("k").cast("double")})
+    out = W.period_to_date(ev(spark, d), half(spark, d), {"dp": F.col("value"), "dn": F.col("k").cast("double")})
     return rounded(out.select("event_id", "dp", "dn"), "dp")
 
 
@@ -266,13 +266,18 @@ ORD_LINE = Line(("o_custkey", "period"), "day", ("o_orderkey",), width=365.0)
 CUST_LINE = Line(("o_custkey",), "day", ("o_orderkey",), width=365.0)
 
 
+def ord_line(spark, d):
+    """Settled over whole customers, which bounds their periods too."""
+    return ORD_LINE if settle(table(spark, d, "orders").withColumn("day", F.lit(0.0)), CUST_LINE).width else ORD_LINE.bounded()
+
+
 def order_gaps(spark, d):
     o = table(spark, d, "orders")
     day = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").cast("double")
     early = F.expr("o_orderdate < TIMESTAMP_NTZ'1998-06-01 00:00:00'")
     o = o.select("o_orderkey", "o_custkey", day.alias("day"), F.when(early, 1).otherwise(2).alias("period"), F.col("o_totalprice").alias("y"))
     gap = F.col("day") - F.col("_p")
-    return neighbour(o, ORD_LINE, {"_p": F.col("day")}).withColumn("x", F.when(gap >= 0, gap)).drop("_p")
+    return neighbour(o, ord_line(spark, d), {"_p": F.col("day")}).withColumn("x", F.when(gap >= 0, gap)).drop("_p")
 
 
 def line_sql(rows: int, least: int, span: float) -> str:
@@ -296,14 +301,14 @@ WITH {ORD}, {line_sql(6, 4, 20.0)}, sc AS (SELECT o_custkey, quantile_cont(x, 0.
  o AS (SELECT st.*, sx, sy, xr FROM st JOIN sc USING (o_custkey))
 SELECT rec.o_orderkey, o.roll_n, o.roll_method, {LINE_OUT} FROM rec LEFT JOIN o ON rec.o_orderkey = o.o_orderkey""")
 def _(spark, d):
-    return _line_out(fits.rolling_line(order_gaps(spark, d), ORD_LINE, "x", "y", table_keys=["o_custkey"], rows=6, min_rows=4))
+    return _line_out(fits.rolling_line(order_gaps(spark, d), ord_line(spark, d), "x", "y", table_keys=["o_custkey"], rows=6, min_rows=4))
 
 
 @query("w20_rolling_line_frozen_scales", f"""
 WITH {ORD}, {line_sql(6, 4, 20.0)}, o AS (SELECT *, 400.0 AS sx, 420000.0 AS sy, 100.0 AS xr FROM st)
 SELECT rec.o_orderkey, o.roll_n, o.roll_method, {LINE_OUT} FROM rec LEFT JOIN o ON rec.o_orderkey = o.o_orderkey""")
 def _(spark, d):
-    out = fits.rolling_line(order_gaps(spark, d), ORD_LINE, "x", "y", table_keys=["o_custkey"], rows=6, min_rows=4, s_x=400.0, s_y=420000.0, x_ref=100.0)
+    out = fits.rolling_line(order_gaps(spark, d), ord_line(spark, d), "x", "y", table_keys=["o_custkey"], rows=6, min_rows=4, s_x=400.0, s_y=420000.0, x_ref=100.0)
     return _line_out(out)
 
 
@@ -315,7 +320,7 @@ WITH {ORD}, us AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, period O
 SELECT g.o_orderkey, round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept FROM g JOIN sl USING (o_orderkey) WHERE n >= 4 AND span >= 20""")
 def _(spark, d):
     out = fits.rolling_line(
-        order_gaps(spark, d), ORD_LINE, "x", "y", table_keys=["o_custkey"], rows=5, min_rows=4, s_x=1.0, s_y=1.0, x_ref=0.0, method="theilsen"
+        order_gaps(spark, d), ord_line(spark, d), "x", "y", table_keys=["o_custkey"], rows=5, min_rows=4, s_x=1.0, s_y=1.0, x_ref=0.0, method="theilsen"
     )
     out = out.where(F.col("roll_method") == "theilsen")
     return out.select("o_orderkey", F.round("roll_slope", 4).alias("slope"), F.round("roll_intercept", 3).alias("intercept"))
@@ -398,5 +403,5 @@ WITH {EV}, s AS (SELECT *, (0.5 * (greatest(-1, least(1, (value - 50) / 97)) + 1
 SELECT event_id, round(m0, 9) AS m, {', '.join(f"round(avg(m0) OVER (PARTITION BY user_id, period ORDER BY clock RANGE BETWEEN {w / 2 + 1e-6!r} PRECEDING AND {w / 2 + 1e-6!r} FOLLOWING), 9) AS m_w{w}" for w in (1, 3, 5, 10))} FROM s""")
 def _(spark, d):
     e = ev(spark, d).withColumns({"p": (F.col("value") - 50) * 80 / 97, "t": (F.col("k") - 50) * 40.0})
-    out = W.synergy_windows(e, HALF, "p", "t").select("event_id", "m", "m_w1", "m_w3", "m_w5", "m_w10")
+    out = W.synergy_windows(e, half(spark, d), "p", "t").select("event_id", "m", "m_w1", "m_w3", "m_w5", "m_w10")
     return rounded(out, "m", "m_w1", "m_w3", "m_w5", "m_w10", digits=9)

@@ -79,7 +79,6 @@ def rolling_line(
     if method not in ("ols", "theilsen"):
         raise ValueError("method is ols or theilsen")
     df = df.withColumn("_ok", F.coalesce(usable(x, y), F.lit(False)))
-    good = df.where("_ok")
     wants = {"_x9": (x, 0.9), "_x5": (x, 0.5), "_y9": (y, 0.9), "_y5": (y, 0.5)}
     needed = [n for n, given in (("_x9", s_x), ("_y9", s_y), ("_x5", x_ref)) if given is None]
     if s_x is None and "_x5" not in needed:
@@ -87,11 +86,16 @@ def rolling_line(
     if s_y is None:
         needed.append("_y5")
     scales = None
-    for col in (x, y):
-        probs = {n: wants[n][1] for n in needed if wants[n][0] == col}
-        if probs:
-            q = quantiles(good, table_keys, F.col(col), probs, bounded=line.width is None)
-            scales = q if scales is None else scales.join(q, list(table_keys))
+    if needed and line.width is None:
+        # small tables: scales ride along as whole-table windows, on the same exchange as the frames
+        table = Window.partitionBy(*table_keys)
+        df = df.withColumns({n: F.percentile(F.when(F.col("_ok"), F.col(wants[n][0])), F.lit(wants[n][1])).over(table) for n in needed})
+    else:
+        for col in (x, y):
+            probs = {n: wants[n][1] for n in needed if wants[n][0] == col}
+            if probs:
+                q = quantiles(df.where("_ok"), table_keys, F.col(col), probs)
+                scales = q if scales is None else scales.join(q, list(table_keys))
 
     def build(d: DataFrame, w) -> DataFrame:
         f = w.rowsBetween(-(rows - 1), 0)

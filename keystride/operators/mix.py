@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import Line, neighbour
@@ -27,28 +27,55 @@ def unit_grid(curves: DataFrame, case: Sequence[str]) -> DataFrame:
     return whole.withColumn("minute", F.col("minute").cast("double"))
 
 
+def _knots(curves: DataFrame, case: Sequence[str], width: float | None) -> DataFrame:
+    """Knots with their follower ``_t1``/``_v1``; equal knots (same minute) are reduced to one first."""
+    keys = [*case, "period", "series"]
+    knots = curves.groupBy(*keys, "minute").agg(F.max("value").alias("value"))
+    line = Line(tuple(keys), "minute", (), width)
+    return neighbour(knots, line, {"_t1": F.col("minute"), "_v1": F.col("value")}, following=True)
+
+
+def _own_minutes() -> Column:
+    """Grid minutes of a knot: from itself up to, not including, its follower."""
+    first = F.ceil("minute")
+    last = F.when(F.col("_t1").isNull(), F.floor("minute")).otherwise(F.ceil("_t1") - 1)
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _value_at(g: Column) -> Column:
+    t0, v0, t1, v1 = F.col("minute"), F.col("value"), F.col("_t1"), F.col("_v1")
+    return F.when((g == t0) | t1.isNull(), v0).otherwise(v0 + (v1 - v0) / (t1 - t0) * (g - t0))
+
+
 def interpolate(curves: DataFrame, case: Sequence[str], width: float | None = None) -> DataFrame:
     """Linear interpolation at whole minutes inside each series' range, long.
 
     A knot knows its follower, so the stretch between them yields its own grid minutes: no join of
-    grid and knots. Equal knots (same minute) are reduced to one first.
+    grid and knots.
     """
-    keys = [*case, "period", "series"]
-    knots = curves.groupBy(*keys, "minute").agg(F.max("value").alias("value"))
-    d = neighbour(knots, Line(tuple(keys), "minute", (), width), {"_t1": F.col("minute"), "_v1": F.col("value")}, following=True)
-    t0, v0, t1, v1 = F.col("minute"), F.col("value"), F.col("_t1"), F.col("_v1")
-    first = F.ceil(t0)
-    # the follower supplies its own minute; the last knot only itself
-    last = F.when(t1.isNull(), F.floor(t0)).otherwise(F.ceil(t1) - 1)
-    d = d.where(last >= first).withColumn("_g", F.explode(F.sequence(first, last)))
+    d = _knots(curves, case, width).withColumn("_g", F.explode(_own_minutes()))
     g = F.col("_g").cast("double")
-    v = F.when((g == t0) | t1.isNull(), v0).otherwise(v0 + (v1 - v0) / (t1 - t0) * (g - t0))
-    return d.select(*keys, g.alias("minute"), v.alias("value"))
+    return d.select(*case, "period", "series", g.alias("_m"), _value_at(g).alias("value")).withColumnRenamed("_m", "minute")
 
 
 def wide_grid(curves: DataFrame, case: Sequence[str], series: Sequence[str], width: float | None = None) -> DataFrame:
     """One row per grid minute with a column per series, null where a series has no value."""
-    rows = interpolate(curves, case, width).unionByName(unit_grid(curves, case), allowMissingColumns=True)
+    if width is not None:
+        rows = interpolate(curves, case, width).unionByName(unit_grid(curves, case), allowMissingColumns=True)
+    else:
+        # a small case stays in one task: its first knot also yields the empty grid, so the curves are read once
+        whole = Window.partitionBy(*case, "period")
+        d = _knots(curves.repartition(*case, "period"), case, None).withColumns(
+            {"_lo": F.floor(F.min("minute").over(whole)), "_hi": F.ceil(F.max("minute").over(whole)),
+             "_r": F.row_number().over(whole.orderBy("minute", "series"))}
+        )
+        mine = F.transform(_own_minutes(), lambda g: F.struct(g.alias("g"), F.lit(True).alias("own")))
+        grid = F.transform(F.sequence("_lo", "_hi"), lambda g: F.struct(g.alias("g"), F.lit(False).alias("own")))
+        d = d.withColumn("_x", F.explode(F.when(F.col("_r") == 1, F.concat(mine, grid)).otherwise(mine)))
+        g = F.col("_x.g").cast("double")
+        own = F.col("_x.own")
+        rows = d.select(*case, "period", F.when(own, F.col("series")).alias("series"), g.alias("_m"), F.when(own, _value_at(g)).alias("value"))
+        rows = rows.withColumnRenamed("_m", "minute")
     return rows.groupBy(*case, "period", "minute").agg(*[F.max(F.when(F.col("series") == s, F.col("value"))).alias(s) for s in series])
 
 

@@ -11,7 +11,8 @@ ordered operator of this package therefore goes through the three passes below,
   :func:`prefix`, are cut into position chunks and the few rows near a border are copied.
 * :func:`range_around` - RANGE frames. Rows near a slice border are copied into the next slice.
 
-Without ``width`` all three are a single window exchange on the keys.
+Without ``width`` all three are a single window exchange on the keys. :func:`settle` measures the
+largest group once and drops the slices when no group needs them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 100_000
+GROUP_ROWS = 2_000_000  # largest group left to one task; spark.keystride.groupRows overrides it
 _UNB = Window.unboundedPreceding
 
 
@@ -57,6 +59,19 @@ class Line:
         return F.floor(F.col(self.time) / F.lit(float(self.width))).cast("long")
 
 
+def settle(df: DataFrame, line: Line) -> Line:
+    """The line without slices if its largest group is small enough for one task, else unchanged.
+
+    One count over the key columns decides. Tables derived from ``df`` that keep or reduce its rows may
+    use the settled line too.
+    """
+    if line.width is None:
+        return line
+    limit = int(df.sparkSession.conf.get("spark.keystride.groupRows", str(GROUP_ROWS)))
+    largest = df.groupBy(*line.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return line.bounded() if largest <= limit else line
+
+
 def _total(kind: str, value: Column, order: Column) -> Column:
     if kind in ("last", "first"):
         known = F.when(value.isNotNull(), order)

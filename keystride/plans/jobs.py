@@ -34,8 +34,8 @@ def player_line(width: float | None = None) -> Line:
 def kinematic_panel(track: DataFrame, width: float | None = None, **kw) -> DataFrame:
     """Track with velocities, accelerations, jerks and step distances per half."""
     d = K.stride_kinematics(track, half_line(width), **kw)
-    d = K.step_distance(d, half_line(width))
-    return d if width is None else stage(d)
+    # every later job reads the panel several times
+    return stage(K.step_distance(d, half_line(width)))
 
 
 def player_minutes(panel: DataFrame, width: float | None = None) -> DataFrame:
@@ -76,8 +76,7 @@ def local_work_rate(panel: DataFrame, k: int = 2, width: float | None = None, bi
     clock = panel.select(*frame, "player_id", "periodGameClockTime", "video_time_s")
     near = near.join(clock, [*frame, "player_id"])
     minutes = N.nearest_minutes(near, N.fps_of(clock, player_line(width)), [*HALF], "periodGameClockTime", bin_s=bin_s)
-    if width is not None:
-        minutes = stage(minutes)
+    minutes = stage(minutes)
     line = Line(HALF, "t_centre_min", (), None if width is None else width / 60.0)
     minutes = minutes.withColumn("phase", S.match_phase(F.col("period"), F.col("t_centre_min")))
     return minutes, W.signed_lead(minutes, line, {"d_resid_tm": "teammates", "d_resid_op": "opponents"})

@@ -18,7 +18,9 @@ def build_session(app: str = "keystride", master: str | None = None, partitions:
         .config("spark.ui.enabled", "false")
     )
     if master:
+        # one machine, little data: keep all cores busy on small shuffles
         b = b.master(master).config("spark.driver.memory", "12g")
+        b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     spark = b.getOrCreate()
