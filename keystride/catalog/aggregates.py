@@ -6,7 +6,7 @@ from ..functions import scalar as S
 from ..operators import aggregates as A, fits, windows as W
 from .base import EV, ev, query, rounded, user
 from .events import PHASES, SEGMENTS, phases, segs
-from .possession import CARRY, GEO
+from .possession import CARRY
 from .scalar import POS_SQL, POSITIONS
 from .windows import CLS_SQL, CUST_LINE, ORD, REG_SQL, RELATIVE, cls, ord_line, order_gaps, reg_minutes, relative
 

@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
-from ..operators import aggregates as A, events as E
-from ..operators.ordered import Line
+from ..operators import events as E
 from .base import EV, ev, half_s, query, rounded
 from .windows import CLS_SQL, cls
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import kinematics as K
-from ..operators.ordered import neighbour, rows_around
+from ..operators.ordered import rows_around
 from .base import EV, ev, half_s, query, r6, rounded
 
 XY = EV + """, xy AS (SELECT *, value AS x, k::DOUBLE AS y FROM ev)"""

@@ -2,15 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import codes, scalar as S
-from ..operators import fits, possession as P
 from ..operators.ordered import Line, settle
 from ..plans import jobs
 from .base import EV, ev, half, query, rounded, user
-from .events import met, met_out
-from .joins import EM, NEAR_SQL, em
+from .joins import NEAR_SQL, em
 from .kinematics import kin_sql
-from .possession import DEAD, OTB, dead, otb, span_sql
+from .possession import dead, otb, span_sql
 from .scalar import POS_SQL, POSITIONS, phi_sql
 from .windows import grid_sql, lowess_sql
 

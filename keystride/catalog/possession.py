@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import possession as P
-from ..operators.ordered import Line
 from .base import EV, ev, query, rounded, user
 
 M = ["user_id"]

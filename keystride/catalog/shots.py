@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
 from ..operators import shots as X
 from .base import query, rounded, table
 

@@ -4,10 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
 from ..session import shared_folder
 from ..sources import curves as C, dims as D, match_events as ME, tracking as T
-from .base import EV, ev, query, r6, r8, rounded, table
+from .base import EV, ev, query, rounded, table
 from .joins import EM, em
 from .scalar import POS_SQL, POSITIONS
 

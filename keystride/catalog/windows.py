@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, scalar as S
 from ..operators import fits, windows as W
 from ..operators.ordered import Line, neighbour, settle
-from .base import EV, W_HALF, ev, half_s, query, r6, r8, rounded, table
+from .base import EV, W_HALF, ev, half, half_s, query, r6, r8, rounded, table
 from .scalar import TEAM_OF
 
 CLS_SQL = "CASE WHEN event_type IN ('view', 'click') THEN 'IN_POSSESSION' WHEN event_type = 'purchase' THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from .ordered import groups_fit
 from .quantiles import quantiles
 from .windows import METRICS
 
@@ -82,10 +83,11 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def radius_calibration(df: DataFrame, keys: Sequence[str], dist: str, *, q: float = RADIUS_Q, bounded: bool = False) -> DataFrame:
+def radius_calibration(df: DataFrame, keys: Sequence[str], dist: str, *, q: float = RADIUS_Q, bounded: bool | None = None) -> DataFrame:
     """Control radius from actor-ball distances: the core's quantile, clipped, with distance statistics."""
     df, keys, whole = _keyed(df, keys)
     d = df.where(F.col(dist).isNotNull()).withColumn("_core", F.when(F.col(dist) <= CORE_M, F.col(dist)))
+    bounded = groups_fit(d, keys) if bounded is None else bounded
     out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_measured"), F.count("_core").alias("n_core"), F.avg(dist).alias("mean"))
     stats = quantiles(d, keys, F.col(dist), {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "_all": q}, bounded=bounded)
     core = quantiles(d, keys, F.col("_core"), {"core_p95": 0.95, "_cq": q}, bounded=bounded)

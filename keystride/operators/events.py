@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -159,7 +159,7 @@ def label_segments(df: DataFrame, line: Line, label: str) -> DataFrame:
 def phase_durations(df: DataFrame, line: Line, label: str) -> DataFrame:
     """Segment lengths plus one median sample step, so they match the frames they cover."""
     d = _cut(neighbour(df, line, {"_t": F.col(line.time)}), line)
-    step = quantiles(d, list(line.keys), F.col(line.time) - F.col("_t"), {"_dt": 0.5}, bounded=line.width is None)
+    step = quantiles(d, list(line.keys), F.col(line.time) - F.col("_t"), {"_dt": 0.5}, bounded=line.width is None or None)
     segs = label_segments(d.drop("_t"), line, label).join(step, list(line.keys), "left")
     dt = F.when(F.col("_dt") > 0, F.col("_dt")).otherwise(DEFAULT_STEP_S)
     length = F.greatest(F.col("t1") - F.col("t0") + dt, dt)

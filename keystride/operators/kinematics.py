@@ -167,7 +167,7 @@ def sample_interval(df: DataFrame, line: Line) -> DataFrame:
     d = neighbour(d, line, {"_t0": F.col(line.time)}).withColumn("_dt", F.col(line.time) - F.col("_t0"))
     keys = list(line.keys)
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    med = quantiles(d.where(F.col("_dt") > 0), keys, F.col("_dt"), {"_med": 0.5}, bounded=line.width is None)
+    med = quantiles(d.where(F.col("_dt") > 0), keys, F.col("_dt"), {"_med": 0.5}, bounded=line.width is None or None)
     m = F.col("_med")
     return sizes.join(med, keys, "left").select(
         *keys,

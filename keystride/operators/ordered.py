@@ -17,7 +17,7 @@ largest group once and drops the slices when no group needs them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -59,17 +59,19 @@ class Line:
         return F.floor(F.col(self.time) / F.lit(float(self.width))).cast("long")
 
 
+def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the largest group is small enough for one task: one count over the key columns."""
+    limit = int(df.sparkSession.conf.get("spark.keystride.groupRows", str(GROUP_ROWS)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
+
+
 def settle(df: DataFrame, line: Line) -> Line:
-    """The line without slices if its largest group is small enough for one task, else unchanged.
+    """The line without slices if every group fits one task, else unchanged.
 
-    One count over the key columns decides. Tables derived from ``df`` that keep or reduce its rows may
-    use the settled line too.
+    Tables derived from ``df`` that keep or reduce its rows may use the settled line too.
     """
-    if line.width is None:
-        return line
-    limit = int(df.sparkSession.conf.get("spark.keystride.groupRows", str(GROUP_ROWS)))
-    largest = df.groupBy(*line.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return line.bounded() if largest <= limit else line
+    return line if line.width is None or not groups_fit(df, line.keys) else line.bounded()
 
 
 def _total(kind: str, value: Column, order: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import groups_fit
+
 STEPS = 1024  # value buckets per factor e
 
 
@@ -21,15 +23,17 @@ def quantiles(
     value: Column,
     probs: Mapping[str, float],
     *,
-    bounded: bool = False,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """One row per group with the linearly interpolated quantile of the non-null values.
 
-    ``bounded=True`` uses the built-in ``percentile``, whose state is the group's distinct values.
-    Otherwise the work is a distributed selection: equal values are counted map-side, a histogram
+    ``bounded=True`` uses the built-in ``percentile``, whose state is the group's distinct values; left
+    out, the group sizes are counted to decide. For larger groups the work is a distributed selection: equal values are counted map-side, a histogram
     over value buckets tells which bucket holds each wanted rank, and only those buckets are sorted.
     """
     keys = list(keys)
+    if bounded is None:
+        bounded = groups_fit(df, keys)
     if bounded:
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
 
@@ -80,9 +84,14 @@ def quantiles(
     )
 
 
-def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str, *, bounded: bool = False) -> DataFrame:
     """Add ``100 * share of the group's non-null values <= this value``, for groups of any size."""
     keys = list(keys)
+    if bounded:
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        pct = F.lit(100.0) * F.count(value).over(upto) / F.count(value).over(group)
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), pct))
     d = df.withColumn("__b", value_bucket(F.col(value)))
     w = Window.partitionBy(*keys)
     hist = d.where(F.col(value).isNotNull()).groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__nb"))

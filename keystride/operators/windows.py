@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..session import stage
 from .bands import band_join
 from .kinematics import sample_interval
-from .ordered import Line, prefix, range_around, rows_around
+from .ordered import Line, groups_fit, prefix, range_around, rows_around
 from .quantiles import quantiles, share_at_or_below
 
 # Fixed values
@@ -156,14 +157,16 @@ def peer_percentiles(
     means["total_distance"] = F.coalesce(F.sum("step_dist"), F.lit(0.0))
     d = sliding(df, match, time, win, step).groupBy(*match, "t0", player, team)
     d = d.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in means.items()]).where(F.col("_n") >= min_frames)
+    d = stage(d)  # small against the rows, and read by both rankings and both sizes
     everyone = [*match, "t0"]
+    fit = groups_fit(d, everyone)
     sizes_all = d.groupBy(*everyone).agg(F.count(F.lit(1)).alias("n_all"))
     sizes_team = d.groupBy(*everyone, team).agg(F.count(F.lit(1)).alias("n_team"))
     # long form: two ranking passes serve all four metrics
     ident = [*everyone, player, team]
     long = d.unpivot(ident, list(means), "metric", "_v")
-    long = share_at_or_below(long, [*everyone, "metric", team], "_v", "team_pct")
-    long = share_at_or_below(long, [*everyone, "metric"], "_v", "all_pct")
+    long = share_at_or_below(long, [*everyone, "metric"], "_v", "all_pct", bounded=fit)
+    long = share_at_or_below(long, [*everyone, "metric", team], "_v", "team_pct", bounded=fit)
     out = long.groupBy(*ident).agg(
         *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in means for p in ("team_pct", "all_pct")]
     )

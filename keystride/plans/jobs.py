@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import aggregates as A, events as E, fits, joins as J, kinematics as K, mix as M, nearest as N, possession as P, shots as X, windows as W
+from ..operators import aggregates as A, events as E, fits, kinematics as K, mix as M, nearest as N, possession as P, shots as X, windows as W
 from ..operators.ordered import Line
 from ..session import stage
 from ..sources import match_events

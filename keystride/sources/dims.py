@@ -7,7 +7,6 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
 from . import schemas
 from .tracking import match_id_of
 
