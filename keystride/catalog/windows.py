@@ -48,15 +48,15 @@ def _(spark, d):
 
 
 @query("w04_majority_label", f"""
-WITH {EV}, c AS (SELECT event_id AS cid, user_id, period, clock AS tc FROM ev WHERE event_type = 'purchase'),
- n AS (SELECT c.cid, c.user_id, c.period, count(*) FILTER (WHERE cls = 'IN_POSSESSION') AS a, count(*) FILTER (WHERE cls = 'OUT_OF_POSSESSION') AS b, count(*) FILTER (WHERE cls = 'DEAD_OR_UNRESOLVED') AS z
-   FROM c LEFT JOIN (SELECT *, {CLS_SQL} AS cls FROM ev WHERE event_type <> 'purchase' OR k % 2 = 0) e ON c.user_id = e.user_id AND c.period = e.period AND e.clock >= c.tc - 2.0 AND e.clock < c.tc + 2.0 GROUP BY ALL)
-SELECT cid, user_id, period, CASE WHEN a > 0 AND a >= b AND a >= z THEN 'IN_POSSESSION' WHEN b > 0 AND b >= a AND b >= z THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END AS poss_class FROM n""")
+WITH {EV}, c AS (SELECT DISTINCT user_id, period, floor(clock) + 0.5::DOUBLE AS tc FROM ev),
+ n AS (SELECT c.user_id, c.period, c.tc, count(*) FILTER (WHERE cls = 'IN_POSSESSION') AS a, count(*) FILTER (WHERE cls = 'OUT_OF_POSSESSION') AS b, count(*) FILTER (WHERE cls = 'DEAD_OR_UNRESOLVED') AS z
+   FROM c LEFT JOIN (SELECT *, {CLS_SQL} AS cls FROM ev WHERE k % 3 <> 0) e ON c.user_id = e.user_id AND c.period = e.period AND e.clock >= c.tc - 2.0 AND e.clock < c.tc + 2.0 GROUP BY ALL)
+SELECT user_id, period, tc, CASE WHEN a > 0 AND a >= b AND a >= z THEN 'IN_POSSESSION' WHEN b > 0 AND b >= a AND b >= z THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END AS poss_class FROM n""")
 def _(spark, d):
     e = ev(spark, d).withColumn("cls", cls())
-    centres = e.where(F.col("event_type") == "purchase").select(F.col("event_id").alias("cid"), *KEYS, F.col("clock").alias("tc"))
-    points = e.where((F.col("event_type") != "purchase") | (F.col("k") % 2 == 0))
-    return W.majority_label(centres, points, KEYS, "tc", "clock", "cls", 4.0).drop("tc")
+    # window centres are whole half-minutes, so a row meets a fixed number of them
+    centres = e.select(*KEYS, (F.floor("clock") + 0.5).alias("tc")).distinct()
+    return W.majority_label(centres, e.where(F.col("k") % 3 != 0), KEYS, "tc", "clock", "cls", 4.0)
 
 
 PROP = f"""cl AS (SELECT *, {CLS_SQL} AS cls FROM ev)"""
@@ -385,17 +385,16 @@ def _(spark, d):
     return rounded(rounded(out, "residual", "z", "sum_z", "roll10_z", digits=5), "phi_5a", "phi_roll10")
 
 
-KERNEL = """pt AS (SELECT event_id, user_id, period, clock FROM ev WHERE event_type = 'view'), sh AS (SELECT user_id, period, clock AS ct, k / 100.0 AS xg FROM ev WHERE event_type = 'purchase'),
- km AS (SELECT pt.event_id, coalesce(sum(exp(-0.5 * power((clock - ct) / 1.25, 2))), 0) AS sg, sum(exp(-0.5 * power((clock - ct) / 1.25, 2)) * xg) AS sq FROM pt LEFT JOIN sh ON pt.user_id = sh.user_id AND pt.period = sh.period AND abs(clock - ct) <= 2.5 GROUP BY ALL)"""
+KERNEL = """pt AS (SELECT DISTINCT user_id, period, floor(clock) + 0.5::DOUBLE AS t FROM ev), sh AS (SELECT user_id, period, clock AS ct, k / 100.0 AS xg FROM ev WHERE event_type = 'purchase'),
+ km AS (SELECT pt.user_id, pt.period, pt.t, coalesce(sum(exp(-0.5 * power((t - ct) / 1.25, 2))), 0) AS sg, sum(exp(-0.5 * power((t - ct) / 1.25, 2)) * xg) AS sq FROM pt LEFT JOIN sh ON pt.user_id = sh.user_id AND pt.period = sh.period AND abs(t - ct) <= 2.5 GROUP BY ALL)"""
 
 
-@query("w24_kernel_modifier", f"WITH {EV}, {KERNEL} SELECT event_id, round(0.15 * least(sg, 1), 7) AS w, round(sq / nullif(sg, 0), 7) AS Q FROM km")
+@query("w24_kernel_modifier", f"WITH {EV}, {KERNEL} SELECT user_id, period, t, round(0.15 * least(sg, 1), 7) AS w, round(sq / nullif(sg, 0), 7) AS Q FROM km")
 def _(spark, d):
     e = ev(spark, d)
-    points = e.where(F.col("event_type") == "view").select("event_id", *KEYS, "clock")
+    points = e.select(*KEYS, (F.floor("clock") + 0.5).alias("t")).distinct()
     marks = e.where(F.col("event_type") == "purchase").withColumn("xg", F.col("k") / 100.0)
-    out = W.kernel_modifier(points, marks, KEYS, "clock", "clock", "xg")
-    return rounded(out.select("event_id", "w", "Q"), "w", "Q", digits=7)
+    return rounded(W.kernel_modifier(points, marks, KEYS, "t", "clock", "xg"), "w", "Q", digits=7)
 
 
 @query("w25_synergy_windows", f"""
