@@ -21,10 +21,10 @@ CODE_SQL = POS_SQL.replace("k % 12", "player % 12")
 WITH {REG_SQL}, c AS (SELECT *, {CODE_SQL} AS code FROM minutes WHERE value IS NOT NULL),
  b AS (SELECT 'detailed' AS level, code AS "group", minute, metric, value FROM c UNION ALL SELECT 'coarse', CASE WHEN code IN ('LB','LCB','RCB','RB') THEN 'Defender' WHEN code IN ('DM','CM','AM') THEN 'Midfielder' ELSE 'Attacker' END, minute, metric, value FROM c WHERE code NOT IN ('GK', 'XX')),
  gg AS (SELECT level, "group", m.i::INT AS minute, t.metric FROM (SELECT DISTINCT level, "group" FROM b), generate_series(1, 90) m(i), (VALUES ('speed'), ('acceleration'), ('distance'), ('jerk')) t(metric))
-SELECT gg.level, gg."group", gg.minute, gg.metric, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS sd FROM gg LEFT JOIN b ON gg.level = b.level AND gg."group" = b."group" AND gg.minute = b.minute AND gg.metric = b.metric GROUP BY ALL""")
+SELECT gg.level, gg."group", gg.minute, gg.metric, count(value) AS n, round(avg(value), 8) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 6) AS sd FROM gg LEFT JOIN b ON gg.level = b.level AND gg."group" = b."group" AND gg.minute = b.minute AND gg.metric = b.metric GROUP BY ALL""")
 def _(spark, d):
     m = reg_minutes(spark, d).withColumn("code", code_of())
-    return rounded(A.reference_profiles(m, "code"), "mean", "sd")
+    return rounded(rounded(A.reference_profiles(m, "code"), "mean", digits=8), "sd")
 
 
 @query("a02_roster_inventory", f"""

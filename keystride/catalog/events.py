@@ -68,7 +68,7 @@ def _(spark, d):
 
 @query("e03_threshold_events", f"""
 WITH {SRC}, a AS (SELECT *, coalesce(vn > 40, false) AS up FROM src), b AS (SELECT *, row_number() OVER {LINE} - row_number() OVER (PARTITION BY user_id, period, up ORDER BY clock_s, event_id) AS g FROM a)
-SELECT user_id, period, 40.0 AS t_low, 40.0 AS t_high, {met('vn')} FROM b WHERE up GROUP BY user_id, period, g HAVING count(vn) >= 3""")
+SELECT user_id, period, 40.0::DOUBLE AS t_low, 40.0::DOUBLE AS t_high, {met('vn')} FROM b WHERE up GROUP BY user_id, period, g HAVING count(vn) >= 3""")
 def _(spark, d):
     return met_out(E.threshold_events(src(spark, d), half_s(spark, d), "vn", 40.0, **COLS))
 

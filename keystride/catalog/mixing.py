@@ -41,7 +41,7 @@ def curves(spark, d):
     return daily.unionByName(e)
 
 
-CURVES = """dly AS (SELECT n_regionkey AS region, year(o_orderdate) AS period, dayofyear(o_orderdate) / 7.0::DOUBLE AS minute, count(*) AS n, sum(o_totalprice) AS rev FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+CURVES = """dly AS (SELECT n_regionkey AS region, year(o_orderdate)::INT AS period, dayofyear(o_orderdate) / 7.0::DOUBLE AS minute, count(*) AS n, sum(o_totalprice) AS rev FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
  cv AS (SELECT region, period, minute, 'orders_n' AS series, least(n / 40.0::DOUBLE, 1) AS value FROM dly UNION ALL SELECT region, period, minute, 'revenue', greatest(0, least(1, (rev / 97003 - 20 + 40) / 80)) FROM dly
   UNION ALL SELECT (user_id % 5)::INT, (1995 + user_id % 9)::INT, (dayofyear(ts) - 1) * 12 / 7.0::DOUBLE + hour(ts) / 24.0::DOUBLE AS minute, 'event_value', avg(value) / 500 FROM events GROUP BY ALL),
  gr AS (SELECT region, period, generate_series AS minute FROM (SELECT region, period, floor(min(minute))::INT AS lo, ceil(max(minute))::INT AS hi FROM cv GROUP BY ALL), generate_series(lo, hi)),

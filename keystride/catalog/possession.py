@@ -23,7 +23,7 @@ def raw(spark, d):
 WITH {RAW}, ty AS (SELECT user_id, gid, string_agg(ty, ',' ORDER BY o) AS poss_types FROM (SELECT user_id, gid, ty, min(event_id) AS o FROM raw WHERE ty IS NOT NULL GROUP BY ALL) GROUP BY ALL),
  g AS (SELECT user_id, gid, min(st) AS t0, max(en) AS t1, coalesce(max(du), max(en) - min(st)) AS duration, arg_min(pl, event_id) AS player_id, arg_min(tm, event_id) AS team_id, arg_min(sq, event_id) AS sequence, arg_min(period, event_id) AS period, count(*) AS n_rows FROM raw GROUP BY ALL),
  h AS (SELECT *, duration <= 0 OR t1 - t0 <= 0 AS is_instant FROM g)
-SELECT h.user_id, h.gid, round(t0, 4) AS t0, round(CASE WHEN is_instant THEN t0 + 1 / 29.97 ELSE t1 END, 4) AS t1, round(duration, 4) AS duration, player_id, team_id, sequence, period, n_rows, is_instant, coalesce(poss_types, '') AS poss_types
+SELECT h.user_id, h.gid, round(t0, 4) AS t0, round(CASE WHEN is_instant THEN t0 + 1 / 29.97 ELSE t1 END, 4) AS t1, round(duration, 4) AS duration, player_id, team_id, sequence::BIGINT AS sequence, period, n_rows, is_instant, coalesce(poss_types, '') AS poss_types
 FROM h LEFT JOIN ty ON h.user_id = ty.user_id AND h.gid = ty.gid""")
 def _(spark, d):
     return rounded(P.on_ball_intervals(raw(spark, d), M, "gid", "event_id"), "t0", "t1", "duration", digits=4)

@@ -10,7 +10,8 @@ from keystride.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("keystride-tests", "local[8]", 4)
+    s = build_session("keystride-tests", "local[8]", 2)
+    s.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny inputs: compiling costs more than running
     yield s
     s.stop()
 

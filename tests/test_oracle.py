@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
@@ -28,7 +29,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     if hasattr(v, "item"):
         v = v.item()
