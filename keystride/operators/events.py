@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -80,15 +80,21 @@ def hysteresis_rows(df: DataFrame, line: Line, v: str, low: str = "t_low", high:
     group = line.by("_event")
     d = prefix(d, group, {"_open": ("count", F.when(F.col("_rise"), 1))}).where(F.col("_open") > 0)
     d = _cut(d, line)
-    first = neighbour(d, group, {"_p": F.struct(x.alias("x"))})
-    order = F.struct(*line.order)
-    good = first.groupBy(*line.keys, "_event").agg(
-        F.max(F.when(F.col("_p").isNotNull(), x)).alias("_top"),
-        F.max_by(x, order).alias("_last"),
+    d = neighbour(d, group, {"_p": F.struct(x.alias("x"))})
+    later = F.when(F.col("_p").isNotNull(), x)
+    if line.width is None:
+        # the groups are already together, so their totals are windows on the same exchange
+        whole = Window.partitionBy(*line.keys, "_event")
+        ends = whole.orderBy(*line.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        d = d.withColumns({"_top": F.max(later).over(whole), "_last": F.last(x).over(ends), "_n": F.count(x).over(whole)})
+        keep = (F.col("_top") >= F.col(high)) & (F.col("_last") >= lo) & (F.col("_n") >= MIN_SAMPLES)
+        return d.where(keep).drop("_rise", "_fall", "_open", "_p", "_top", "_last", "_n")
+    good = d.groupBy(*line.keys, "_event").agg(
+        F.max(later).alias("_top"), F.max_by(x, F.struct(*line.order)).alias("_last"),
         F.max(high).alias("_hi"), F.max(low).alias("_lo"), F.count(x).alias("_n"),
     )
     good = good.where((F.col("_top") >= F.col("_hi")) & (F.col("_last") >= F.col("_lo")) & (F.col("_n") >= MIN_SAMPLES))
-    return d.join(good.select(*line.keys, "_event"), [*line.keys, "_event"]).drop("_rise", "_fall", "_open")
+    return d.join(good.select(*line.keys, "_event"), [*line.keys, "_event"]).drop("_rise", "_fall", "_open", "_p")
 
 
 def hysteresis_events(df: DataFrame, line: Line, v: str, **cols) -> DataFrame:
