@@ -198,11 +198,11 @@ def _(spark, d):
 
 
 @query("s11_vendor_speed", f"""
-WITH {EM} SELECT (frame % 3)::VARCHAR AS match_id, frame AS frame_num, team * 100 + vec_id % 20 AS player_id, round(y, 5) AS y, round(speed, 5) AS speed_pff FROM em WHERE vec_id % 20 <> 7 AND vec_id % 29 <> 0""")
+WITH {EM} SELECT (frame % 3)::VARCHAR AS match_id, frame AS frame_num, team * 100 + vec_id % 20 AS player_id, round(y, 5) AS y, round(speed, 5) AS speed_vendor FROM em WHERE vec_id % 20 <> 7 AND vec_id % 29 <> 0""")
 def _(spark, d):
     f, s = frames(spark, d), squad(spark, d)
     out = T.attach_vendor_speed(T.explode_players(f, s), T.vendor_speed(f, s))
-    return rounded(out.select("match_id", F.col("frameNum").alias("frame_num"), "player_id", "y", "speed_pff"), "y", "speed_pff", digits=5)
+    return rounded(out.select("match_id", F.col("frameNum").alias("frame_num"), "player_id", "y", "speed_vendor"), "y", "speed_vendor", digits=5)
 
 
 def curve_rows(spark, d, file):

@@ -67,7 +67,7 @@ def vendor_speed(frames: DataFrame, roster: DataFrame) -> DataFrame:
     both = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}Players").alias("players")) for s in ("home", "away")])
     d = frames.select("match_id", "frameNum", "period", F.inline(both))
     d = d.select("match_id", "frameNum", "period", "side", F.explode("players").alias("p"))
-    d = d.select("match_id", "frameNum", "period", "side", F.col("p.jerseyNum").alias("shirt"), S.num(F.col("p.speed")).alias("speed_pff"))
+    d = d.select("match_id", "frameNum", "period", "side", F.col("p.jerseyNum").alias("shirt"), S.num(F.col("p.speed")).alias("speed_vendor"))
     return d.join(roster.select("match_id", "side", "shirt", "player_id"), ["match_id", "side", "shirt"]).drop("side", "shirt")
 
 

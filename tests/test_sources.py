@@ -71,7 +71,7 @@ def test_player_rows(spark, root, squad):
     got = sorted((r.frameNum, r.player_id, r.side, r.x, r.ball_x) for r in rows)
     assert got == [(1, 70, "home", 1.0, 2.0), (1, 80, "away", 5.0, 2.0), (2, 80, "away", 5.0, 4.0)]
     v = T.vendor_speed(T.read_tracking(spark, f"{root}/tracking").where("match_id = '100' AND frameNum = 1"), squad)
-    assert {r.player_id: r.speed_pff for r in v.collect()} == {70: 3.5, 80: None}
+    assert {r.player_id: r.speed_vendor for r in v.collect()} == {70: 3.5, 80: None}
 
 
 def test_event_index_and_geometry(spark, root, squad):
