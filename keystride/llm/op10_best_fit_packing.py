@@ -9,8 +9,8 @@ their length by a range shuffle with carried counts and look their place up.
 Bounds: each length splits at most one run and opens at most two, so there are at most 3 * capacity runs, whatever
 the number of documents; a run of bins takes a new row only when all its bins take one more piece.
 
-Tokenising: the tokenizer never joins across ASCII white space, so each task encodes its distinct white-space separated
-chunks once (`CACHE` at most, then afresh) and gathers ids from there; texts are whole.
+Tokenising: the tokenizer never joins across ASCII white space, so each worker encodes its distinct white-space separated
+chunks once (it forgets them beyond `CACHE`) and gathers ids from there; texts are whole.
 
 Nulls and empty texts have the closing id alone. A null doc_id is kept; repeated rows are documents of their own. An
 empty table gives no rows. Extra columns are ignored.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, tiles, width
 
-CAPACITY, END, CACHE = 4096, 1, 400_000
+CAPACITY, END, CACHE = 4096, 1, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,21 +46,22 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = _Codes()
+        self.codes = _Codes()
         self.flat, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (and the last ends)."""
         if len(self.codes) > CACHE:
             self.clear()
-        known = len(self.codes)
         split = [t.split() for t in texts]
         counts = [len(s) for s in split]
         codes = np.fromiter((c for s in split for c in map(self.codes.__getitem__, s)), np.int64, sum(counts))
-        if new := list(self.codes)[known:]:
-            got = [e.ids for e in self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, *(np.array(g, np.uint32) for g in got)])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(g) for g in got])])
+        if new := self.codes.new:
+            got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            size = np.cumsum([len(g) for g in got])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size[-1]))])
+            self.off = np.concatenate([self.off, self.off[-1] + size])
+            new.clear()
         size = self.off[codes + 1] - self.off[codes]
         ends = np.concatenate(([0], np.cumsum(size)))
         at = np.repeat(self.off[codes] - ends[:-1], size) + np.arange(ends[-1])
@@ -67,16 +69,24 @@ class Encoder:
 
 
 class _Codes(dict):
+    def __init__(self):
+        self.new: list[bytes] = []
+
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
+#: One per tokenizer file and Python worker; a worker serves many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row per piece of at most `capacity` ids: `doc_id, piece, start, length, ids_crc32`."""
 
     def cut(batches):
-        enc = Encoder(path)
+        enc = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         for b in batches:
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             docids = b.column("doc_id").to_pylist()
