@@ -87,7 +87,8 @@ def survivors(docs: DataFrame, k: int = 5) -> DataFrame:
             sets.append(s.tobytes() if len(s) and 4 * hits >= len(s) else None)
         return pa.table({"doc_id": texts.column("doc_id"), "n": pa.array(n, pa.int64()), "hashes": pa.array(sets, pa.binary())})
 
-    sent = b.select("block", "text").groupBy("block").applyInArrow(send, "part int, block int, hashes binary")
+    # the same columns on both sides: one shuffle of the texts serves both passes
+    sent = b.groupBy("block").applyInArrow(send, "part int, block int, hashes binary")
     seen = sent.groupBy("part").applyInArrow(shared, "block int, hashes binary").where(F.length("hashes") > 0)
     return b.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(judge, "doc_id long, n long, hashes binary")
 
