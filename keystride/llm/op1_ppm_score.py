@@ -3,8 +3,9 @@
 The trie holds every context of up to `ORDER` bytes with the bytes that followed it in the training documents. A byte is
 coded at the longest known context; a byte not seen there escapes (method C: one count per distinct successor) to the
 context one byte shorter, whose counts exclude what the longer one would have coded, and at last to the bytes seen
-nowhere. Documents begin in a row of 0xFE and end with 0xFF, bytes that UTF-8 never has, so the probabilities are of
-whole texts. The model is fixed once counted: a document's code length depends on nothing but its own bytes.
+nowhere. The text coded is the one the base score knows: lower-cased (A-Z) words with one space between them. Documents
+begin in a row of 0xFE and end with 0xFF, bytes that UTF-8 never has, so the probabilities are of whole texts. The model
+is fixed once counted: a document's code length depends on nothing but its own bytes.
 
 As tables: one row per distinct string of ORDER + 1 bytes; each order is an aggregate of the next, and escapes and
 exclusions are sums per context joined down from the shorter order. Nothing is broadcast or gathered: texts are dealt
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, buffers, mix64, staged, table, tiles, width, word_hashes, word_spans
+from .common import LOWER, SPACE, blocked, buffers, mix64, staged, table, tiles, width, word_hashes, word_spans
 
-ORDER, PAD, STOP = 4, 0xFE, 0xFF
+ORDER, PAD, STOP = 5, 0xFE, 0xFF
 _END = np.int64(-1)  # the end token's key; hashes have 63 bits
 _FRAG = "kind int, part int, block int, keys binary, n binary"
 
@@ -57,6 +58,16 @@ def strings(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, n
     return g[is_text[order:]], off[:-1] + np.arange(docs)
 
 
+def normal(buf: np.ndarray, off: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased words with one space between them, and the documents' new offsets."""
+    last = np.zeros(len(ends), bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    keep, text = ~SPACE[buf], LOWER[buf]
+    keep[ends[~last]] = True
+    text[ends[~last]] = 32
+    return text[keep], np.concatenate(([0], np.cumsum(keep)))[off]
+
+
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes, uniq = pd.factorize(keys)
     return uniq, np.bincount(codes[train], minlength=len(uniq))
@@ -87,7 +98,7 @@ class Block:
         b, o = self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
         starts, ends, first = word_spans(b, o)
         words = (word_hashes(b, starts, ends) >> np.uint64(1)).astype(np.int64)
-        return words, np.repeat(np.arange(j - i), np.diff(first)), *strings(b, o, self.order)
+        return words, np.repeat(np.arange(j - i), np.diff(first)), *strings(*normal(b, o, ends, first), self.order)
 
     def parts(self, kind: int, n: int) -> list[np.ndarray]:
         """Positions of the keys of each part."""
