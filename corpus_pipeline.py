@@ -1,19 +1,41 @@
-"""A training corpus in stages: language, near duplicates, benchmark passages, personal data, packing."""
+"""A training corpus in stages: language, near duplicates, benchmark passages, personal data, packing.
+
+Every stage works on all documents its predecessor kept. Language: documents without any letter (or text) go; `lang` of the
+rest is what the mixture model predicts. Near duplicates: of each linked group the document with the smallest doc_id stays,
+once; rows without an id stay once per text. Benchmark passages: documents that hold one go. Personal data: every span is
+replaced by its mark, `n_chars` follows. Packing: the pieces and their places.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystride.llm import common, op9_prefix_tree_join, op10_best_fit_packing
+from keystride.llm import common, op6_language_mixture, op7_qgram_decontamination, op8_disclosure, op9_prefix_tree_join, op10_best_fit_packing
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, `lang` being the predicted one."""
+    named = op6_language_mixture.identify(docs).where("lang_pred <> 'und'")
+    return named.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group stays: the one with the smallest doc_id, once."""
+    """One document of each linked group: the one with the smallest doc_id, once."""
     groups = op9_prefix_tree_join.jaccard_components(docs)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    first = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.select(docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return op7_qgram_decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and terms that disclose it replaced by marks."""
+    return op8_disclosure.sanitised(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_best_fit_packing.pack(docs, op10_best_fit_packing.tokenizer_path())
 
 
-STAGES = [("near_duplicates", near_duplicates), ("packing", packing)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
 ORACLE_SQL = None
 
 

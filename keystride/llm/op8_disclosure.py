@@ -133,7 +133,8 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD, min_texts: int = TEXTS)
 
     def lengths(k):
         """The length before each match and of it, in turn."""
-        return F.flatten(F.transform(f"found_{k}", lambda m, i: F.array(F.length(F.get(F.col(f"parts_{k}"), i)).cast("long"), F.length(m).cast("long"))))
+        both = F.zip_with(F.transform(f"parts_{k}", F.length), F.transform(f"found_{k}", F.length), lambda gap, own: F.array(gap.cast("long"), own.cast("long")))
+        return F.flatten(F.slice(both, 1, F.size(f"found_{k}")))
 
     d = d.withColumn("_sum", F.transform(F.concat(*[lengths(k) for k in names]), lambda x: x.cast("long")))    # sums of whole runs of `RUN` lengths, then within the run: no array is copied element by element
     upto = lambda n: F.sequence(F.lit(0), n)
@@ -144,7 +145,7 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD, min_texts: int = TEXTS)
     before = F.aggregate("_run", F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
     d = d.withColumn("_before", F.when(F.size("_run") > 0, before))
     inside = lambda i: total(F.slice("_len", i - i % RUN + 1, i % RUN + 1))
-    d = d.withColumn("_sum", F.when(F.size("_len") > 0, F.transform("_len", lambda _, i: F.get(F.col("_before"), F.floor(i / RUN).cast("int")) + inside(i))).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("_sum", F.when((F.size("_len") > 0) & (F.size("_before") > 0), F.transform("_len", lambda _, i: F.get(F.col("_before"), F.floor(i / RUN).cast("int")) + inside(i))).otherwise(F.array().cast("array<bigint>")))
 
     def placed(k: str, first: Column) -> Column:
         def span(m, i):

@@ -1,9 +1,18 @@
 """The registered queries of this package, and SQL where it can say the same."""
 
-from . import op9_prefix_tree_join, op10_best_fit_packing
+from . import (
+    op1_ppm_score,
+    op2_block_topk,
+    op3_url_filter,
+    op4_warc_index,
+    op5_license_scan,
+    op6_language_mixture,
+    op7_qgram_decontamination,
+    op8_disclosure,
+    op9_prefix_tree_join,
+    op10_best_fit_packing,
+)
 
-QUERIES = {
-    "op9_prefix_tree_join": op9_prefix_tree_join.query,
-    "op10_best_fit_packing": op10_best_fit_packing.query,
-}
-SQL: dict[str, str] = {}
+_ALL = [op1_ppm_score, op2_block_topk, op3_url_filter, op4_warc_index, op5_license_scan, op6_language_mixture, op7_qgram_decontamination, op8_disclosure, op9_prefix_tree_join, op10_best_fit_packing]
+QUERIES = {m.__name__.rsplit(".", 1)[-1]: m.query for m in _ALL}
+SQL: dict[str, str] = {m.__name__.rsplit(".", 1)[-1]: m.SQL for m in _ALL if hasattr(m, "SQL")}
