@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, blocked, buffers, mix64, staged, table, tiles, width, word_hashes, word_spans
@@ -140,27 +140,25 @@ def _same(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 
 def code_lengths(grams: DataFrame, order: int) -> DataFrame:
-    """`part, gram, log10 probability` of each string's last byte after the bytes before it, from `part, gram, n`."""
+    """`gram, log`: log10 probability of each string's last byte after the bytes before it, from `gram, n`."""
     levels = [grams.select(F.col("gram").alias("key"), "n")]
     for k in range(order - 1, -1, -1):
-        levels.append(levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")))
+        levels.append(staged(levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))))
     levels.reverse()
-    root = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.count_if(F.col("n") > 0).alias("q"))
-    t, q = root.first()  # of at most 256 bytes
+    t, q = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()  # of at most 256 bytes
     # g: probability of the byte below this context, once this context has been escaped from
     row = levels[0].select("key", "n", F.lit(t).cast("long").alias("t"), F.lit(q).cast("long").alias("q"), F.lit(1.0 / max(1, 256 - q)).alias("g"))
     for k in range(1, order + 1):
         up = row.select(F.col("key").alias("up"), F.col("n").alias("n0"), F.col("t").alias("t0"), F.col("q").alias("q0"), F.col("g").alias("g0"))
-        own = levels[k].withColumns({"up": F.col("key").bitwiseAND((1 << 8 * k) - 1), "ctx": F.shiftright("key", 8)}).join(up, "up")
-        ctx = own.groupBy("ctx").agg(F.sum("n").alias("t"), F.count_if(F.col("n") > 0).alias("q"), F.sum(F.when(F.col("n") > 0, F.col("n0")).otherwise(0)).alias("m"))
+        own = levels[k].withColumns({"up": F.col("key").bitwiseAND((1 << 8 * k) - 1), "ctx": F.shiftright("key", 8)}).join(up, "up").drop("up")
+        ctx, seen = Window.partitionBy("ctx"), F.col("n") > 0  # 256 rows at most: one for each byte
+        own = own.withColumns({"t": F.sum("n").over(ctx), "q": F.count_if(seen).over(ctx), "m": F.sum(F.when(seen, F.col("n0")).otherwise(0)).over(ctx)})
         left, kinds = F.col("t0") - F.col("m"), F.col("q0") - F.col("q")
         g = F.when(left + kinds <= 0, F.col("g0")).when(F.col("n0") > 0, F.col("n0") / F.nullif(left + kinds, F.lit(0))).otherwise(kinds / F.nullif(left + kinds, F.lit(0)) * F.col("g0"))
-        row = own.join(ctx, "ctx").select("key", "n", "t", "q", g.alias("g"))
-        if k == order // 2:
-            row = staged(row)
+        row = staged(own.select("key", "n", "t", "q", g.alias("g")))
     all_ = F.nullif(F.col("t") + F.col("q"), F.lit(0))
     p = F.when(F.col("t") + F.col("q") <= 0, F.col("g")).when(F.col("n") > 0, F.col("n") / all_).otherwise(F.col("q") / all_ * F.col("g"))
-    return row.select(F.col("key").alias("gram"), F.log10(p).alias("log")).join(grams.select("part", "gram"), "gram")
+    return row.select(F.col("key").alias("gram"), F.log10(p).alias("log"))
 
 
 def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> DataFrame:
@@ -205,7 +203,7 @@ def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> D
     words = staged(asked.where("kind = 0").groupBy("part").applyInArrow(word_counts, "kind int, part int, block int, vals binary, tokens long, kinds long"))
     total, kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     grams = staged(asked.where("kind = 1").groupBy("part").applyInArrow(gram_counts, "part int, gram long, n long"))
-    logs = code_lengths(grams, order)
+    logs = code_lengths(grams, order).join(grams.select("part", "gram"), "gram")
     replies = asked.where("kind = 1").groupBy("part").cogroup(logs.groupBy("part")).applyInArrow(answer, "kind int, part int, block int, vals binary")
 
     def add(texts: pa.Table, got: pa.Table) -> pa.Table:
