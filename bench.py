@@ -23,7 +23,7 @@ HEADLINE = [
     "c09_mix", "k01_gap_segments", "k04_kinematics", "w05_label_proportions", "w07_peer_percentiles", "w11_regulation_minutes", "w14_centred_mean",
     "w16_trailing_mean", "w18_signed_lead", "w20_rolling_line", "w23_relative_scores", "w24_kernel_modifier", "j01_as_of_label", "j05_k_nearest",
     "j07_actor_ball_distance", "e02_hysteresis_events", "e09_label_segments", "e13_possession_spans", "e15_carry_possession", "a01_reference_profiles",
-    "a06_radius_calibration", "c01_pass_quality", "c03_sprint_recovery", "c10_report_windows",
+    "a06_radius_calibration", "c01_pass_quality", "c03_sprint_recovery", "c10_report_windows", "s14_entity_resolve",
 ]
 
 

@@ -103,7 +103,7 @@ def _(spark, d):
 
 def _sweep_sql():
     parts = []
-    for n, least, span in fits.SETTINGS[:5]:
+    for n, least, span in fits.SETTINGS:
         f = f"(PARTITION BY o_custkey, period ORDER BY day, o_orderkey ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         for y, sy in (("y", 420000.0), ("y2", 3.0)):
             parts.append(f"SELECT o_custkey, period, day, o_orderkey, {n} AS n_window, {least} AS min_n, {span} AS min_x_s, '{y}' AS y_metric, CASE WHEN count(*) OVER {f} >= {least} AND max(x) OVER {f} - min(x) OVER {f} >= {span} THEN regr_slope({y}, x) OVER {f} END * 400.0 / {sy} AS bs FROM us")
@@ -119,7 +119,7 @@ SELECT tot.o_custkey, tot.n_window, tot.min_n, tot.min_x_s::DOUBLE AS min_x_s, t
 def _(spark, d):
     g = order_gaps(spark, d).withColumn("y2", (F.col("o_orderkey") % 5).cast("double"))
     line = ord_line(spark, d)
-    swept = fits.setting_sweep(g, line, "x", {"y": 420000.0, "y2": 3.0}, 400.0, fits.SETTINGS[:5])
+    swept = fits.setting_sweep(g, line, "x", {"y": 420000.0, "y2": 3.0}, 400.0, fits.SETTINGS)
     out = fits.sweep_summary(swept, line, CUST_LINE if line.width else CUST_LINE.bounded())
     return rounded(rounded(out, "min_A", "max_A", "mean_abs_step_A", "median_A", "iqr_A"), "median_theta_star_deg", digits=5)
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import Line, settle
+from ..operators.ordered import Line
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -75,16 +75,21 @@ HALF_S = Line(("user_id", "period"), "clock_s", ("event_id",), width=600.0)
 USER = Line(("user_id",), "clock", ("event_id",), width=10.0)
 
 
+def chosen(spark: SparkSession, line: Line) -> Line:
+    """A user in a period plays one player's half, bounded by nature; ``spark.keystride.sliced`` asks for slices."""
+    return line if spark.conf.get("spark.keystride.sliced", "false") == "true" else line.bounded()
+
+
 def half(spark: SparkSession, sf_dir: str) -> Line:
-    return settle(ev(spark, sf_dir), HALF)
+    return chosen(spark, HALF)
 
 
 def half_s(spark: SparkSession, sf_dir: str) -> Line:
-    return settle(ev(spark, sf_dir), HALF_S)
+    return chosen(spark, HALF_S)
 
 
 def user(spark: SparkSession, sf_dir: str) -> Line:
-    return settle(ev(spark, sf_dir), USER)
+    return chosen(spark, USER)
 
 
 W_HALF = "(PARTITION BY user_id, period ORDER BY clock, event_id)"

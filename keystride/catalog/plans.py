@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.ordered import Line, settle
+from ..operators.ordered import Line
 from ..plans import jobs
-from .base import EV, ev, half, query, rounded, user
+from .base import EV, chosen, ev, half, query, rounded, user
 from .joins import NEAR_SQL, em
 from .kinematics import kin_sql
 from .possession import dead, otb, span_sql
@@ -12,13 +12,12 @@ from .scalar import POS_SQL, POSITIONS, phi_sql
 from .windows import grid_sql, lowess_sql
 
 def width(spark, d, keys=("user_id", "period")):
-    """Slice length in clock seconds, none if every player-half is small."""
-    return settle(ev(spark, d), Line(keys, "clock_s", ("event_id",), 600.0)).width
+    """Slice length in clock seconds, none while player-halves count as bounded."""
+    return chosen(spark, Line(keys, "clock_s", ("event_id",), 600.0)).width
 
 
 def dense_width(spark, d):
-    e = ev(spark, d).withColumn("player", F.col("k") % 20)
-    return settle(e, Line(("player",), "clock_s", ("event_id",), 600.0)).width
+    return chosen(spark, Line(("player",), "clock_s", ("event_id",), 600.0)).width
 
 
 TRACK = EV + """, xy AS (SELECT *, user_id % 7 AS match_id, user_id AS player_id, value AS x, k::DOUBLE AS y FROM ev)"""

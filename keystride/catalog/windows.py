@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, scalar as S
 from ..operators import fits, windows as W
-from ..operators.ordered import Line, neighbour, settle
-from .base import EV, W_HALF, ev, half, half_s, query, r6, r8, rounded, table
+from ..operators.ordered import Line, neighbour
+from .base import EV, W_HALF, chosen, ev, half, half_s, query, r6, r8, rounded, table
 from .scalar import TEAM_OF
 
 CLS_SQL = "CASE WHEN event_type IN ('view', 'click') THEN 'IN_POSSESSION' WHEN event_type = 'purchase' THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END"
@@ -192,7 +192,7 @@ def reg_minutes(spark, d):
     e = ev(spark, d).withColumns(
         {"player": k % 20, "speed": F.col("value"), "acc_use": F.col("vn"), "jerk_use": F.when(k % 3 != 0, F.col("value")), "step_dist": F.col("vn")}
     )
-    return W.regulation_minutes(e, settle(e, REG_LINE))
+    return W.regulation_minutes(e, chosen(spark, REG_LINE))
 
 
 @query("w11_regulation_minutes", f"WITH {REG_SQL} SELECT player, minute, metric, round(value, 6) AS value FROM minutes")
@@ -267,8 +267,7 @@ CUST_LINE = Line(("o_custkey",), "day", ("o_orderkey",), width=365.0)
 
 
 def ord_line(spark, d):
-    """Settled over whole customers, which bounds their periods too."""
-    return ORD_LINE if settle(table(spark, d, "orders").withColumn("day", F.lit(0.0)), CUST_LINE).width else ORD_LINE.bounded()
+    return chosen(spark, ORD_LINE)
 
 
 def order_gaps(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..session import stage
-from .ordered import Line, groups_fit, neighbour, prefix, rows_around, settle
+from .ordered import Line, neighbour, prefix, rows_around
 from .quantiles import quantiles
 from .windows import running_sums, trailing_mean
 
@@ -193,7 +193,7 @@ def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
         F.avg(F.abs(a - F.col("_step_from"))).alias("mean_abs_step_A"),
         F.count_if(crossed).alias("n_cross_half"),
     )
-    fit = line.width is None or groups_fit(d, group)
+    fit = line.width is None
     q = quantiles(d, group, a, {"q25": 0.25, "median_A": 0.5, "q75": 0.75}, bounded=fit)
     q = q.withColumn("iqr_A", F.col("q75") - F.col("q25")).drop("q25", "q75")
     th = quantiles(d, group, F.col("roll_theta_deg"), {"median_theta_star_deg": 0.5}, bounded=fit)
@@ -201,10 +201,10 @@ def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_fit", "n_cross_half")})
 
 
-def exemplars(df: DataFrame, keys: Sequence[str], score: str, ident: str) -> DataFrame:
+def exemplars(df: DataFrame, keys: Sequence[str], score: str, ident: str, width: float | None = 0.05) -> DataFrame:
     """Rows with the lowest, middle and highest score per group (all rows when there are three or fewer)."""
     d = df.where(F.col(score).isNotNull()).withColumn("_one", F.lit(1))
-    line = settle(d, Line(tuple(keys), score, (ident,), width=0.05))
+    line = Line(tuple(keys), score, (ident,), width)
     d = prefix(d, line, {"_rank": ("count", F.col("_one"))})
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(sizes, list(keys))

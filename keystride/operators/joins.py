@@ -90,7 +90,11 @@ def actor_ball_distance(events: DataFrame, frames: DataFrame, keys: Sequence[str
 
 
 def pass_handoffs(passes: DataFrame, otb: DataFrame, keys: Sequence[str], pass_id: str, time: str, receiver: str, otb_time: str, otb_player: str, gap: float = 5.0) -> DataFrame:
-    """Next on-ball interval after each complete pass: the receiver's if any, else the first."""
+    """Next on-ball interval after each complete pass: the receiver's if any, else the first.
+
+    Passes without a receiver are left out.
+    """
+    passes = passes.where(F.col(receiver).isNotNull())
     nxt = otb.select(*keys, F.col(otb_time).alias("_t0"), F.col(otb_player).alias("_p"))
     # a tie on the start keeps the lower player id
     rank = F.min(

@@ -28,9 +28,14 @@ def unit_grid(curves: DataFrame, case: Sequence[str]) -> DataFrame:
 
 
 def _knots(curves: DataFrame, case: Sequence[str], width: float | None) -> DataFrame:
-    """Knots with their follower ``_t1``/``_v1``; equal knots (same minute) are reduced to one first."""
+    """Knots with their follower ``_t1``/``_v1``; equal knots (same minute) are reduced to one first.
+
+    Of equal knots the one latest in its source counts, where ``curves`` says so in ``source_row``;
+    else the largest value.
+    """
     keys = [*case, "period", "series"]
-    knots = curves.groupBy(*keys, "minute").agg(F.max("value").alias("value"))
+    one = F.max_by("value", "source_row") if "source_row" in curves.columns else F.max("value")
+    knots = curves.groupBy(*keys, "minute").agg(one.alias("value"))
     line = Line(tuple(keys), "minute", (), width)
     return neighbour(knots, line, {"_t1": F.col("minute"), "_v1": F.col("value")}, following=True)
 

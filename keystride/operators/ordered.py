@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 100_000
-GROUP_ROWS = 2_000_000  # largest group left to one task; spark.keystride.groupRows overrides it
 _UNB = Window.unboundedPreceding
 
 
@@ -32,8 +31,9 @@ _UNB = Window.unboundedPreceding
 class Line:
     """Rows of one entity (``keys``) along ``time``; ``tie`` makes the order total.
 
-    ``width`` is the slice length in units of ``time``. Leave it out only for groups with a known
-    bound. Key columns must not be null.
+    ``width`` is the slice length in units of ``time``; the caller leaves it out for groups with a
+    known bound, such as one half of one player. Nothing is measured at run time, and both forms give
+    the same rows. Key columns must not be null.
     """
 
     keys: tuple[str, ...]
@@ -59,21 +59,6 @@ class Line:
         return F.floor(F.col(self.time) / F.lit(float(self.width))).cast("long")
 
 
-def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether the largest group is small enough for one task: one count over the key columns."""
-    limit = int(df.sparkSession.conf.get("spark.keystride.groupRows", str(GROUP_ROWS)))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
-
-
-def settle(df: DataFrame, line: Line) -> Line:
-    """The line without slices if every group fits one task, else unchanged.
-
-    Tables derived from ``df`` that keep or reduce its rows may use the settled line too.
-    """
-    return line if line.width is None or not groups_fit(df, line.keys) else line.bounded()
-
-
 def _total(kind: str, value: Column, order: Column) -> Column:
     if kind in ("last", "first"):
         known = F.when(value.isNotNull(), order)

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import groups_fit
-
 STEPS = 1024  # value buckets per factor e
 
 
@@ -23,17 +21,16 @@ def quantiles(
     value: Column,
     probs: Mapping[str, float],
     *,
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """One row per group with the linearly interpolated quantile of the non-null values.
 
-    ``bounded=True`` uses the built-in ``percentile``, whose state is the group's distinct values; left
-    out, the group sizes are counted to decide. For larger groups the work is a distributed selection: equal values are counted map-side, a histogram
-    over value buckets tells which bucket holds each wanted rank, and only those buckets are sorted.
+    The work is a distributed selection: equal values are counted map-side, a histogram over value
+    buckets tells which bucket holds each wanted rank, and only those buckets are sorted. A caller whose
+    groups are small by nature says ``bounded=True`` for the built-in ``percentile``, whose state is the
+    group's distinct values. Either way every group has a row, null where it has no value.
     """
     keys = list(keys)
-    if bounded is None:
-        bounded = groups_fit(df, keys)
     if bounded:
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
 
@@ -75,13 +72,14 @@ def quantiles(
             F.max(pos[n] - low[n]).alias(f"_f{i}"),
         ]
     ends = picked.groupBy(*keys).agg(*aggs)
-    return ends.select(
+    out = ends.select(
         *keys,
         *[
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n)
             for i, n in enumerate(names)
         ],
     )
+    return df.select(*keys).distinct().join(out, keys, "left") if keys else out
 
 
 def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str, *, bounded: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import scalar as S
 from ..session import stage
 from .bands import band_join
 from .kinematics import sample_interval
-from .ordered import Line, groups_fit, prefix, range_around, rows_around
+from .ordered import Line, prefix, range_around, rows_around
 from .quantiles import quantiles, share_at_or_below
 
 # Fixed values
@@ -113,7 +113,8 @@ def label_proportions(
         F.count(F.lit(1)).alias("n_frames"), *[c.alias(f"_n{i}") for i, c in enumerate(counts)]
     )
     total = F.col("_n0") + F.col("_n1") + F.col("_n2")
-    shares = {n: F.col(f"_n{i}") / total for i, n in enumerate(("p_ip", "p_oop", "p_dead"))}
+    # a window without any known class has zero shares
+    shares = {n: F.when(total > 0, F.col(f"_n{i}") / F.greatest(total, F.lit(1))).otherwise(0.0) for i, n in enumerate(("p_ip", "p_oop", "p_dead"))}
     d = d.where(F.col("n_frames") >= min_frames).withColumns(shares)
     return d.withColumns(
         {
@@ -149,9 +150,12 @@ def window_length_sweep(
 
 
 def peer_percentiles(
-    df: DataFrame, match: Sequence[str], player: str, team: str, time: str, win: float = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES
+    df: DataFrame, match: Sequence[str], player: str, team: str, time: str, win: float = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES, bounded: bool = True
 ) -> DataFrame:
-    """Per window and player: inclusive percentile of four metrics among the team and among all."""
+    """Per window and player: inclusive percentile of four metrics among the team and among all.
+
+    ``bounded``: the players of one window are one match's rosters; say False for other groups.
+    """
     match = list(match)
     means = {"mean_speed": F.avg("speed"), "mean_acc": F.avg("acc_use"), "mean_jerk": F.avg("jerk_use")}
     means["total_distance"] = F.coalesce(F.sum("step_dist"), F.lit(0.0))
@@ -159,14 +163,13 @@ def peer_percentiles(
     d = d.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in means.items()]).where(F.col("_n") >= min_frames)
     d = stage(d)  # small against the rows, and read by both rankings and both sizes
     everyone = [*match, "t0"]
-    fit = groups_fit(d, everyone)
     sizes_all = d.groupBy(*everyone).agg(F.count(F.lit(1)).alias("n_all"))
     sizes_team = d.groupBy(*everyone, team).agg(F.count(F.lit(1)).alias("n_team"))
     # long form: two ranking passes serve all four metrics
     ident = [*everyone, player, team]
     long = d.unpivot(ident, list(means), "metric", "_v")
-    long = share_at_or_below(long, [*everyone, "metric"], "_v", "all_pct", bounded=fit)
-    long = share_at_or_below(long, [*everyone, "metric", team], "_v", "team_pct", bounded=fit)
+    long = share_at_or_below(long, [*everyone, "metric"], "_v", "all_pct", bounded=bounded)
+    long = share_at_or_below(long, [*everyone, "metric", team], "_v", "team_pct", bounded=bounded)
     out = long.groupBy(*ident).agg(
         *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in means for p in ("team_pct", "all_pct")]
     )

@@ -74,12 +74,29 @@ def fold(c: Column) -> Column:
 def resolve_players(needles: DataFrame, roster: DataFrame, order: str = "player_id") -> DataFrame:
     """First outfield player per (match, needle): an exact id, else a folded substring of the nickname.
 
-    ``needles`` has ``(match_id, needle)``. Matches are an equi-join; names are compared inside it.
+    ``needles`` has ``(match_id, needle)``. Ids are an equi-join. Names are folded once per side and meet
+    on the needle's rarest gram in its match (three letters, fewer for shorter needles), then by value.
     """
-    exact = F.col("player_id").cast("string") == F.col("needle")
-    named = F.contains(fold(F.col("nickname")), fold(F.col("needle")))
-    d = needles.join(roster, "match_id").where(exact | named)
-    best = F.min(F.struct((~exact).alias("byname"), F.col(order).alias("o"), "player_id", "nickname")).alias("b")
+    tag = F.struct(F.col(order).alias("o"), "player_id", "nickname")
+    byid = needles.join(roster.withColumn("needle", F.col("player_id").cast("string")), ["match_id", "needle"])
+    byid = byid.select("match_id", "needle", F.struct(F.lit(False).alias("byname"), tag.alias("t")).alias("x"))
+
+    def grams(text: str, n):
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, n)))
+
+    names = roster.select("match_id", fold(F.col("nickname")).alias("name"), tag.alias("t"))
+    listed = names.select("match_id", "name", "t", F.explode(F.array_distinct(F.concat(*[grams("name", F.lit(n)) for n in range(4)]))).alias("gram"))
+    sought = needles.select("match_id", "needle", fold(F.col("needle")).alias("part")).distinct()
+    sought = sought.withColumn("g", grams("part", F.least(F.length("part"), F.lit(3))))
+    freq = listed.groupBy("match_id", "gram").agg(F.count("*").alias("n"))
+    seen = sought.select("match_id", "needle", "part", F.size("g").alias("all"), F.explode("g").alias("gram")).join(freq, ["match_id", "gram"])
+    # a gram that no name has rules the needle out
+    rare = seen.groupBy("match_id", "needle", "part", "all").agg(F.count("*").alias("known"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where(F.col("known") == F.col("all"))
+    byname = rare.join(listed, ["match_id", "gram"]).where(F.contains("name", "part"))
+    byname = byname.select("match_id", "needle", F.struct(F.lit(True).alias("byname"), F.col("t")).alias("x"))
+    best = F.min("x").getField("t").alias("b")
+    d = byid.union(byname)
     return d.groupBy("match_id", "needle").agg(best).select("match_id", "needle", "b.player_id", "b.nickname")
 
 

@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture
 def sliced(spark):
-    """No group counts as small: every ordered pass takes its sliced form."""
-    spark.conf.set("spark.keystride.groupRows", "0")
+    """Every ordered pass of the catalogue takes its sliced form."""
+    spark.conf.set("spark.keystride.sliced", "true")
     yield spark
-    spark.conf.unset("spark.keystride.groupRows")
+    spark.conf.unset("spark.keystride.sliced")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystride.functions import scalar as S
 from keystride.operators import fits, quantiles as Q, windows as W
-from keystride.operators.ordered import Line, neighbour, prefix, range_around, rows_around, run_starts, settle
+from keystride.operators.ordered import Line, neighbour, prefix, range_around, rows_around, run_starts
 
 
 @pytest.fixture(scope="module")
@@ -78,12 +78,10 @@ def test_run_starts(data, line):
         assert [got[i][0] for i in g.i] == run.tolist()
 
 
-def test_settle(sliced):
-    df = sliced.range(10).withColumn("k", F.lit(1)).withColumn("t", F.col("id").cast("double"))
-    line = Line(("k",), "t", (), 2.0)
-    assert settle(df, line).width == 2.0
-    sliced.conf.set("spark.keystride.groupRows", "10")
-    assert settle(df, line).width is None
+def test_quantiles_keep_groups_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "k string, v double")
+    for bounded in (True, False):
+        assert sorted(map(tuple, Q.quantiles(df, ["k"], F.col("v"), {"q": 0.5}, bounded=bounded).collect())) == [("a", 2.0), ("b", None)]
 
 
 @pytest.mark.parametrize("bounded", [True, False])
