@@ -125,10 +125,10 @@ def _(spark, d):
 
 
 @query("a11_exemplars", f"""
-WITH {EV}, s AS (SELECT user_id, event_id, k / 99.0 AS score FROM ev WHERE event_type = 'view' AND k % 7 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM s)
+WITH {EV}, s AS (SELECT user_id, event_id, k / 99.0 AS score FROM ev WHERE k % 7 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM s)
 SELECT user_id, event_id, round(score, 6) AS score FROM r WHERE n <= 3 OR rn IN (1, n // 2 + 1, n)""")
 def _(spark, d):
-    s = ev(spark, d).where(F.col("event_type") == "view").select("user_id", "event_id", F.when(F.col("k") % 7 != 0, F.col("k") / 99.0).alias("score"))
+    s = ev(spark, d).select("user_id", "event_id", F.when(F.col("k") % 7 != 0, F.col("k") / 99.0).alias("score"))
     return rounded(fits.exemplars(s, ["user_id"], "score", "event_id"), "score")
 
 

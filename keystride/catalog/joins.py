@@ -60,12 +60,12 @@ def _(spark, d):
 
 
 @query("j04_enrich_intervals", f"""
-WITH {EV}, ix AS (SELECT user_id, k, arg_min(clock_s, clock_s) AS f0, arg_min(value, clock_s) AS f1, arg_min(event_type, clock_s) AS hb, arg_min(vn, clock_s) AS sq FROM (SELECT * REPLACE (coalesce(vn, -1) AS vn) FROM ev) WHERE event_type IN ('click', 'purchase') GROUP BY ALL)
+WITH {EV}, ix AS (SELECT user_id, k, arg_min(clock_s, clock_s) AS f0, arg_min(value, clock_s) AS f1, arg_min(event_type, clock_s) AS hb, arg_min(vn, clock_s) AS sq FROM (SELECT * REPLACE (coalesce(vn, -1) AS vn) FROM ev) WHERE event_type <> 'view' GROUP BY ALL)
 SELECT e.event_id, round(f0, 3) AS frame0, f1 AS frame1, hb AS home_ball, coalesce(CASE WHEN e.k % 3 = 0 THEN e.k::DOUBLE END, sq) AS sequence FROM ev e LEFT JOIN ix ON e.user_id = ix.user_id AND e.k = ix.k WHERE e.event_type = 'view'""")
 def _(spark, d):
     e = ev(spark, d)
     otb = e.where(F.col("event_type") == "view").select("event_id", "user_id", "k", F.when(F.col("k") % 3 == 0, F.col("k").cast("double")).alias("sequence"))
-    ix = e.where(F.col("event_type").isin("click", "purchase")).select(
+    ix = e.where(F.col("event_type") != "view").select(
         "user_id", "k", F.col("clock_s").alias("frame0"), F.col("value").alias("frame1"), F.col("event_type").alias("home_ball"), F.coalesce("vn", F.lit(-1.0)).alias("sequence_tracking")
     )
     out = J.enrich_intervals(otb, ix, ["user_id"], "k").select("event_id", "frame0", "frame1", "home_ball", "sequence")
@@ -152,19 +152,19 @@ def _(spark, d):
 
 
 @query("j08_pass_handoff", f"""
-WITH {EV}, p AS (SELECT event_id, user_id, clock AS t, (k + event_id) % 5 AS receiver FROM ev WHERE event_type = 'view'), o AS (SELECT user_id, clock AS t0, k % 5 AS pl FROM ev WHERE event_type IN ('click', 'purchase')),
+WITH {EV}, p AS (SELECT event_id, user_id, clock AS t, (k + event_id) % 5 AS receiver FROM ev WHERE event_type = 'view'), o AS (SELECT user_id, clock AS t0, k % 5 AS pl FROM ev WHERE event_type <> 'view'),
  r AS (SELECT p.event_id, pl, t0 - t AS gap, pl = receiver AS m, row_number() OVER (PARTITION BY p.event_id ORDER BY pl <> receiver, t0) AS rn FROM p JOIN o ON p.user_id = o.user_id AND t0 >= t - 1e-6 AND t0 <= t + 5)
 SELECT p.event_id, p.receiver, r.pl AS next_player, round(r.gap, 6) AS gap_s, coalesce(r.m, false) AS receiver_match FROM p LEFT JOIN r ON p.event_id = r.event_id AND rn = 1""")
 def _(spark, d):
     e, k = ev(spark, d), F.col("k")
     p = e.where(F.col("event_type") == "view").select("event_id", "user_id", F.col("clock").alias("t"), ((k + F.col("event_id")) % 5).alias("receiver"))
-    o = e.where(F.col("event_type").isin("click", "purchase")).select("user_id", F.col("clock").alias("t0"), (k % 5).alias("pl"))
+    o = e.where(F.col("event_type") != "view").select("user_id", F.col("clock").alias("t0"), (k % 5).alias("pl"))
     out = J.pass_handoffs(p, o, ["user_id"], "event_id", "t", "receiver", "t0", "pl")
     return rounded(out.select("event_id", "receiver", "next_player", "gap_s", "receiver_match"), "gap_s")
 
 
 @query("j09_instant_recovery", f"""
-WITH {EV}, p AS (SELECT event_id, user_id, clock AS t, k AS pk FROM ev WHERE event_type = 'purchase' AND k % 2 = 0), f AS (SELECT user_id, clock AS ft, k AS fk, value FROM ev),
+WITH {EV}, p AS (SELECT event_id, user_id, clock AS t, k AS pk FROM ev WHERE event_type = 'purchase'), f AS (SELECT user_id, clock AS ft, k AS fk, value FROM ev),
  j AS (SELECT p.event_id, p.user_id, t, ft, CASE WHEN fk % 3 <> pk % 3 THEN value / 20 END AS dd FROM p JOIN f ON p.user_id = f.user_id AND ft BETWEEN t - 3 AND t + 3),
  i AS (SELECT *, coalesce(dd < 2.5, false) AS ins, row_number() OVER (PARTITION BY event_id ORDER BY ft) - row_number() OVER (PARTITION BY event_id, coalesce(dd < 2.5, false) ORDER BY ft) AS grp FROM j),
  runs AS (SELECT event_id, user_id, t, ins, grp, min(ft) AS t0, max(ft) AS t1, count(*) AS n, min(dd) AS dm, min(abs(ft - t)) AS near FROM i GROUP BY ALL),
@@ -172,7 +172,7 @@ WITH {EV}, p AS (SELECT event_id, user_id, clock AS t, k AS pk FROM ev WHERE eve
 SELECT user_id, event_id, round(t, 4) AS t_event, ins AS recovered, CASE WHEN ins THEN round(t0, 4) END AS t0, CASE WHEN ins THEN round(t1, 4) END AS t1, CASE WHEN ins THEN n ELSE 0 END AS n_frames, round(CASE WHEN ins THEN dm ELSE anyd END, 6) AS min_dist FROM b WHERE rn = 1""")
 def _(spark, d):
     e = ev(spark, d)
-    p = e.where((F.col("event_type") == "purchase") & (F.col("k") % 2 == 0)).select("event_id", "user_id", F.col("clock").alias("t"), F.col("k").alias("pk"))
+    p = e.where(F.col("event_type") == "purchase").select("event_id", "user_id", F.col("clock").alias("t"), F.col("k").alias("pk"))
     f = e.select("user_id", F.col("clock").alias("ft"), F.col("k").alias("fk"), "value")
     dist = F.when(F.col("fk") % 3 != F.col("pk") % 3, F.col("value") / 20)
     out = J.instant_recovery(p, f, ["user_id"], "event_id", "t", "ft", dist, 2.5, 3.0)
@@ -190,11 +190,11 @@ def _(spark, d):
 
 
 @query("j11_complete_panel", f"""
-WITH {EV}, a AS (SELECT user_id, period, k, min(event_id) AS event_id, arg_min(value, event_id) AS speed FROM ev WHERE event_type IN ('view', 'error') GROUP BY ALL), b AS (SELECT user_id, period, k, arg_min(value, event_id) AS x, arg_min(m, event_id) AS y FROM ev WHERE event_type = 'click' GROUP BY ALL)
+WITH {EV}, a AS (SELECT user_id, period, k, min(event_id) AS event_id, arg_min(value, event_id) AS speed FROM ev WHERE event_type <> 'click' GROUP BY ALL), b AS (SELECT user_id, period, k, arg_min(value, event_id) AS x, arg_min(m, event_id) AS y FROM ev WHERE event_type = 'click' GROUP BY ALL)
 SELECT a.user_id, a.period, a.k, a.event_id, a.speed, b.x, round(b.y, 5) AS y FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.period = b.period AND a.k = b.k""")
 def _(spark, d):
     e = ev(spark, d)
-    kin = e.where(F.col("event_type").isin("view", "error")).select("user_id", "period", "k", "event_id", F.col("value").alias("speed"))
+    kin = e.where(F.col("event_type") != "click").select("user_id", "period", "k", "event_id", F.col("value").alias("speed"))
     xy = e.where(F.col("event_type") == "click").select("user_id", "period", "k", "event_id", F.col("value").alias("x"), F.col("m").alias("y"))
     return rounded(J.complete_panel(kin, xy, ["user_id", "period", "k"], ["event_id"]), "y", digits=5)
 

@@ -46,7 +46,7 @@ def positions(spark, d):
     return ev(spark, d).select((F.col("user_id") % 7).alias("match_id"), F.col("user_id").alias("player_id"), code.alias("position")).distinct()
 
 
-PASS_SQL = """ps AS (SELECT user_id, period, clock AS t, k % 3 <> 0 AS ok FROM ev WHERE event_type IN ('view', 'click')), sh AS (SELECT user_id, period, clock AS ct, k / 100.0 AS xg FROM ev WHERE event_type = 'purchase' AND k % 4 = 0),
+PASS_SQL = """ps AS (SELECT user_id, period, clock AS t, k % 3 <> 0 AS ok FROM ev WHERE event_type IN ('view', 'click')), sh AS (SELECT user_id, period, clock AS ct, k / 100.0 AS xg FROM ev WHERE event_type = 'purchase'),
  ends AS (SELECT user_id, period, max(t) AS hi, CASE period WHEN 1 THEN 0.0::DOUBLE ELSE 45.0::DOUBLE END AS s0 FROM ps GROUP BY ALL), g AS (SELECT user_id, period, s0 + i AS ws FROM ends, generate_series(0, 60) s(i) WHERE s0 + i < hi + 1e-9),
  cu AS (SELECT g.user_id, g.period, ws, count(t) AS n, CASE WHEN count(t) >= 2 THEN count(*) FILTER (WHERE ok) / count(t) END AS p FROM g LEFT JOIN ps ON ps.user_id = g.user_id AND ps.period = g.period AND t >= ws AND t < ws + 5 GROUP BY ALL),
  km AS (SELECT cu.user_id, cu.period, ws, n, p, coalesce(sum(exp(-0.5 * power((ws + 2.5 - ct) / 1.25, 2))), 0) AS sg, sum(exp(-0.5 * power((ws + 2.5 - ct) / 1.25, 2)) * xg) AS sq FROM cu LEFT JOIN sh ON cu.user_id = sh.user_id AND cu.period = sh.period AND abs(ws + 2.5 - ct) <= 2.5 GROUP BY ALL),
@@ -59,7 +59,7 @@ def _(spark, d):
     e, k = ev(spark, d), F.col("k")
     base = [(F.col("user_id") % 7).alias("match_id"), F.col("user_id").alias("player_id"), "period", F.col("clock").alias("game_clock_min")]
     passes = e.where(F.col("event_type").isin("view", "click")).select(*base, (k % 3 != 0).alias("success"))
-    shots = e.where((F.col("event_type") == "purchase") & (k % 4 == 0)).select(*base, (k / 100.0).alias("xG"))
+    shots = e.where(F.col("event_type") == "purchase").select(*base, (k / 100.0).alias("xG"))
     out = jobs.pass_quality(passes, shots).select("match_id", "player_id", "period", "t_min", "n", "P", "w", "Q", "C")
     return rounded(out, "P", "w", "Q", "C", digits=8)
 
@@ -99,17 +99,17 @@ PROFILE_SQL = f"""{DENSE_PANEL}, {minutes_sql(0.7)}, cc AS (SELECT *, {DPOS} AS
 
 
 @query("c02_relative_speed", f"""
-WITH {PROFILE_SQL}, um AS (SELECT user_id, metric, i::INT AS minute FROM (SELECT DISTINCT user_id FROM panel), (VALUES ('speed'), ('distance')) t(metric), generate_series(1, 90) s(i)),
+WITH {PROFILE_SQL}, um AS (SELECT user_id, metric, i::INT AS minute FROM (SELECT DISTINCT user_id FROM panel), (VALUES ('speed'), ('acceleration'), ('distance'), ('jerk')) t(metric), generate_series(1, 90) s(i)),
  mg AS (SELECT u.user_id, u.metric, u.minute, c.value, p.mean, p.sd, CASE WHEN u.minute <= 45 THEN 1 ELSE 2 END AS half FROM um u JOIN prof p ON p.level = 'detailed' AND p."group" = {DPOS.replace('user_id', 'u.user_id')} AND p.minute = u.minute AND p.metric = u.metric LEFT JOIN cc c ON c.user_id = u.user_id AND c.metric = u.metric AND c.minute = u.minute),
  {lowess_sql('mg', 'user_id, metric, half', 'value', 'pfit')}, {lowess_sql('mg', 'user_id, metric, half', 'mean', 'rfit')},
- zz AS (SELECT mg.user_id, mg.metric, mg.half, mg.minute, CASE WHEN mg.sd > 0 THEN (pfit.fit - rfit.fit) / mg.sd END AS z FROM mg JOIN pfit USING (user_id, metric, half, minute) JOIN rfit USING (user_id, metric, half, minute)),
+ zz AS (SELECT mg.user_id, mg.metric, mg.half, mg.minute, CASE WHEN mg.sd > 0 THEN (pfit.fit - rfit.fit) / mg.sd END AS z FROM mg LEFT JOIN pfit USING (user_id, metric, half, minute) LEFT JOIN rfit USING (user_id, metric, half, minute)),
  zn AS (SELECT *, avg(z) OVER (PARTITION BY user_id, metric, half ORDER BY minute) AS m5a, avg(z) OVER (PARTITION BY user_id, metric, half ORDER BY minute ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS r10 FROM zz WHERE z IS NOT NULL)
-SELECT user_id % 7 AS match_id, user_id AS player_id, metric, half, minute, round(z, 5) AS z, round({phi_sql('m5a')}, 6) AS phi_5a, round({phi_sql('r10')}, 6) AS phi_roll10 FROM zn""")
+SELECT user_id % 7 AS match_id, user_id AS player_id, metric, half, minute, round(zz.z, 5) AS z, round({phi_sql('m5a')}, 6) AS phi_5a, round({phi_sql('r10')}, 6) AS phi_roll10 FROM zz LEFT JOIN zn USING (user_id, metric, half, minute)""")
 def _(spark, d):
     p, pos = dense_panel(spark, d), dense_positions(spark, d)
     w = dense_width(spark, d)
-    s = jobs.relative_speed(p, pos, jobs.profiles(p, pos, w), ("speed", "distance"), w)
-    s = s.where(F.col("z").isNotNull()).select("match_id", "player_id", "metric", "half", F.col("minute").cast("int").alias("minute"), "z", "phi_5a", "phi_roll10")
+    s = jobs.relative_speed(p, pos, jobs.profiles(p, pos, w), ("speed", "acceleration", "distance", "jerk"), w)
+    s = s.select("match_id", "player_id", "metric", "half", F.col("minute").cast("int").alias("minute"), "z", "phi_5a", "phi_roll10")
     return rounded(rounded(s, "z", digits=5), "phi_5a", "phi_roll10")
 
 
@@ -167,10 +167,10 @@ def _(spark, d):
 
 
 @query("c05_synergy_windows", f"""
-WITH {EV}, s AS (SELECT user_id % 7 AS match_id, user_id AS player_id, period, clock, (0.5 * (greatest(-1, least(1, (value - 50) / 97)) + 1) + 0.5 * (greatest(-1, least(1, (k - 50) * 40 / 1450.0)) + 1)) / 2 AS m FROM ev WHERE event_type = 'view')
+WITH {EV}, s AS (SELECT user_id % 7 AS match_id, user_id AS player_id, period, clock, (0.5 * (greatest(-1, least(1, (value - 50) / 97)) + 1) + 0.5 * (greatest(-1, least(1, (k - 50) * 40 / 1450.0)) + 1)) / 2 AS m FROM ev)
 SELECT match_id, player_id, period, round(clock, 4) AS minute, round(m, 9) AS m, {', '.join(f"round(avg(m) OVER (PARTITION BY match_id, player_id, period ORDER BY clock RANGE BETWEEN {w / 2 + 1e-6!r} PRECEDING AND {w / 2 + 1e-6!r} FOLLOWING), 9) AS m_w{w}" for w in (1, 3, 5, 10))} FROM s""")
 def _(spark, d):
-    e = ev(spark, d).where(F.col("event_type") == "view").select(
+    e = ev(spark, d).select(
         (F.col("user_id") % 7).alias("match_id"), F.col("user_id").alias("player_id"), "period", F.col("clock_s").alias("game_clock_s"), F.col("clock").alias("minute"),
         ((F.col("value") - 50) * 80 / 97).alias("individual_synergy"), ((F.col("k") - 50) * 40.0).alias("team_synergy"),
     )

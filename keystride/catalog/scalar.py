@@ -330,13 +330,13 @@ def _(spark, d):
 
 
 @query("p25_curve_reshape", f"""
-WITH {EV} SELECT 'ols_line_angle' AS section, event_id, 'distance_m' AS y_metric, period, round(clock, 6) AS minute, k / 99.0 AS value, NULL::DOUBLE AS z FROM ev WHERE event_type = 'view'
-UNION ALL SELECT 'ols_line_angle', event_id, 'peak_speed', period, round(clock, 6), k / 99.0, NULL FROM ev WHERE event_type = 'click'
-UNION ALL SELECT 'speed_roll10', event_id, NULL, NULL, round(clock, 6), k / 99.0, value FROM ev WHERE event_type = 'purchase'""")
+WITH {EV} SELECT 'ols_line_angle' AS section, event_id, 'distance_m' AS y_metric, period, round(clock, 6) AS minute, k / 99.0 AS value, NULL::DOUBLE AS z FROM ev
+UNION ALL SELECT 'ols_line_angle', event_id, 'peak_speed', period, round(clock, 6), k / 99.0, NULL FROM ev
+UNION ALL SELECT 'speed_roll10', event_id, NULL, NULL, round(clock, 6), k / 99.0, value FROM ev""")
 def _(spark, d):
     e = ev(spark, d).withColumns({"roll_A": F.col("k") / 99.0, "phi_roll10": F.col("k") / 99.0, "roll10_z": F.col("value"), "minute": r6(F.col("clock"))})
-    parts = [fits.line_angle_curve(e.where(F.col("event_type") == t), y, keys=["event_id"]) for t, y in (("view", "distance_m"), ("click", "peak_speed"))]
-    speed = fits.relative_speed_curve(e.where(F.col("event_type") == "purchase"), keys=["event_id"])
+    parts = [fits.line_angle_curve(e, y, keys=["event_id"]) for y in ("distance_m", "peak_speed")]
+    speed = fits.relative_speed_curve(e, keys=["event_id"])
     out = parts[0].unionByName(parts[1]).withColumnRenamed("roll_A", "value")
     speed = speed.withColumnsRenamed({"phi_roll10": "value", "roll10_z": "z"})
     return out.unionByName(speed, allowMissingColumns=True)

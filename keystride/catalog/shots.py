@@ -50,10 +50,10 @@ def _(spark, d):
     return rounded(out, "min_defender_distance", "soft_blocking", "goal_blocking_percentage")
 
 
-@query("x03_keeper_features", f"WITH {SCENE} SELECT scene, round(gk_distance, 6) AS gk_distance, round(gk_angle, 6) AS gk_angle, round(gk_goal_line_distance, 6) AS gk_goal_line_distance FROM ft WHERE label <> 5")
+@query("x03_keeper_features", f"WITH {SCENE} SELECT scene, round(gk_distance, 6) AS gk_distance, round(gk_angle, 6) AS gk_angle, round(gk_goal_line_distance, 6) AS gk_goal_line_distance FROM ft")
 def _(spark, d):
-    s = scenes(spark, d).where(F.col("label") != 5)
-    f = X.keeper_features(F.col("players"), F.col("x"), F.col("y"))
+    s = scenes(spark, d)
+    f = X.keeper_features(X.with_keeper(F.col("players")), F.col("x"), F.col("y"))
     out = s.select("scene", *[c.alias(n) for n, c in f.items()])
     return rounded(out, "gk_distance", "gk_angle", "gk_goal_line_distance")
 
@@ -104,8 +104,18 @@ def _(spark, d):
 
 @query("x06_shot_scores")
 def _(spark, d):
-    """Fitted on the label quality of the document with the scene's number (model output: rows only)."""
+    """All scenes, by trees fitted on those whose number is a labelled document (model output: rows only)."""
     hot = X.one_hot(features(spark, d))
     goal = table(spark, d, "labels").select(F.col("doc_id").alias("scene"), F.col("quality").cast("double").alias("goal"))
-    out = X.score_shots(hot.join(goal, "scene"), "goal", trees=5)
+    out = X.score_shots(hot, X.fit_shot_model(hot.join(goal, "scene"), "goal", trees=5))
     return out.select("scene", F.round("xG", 4).alias("xG"))
+
+
+WEIGHTS = {"distance": -0.09, "angle": 1.3, "defenders_in_path": -0.35, "gk_distance": 0.02, "under_pressure": -0.4, "body_part_Other": -0.8, "minute": 0.002}
+
+
+@query("x06_shot_scores_given", f"""
+WITH {FEATURES}, hot AS (SELECT *, {_one_hot_sql()} FROM fx) SELECT scene, round(1 / (1 + exp(-(0.5::DOUBLE + {' + '.join(f'{w}::DOUBLE * {c}' for c, w in WEIGHTS.items())}))), 7) AS "xG" FROM hot""")
+def _(spark, d):
+    """All scenes, by the weights of a model trained elsewhere."""
+    return rounded(X.score_with_weights(X.one_hot(features(spark, d)), WEIGHTS, 0.5).select("scene", "xG"), "xG", digits=7)

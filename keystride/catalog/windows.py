@@ -50,13 +50,13 @@ def _(spark, d):
 @query("w04_majority_label", f"""
 WITH {EV}, c AS (SELECT DISTINCT user_id, period, floor(clock) + 0.5::DOUBLE AS tc FROM ev),
  n AS (SELECT c.user_id, c.period, c.tc, count(*) FILTER (WHERE cls = 'IN_POSSESSION') AS a, count(*) FILTER (WHERE cls = 'OUT_OF_POSSESSION') AS b, count(*) FILTER (WHERE cls = 'DEAD_OR_UNRESOLVED') AS z
-   FROM c LEFT JOIN (SELECT *, {CLS_SQL} AS cls FROM ev WHERE k % 3 <> 0) e ON c.user_id = e.user_id AND c.period = e.period AND e.clock >= c.tc - 2.0 AND e.clock < c.tc + 2.0 GROUP BY ALL)
+   FROM c LEFT JOIN (SELECT *, {CLS_SQL} AS cls FROM ev) e ON c.user_id = e.user_id AND c.period = e.period AND e.clock >= c.tc - 2.0 AND e.clock < c.tc + 2.0 GROUP BY ALL)
 SELECT user_id, period, tc, CASE WHEN a > 0 AND a >= b AND a >= z THEN 'IN_POSSESSION' WHEN b > 0 AND b >= a AND b >= z THEN 'OUT_OF_POSSESSION' ELSE 'DEAD_OR_UNRESOLVED' END AS poss_class FROM n""")
 def _(spark, d):
     e = ev(spark, d).withColumn("cls", cls())
     # window centres are whole half-minutes, so a row meets a fixed number of them
     centres = e.select(*KEYS, (F.floor("clock") + 0.5).alias("tc")).distinct()
-    return W.majority_label(centres, e.where(F.col("k") % 3 != 0), KEYS, "tc", "clock", "cls", 4.0)
+    return W.majority_label(centres, e, KEYS, "tc", "clock", "cls", 4.0)
 
 
 PROP = f"""cl AS (SELECT *, {CLS_SQL} AS cls FROM ev)"""
@@ -120,9 +120,9 @@ def _(spark, d):
 
 
 @query("w07_presence_diagnostics", f"""
-WITH {PEER_SQL} SELECT event_type, n_team, n_all, count(*) AS n_windows, n_team < 10 AS short_team, n_all < 20 AS short_all FROM pr WHERE user_id = 3 GROUP BY ALL""")
+WITH {PEER_SQL} SELECT event_type, n_team, n_all, count(*) AS n_windows, n_team < 10 AS short_team, n_all < 20 AS short_all FROM pr GROUP BY ALL""")
 def _(spark, d):
-    return W.presence_diagnostics(peers(spark, d).where(F.col("user_id") == 3), ["event_type"])
+    return W.presence_diagnostics(peers(spark, d), ["event_type"])
 
 
 @query("w08_second_bins", f"""
@@ -316,13 +316,13 @@ WITH {ORD}, us AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, period O
  win AS (SELECT a.o_orderkey, b.x, b.y, b.rn FROM us a JOIN us b ON a.o_custkey = b.o_custkey AND a.period = b.period AND b.rn BETWEEN a.rn - 4 AND a.rn),
  g AS (SELECT o_orderkey, count(*) AS n, max(x) - min(x) AS span, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM win GROUP BY ALL),
  sl AS (SELECT a.o_orderkey, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM win a JOIN win b ON a.o_orderkey = b.o_orderkey AND b.x > a.x GROUP BY ALL)
-SELECT g.o_orderkey, round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept FROM g JOIN sl USING (o_orderkey) WHERE n >= 4 AND span >= 20""")
+SELECT rec.o_orderkey, CASE WHEN n < 4 THEN 'too_few' WHEN span < 20 THEN 'x_range' WHEN n >= 4 THEN 'theilsen' END AS roll_method, round(CASE WHEN n >= 4 AND span >= 20 THEN slope END, 4) AS slope, round(CASE WHEN n >= 4 AND span >= 20 THEN my - slope * mx END, 3) AS intercept
+ FROM rec LEFT JOIN g ON rec.o_orderkey = g.o_orderkey LEFT JOIN sl ON rec.o_orderkey = sl.o_orderkey""")
 def _(spark, d):
     out = fits.rolling_line(
         order_gaps(spark, d), ord_line(spark, d), "x", "y", table_keys=["o_custkey"], rows=5, min_rows=4, s_x=1.0, s_y=1.0, x_ref=0.0, method="theilsen"
     )
-    out = out.where(F.col("roll_method") == "theilsen")
-    return out.select("o_orderkey", F.round("roll_slope", 4).alias("slope"), F.round("roll_intercept", 3).alias("intercept"))
+    return out.select("o_orderkey", "roll_method", F.round("roll_slope", 4).alias("slope"), F.round("roll_intercept", 3).alias("intercept"))
 
 
 # minute curve of a user group against the profile of its coarse group

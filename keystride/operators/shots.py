@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +71,18 @@ def default_keeper() -> Column:
     return F.array(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(False).alias("teammate"), F.lit("Goalkeeper").alias("position")))
 
 
+def with_keeper(players: Column) -> Column:
+    """The freeze frame, or the default keeper alone where it is empty."""
+    return F.when(F.size(players) > 0, players).otherwise(default_keeper())
+
+
 def shot_features(shots: DataFrame) -> DataFrame:
     """The 19 model features for shots ``(x, y, players, body, set_piece, technique, period, minute, flags)``.
 
     ``players`` is one freeze frame: ``array<struct<x, y, teammate, position>>``; an empty one gets the
     default keeper.
     """
-    d = shots.withColumn("_pl", F.when(F.size("players") > 0, F.col("players")).otherwise(default_keeper()))
+    d = shots.withColumn("_pl", with_keeper(F.col("players")))
     x, y, pl = F.col("x"), F.col("y"), F.col("_pl")
     d = d.withColumns(
         {
@@ -106,16 +113,28 @@ def encoded_columns() -> list[str]:
     return [*NUMERIC, *[f"{p}_{a.replace(' ', '_')}" for p, allowed in CATEGORIES.values() for a in allowed]]
 
 
-def score_shots(encoded: DataFrame, label: str, *, trees: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
-    """Goal probability from gradient-boosted trees fitted on the encoded table itself.
-
-    The reference's trained model is not part of the data, so the score is fitted where a label
-    exists; with a score column at hand this step is skipped.
-    """
+def fit_shot_model(labelled: DataFrame, label: str, *, trees: int = 20, depth: int = 3, seed: int = 7):
+    """Gradient-boosted trees for the goal probability, fitted on the encoded shots that have a label."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
+
+    gather = VectorAssembler(inputCols=encoded_columns(), outputCol="_features")
+    boost = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[gather, boost]).fit(labelled)
+
+
+def score_shots(encoded: DataFrame, model) -> DataFrame:
+    """`xG` of every encoded shot under a fitted model."""
     from pyspark.ml.functions import vector_to_array
 
-    d = VectorAssembler(inputCols=encoded_columns(), outputCol="_features").transform(encoded)
-    model = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(d)
-    return model.transform(d).withColumn("xG", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+    scored = model.transform(encoded).withColumn("xG", vector_to_array("probability")[1])
+    return scored.drop("_features", "rawPrediction", "probability", "prediction")
+
+
+def score_with_weights(encoded: DataFrame, weights: Mapping[str, float], intercept: float) -> DataFrame:
+    """`xG` of every encoded shot from the weights of a logistic model."""
+    total = F.lit(float(intercept))
+    for name, w in weights.items():
+        total = total + F.lit(float(w)) * F.col(name)
+    return encoded.withColumn("xG", 1.0 / (1.0 + F.exp(-total)))
