@@ -2,8 +2,9 @@ r"""Licence notices: lines of normal text against templates by the Dice coeffici
 
 Normal text is lower-cased words of ASCII letters and digits. A line of a distinct bigrams and a template of b have a Dice
 coefficient of 2 c / (a + b) for c in common, which cannot reach t unless t / (2 - t) <= a / b <= (2 - t) / t: only
-templates within these bounds are compared. All inside the row, in one pass without a shuffle; the templates are a
-parameter of the caller and part of the plan.
+templates within these bounds are compared. A line whose distinct bigrams outgrow the largest such bound fits no template,
+so it is read only that far: a line of any length needs memory for a template's size. One pass without a shuffle; the
+templates are a parameter of the caller and travel with the tasks.
 
 A line's best template is reported (ties: first name). Null or empty texts and lines of fewer than two words have none.
 Rows without an id and repeated rows are scanned each; an empty table gives no rows; extra columns are ignored.
@@ -13,12 +14,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 LEAST = 0.8
+WORD = re.compile("[a-z0-9]+")
 #: Notices as licensors ask for them; fixed values.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -35,23 +38,59 @@ def _pairs(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def _bigrams(line: str, most: int) -> set[str] | None:
+    """Distinct word bigrams of a line; none if there are more than `most`."""
+    met, last = set(), None
+    for m in WORD.finditer(line.lower()):
+        word = m.group()
+        if last is not None:
+            met.add(f"{last} {word}")
+            if len(met) > most:
+                return None
+        last = word
+    return met
+
+
+def _reach(a: int, b: int) -> float:
+    """Highest coefficient that sizes a and b allow, rounded as the coefficient itself is."""
+    return 2.0 * min(a, b) / (a + b)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """`doc_id, line_no` (from 0), `license, common, n_line, n_template, dice` for each line that a template fits."""
-    known = [(n, _pairs(re.findall("[a-z0-9]+", t.lower()))) for n, t in sorted(templates)]
-    bank = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("b")) for n, b in known if b])
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("w", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")).where(F.size("w") > 1)
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda x, y: F.concat_ws(" ", x, y))
-    lines = lines.select("doc_id", "line_no", F.array_distinct(pairs).alias("b"))
-    low, high = least / (2 - least), (2 - least) / least
-    fits = F.filter(bank, lambda t: (F.size("b") >= F.size(t["b"]) * low) & (F.size("b") <= F.size(t["b"]) * high))
-    def compare(t):
-        c = F.size(F.array_intersect("b", t["b"]))
-        dice = 2.0 * c / (F.size("b") + F.size(t["b"]))
-        return F.struct((-dice).alias("order"), t["license"].alias("license"), c.alias("common"), F.size("b").alias("n_line"), F.size(t["b"]).alias("n_template"), dice.alias("dice"))
-
-    met = lines.withColumn("x", F.array_min(F.transform(fits, compare))).where(F.col("x.dice") >= least)
-    return met.select("doc_id", "line_no", "x.license", "x.common", "x.n_line", "x.n_template", "x.dice")
+    named = [(n, frozenset(_pairs(WORD.findall(t.lower())))) for n, t in sorted(templates)]
+    bank = [(n, b) for n, b in named if b]
+    most = longest = max((len(b) for _, b in bank), default=0)
+    while longest and _reach(most + 1, longest) >= least:
+        most += 1
+    docs = docs.select("doc_id", "text")
+    ids = docs.schema["doc_id"].dataType.simpleString()
+
+    def best(line: str):
+        met = _bigrams(line, most)
+        top = None
+        for name, b in bank if met else ():
+            if _reach(len(met), len(b)) >= least:
+                common = len(met & b)
+                dice = 2.0 * common / (len(met) + len(b))
+                if dice >= least and (top is None or dice > top[-1]):
+                    top = name, common, len(met), len(b), dice
+        return top
+
+    def find(batches):
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+        names = ["doc_id", "line_no", "license", "common", "n_line", "n_template", "dice"]
+        for batch in batches:
+            at, got = [], []
+            for i, text in enumerate(batch.column("text")):
+                for no, line in enumerate((text.as_py() or "").split("\n")):
+                    if top := best(line):
+                        at.append(i)
+                        got.append((no, *top))
+            rows = [pa.array([r[c] for r in got], kind) for c, kind in enumerate(kinds)]
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(at, pa.int32())), *rows], names=names)
+
+    return docs.mapInArrow(find, f"doc_id {ids}, line_no int, license string, common int, n_line int, n_template int, dice double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +103,7 @@ WITH bank AS ({_BANK}),
 lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 words AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM lines),
 grams AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
-met AS (SELECT doc_id, line_no, license, len(list_intersect(g.b, k.b)) AS common, len(g.b) AS n_line, len(k.b) AS n_template FROM grams g, bank k WHERE len(g.b) BETWEEN len(k.b) * {LEAST / (2 - LEAST)} AND len(k.b) * {(2 - LEAST) / LEAST})
+met AS (SELECT doc_id, line_no, license, len(list_intersect(g.b, k.b)) AS common, len(g.b) AS n_line, len(k.b) AS n_template FROM grams g, bank k)
 SELECT doc_id, line_no::INTEGER AS line_no, license, common::INTEGER AS common, n_line::INTEGER AS n_line, n_template::INTEGER AS n_template, round(2.0::DOUBLE * common / (n_line + n_template), 9) AS dice
 FROM met WHERE 2.0::DOUBLE * common / (n_line + n_template) >= {LEAST}
 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY common * 2.0 / (n_line + n_template) DESC, license) = 1"""

@@ -259,3 +259,25 @@ def test_licence_lines(spark):
     text = "Prose here\nlicensed under the apache license version 2.0!\nReleased under MIT\n\nReleased under the MIT License."
     got = op5.scan(frame(spark, [(1, text), (2, None), (3, ""), (4, "word")])).collect()
     assert [(r.doc_id, r.line_no, r.license) for r in sorted(got, key=lambda r: r.line_no)] == [(1, 1, "Apache-2.0"), (1, 4, "MIT")]
+
+
+def test_licence_bounds(spark):
+    """Long, repeated, shortened and stretched notices against a comparison with every template."""
+    notices = [t for _, t in op5.TEMPLATES]
+    lines = [w for t in notices for n in range(len(t.split()) + 1) for w in (" ".join(t.split()[:n]), t + " x" * n + f" y{n}", f"{n} z {n + 1} " + t.upper())]
+    lines += [" ".join(notices), (notices[0] + " ") * 2000, "a b " * 50000, " ".join(map(str, range(50000)))]
+
+    def pairs(t):
+        w = re.findall("[a-z0-9]+", t.lower())
+        return set(zip(w, w[1:]))
+
+    want = []
+    for no, line in enumerate(lines):
+        a = pairs(line)
+        scores = [(-2.0 * len(a & pairs(t)) / (len(a) + len(pairs(t))), n) for n, t in op5.TEMPLATES]
+        if -min(scores)[0] >= op5.LEAST:
+            want.append((None, no, min(scores)[1], -min(scores)[0]))
+    docs = spark.createDataFrame([(None, "\n".join(lines), "kept out")], "doc_id long, text string, license string")
+    got = sorted((r.doc_id, r.line_no, r.license, r.dice) for r in op5.scan(docs).collect())
+    assert len(want) > 50 and got == want
+    assert op5.scan(docs.limit(0)).count() == 0
