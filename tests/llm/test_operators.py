@@ -281,3 +281,37 @@ def test_licence_bounds(spark):
     got = sorted((r.doc_id, r.line_no, r.license, r.dice) for r in op5.scan(docs).collect())
     assert len(want) > 50 and got == want
     assert op5.scan(docs.limit(0)).count() == 0
+
+
+def test_licence_passages(spark):
+    """Wrapped, embedded and whole licence texts; every window of small texts against all windows."""
+    bank = op5.headers()
+    notice, mit = dict(op5.TEMPLATES)["Apache-2.0"], next(t for n, f, t in bank if (n, f) == ("MIT", "body"))
+    wrapped, inside = notice.replace(" ", "\n"), "prose " * 90 + notice + " and so on" * 90
+    texts = [wrapped, inside, "é x\n" + mit, mit.replace("\n", " "), *(t for _, _, t in bank), "no licence here", None]
+    got = collections.defaultdict(list)
+    for r in op5.passages(frame(spark, list(enumerate(texts)))).collect():
+        got[r.doc_id].append((r.license, r.form, texts[r.doc_id][r.start : r.end], r.line_no, r.dice))
+    assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] == [("Apache-2.0", "notice")] and got[1][0][2] + "." == notice
+    assert [x[:2] for x in got[2]] == [x[:2] for x in got[3]] == [("MIT", "body")] and got[2][0][3:] == (1, 1.0)
+    for i, (n, f, _) in enumerate(bank):
+        assert (n, f) in [x[:2] for x in got[4 + i] if x[4] == 1.0], (n, f)
+    assert not got[4 + len(bank)] and not got[5 + len(bank)]
+    rng = np.random.default_rng(5)
+    template = [("T", "x", "a b c d e f g h"), ("U", "x", "c d a b")]
+    small = [" ".join(rng.choice(list("abcdefghxyz"), 12)) for _ in range(100)] + [" ".join(list("abcdefgh")[: rng.integers(5, 9)] + ["x"] * k + list("abcdefgh")[rng.integers(0, 3) :]) for k in range(40)]
+    found = collections.defaultdict(list)
+    for r in op5.passages(frame(spark, list(enumerate(small))), template[:1]).collect():
+        found[r.doc_id].append((r.start // 2, r.end // 2 + 1, r.dice))
+    pairs = lambda w: set(zip(w, w[1:]))
+    b = pairs(template[0][2].split())
+    for i, t in enumerate(small):
+        w = t.split()
+        # best first, shortest of equal ones, none sharing a word with one before
+        every = sorted((-2 * len(pairs(w[s:e]) & b) / (len(pairs(w[s:e])) + len(b)), s, e) for s in range(len(w) - 1) if (w[s], w[s + 1]) in b for e in range(s + 2, len(w) + 1))
+        want = []
+        for d, s, e in every:
+            if -d >= op5.LEAST and all(e <= x or y <= s for x, y, _ in want):
+                want.append((s, e, -d))
+        assert found[i] == sorted(want), t
+    assert sum(map(len, found.values())) > 40
