@@ -1,11 +1,17 @@
 r"""Personal data by patterns, and terms that disclose it by what the corpus knows (native DataFrame operations only).
 
-Patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers: the protected entities. For every
-entity e and every term t (a run of three letters or more, lower-cased) within `CONTEXT` characters of it, the corpus gives
-    disclosure(t, e) = PMI(t, e) / IC(e),   PMI = ln(c(t,e) W / (c(t) c(e))),   IC = ln(W / c(e))
-with W windows of `CONTEXT` characters in all texts, c(e) occurrences of e, c(t) occurrences of t anywhere, c(t,e)
-occurrences of e with t near. 1 means that t never occurs without e. A term that reaches `THRESHOLD` for an entity it meets
-in `TEXTS` different texts or more is a span wherever it stands, also far from the entity, and is generalised to a mark.
+Patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers: the protected entities. Besides each
+entity its mail domain and its kind are judged, so that terms at rare entities have evidence too. For e, an entity or such a
+class, and every term t (a run of three letters or more, lower-cased) within `CONTEXT` characters of it, the corpus gives
+    disclosure(t, e) = PMI(t, e) / IC(e) = 1 + ln P(e|t) / ln(W / c(e)),   IC = ln(W / c(e))
+with W windows of `CONTEXT` characters in all texts and c(e) occurrences of e. P(e|t) is c(t,e) / c(t), 1 at most, smoothed
+to independence: n texts that show t at e count n, and c(e) / W counts `SMOOTH`; c(t) are occurrences of t anywhere, c(t,e)
+occurrences of e with t near. Copies of a text are one text. A term that reaches `THRESHOLD` for an entity or class is a
+span wherever it stands, also far from the entity, and is generalised to a mark. A class at every window discloses nothing.
+One text is enough where W / c(e) passes 2 ** 20 (64 MB of text for an entity that occurs once), three are for W / c(e) over
+about 400.
+
+The context is taken by position: over other matches, and without a word that its edge cuts.
 
 Terms are sought by a semi-join on hash buckets (at most 2 ** `BUCKET_BITS` numbers, hence broadcast) and then exactly by
 value. Positions are prefix sums of the lengths between and of matches, inside the row.
@@ -29,7 +35,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Kind, pattern, and a cheaper pattern that every text with a valid match has.
 KINDS = [("email", EMAIL, "@"), ("ip", IP, r"[0-9]\.[0-9]"), ("card", CARD, r"(?:[0-9][\x20-]?){15}[0-9]"), ("phone", PHONE, r"\+[0-9]")]
-CONTEXT, THRESHOLD, TEXTS, BUCKET_BITS, RUN = 64, 0.95, 3, 20, 256
+CONTEXT, THRESHOLD, SMOOTH, BUCKET_BITS, RUN = 64, 0.95, 1.0, 20, 256
 
 
 def _none() -> Column:
@@ -74,17 +80,24 @@ def occurrences(texts: DataFrame) -> DataFrame:
     m = _matches(texts.select("text"), "text", KINDS)
 
     def each(kind: str) -> Column:
-        parts = F.col(f"parts_{kind}")
-
-        def near(x, i):
-            before, after = F.get(parts, i), F.get(parts, i + 1)
-            # a word cut by the edge of the context is left out
-            left = F.when(F.length(before) > CONTEXT, F.regexp_replace(F.substring(before, -CONTEXT, CONTEXT), r"^\p{L}+", "")).otherwise(before)
-            right = F.when(F.length(after) > CONTEXT, F.regexp_replace(F.substring(after, 1, CONTEXT), r"\p{L}+$", "")).otherwise(after)
-            key = F.lower(x) if kind in ("email", "ip") else F.regexp_replace(x, "[^0-9]", "")
-            return F.struct(F.concat(F.lit(kind + ":"), key).alias("entity"), F.array_distinct(_terms(F.concat_ws(" ", left, right))).alias("terms"), _valid(kind, x).alias("ok"))
-
-        return F.filter(F.transform(f"found_{kind}", near), lambda s: s["ok"])
+        parts, found = F.col(f"parts_{kind}"), F.col(f"found_{kind}")
+        whole = lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))
+
+        def near(s):
+            # a match has two characters or more, so the context reaches over `CONTEXT` / 2 others at most
+            i, first = s["i"], F.greatest(s["i"] - CONTEXT // 2 - 1, F.lit(0))
+            ahead = F.zip_with(F.slice(parts, first + 1, i - first), F.slice(found, first + 1, i - first), whole)
+            after = F.zip_with(F.slice(parts, i + 2, F.lit(CONTEXT // 2 + 2)), F.slice(found, i + 2, F.lit(CONTEXT // 2 + 2)), whole)
+            # one character more tells whether the edge of the context cuts a word, which is left out
+            wide_l, wide_r = F.concat(F.array_join(ahead, ""), F.get(parts, i)), F.array_join(after, "")
+            left = F.regexp_replace(F.substring(wide_l, -CONTEXT - 1, CONTEXT + 1), rf"^(?=[\s\S]{{{CONTEXT + 1}}})(?:\p{{L}}+|[\s\S])", "")
+            left = F.when(F.length(wide_l) > CONTEXT, left).otherwise(wide_l)
+            right = F.when(F.length(wide_r) > CONTEXT, F.regexp_replace(F.substring(wide_r, 1, CONTEXT + 1), r"(?:\p{L}+|[\s\S])\z", "")).otherwise(wide_r)
+            key = F.lower(s["x"]) if kind in ("email", "ip") else F.regexp_replace(s["x"], "[^0-9]", "")
+            return F.struct(F.concat(F.lit(kind + ":"), key).alias("entity"), F.array_distinct(_terms(F.concat_ws(" ", left, right))).alias("terms"))
+
+        placed = F.transform(found, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        return F.transform(F.filter(placed, lambda s: _valid(kind, s["x"])), near)
 
     m = m.where(reduce(lambda a, b: a | b, [F.size(f"found_{k}") > 0 for k, _, _ in KINDS]))
     return m.select(F.xxhash64("text").alias("th"), F.explode(F.concat(*[each(k) for k, _, _ in KINDS])).alias("s")).select("th", "s.entity", "s.terms")
@@ -101,25 +114,43 @@ def _words_in(texts: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
     return words.join(some, _bucket("word") == F.col("bucket"), "left_semi")
 
 
-def disclosing(texts: DataFrame, threshold: float = THRESHOLD, min_texts: int = TEXTS) -> DataFrame:
-    """`term, entity, disclosure` of the terms that disclose an entity; `texts` has a non-null `text`."""
+def _classes(entity: Column) -> list[Column]:
+    """The mail domain (null for others) and the kind of an entity."""
+    kind = F.substring_index(entity, ":", 1)
+    return [F.when(kind == "email", F.concat(F.lit("email:@"), F.substring_index(entity, "@", -1))), kind]
+
+
+def disclosing(texts: DataFrame, threshold: float = THRESHOLD, smooth: float = SMOOTH) -> DataFrame:
+    """`term, entity, disclosure` of the terms that disclose an entity or class; `texts` has a non-null `text`."""
     occ = staged(occurrences(texts))
-    pairs = occ.select("entity", "th", F.explode("terms").alias("term")).groupBy("term", "entity", "th").agg(F.count("*").alias("n"))
-    pairs = staged(pairs.groupBy("term", "entity").agg(F.sum("n").alias("cte"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts))
+    targets = F.array_compact(F.array("entity", *_classes(F.col("entity"))))
+    met = occ.select("th", "terms", F.explode(targets).alias("entity")).select("th", "entity", F.explode("terms").alias("term"))
+    pairs = met.groupBy("term", "entity", "th").agg(F.count("*").alias("n"))
+    pairs = staged(pairs.groupBy("term", "entity").agg(F.sum("n").alias("cte"), F.count("*").alias("texts")))
     ct = _words_in(texts, pairs).groupBy("word").agg(F.count("*").alias("ct"))
-    ce = occ.groupBy("entity").agg(F.count("*").alias("ce"))
+    # the few kinds, which nearly every term meets, are not joined
+    ce = occ.select(F.explode(targets).alias("entity")).groupBy("entity").agg(F.count("*").alias("ce"))
+    ce = staged(ce)
+    kinds = {r["entity"]: r["ce"] for r in ce.where(F.col("entity").isin([k for k, _, _ in KINDS])).collect()}
+    common = F.lit(None).cast("long")
+    for k, n in kinds.items():
+        common = F.when(F.col("entity") == k, F.lit(n)).otherwise(common)
+    few = F.col("entity").isin([k for k, _, _ in KINDS])
+    pairs = pairs.where(~few).join(ce, "entity").unionByName(pairs.where(few).withColumn("ce", common))
     windows = float(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) / CONTEXT
     w = F.lit(max(windows, 1.0))
-    score = F.log(F.col("cte") * w / (F.col("ct") * F.col("ce"))) / F.log(F.greatest(w / F.col("ce"), F.lit(1.0 + 1e-9)))
-    named = pairs.join(ct, F.col("term") == F.col("word")).join(ce, "entity").select("term", "entity", score.alias("disclosure"))
+    share = F.least(F.col("cte") / F.col("ct"), F.lit(1.0))
+    share = (F.col("texts") * share + smooth * F.col("ce") / w) / (F.col("texts") + smooth)
+    score = 1 + F.log(share) / F.log(w / F.col("ce"))
+    named = pairs.where(F.col("ce") < w).join(ct, F.col("term") == F.col("word")).select("term", "entity", score.alias("disclosure"))
     return staged(named.where(F.col("disclosure") >= threshold))
 
 
-def spans(docs: DataFrame, threshold: float = THRESHOLD, min_texts: int = TEXTS) -> DataFrame:
+def spans(docs: DataFrame, threshold: float = THRESHOLD, smooth: float = SMOOTH) -> DataFrame:
     """`docs` with `pii`: array of `kind, start, end` (code points, end exclusive), by kind as listed, terms last."""
     d = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     texts = d.select(F.col("_text").alias("text"))
-    terms = disclosing(texts, threshold, min_texts).select("term").distinct()
+    terms = disclosing(texts, threshold, smooth).select("term").distinct()
     hits = _words_in(texts.select("text", F.sha2("text", 256).alias("key")), terms, "key").distinct().join(terms, F.col("word") == F.col("term"))
     hits = staged(hits.groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("_terms")))
     d = d.withColumn("_key", F.sha2("_text", 256)).join(hits, F.col("_key") == F.col("key"), "left").drop("key", "_key")
@@ -162,9 +193,9 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD, min_texts: int = TEXTS)
     return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.concat(*out).alias("pii"))
 
 
-def sanitised(docs: DataFrame, threshold: float = THRESHOLD, min_texts: int = TEXTS) -> DataFrame:
+def sanitised(docs: DataFrame, threshold: float = THRESHOLD, smooth: float = SMOOTH) -> DataFrame:
     """`docs` whose text has `[KIND]` in place of every span (overlapping spans become one), and `n_chars` to match."""
-    s = spans(docs, threshold, min_texts)
+    s = spans(docs, threshold, smooth)
     cuts = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def join(done, x):

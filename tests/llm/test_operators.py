@@ -315,3 +315,18 @@ def test_licence_passages(spark):
                 want.append((s, e, -d))
         assert found[i] == sorted(want), t
     assert sum(map(len, found.values())) > 40
+
+
+def test_disclosure_of_rare_entities(spark):
+    """Terms whose entities occur once are judged by class; contexts reach over other matches, by position."""
+    filler = [f"{a} {b} meadow river stone and so on " * 20 for a in ("oak", "elm", "ash") for b in ("fen", "moor")]
+    texts = [f"{filler[k]} write to Quillfeather at user{k}@quill{k}.example about it {filler[-1]}" for k in range(5)] + filler * 40
+    got = {(r.term, r.entity) for r in op8.disclosing(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert ("quillfeather", "email") in got and not {"meadow", "river", "stone"} & {t for t, _ in got}
+    card, pad = "4111 1111 1111 1111", "x" * 30
+    for text in (f"alpha 12; beta 34; {card}, gamma 56; delta 78; omega", f"{pad} seen {pad} 77; whole {card}; {'10; 22; ' * 7}near {pad}", "edge" + "." * 60 + card + "." * 60 + "last", "yedge" + "." * 60 + card + "." * 60 + "lastly", "few " + "12; " * 14 + card + " end"):
+        r = op8.occurrences(spark.createDataFrame([(text,)], "text string")).collect()
+        at = text.index(card)
+        lo, hi = max(0, at - 64), min(len(text), at + len(card) + 64)
+        want = {m.group() for m in re.finditer("[a-z]{3,}", text) if lo <= m.start() and m.end() <= hi and not at <= m.start() < at + len(card)}
+        assert len(r) == 1 and set(r[0].terms) == want and r[0].entity == "card:" + card.replace(" ", ""), text
