@@ -12,7 +12,10 @@
    `CHUNK` against chunks, so no task holds a whole neighbourhood.
 5. *Components* of the found links.
 
-Links that would join what is joined already are not searched for: components are exact, the pair list is not listed.
+`jaccard_components` does not search for links that would join what is joined already: its components are exact, and most
+members of a large neighbourhood meet only the lead. In `jaccard_links` every representative probes all chunks of its
+neighbourhood; it counts all links of each document, and its components come from the same walk. Counts are summed by
+representative and its copies before they go to documents, so no pair of documents is listed.
 
 Nulls: null text is empty; an empty set links with nothing. Every row counts by its own text, also where an id is
 repeated. Rows without an id take part; a group of only such rows has a null component. Extra columns are ignored.
@@ -243,8 +246,11 @@ class PrefixTree:
         mask[x] = 0
 
 
-def tree_links(members: list[tuple[int, np.ndarray]], probes: list[tuple[int, np.ndarray]], pct: int) -> list[tuple[int, int]]:
-    """Links (ids) between probes and members that join what was apart: enough for exact components."""
+def tree_links(members: list[tuple[int, np.ndarray]], probes: list[tuple[int, np.ndarray]], pct: int, met: dict[int, list[int]] | None = None) -> list[tuple[int, int]]:
+    """Links (ids) between probes and members that join what was apart: enough for exact components.
+
+    `met`, where given, gets all members but itself that each probe links with.
+    """
     allt = np.concatenate([s for _, s in members])
     vocab, df = np.unique(allt, return_counts=True)
     rank = np.empty(len(vocab), np.int64)
@@ -261,11 +267,14 @@ def tree_links(members: list[tuple[int, np.ndarray]], probes: list[tuple[int, np
     groups = len({r for r, _ in members} | {r for r, _ in probes})
     out = []
     for rid, s in probes:
-        if groups == 1:
+        if groups == 1 and met is None:
             break
         at = np.minimum(np.searchsorted(vocab, s), len(vocab) - 1)
         x = np.sort(rank[at[vocab[at] == s]])
-        for i in list(tree.linked(x, len(s), mask, pct)):
+        found = list(tree.linked(x, len(s), mask, pct))
+        if met is not None:
+            met[rid] = [members[i][0] for i in found if members[i][0] != rid]
+        for i in found:
             a, b = root(rid), root(members[i][0])
             if a != b:
                 up[a] = b
@@ -320,20 +329,75 @@ def links(reps: DataFrame, pct: int, chunk: int) -> DataFrame:
     return star.where("linked and rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(tree)
 
 
-def jaccard_components(docs: DataFrame, pct: int = 75, k: int = 5, chunk: int = CHUNK) -> DataFrame:
-    """`doc_id, n_shingles, component_id` per row of `docs`; documents link at a Jaccard of `pct` % (75 or more)."""
+def all_links(reps: DataFrame, pct: int, chunk: int) -> DataFrame:
+    """`a, b, n`: links that join the components (n 0), and per probe and chunk the rows that all its links lead to (b null)."""
+    near, _ = neighbours(reps, pct)
+    hood = components(near).select(F.col("node").alias("rid"), F.col("label").alias("hood"))
+    m = staged(reps.select("rid", "hashes", "copies").join(hood, "rid"))
+    size = m.groupBy("hood").agg(F.ceil(F.count("*") / chunk).cast("int").alias("cs"))
+    m = m.join(size, "hood")
+    deal = lambda seed: F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("cs")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("cs") - 1))
+    stay = m.select("hood", every.alias("pc"), deal(1).alias("mc"), F.lit(True).alias("member"), "rid", "hashes", "copies")
+    go = m.select("hood", deal(2).alias("pc"), every.alias("mc"), F.lit(False).alias("member"), "rid", "hashes", "copies")
+
+    def walk(t: pa.Table) -> pa.Table:
+        raw, off = buffers(t.column("hashes"))
+        sets = [np.frombuffer(raw[a:z].tobytes(), np.uint64) for a, z in zip(off[:-1], off[1:])]
+        rid, isin, copies = (t.column(c).to_pylist() for c in ("rid", "member", "copies"))
+        members = [(r, s) for r, s, y in zip(rid, sets, isin) if y]
+        probes = [(r, s) for r, s, y in zip(rid, sets, isin) if not y]
+        weight, met = dict(zip(rid, copies)), {}
+        out = [(a, b, 0) for a, b in tree_links(members, probes, pct, met)] if members and probes else []
+        out += [(r, None, sum(weight[x] for x in got)) for r, got in met.items() if got]
+        return pa.table({c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate("abn")})
+
+    return staged(stay.union(go).groupBy("hood", "pc", "mc").applyInArrow(walk, "a long, b long, n long"))
+
+
+def _classes(docs: DataFrame, pct: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the signature of their set, and one representative of each set that may link."""
     if pct < 75:
         raise ValueError("the filter on halves needs a threshold of 75 % or more")
     rows = staged(survivors(docs, k).withColumn("sig", F.sha2("hashes", 256)))
     alive = rows.where("hashes is not null")
-    reps = alive.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes"))
-    reps = staged(reps.withColumn("rid", F.xxhash64("sig")))
-    label = components(links(reps, pct, chunk))
-    named = reps.select("sig", "rid", "doc").join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    reps = alive.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes"), F.count("*").alias("copies"))
+    return rows, staged(reps.withColumn("rid", F.xxhash64("sig")))
+
+
+def _named(rows: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFrame:
+    """`doc_id, n, sig, rid, copies, class_id, component_id` per row."""
+    label = components(joined)
+    named = reps.select("sig", "rid", "doc", "copies").join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     lowest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = staged(named.select("sig", "label").join(lowest, "label").select("sig", "component_id"))
+    named = staged(named.join(lowest, "label").select("sig", "rid", "copies", F.col("doc").alias("class_id"), "component_id"))
     out = rows.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = lambda c: F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", "n", "sig", "rid", "copies", own("class_id"), own("component_id"))
+
+
+def jaccard_components(docs: DataFrame, pct: int = 75, k: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """`doc_id, n_shingles, component_id` per row of `docs`; documents link at a Jaccard of `pct` % (75 or more)."""
+    rows, reps = _classes(docs, pct, k)
+    return _named(rows, reps, links(reps, pct, chunk)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def jaccard_links(docs: DataFrame, pct: int = 75, k: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """`doc_id, n_shingles, class_id, component_id, n_links` per row of `docs`.
+
+    A class holds the rows with equal sets and is named by its smallest id (null: none has one); `n_links` counts the other
+    rows at `pct` % or more, copies included.
+    """
+    rows, reps = _classes(docs, pct, k)
+    found = all_links(reps, pct, chunk)
+    count = found.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("others"))
+    named = _named(rows, reps, found.where("b is not null").select("a", "b")).join(count, "rid", "left")
+    links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", links.cast("long").alias("n_links"))
+
+
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,3 +330,23 @@ def test_disclosure_of_rare_entities(spark):
         lo, hi = max(0, at - 64), min(len(text), at + len(card) + 64)
         want = {m.group() for m in re.finditer("[a-z]{3,}", text) if lo <= m.start() and m.end() <= hi and not at <= m.start() < at + len(card)}
         assert len(r) == 1 and set(r[0].terms) == want and r[0].entity == "card:" + card.replace(" ", ""), text
+
+
+@pytest.mark.parametrize("chunk", [512, 2])
+def test_jaccard_links(spark, sample, chunk):
+    """All links of each row, its class and component, against all pairs."""
+    one = lambda x: -1 if x is None else x
+    df = frame(spark, sample)
+    got = op9.jaccard_links(df, chunk=chunk).collect()
+    sets = []
+    for _, t in sample:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    want = []
+    for i, (d, _) in enumerate(sample):
+        same = [e for j, (e, _) in enumerate(sample) if sets[i] and sets[j] == sets[i] and e is not None]
+        n = sum(j != i and bool(s) and 100 * len(s & sets[i]) >= 75 * len(s | sets[i]) for j, s in enumerate(sets))
+        want.append((one(d), len(sets[i]), min(same) if same else one(d), n))
+    assert sorted((one(r.doc_id), r.n_shingles, one(r.class_id), r.n_links) for r in got) == sorted(want) and max(w[3] for w in want) > 5
+    parts = op9.jaccard_components(df, chunk=chunk).collect()
+    assert sorted((one(r.doc_id), one(r.component_id)) for r in got) == sorted((one(r.doc_id), one(r.component_id)) for r in parts)
