@@ -1,8 +1,8 @@
 """A training corpus in stages: language, near duplicates, benchmark passages, personal data, packing.
 
 Every stage works on all documents its predecessor kept. Language: documents without any letter (or text) go; `lang` of the
-rest is what the mixture model predicts. Near duplicates: of each linked group the document with the smallest doc_id stays,
-once; rows without an id stay once per text. Benchmark passages: documents that hold one go. Personal data: every span is
+rest is what the mixture model predicts. Near duplicates: of each linked group one row stays, the first by doc_id (rows
+without an id last); rows count by their own text, also where an id is repeated. Benchmark passages: documents that hold one go. Personal data: every span is
 replaced by its mark, `n_chars` follows. Packing: the pieces and their places.
 """
 
@@ -21,11 +21,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group: the one with the smallest doc_id, once."""
-    groups = op9_prefix_tree_join.jaccard_components(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One row of each linked group: the one with the smallest doc_id (null last), then the smallest key.
+
+    A row's key is a hash of id and text: rows that share it are copies with one id, of which one stays.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = op9_prefix_tree_join.jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    ids = keyed.select("_row", "doc_id").distinct()
+    named = groups.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(ids, "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    keep = named.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -350,3 +350,25 @@ def test_jaccard_links(spark, sample, chunk):
     assert sorted((one(r.doc_id), r.n_shingles, one(r.class_id), r.n_links) for r in got) == sorted(want) and max(w[3] for w in want) > 5
     parts = op9.jaccard_components(df, chunk=chunk).collect()
     assert sorted((one(r.doc_id), one(r.component_id)) for r in got) == sorted((one(r.doc_id), one(r.component_id)) for r in parts)
+
+
+def test_near_duplicates_by_row(spark, sample):
+    """One row of each group of all pairs, where an id is repeated with different texts or missing."""
+    import corpus_pipeline
+
+    rows = [*sample, *((7000, f"unique {' '.join(f'{a}{k}' for a in 'abcdefgh')}") for k in range(5)), (7000, sample[45][1]), (None, sample[0][1] + " more"), (None, sample[46][1]), (None, "alone " * 3 + "x y z"), (None, "alone " * 3 + "x y z")]
+    rows = [(i, t) for i, t in rows if words(t)]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()
+    w = [words(t) for _, t in rows]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} if len(x) >= 5 else {tuple(x)} for x in w]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for g, (i, _) in zip(group, rows):
+        first[g] = min(first.get(g, (True, 0)), (i is None, i or 0))
+    where = {row: g for row, g in zip(rows, group)}
+    kept = [(where[r.doc_id, r.text], (r.doc_id is None, r.doc_id or 0)) for r in got]
+    assert sorted(kept) == sorted(first.items()) and sum(r.doc_id == 7000 for r in got) == 5
