@@ -9,7 +9,7 @@ to independence: n texts that show t at e count n, and c(e) / W counts `SMOOTH`;
 occurrences of e with t near. Copies of a text are one text. A term that reaches `THRESHOLD` for an entity or class is a
 span wherever it stands, also far from the entity, and is generalised to a mark. A class at every window discloses nothing.
 One text is enough where W / c(e) passes 2 ** 20 (64 MB of text for an entity that occurs once), three are for W / c(e) over
-about 400.
+about 320.
 
 The context is taken by position: over other matches, and without a word that its edge cuts.
 
