@@ -69,15 +69,15 @@ EV = """ev AS (
                (epoch_us(ts) - 1704067200000000)::DOUBLE / 60000000.0::DOUBLE AS m
         FROM events))"""
 
-# one user in one period; ten clock minutes per slice
-HALF = Line(("user_id", "period"), "clock", ("event_id",), width=10.0)
-HALF_S = Line(("user_id", "period"), "clock_s", ("event_id",), width=600.0)
-USER = Line(("user_id",), "clock", ("event_id",), width=10.0)
+# one user in one period
+HALF = Line(("user_id", "period"), "clock", ("event_id",))
+HALF_S = Line(("user_id", "period"), "clock_s", ("event_id",))
+USER = Line(("user_id",), "clock", ("event_id",))
 
 
 def chosen(spark: SparkSession, line: Line) -> Line:
-    """A user in a period plays one player's half, bounded by nature; ``spark.keystride.sliced`` asks for slices."""
-    return line if spark.conf.get("spark.keystride.sliced", "false") == "true" else line.bounded()
+    """Any user may hold any share of the rows, so lines are dealt; ``spark.keystride.whole`` asks for one window per user."""
+    return line.bounded() if spark.conf.get("spark.keystride.whole", "false") == "true" else line
 
 
 def half(spark: SparkSession, sf_dir: str) -> Line:

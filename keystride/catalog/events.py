@@ -104,13 +104,13 @@ def _gap_sql(keys):
 
 @query("e06_recovery_gap", _gap_sql("user_id"))
 def _(spark, d):
-    out = E.recovery_gaps(intervals(spark, d), ["user_id"], half_s(spark, d).width)
+    out = E.recovery_gaps(intervals(spark, d), ["user_id"], half_s(spark, d).whole)
     return rounded(out.select("event_id", "recovery_before_s"), "recovery_before_s", digits=5)
 
 
 @query("e07_recovery_gap_by_period", _gap_sql("user_id, period"))
 def _(spark, d):
-    out = E.recovery_gaps(intervals(spark, d), KEYS, half_s(spark, d).width)
+    out = E.recovery_gaps(intervals(spark, d), KEYS, half_s(spark, d).whole)
     return rounded(out.select("event_id", "recovery_before_s"), "recovery_before_s", digits=5)
 
 

@@ -8,12 +8,6 @@ from ..operators.ordered import Line
 from .base import EV, ev, query, rounded, table, user
 
 
-def slices(spark, d):
-    """Slice length in clock seconds, none if every user is small."""
-    w = user(spark, d).width
-    return None if w is None else 60.0 * w
-
-
 SIGN = """iv AS (SELECT user_id, clock AS t0, clock + value / 20 AS t1, k AS tag FROM ev WHERE event_type = 'signup'),
  pt AS (SELECT event_id, user_id, clock FROM ev WHERE event_type <> 'signup')"""
 
@@ -25,7 +19,7 @@ def _(spark, d):
     e = ev(spark, d)
     iv = e.where(F.col("event_type") == "signup").select("user_id", F.col("clock").alias("t0"), (F.col("clock") + F.col("value") / 20).alias("t1"), F.col("k").alias("tag"))
     pts = e.where(F.col("event_type") != "signup").select("event_id", "user_id", "clock")
-    return J.as_of_label(pts, iv, ["user_id"], "clock", "t0", "t1", {"tag": -1}, width=user(spark, d).width).select("event_id", "tag")
+    return J.as_of_label(pts, iv, ["user_id"], "clock", "t0", "t1", {"tag": -1}, whole=user(spark, d).whole).select("event_id", "tag")
 
 
 @query("j02_as_of_frames", f"""
@@ -36,7 +30,7 @@ def _(spark, d):
     e = ev(spark, d).withColumn("f", F.floor("clock_s"))
     iv = e.where(F.col("event_type") == "signup").select("user_id", F.col("f").alias("f0"), (F.col("f") + F.col("k")).alias("f1"))
     pts = e.where(F.col("event_type") != "signup").select("event_id", "user_id", "f")
-    return J.as_of_label(pts, iv, ["user_id"], "f", "f0", "f1", {"f1": -1}, width=slices(spark, d), closed=True).select("event_id", "f1")
+    return J.as_of_label(pts, iv, ["user_id"], "f", "f0", "f1", {"f1": -1}, whole=user(spark, d).whole, closed=True).select("event_id", "f1")
 
 
 LAB = """ob AS (SELECT user_id, clock AS t0, clock + 0.5 + k / 40.0 AS t1, k % 3 = 0 AS is_instant, CASE WHEN k % 11 = 3 THEN 'FOCAL' WHEN k % 2 = 1 THEN 'TEAMMATE' ELSE 'OPPONENT' END AS player_otb FROM ev WHERE event_type = 'view'),
@@ -56,7 +50,7 @@ def _(spark, d):
     team = F.when(k % 3 == 0, "FOCAL").when(k % 3 == 1, "OPP").otherwise("DEAD")
     spans = e.where(F.col("event_type") == "purchase").select("user_id", F.col("clock").alias("t0"), (F.col("clock") + 1 + F.col("value") / 30).alias("t1"), team.alias("team_possession"))
     pts = e.where(~F.col("event_type").isin("view", "purchase")).select("event_id", "user_id", "clock")
-    return P.label_frames(pts, otb, spans, ["user_id"], time="clock", width=user(spark, d).width).drop("user_id", "clock")
+    return P.label_frames(pts, otb, spans, ["user_id"], time="clock", whole=user(spark, d).whole).drop("user_id", "clock")
 
 
 @query("j04_enrich_intervals", f"""
@@ -108,7 +102,7 @@ SELECT player, minute_bin, minute_bin + 0.5 AS t_centre_min, round(s_player, 7)
 def _(spark, d):
     near = N.k_nearest(em(spark, d), ["frame"], "vec_id", "team")
     near = near.withColumns({"player": F.col("vec_id") % 10, "clock_s": (F.col("frame") * 20).cast("double")})
-    fps = N.fps_of(near.select("player", "clock_s").distinct(), Line(("player",), "clock_s", (), 6000.0))
+    fps = N.fps_of(near.select("player", "clock_s").distinct(), Line(("player",), "clock_s", ()))
     out = N.nearest_minutes(near, fps, ["player"], "clock_s")
     return rounded(rounded(out, *[c for c in out.columns if c[:2] in ("s_", "d_")], digits=7), "coverage")
 
@@ -207,4 +201,4 @@ def _(spark, d):
     e, k = ev(spark, d), F.col("k")
     p = e.where(F.col("event_type") == "purchase").select("event_id", "user_id", F.col("clock").alias("t"), F.when(k % 7 != 0, k % 5).alias("actor"))
     f = e.where(F.col("event_type") != "purchase").select("user_id", F.col("clock").alias("ft"), (k % 5).alias("near"))
-    return rounded(J.nearest_is_actor(p, f, ["user_id"], "t", "ft", "actor", "near", width=user(spark, d).width), "p_nearest_is_actor", digits=8)
+    return rounded(J.nearest_is_actor(p, f, ["user_id"], "t", "ft", "actor", "near", whole=user(spark, d).whole), "p_nearest_is_actor", digits=8)

@@ -11,13 +11,9 @@ from .possession import dead, otb, span_sql
 from .scalar import POS_SQL, POSITIONS, phi_sql
 from .windows import grid_sql, lowess_sql
 
-def width(spark, d, keys=("user_id", "period")):
-    """Slice length in clock seconds, none while player-halves count as bounded."""
-    return chosen(spark, Line(keys, "clock_s", ("event_id",), 600.0)).width
-
-
-def dense_width(spark, d):
-    return chosen(spark, Line(("player",), "clock_s", ("event_id",), 600.0)).width
+def whole(spark):
+    """Whether a player's half is taken for bounded."""
+    return user(spark, "").whole
 
 
 TRACK = EV + """, xy AS (SELECT *, user_id % 7 AS match_id, user_id AS player_id, value AS x, k::DOUBLE AS y FROM ev)"""
@@ -38,7 +34,7 @@ def track(spark, d):
 
 
 def panel(spark, d):
-    return jobs.kinematic_panel(track(spark, d), width(spark, d), stride=1, average=2)
+    return jobs.kinematic_panel(track(spark, d), whole(spark), stride=1, average=2)
 
 
 def positions(spark, d):
@@ -82,7 +78,7 @@ def dense_track(spark, d):
 
 
 def dense_panel(spark, d):
-    return jobs.kinematic_panel(dense_track(spark, d), dense_width(spark, d), stride=1, average=2)
+    return jobs.kinematic_panel(dense_track(spark, d), whole(spark), stride=1, average=2)
 
 
 def dense_positions(spark, d):
@@ -107,7 +103,7 @@ WITH {PROFILE_SQL}, um AS (SELECT user_id, metric, i::INT AS minute FROM (SELECT
 SELECT user_id % 7 AS match_id, user_id AS player_id, metric, half, minute, round(zz.z, 5) AS z, round({phi_sql('m5a')}, 6) AS phi_5a, round({phi_sql('r10')}, 6) AS phi_roll10 FROM zz LEFT JOIN zn USING (user_id, metric, half, minute)""")
 def _(spark, d):
     p, pos = dense_panel(spark, d), dense_positions(spark, d)
-    w = dense_width(spark, d)
+    w = whole(spark)
     s = jobs.relative_speed(p, pos, jobs.profiles(p, pos, w), ("speed", "acceleration", "distance", "jerk"), w)
     s = s.select("match_id", "player_id", "metric", "half", F.col("minute").cast("int").alias("minute"), "z", "phi_5a", "phi_roll10")
     return rounded(rounded(s, "z", digits=5), "phi_5a", "phi_roll10")
@@ -115,7 +111,7 @@ def _(spark, d):
 
 @query("c08_profiles", f'WITH {PROFILE_SQL} SELECT level, "group", minute, metric, n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM prof')
 def _(spark, d):
-    return rounded(jobs.profiles(dense_panel(spark, d), dense_positions(spark, d), dense_width(spark, d)), "mean", "sd")
+    return rounded(jobs.profiles(dense_panel(spark, d), dense_positions(spark, d), whole(spark)), "mean", "sd")
 
 
 SPRINT_SQL = f"""{PANEL}, jj AS (SELECT *, (a_tan_use - lag(a_tan_use) OVER w) / nullif(greatest(clock_s - lag(clock_s) OVER w, 0), 0) AS jt0 FROM panel WINDOW w AS (PARTITION BY user_id, period ORDER BY clock_s, event_id)),
@@ -139,11 +135,11 @@ def _line_part(y, sy):
 WITH {sprint_sql()}, ln AS ({_line_part('distance_m', 42.0)} UNION ALL {_line_part('peak_speed', 7.0)})
 SELECT user_id % 7 AS match_id, user_id AS player_id, 'ols_line_angle' AS section, y_metric, period, round(cm, 4) AS minute, round((atan(b) + pi() / 2) / pi(), 6) AS "roll_A" FROM ln""")
 def _(spark, d):
-    w = width(spark, d)
+    w = whole(spark)
     table = jobs.sprints(panel(spark, d), w, k_high=0.3, k_low=0.2, gap=60.0)
     from ..session import stage
 
-    out = jobs.sprint_recovery(stage(table), rows=4, min_rows=2, width=w)
+    out = jobs.sprint_recovery(stage(table), rows=4, min_rows=2, whole=w)
     return rounded(rounded(out, "minute", digits=4), "roll_A")
 
 
@@ -162,7 +158,7 @@ def _(spark, d):
     )
     clock = e.select((F.col("frame") % 3).alias("match_id"), (F.col("vec_id") % 10).alias("player_id"), F.col("periodGameClockTime").alias("video_time_s"), F.lit(0).alias("frameNum")).distinct()
     mins = jobs.N.nearest_minutes(near, jobs.N.fps_of(clock, jobs.player_line(6000.0)), list(jobs.HALF), "periodGameClockTime")
-    lead = jobs.W.signed_lead(mins, Line(jobs.HALF, "t_centre_min", (), 10.0), {"d_resid_tm": "teammates", "d_resid_op": "opponents"})
+    lead = jobs.W.signed_lead(mins, Line(jobs.HALF, "t_centre_min"), {"d_resid_tm": "teammates", "d_resid_op": "opponents"})
     return rounded(rounded(lead.drop("period"), "r", "ma7", digits=7), "C").withColumn("N", F.round("N", 8))
 
 
@@ -174,7 +170,7 @@ def _(spark, d):
         (F.col("user_id") % 7).alias("match_id"), F.col("user_id").alias("player_id"), "period", F.col("clock_s").alias("game_clock_s"), F.col("clock").alias("minute"),
         ((F.col("value") - 50) * 80 / 97).alias("individual_synergy"), ((F.col("k") - 50) * 40.0).alias("team_synergy"),
     )
-    out = jobs.synergy_curve(e, width=half(spark, d).width).select("match_id", "player_id", "period", "minute", "m", "m_w1", "m_w3", "m_w5", "m_w10")
+    out = jobs.synergy_curve(e, whole=half(spark, d).whole).select("match_id", "player_id", "period", "minute", "m", "m_w1", "m_w3", "m_w5", "m_w10")
     return rounded(rounded(out, "m", "m_w1", "m_w3", "m_w5", "m_w10", digits=9), "minute", digits=4)
 
 
@@ -209,7 +205,7 @@ def possession(spark, d):
         "event_id", "user_id", "clock", F.when(k % 23 != 0, F.col("value")).alias("ball_x"), k.cast("double").alias("ball_y"), F.when(k % 19 != 0, F.col("value") / 10).alias("d_focal"),
         F.when(k % 13 != 0, k / 10.0).alias("d_opp"), (k % 11).alias("player_id_focal_nearest"), (k % 7 + 20).alias("player_id_opp_nearest"),
     )
-    return jobs.possession(o, dead(spark, d), fr, ("user_id",), radius=2.5, focal_player=F.lit(3), time="clock", ident="event_id", frame="event_id", width=user(spark, d).width)
+    return jobs.possession(o, dead(spark, d), fr, ("user_id",), radius=2.5, focal_player=F.lit(3), time="clock", ident="event_id", frame="event_id", whole=user(spark, d).whole)
 
 
 @query("e16_possession_both", f"""
@@ -227,7 +223,7 @@ def _(spark, d):
 
 
 def report(spark, d):
-    return jobs.player_report(panel(spark, d), width=width(spark, d), min_frames=2, win=6.0, step=4.0)
+    return jobs.player_report(panel(spark, d), whole=whole(spark), min_frames=2, win=6.0, step=4.0)
 
 
 RG = f"{PANEL}, {grid_sql('user_id, period', 'panel', 'clock', '6.0::DOUBLE', '4.0::DOUBLE')}"

@@ -79,7 +79,7 @@ def span_sql() -> str:
 
 @query("e13_possession_spans", f"WITH {EV}, {span_sql()} SELECT user_id, round(t0, 4) AS t0, round(t1, 4) AS t1, team_possession, reason FROM spans")
 def _(spark, d):
-    return rounded(P.possession_spans(otb(spark, d), dead(spark, d), M, "event_id", width=user(spark, d).width), "t0", "t1", digits=4)
+    return rounded(P.possession_spans(otb(spark, d), dead(spark, d), M, "event_id", whole=user(spark, d).whole), "t0", "t1", digits=4)
 
 
 GEO = """geo AS (SELECT event_id, user_id, clock, CASE WHEN k % 23 <> 0 THEN value END AS ball_x, k::DOUBLE AS ball_y, CASE WHEN k % 19 <> 0 THEN value / 10 END AS d_focal, CASE WHEN k % 13 <> 0 THEN k / 10.0 END AS d_opp, k % 11 AS pf, k % 7 + 20 AS po, event_type = 'error' AS event_dead,

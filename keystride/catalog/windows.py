@@ -174,7 +174,7 @@ def _(spark, d):
 
 
 REGMIN = EV + """, rm AS (SELECT k % 20 AS player, event_id, period, clock_s, value AS speed, vn AS acc_use, CASE WHEN k % 3 = 0 THEN NULL ELSE value END AS jerk_use, vn AS step_dist FROM ev)"""
-REG_LINE = Line(("player",), "clock_s", ("event_id",), width=600.0)
+REG_LINE = Line(("player",), "clock_s", ("event_id",))
 REG_SQL = f"""{REGMIN}, dts AS (SELECT player, clock_s - lag(clock_s) OVER (PARTITION BY player ORDER BY clock_s, event_id) AS dt FROM rm),
  need AS (SELECT player, greatest(3, floor(0.7 * greatest(1, 60 / coalesce(quantile_cont(CASE WHEN dt > 0 THEN dt END, 0.5), 1 / 30.0)))) AS need FROM dts GROUP BY ALL),
  a AS (SELECT player, floor(clock_s / 60)::INT + 1 AS minute, count(*) AS n, avg(speed) AS sp, count(speed) AS nsp, avg(acc_use) AS ac, count(acc_use) AS nac, avg(jerk_use) AS jk, count(jerk_use) AS njk, sum(step_dist) AS di
@@ -262,8 +262,8 @@ def _(spark, d):
 # sprint-like table: orders of a customer, recovery = days since the previous order
 ORD = """od AS (SELECT o_orderkey, o_custkey, (epoch_us(o_orderdate) / 86400000000)::DOUBLE AS day, CASE WHEN o_orderdate < TIMESTAMP '1998-06-01' THEN 1 ELSE 2 END AS period, o_totalprice AS y FROM orders),
  rec AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey, period ORDER BY day, o_orderkey) >= 0 THEN day - lag(day) OVER (PARTITION BY o_custkey, period ORDER BY day, o_orderkey) END AS x FROM od)"""
-ORD_LINE = Line(("o_custkey", "period"), "day", ("o_orderkey",), width=365.0)
-CUST_LINE = Line(("o_custkey",), "day", ("o_orderkey",), width=365.0)
+ORD_LINE = Line(("o_custkey", "period"), "day", ("o_orderkey",))
+CUST_LINE = Line(("o_custkey",), "day", ("o_orderkey",))
 
 
 def ord_line(spark, d):

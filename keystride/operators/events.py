@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .joins import as_of_label
-from .ordered import Line, neighbour, prefix, rows_around, run_starts
+from .ordered import Line, deal, dealt, neighbour, prefix, rows_around, run_starts
 from .quantiles import quantiles
 
 # Fixed values
@@ -21,7 +21,7 @@ DEFAULT_STEP_S = 0.04
 
 
 def _cut(df: DataFrame, line: Line) -> DataFrame:
-    return df if line.width is None else stage(df)
+    return df if line.whole else stage(df)
 
 
 def speed_thresholds(df: DataFrame, keys: Sequence[str], v: str, k_high: float = 1.0, k_low: float = 1.0) -> DataFrame:
@@ -60,6 +60,7 @@ def event_metrics(rows: DataFrame, by: Sequence[str], time: str, v: str, *, cloc
     return d.withColumn("duration_s", F.col("end_time_s") - F.col("start_time_s"))
 
 
+@dealt
 def hysteresis_rows(df: DataFrame, line: Line, v: str, low: str = "t_low", high: str = "t_high") -> DataFrame:
     """Rows of every event with its number ``_event``; thresholds are columns.
 
@@ -82,7 +83,7 @@ def hysteresis_rows(df: DataFrame, line: Line, v: str, low: str = "t_low", high:
     d = _cut(d, line)
     d = neighbour(d, group, {"_p": F.struct(x.alias("x"))})
     later = F.when(F.col("_p").isNotNull(), x)
-    if line.width is None:
+    if line.whole:
         # the groups are already together, so their totals are windows on the same exchange
         whole = Window.partitionBy(*line.keys, "_event")
         ends = whole.orderBy(*line.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -113,8 +114,8 @@ def threshold_events(df: DataFrame, line: Line, v: str, threshold: float = SPRIN
 
 def merge_clusters(events: DataFrame, line: Line, gap: float) -> DataFrame:
     """Outer times and number of atoms of events whose gap is in ``[0, gap)``."""
-    ev = Line(line.keys, "start_time_s", ("end_time_s",), line.width)
-    d = neighbour(events, ev, {"_pe": F.col("end_time_s")})
+    ev = Line(line.keys, "start_time_s", ("end_time_s",), line.whole)
+    d = neighbour(deal(events, ev), ev, {"_pe": F.col("end_time_s")})
     between = F.col("start_time_s") - F.col("_pe")
     d = d.withColumn("_new", F.when((between >= 0) & (between < gap), 0).otherwise(1))
     d = prefix(d, ev, {"_cluster": ("sum", F.col("_new"))})
@@ -127,33 +128,35 @@ def merge_close_events(events: DataFrame, samples: DataFrame, line: Line, v: str
     """Merge close events and recompute the metrics over the whole stretch from its samples."""
     clusters = _cut(merge_clusters(events, line, gap), line)
     rows = as_of_label(
-        samples, clusters, list(line.keys), line.time, "_c0", "_c1", {"_cluster": None, "n_atoms": None}, width=line.width, closed=True
+        samples, clusters, list(line.keys), line.time, "_c0", "_c1", {"_cluster": None, "n_atoms": None}, whole=line.whole, closed=True
     )
     rows = rows.where(F.col("_cluster").isNotNull())
     return event_metrics(rows, [*line.keys, "_cluster", "n_atoms"], line.time, v, **cols).drop("_cluster")
 
 
-def recovery_gaps(events: DataFrame, keys: Sequence[str], width: float | None = None, out: str = "recovery_before_s") -> DataFrame:
+def recovery_gaps(events: DataFrame, keys: Sequence[str], whole: bool = False, out: str = "recovery_before_s") -> DataFrame:
     """Time since the previous event's end (null when negative); ``keys`` with the period restarts there."""
-    line = Line(tuple(keys), "start_time_s", ("end_time_s",), width)
+    line = Line(tuple(keys), "start_time_s", ("end_time_s",), whole)
     d = neighbour(events, line, {"_pe": F.col("end_time_s")})
     rest = F.col("start_time_s") - F.col("_pe")
     return d.withColumn(out, F.when(rest >= 0, rest)).drop("_pe")
 
 
-def number_events(events: DataFrame, keys: Sequence[str], width: float | None = None) -> DataFrame:
-    return prefix(events, Line(tuple(keys), "start_time_s", ("end_time_s",), width), {"event_id": ("count", F.lit(1))})
+def number_events(events: DataFrame, keys: Sequence[str], whole: bool = False) -> DataFrame:
+    return prefix(events, Line(tuple(keys), "start_time_s", ("end_time_s",), whole), {"event_id": ("count", F.lit(1))})
 
 
+@dealt
 def sprint_table(df: DataFrame, line: Line, v: str, entity: Sequence[str], *, k_high: float = K_HIGH, k_low: float = K_LOW, gap: float = MERGE_GAP_S, **cols) -> DataFrame:
     """Thresholds per entity, hysteresis events, merging, and recovery restarted per period."""
     thr = speed_thresholds(df, entity, v, k_high, k_low).select(*entity, "t_low", "t_high")
     d = _cut(df, line)
     atoms = _cut(hysteresis_events(d.join(thr, list(entity)), line, v, **cols), line)
     merged = _cut(merge_close_events(atoms, d, line, v, gap, **cols), line)
-    return recovery_gaps(merged, line.keys, line.width)
+    return recovery_gaps(merged, line.keys, line.whole)
 
 
+@dealt
 def label_segments(df: DataFrame, line: Line, label: str) -> DataFrame:
     """Contiguous stretches of one label with bounds, duration and row count."""
     d = run_starts(df, line, F.col(label), "segment")
@@ -162,10 +165,11 @@ def label_segments(df: DataFrame, line: Line, label: str) -> DataFrame:
     ).withColumn("duration", F.col("t1") - F.col("t0"))
 
 
+@dealt
 def phase_durations(df: DataFrame, line: Line, label: str) -> DataFrame:
     """Segment lengths plus one median sample step, so they match the frames they cover."""
     d = _cut(neighbour(df, line, {"_t": F.col(line.time)}), line)
-    step = quantiles(d, list(line.keys), F.col(line.time) - F.col("_t"), {"_dt": 0.5}, bounded=line.width is None)
+    step = quantiles(d, list(line.keys), F.col(line.time) - F.col("_t"), {"_dt": 0.5}, bounded=line.whole)
     segs = label_segments(d.drop("_t"), line, label).join(step, list(line.keys), "left")
     dt = F.when(F.col("_dt") > 0, F.col("_dt")).otherwise(DEFAULT_STEP_S)
     length = F.greatest(F.col("t1") - F.col("t0") + dt, dt)

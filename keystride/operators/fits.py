@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..session import stage
-from .ordered import Line, neighbour, prefix, rows_around
+from .ordered import Line, dealt, neighbour, prefix, rows_around
 from .quantiles import quantiles
 from .windows import running_sums, trailing_mean
 
@@ -56,6 +56,7 @@ def _theil_sen(df: DataFrame, points: str) -> DataFrame:
     return d.drop("_slopes", "_xs", "_ys")
 
 
+@dealt
 def rolling_line(
     df: DataFrame,
     line: Line,
@@ -86,7 +87,7 @@ def rolling_line(
     if s_y is None:
         needed.append("_y5")
     scales = None
-    if needed and line.width is None:
+    if needed and line.whole:
         # small tables: scales ride along as whole-table windows, on the same exchange as the frames
         table = Window.partitionBy(*table_keys)
         df = df.withColumns({n: F.percentile(F.when(F.col("_ok"), F.col(wants[n][0])), F.lit(wants[n][1])).over(table) for n in needed})
@@ -138,6 +139,7 @@ def pooled_scales(df: DataFrame, cols: Sequence[str], p: float = 0.9) -> DataFra
     return quantiles(long, ["scale_of"], F.col("_v"), {"scale": p})
 
 
+@dealt
 def setting_sweep(df: DataFrame, line: Line, x: str, ys: Mapping[str, float], s_x: float = SCALE_X, settings=SETTINGS) -> DataFrame:
     """Angle score under every (window, fewest rows, range) setting and metric, long.
 
@@ -178,7 +180,7 @@ def setting_sweep(df: DataFrame, line: Line, x: str, ys: Mapping[str, float], s_
 def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
     """Per setting and metric: fits, median, spread, mean step within a period, crossings of 0.5."""
     case = ["n_window", "min_n", "min_x_s", "y_metric"]
-    fits = fits if line.width is None else stage(fits)
+    fits = fits if line.whole else stage(fits)
     total = fits.groupBy(*table_line.keys, *case).agg(F.count(F.lit(1)).alias("n_usable"))
     a = F.col("roll_A")
     d = fits.where(a.isNotNull())
@@ -193,7 +195,7 @@ def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
         F.avg(F.abs(a - F.col("_step_from"))).alias("mean_abs_step_A"),
         F.count_if(crossed).alias("n_cross_half"),
     )
-    fit = line.width is None
+    fit = line.whole
     q = quantiles(d, group, a, {"q25": 0.25, "median_A": 0.5, "q75": 0.75}, bounded=fit)
     q = q.withColumn("iqr_A", F.col("q75") - F.col("q25")).drop("q25", "q75")
     th = quantiles(d, group, F.col("roll_theta_deg"), {"median_theta_star_deg": 0.5}, bounded=fit)
@@ -201,10 +203,10 @@ def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_fit", "n_cross_half")})
 
 
-def exemplars(df: DataFrame, keys: Sequence[str], score: str, ident: str, width: float | None = 0.05) -> DataFrame:
+def exemplars(df: DataFrame, keys: Sequence[str], score: str, ident: str, whole: bool = False) -> DataFrame:
     """Rows with the lowest, middle and highest score per group (all rows when there are three or fewer)."""
     d = df.where(F.col(score).isNotNull()).withColumn("_one", F.lit(1))
-    line = Line(tuple(keys), score, (ident,), width)
+    line = Line(tuple(keys), score, (ident,), whole)
     d = prefix(d, line, {"_rank": ("count", F.col("_one"))})
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(sizes, list(keys))
@@ -305,7 +307,7 @@ def relative_scores(minutes: DataFrame, profile: DataFrame, keys: Sequence[str],
     d = lowess(d, [*keys, "half"], "minute", {"player_fit": "value", "profile_fit": "mean"}, carry=["sd"])
     residual = F.col("player_fit") - F.col("profile_fit")
     d = d.withColumns({"residual": residual, "z": F.when(F.col("sd") > 0, residual / F.col("sd"))})
-    line = Line((*keys, "half"), "minute")  # at most 45 rows
+    line = Line((*keys, "half"), "minute", whole=True)  # at most 45 rows
     d = trailing_mean(running_sums(d, line, "z"), line, "z", "roll10_z", rows)
     d = d.withColumns(
         {"phi_5a": S.normal_cdf(F.col("mean_so_far")), "phi_roll10": S.normal_cdf(F.col("roll10_z")), "sum_z": F.col("cum")}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_join
-from .ordered import Line, prefix, run_starts
+from .ordered import Line, deal, prefix, run_starts
 
 
 def as_of_label(
@@ -20,7 +20,7 @@ def as_of_label(
     end: str,
     values: Mapping[str, object],
     *,
-    width: float | None = None,
+    whole: bool = False,
     closed: bool = False,
 ) -> DataFrame:
     """Label each point with the latest interval that began at or before it and has not ended.
@@ -38,20 +38,20 @@ def as_of_label(
     )
     pts = points.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_kind"), F.struct("*").alias("_row"))
     both = pts.unionByName(iv, allowMissingColumns=True)
-    line = Line(tuple(keys), "_t", ("_kind", "_end"), width)
+    line = Line(tuple(keys), "_t", ("_kind", "_end"), whole)
     d = prefix(both, line, {"_hit": ("last", F.col("_iv"))}).where(F.col("_kind") == 1)
     inside = F.col("_t") <= F.col("_hit._e") if closed else F.col("_t") < F.col("_hit._e")
     labels = [F.coalesce(F.when(inside, F.col(f"_hit.{v}")), F.lit(default)).alias(v) for v, default in values.items()]
     return d.select("_row.*", *labels)
 
 
-def nearest_in_time(points: DataFrame, frames: DataFrame, keys: Sequence[str], time: str, frame_time: str, cols: Sequence[str], *, width: float | None = None) -> DataFrame:
+def nearest_in_time(points: DataFrame, frames: DataFrame, keys: Sequence[str], time: str, frame_time: str, cols: Sequence[str], *, whole: bool = False) -> DataFrame:
     """Attach the frame nearest in time to each point (the earlier one on a tie)."""
     keys = list(keys)
     pts = points.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.struct("*").alias("_row"))
     fr = frames.select(*keys, F.col(frame_time).alias("_t"), F.lit(1).alias("_kind"), F.struct(F.col(frame_time).alias("_ft"), *cols).alias("_fr"))
-    line = Line(tuple(keys), "_t", ("_kind",), width)
-    d = pts.unionByName(fr, allowMissingColumns=True)
+    line = Line(tuple(keys), "_t", ("_kind",), whole)
+    d = deal(pts.unionByName(fr, allowMissingColumns=True), line)
     d = prefix(d, line, {"_before": ("last", F.col("_fr"))})
     d = prefix(d, line, {"_after": ("last", F.col("_fr"))}, reverse=True).where(F.col("_kind") == 0)
     later = F.col("_before").isNull() | (F.col("_after._ft") - F.col("_t") < F.col("_t") - F.col("_before._ft"))
@@ -119,7 +119,7 @@ def instant_recovery(instants: DataFrame, frames: DataFrame, keys: Sequence[str]
     fr = frames.withColumnRenamed(frame_time, "_ft").drop(*[c for c in instants.columns if c not in keys and c != frame_time])
     d = band_join(instants, fr, keys, time, "_ft", search, search).withColumn("_d", distance)
     inside = F.coalesce(F.col("_d") < radius, F.lit(False))
-    line = Line((*keys, event), "_ft")
+    line = Line((*keys, event), "_ft", whole=True)
     d = run_starts(d.withColumn("_in", inside), line, F.col("_in"), "_run")
     runs = d.groupBy(*keys, event, F.col(time).alias("t_event"), "_run", "_in").agg(
         F.min("_ft").alias("t0"), F.max("_ft").alias("t1"), F.count(F.lit(1)).alias("n"),
@@ -135,9 +135,9 @@ def instant_recovery(instants: DataFrame, frames: DataFrame, keys: Sequence[str]
     )
 
 
-def nearest_is_actor(events: DataFrame, frames: DataFrame, keys: Sequence[str], time: str, frame_time: str, actor: str, nearest: str, *, width: float | None = None) -> DataFrame:
+def nearest_is_actor(events: DataFrame, frames: DataFrame, keys: Sequence[str], time: str, frame_time: str, actor: str, nearest: str, *, whole: bool = False) -> DataFrame:
     """Share of events whose actor is the nearest player in the frame closest in time."""
-    d = nearest_in_time(events.where(F.col(actor).isNotNull()), frames, keys, time, frame_time, [nearest], width=width)
+    d = nearest_in_time(events.where(F.col(actor).isNotNull()), frames, keys, time, frame_time, [nearest], whole=whole)
     return d.agg(F.count(F.lit(1)).alias("n_events"), F.avg(F.coalesce(F.col(nearest) == F.col(actor), F.lit(False)).cast("double")).alias("p_nearest_is_actor"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .ordered import Line, neighbour, prefix, rows_around
+from .ordered import Line, dealt, neighbour, prefix, rows_around
 from .quantiles import quantiles
 
 # Fixed values
@@ -18,13 +18,14 @@ DEFAULT_FPS = 29.97
 DEFAULT_HZ = 30.0
 
 
+@dealt
 def segments(df: DataFrame, line: Line, gap_factor: float = GAP_FACTOR) -> DataFrame:
     """Number the stretches between time gaps above ``gap_factor`` times the line's median step.
 
     Adds ``dt`` (step from the previous row of the same stretch) and ``segment`` (from 0).
     """
     d = neighbour(df, line, {"_t0": F.col(line.time)}).withColumn("dt", F.col(line.time) - F.col("_t0"))
-    if line.width is None:
+    if line.whole:
         d = d.withColumn("_med", F.percentile("dt", F.lit(0.5)).over(Window.partitionBy(*line.keys)))
     else:
         d = stage(d)
@@ -53,6 +54,7 @@ def moving_average(x: Column, rows: int, w: WindowSpec) -> Column:
     return F.when(F.count(x).over(frame) == rows, F.avg(x).over(frame))
 
 
+@dealt
 def stride_kinematics(
     df: DataFrame,
     line: Line,
@@ -72,7 +74,7 @@ def stride_kinematics(
     d = segments(df, line)
     keys = [*line.keys, "segment"]
     inner = line.by("segment")
-    if line.width is None:
+    if line.whole:
         w = Window.partitionBy(*keys)
         d = d.withColumns({"_h": F.percentile("dt", F.lit(0.5)).over(w), "_n": F.count(F.lit(1)).over(w)})
     else:
@@ -118,6 +120,7 @@ def stride_kinematics(
     return d.drop("_h", "_n", "_hh", "_axm", "_aym", "_jxm", "_jym")
 
 
+@dealt
 def step_distance(df: DataFrame, line: Line, x: str = "x", y: str = "y", out: str = "step_dist") -> DataFrame:
     """Distance from the previous row; null on the first row and where time does not advance."""
     d = neighbour(df, line, {"_x": F.col(x), "_y": F.col(y), "_t": F.col(line.time)})
@@ -125,6 +128,7 @@ def step_distance(df: DataFrame, line: Line, x: str = "x", y: str = "y", out: st
     return d.withColumn(out, F.when(F.col(line.time) > F.col("_t"), moved)).drop("_x", "_y", "_t")
 
 
+@dealt
 def forward_rate(df: DataFrame, line: Line, change: str, out: str, *, min_rows: int, cap: float | None = None, y=()) -> DataFrame:
     """Change per time from the previous row; the first row takes the second row's value.
 
@@ -167,7 +171,7 @@ def sample_interval(df: DataFrame, line: Line) -> DataFrame:
     d = neighbour(d, line, {"_t0": F.col(line.time)}).withColumn("_dt", F.col(line.time) - F.col("_t0"))
     keys = list(line.keys)
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    med = quantiles(d.where(F.col("_dt") > 0), keys, F.col("_dt"), {"_med": 0.5}, bounded=line.width is None)
+    med = quantiles(d.where(F.col("_dt") > 0), keys, F.col("_dt"), {"_med": 0.5}, bounded=line.whole)
     m = F.col("_med")
     return sizes.join(med, keys, "left").select(
         *keys,

@@ -27,7 +27,7 @@ def unit_grid(curves: DataFrame, case: Sequence[str]) -> DataFrame:
     return whole.withColumn("minute", F.col("minute").cast("double"))
 
 
-def _knots(curves: DataFrame, case: Sequence[str], width: float | None) -> DataFrame:
+def _knots(curves: DataFrame, case: Sequence[str], whole: bool) -> DataFrame:
     """Knots with their follower ``_t1``/``_v1``; equal knots (same minute) are reduced to one first.
 
     Of equal knots the one latest in its source counts, where ``curves`` says so in ``source_row``;
@@ -36,7 +36,7 @@ def _knots(curves: DataFrame, case: Sequence[str], width: float | None) -> DataF
     keys = [*case, "period", "series"]
     one = F.max_by("value", "source_row") if "source_row" in curves.columns else F.max("value")
     knots = curves.groupBy(*keys, "minute").agg(one.alias("value"))
-    line = Line(tuple(keys), "minute", (), width)
+    line = Line(tuple(keys), "minute", (), whole)
     return neighbour(knots, line, {"_t1": F.col("minute"), "_v1": F.col("value")}, following=True)
 
 
@@ -52,21 +52,21 @@ def _value_at(g: Column) -> Column:
     return F.when((g == t0) | t1.isNull(), v0).otherwise(v0 + (v1 - v0) / (t1 - t0) * (g - t0))
 
 
-def interpolate(curves: DataFrame, case: Sequence[str], width: float | None = None) -> DataFrame:
+def interpolate(curves: DataFrame, case: Sequence[str], whole: bool = False) -> DataFrame:
     """Linear interpolation at whole minutes inside each series' range, long.
 
     A knot knows its follower, so the stretch between them yields its own grid minutes: no join of
     grid and knots.
     """
-    d = _knots(curves, case, width).withColumn("_g", F.explode(_own_minutes()))
+    d = _knots(curves, case, whole).withColumn("_g", F.explode(_own_minutes()))
     g = F.col("_g").cast("double")
     return d.select(*case, "period", "series", g.alias("_m"), _value_at(g).alias("value")).withColumnRenamed("_m", "minute")
 
 
-def wide_grid(curves: DataFrame, case: Sequence[str], series: Sequence[str], width: float | None = None) -> DataFrame:
+def wide_grid(curves: DataFrame, case: Sequence[str], series: Sequence[str], whole: bool = False) -> DataFrame:
     """One row per grid minute with a column per series, null where a series has no value."""
-    if width is not None:
-        rows = interpolate(curves, case, width).unionByName(unit_grid(curves, case), allowMissingColumns=True)
+    if not whole:
+        rows = interpolate(curves, case, whole).unionByName(unit_grid(curves, case), allowMissingColumns=True)
     else:
         # a small case stays in one task: its first knot also yields the empty grid, so the curves are read once
         whole = Window.partitionBy(*case, "period")
@@ -97,12 +97,12 @@ def weighted_mean(values: Mapping[str, float]) -> Column:
 
 def mix(
     curves: DataFrame, case: Sequence[str], *, weights: Mapping[str, float] = SERIES_WEIGHTS,
-    groups: Mapping[str, Sequence[str]] = GROUPS, group_weights: Mapping[str, float] = GROUP_WEIGHTS, width: float | None = None,
+    groups: Mapping[str, Sequence[str]] = GROUPS, group_weights: Mapping[str, float] = GROUP_WEIGHTS, whole: bool = False,
 ) -> DataFrame:
     """Group scores and their blend on the unit grid, for all cases in one job.
 
     ``curves`` is long: ``(case, period, minute, series, value)`` without nulls.
     """
-    d = wide_grid(curves, case, list(weights), width)
+    d = wide_grid(curves, case, list(weights), whole)
     d = d.withColumns({g: weighted_mean({s: weights.get(s, 0.0) for s in names}) for g, names in groups.items()})
     return d.withColumn("both", weighted_mean(group_weights))

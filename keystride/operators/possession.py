@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..session import stage
 from .joins import as_of_label
-from .ordered import Line, neighbour, prefix
+from .ordered import Line, deal, dealt, neighbour, prefix
 
 INSTANT_S = 1.0 / 29.97
 
 
-def _cut(df: DataFrame, width: float | None) -> DataFrame:
+def _cut(df: DataFrame, whole: bool) -> DataFrame:
     """Sliced passes read their input twice; a stored stage keeps a chain of them linear."""
-    return df if width is None else stage(df)
+    return df if whole else stage(df)
 
 
 def on_ball_intervals(events: DataFrame, match: Sequence[str], event: str, order: str, epsilon: float = INSTANT_S) -> DataFrame:
@@ -51,7 +51,7 @@ def dead_markers(events: DataFrame, match: Sequence[str], kind: str = "event_kin
 
 
 def possession_spans(
-    otb: DataFrame, dead: DataFrame, match: Sequence[str], ident: str, *, width: float | None = None,
+    otb: DataFrame, dead: DataFrame, match: Sequence[str], ident: str, *, whole: bool = False,
     limits: DataFrame | None = None, respect_sequence: bool = True,
 ) -> DataFrame:
     """Team possession as half-open spans from on-ball intervals and dead markers.
@@ -62,17 +62,19 @@ def possession_spans(
     spans are running sums of flags.
     """
     m = tuple(match)
-    line = Line(m, "t0", (ident,), width)
+    line = Line(m, "t0", (ident,), whole)
     # markers next to each interval; an interval sorts before a marker of the same instant
     marks = dead.select(*m, F.col("t_dead").alias("t0")).distinct()
-    marks = neighbour(marks, Line(m, "t0", (), width), {"_next": F.col("t0")}, following=True)
+    by_time = Line(m, "t0", (), whole)
+    marks = neighbour(marks, by_time, {"_next": F.col("t0")}, following=True)
     marks = marks.withColumns({"_kind": F.lit(1), "_mark": F.struct(F.col("t0").alias("t"), F.col("_next").alias("n"))})
     both = otb.select(*m, ident, "t0", "t1", "label", "how", "sequence", F.lit(0).alias("_kind"))
     both = both.unionByName(marks.select(*m, "t0", "_kind", "_mark"), allowMissingColumns=True)
-    pair = Line(m, "t0", ("_kind", ident), width)
+    pair = Line(m, "t0", ("_kind", ident), whole)
+    both = deal(both, pair)
     both = prefix(both, pair, {"_last": ("last", F.col("_mark.t"))})
     both = prefix(both, pair, {"_coming": ("last", F.col("_mark"))}, reverse=True)
-    d = _cut(both.where(F.col("_kind") == 0).drop("_kind", "_mark"), width)
+    d = deal(both.where(F.col("_kind") == 0).drop("_kind", "_mark"), line)
 
     d = neighbour(d, line, {"_p": F.struct("t0", "label")})
     changed = F.col("_p").isNull() | (F.col("_p.label") != F.col("label"))
@@ -87,12 +89,12 @@ def possession_spans(
 
     # a marker exactly on the previous start counts unless that interval opened its span
     d = sequence_breaks(d, "_hard", "_soft0")
-    d = _cut(neighbour(d, line, {"_opened": F.col("_hard") | F.col("_soft0")}), width)
+    d = _cut(neighbour(d, line, {"_opened": F.col("_hard") | F.col("_soft0")}), whole)
     on_start = F.coalesce((F.col("_last") == F.col("_p.t0")) & ~F.col("_opened"), F.lit(False))
     d = d.withColumn("_hard2", F.col("_hard") | on_start)
     d = sequence_breaks(d, "_hard2", "_soft")
     d = d.withColumn("_start", F.col("_hard2") | F.col("_soft"))
-    d = _cut(prefix(d, line, {"_span": ("sum", F.col("_start").cast("int"))}), width)
+    d = _cut(prefix(d, line, {"_span": ("sum", F.col("_start").cast("int"))}), whole)
 
     after = F.when(F.col("_start") & (F.col("_coming.t") == F.col("t0")), F.col("_coming.n")).otherwise(F.col("_coming.t"))
     d = d.withColumn("_stop", after)
@@ -101,7 +103,7 @@ def possession_spans(
         F.min("t0").alias("t0"), F.min_by("label", order).alias("label"), F.min_by("how", order).alias("how"),
         F.max_by("t1", order).alias("_t1"), F.max_by("_stop", order).alias("_stop"),
     )
-    spans = neighbour(spans, Line(m, "t0", ("_span",), width), {"_n": F.struct("t0", "label")}, following=True)
+    spans = neighbour(spans, Line(m, "t0", ("_span",), whole), {"_n": F.struct("t0", "label")}, following=True)
     ends = d.groupBy(*m).agg(F.max("t1").alias("_tend"), F.min("t0").alias("_tfirst"))
     if limits is not None:
         ends = ends.join(limits, list(m), "left").withColumn("_tend", F.coalesce("t_max", "_tend"))
@@ -121,10 +123,9 @@ def possession_spans(
     first_mark = dead.groupBy(*m).agg(F.min("t_dead").alias("_fm"))
     lead = ends.join(first_mark, list(m)).where((F.col("t_min") < F.col("_tfirst")) & (F.col("_fm") <= F.col("_tfirst")))
     lead = lead.select(*m, F.col("t_min").alias("t0"), F.col("_tfirst").alias("t1"), F.lit(S.DEAD).alias("label"), F.lit("pre_first_otb").alias("reason"))
-    rows = _cut(rows.unionByName(lead).where(F.col("t1") > F.col("t0")), width)
-
     # touching spans of one label become one
-    out = Line(m, "t0", ("t1",), width)
+    out = Line(m, "t0", ("t1",), whole)
+    rows = deal(rows.unionByName(lead).where(F.col("t1") > F.col("t0")), out)
     rows = neighbour(rows, out, {"_q": F.struct("t1", "label")})
     touch = (F.col("_q.label") == F.col("label")) & (F.abs(F.col("t0") - F.col("_q.t1")) < 1e-6)
     rows = prefix(rows.withColumn("_new", F.when(touch, 0).otherwise(1)), out, {"_id": ("sum", F.col("_new"))})
@@ -149,6 +150,7 @@ def zone_states(geo: DataFrame, r_pz: float | Column, r_dz: float | Column | Non
     return d.withColumn("control_player_id", who)
 
 
+@dealt
 def carry_possession(states: DataFrame, line: Line, *, dead: str = "event_dead", fallback: str | None = "fallback", focal_player: Column | None = None) -> DataFrame:
     """Team possession carried over free and contested frames, then player and context layers.
 
@@ -159,7 +161,7 @@ def carry_possession(states: DataFrame, line: Line, *, dead: str = "event_dead",
     d = states.withColumn("_s", hard)
     d = d.withColumn("ball_state", F.when(F.col(dead), S.DEAD).otherwise(F.col("ball_state")))
     d = prefix(d, line, {"_seg": ("count", F.col("_s")), "_held": ("last", F.col("_s"))})
-    d = _cut(d, line.width)
+    d = _cut(d, line.whole)
     fb = F.col(fallback) if fallback else F.lit(None).cast("string")
     usable = F.when(F.col("_s").isNull() & fb.isin(S.FOCAL, S.OPP), fb)
     d = prefix(d, line.by("_seg"), {"_stuck": ("first", usable)})
@@ -184,7 +186,7 @@ def carry_possession(states: DataFrame, line: Line, *, dead: str = "event_dead",
     return d.withColumn("possession_context", ctx)
 
 
-def label_frames(frames: DataFrame, otb: DataFrame, spans: DataFrame, match: Sequence[str], *, time: str, frame: str | None = None, width: float | None = None) -> DataFrame:
+def label_frames(frames: DataFrame, otb: DataFrame, spans: DataFrame, match: Sequence[str], *, time: str, frame: str | None = None, whole: bool = False) -> DataFrame:
     """On-ball player, instant flag, team span and context for every frame.
 
     ``otb`` carries ``player_otb`` and ``is_instant``. With ``frame`` the intervals hold on frame
@@ -192,8 +194,8 @@ def label_frames(frames: DataFrame, otb: DataFrame, spans: DataFrame, match: Seq
     """
     values = {"player_otb": S.NOBODY, "is_instant": False}
     if frame:
-        d = as_of_label(frames, otb, match, frame, "frame0", "frame1", values, width=width, closed=True)
+        d = as_of_label(frames, otb, match, frame, "frame0", "frame1", values, whole=whole, closed=True)
     else:
-        d = as_of_label(frames, otb, match, time, "t0", "t1", values, width=width)
-    d = as_of_label(_cut(d, width), spans, match, time, "t0", "t1", {"team_possession": S.UNRESOLVED}, width=width)
+        d = as_of_label(frames, otb, match, time, "t0", "t1", values, whole=whole)
+    d = as_of_label(_cut(d, whole), spans, match, time, "t0", "t1", {"team_possession": S.UNRESOLVED}, whole=whole)
     return d.withColumn("possession_context", S.possession_context(F.col("player_otb"), F.col("team_possession")))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import stage
+from ..session import stage, written
 from .bands import band_join
 from .kinematics import sample_interval
-from .ordered import Line, prefix, range_around, rows_around
+from .ordered import Line, dealt, prefix, range_around, range_means, range_totals, rows_around
 from .quantiles import quantiles, share_at_or_below
 
 # Fixed values
@@ -21,6 +21,7 @@ HEAT_BINS = 40
 HEAT_TOP = {"speed": 10.0, "acc_use": 5.0, "jerk_use": 8.0, "distance_1s": 10.0}
 KERNEL_SIGMA, KERNEL_REACH, KERNEL_WEIGHT = 1.25, 2.5, 0.15
 METRICS = ("speed", "acceleration", "distance", "jerk")
+MEDIAN_BUCKETS = 16
 
 
 def step_for(win: float, overlap_s: float) -> float:
@@ -325,14 +326,49 @@ def hop_success(
 
 def centred_mean(df: DataFrame, line: Line, value: str, widths: Mapping[str, float]) -> DataFrame:
     """Means over ``|dt| <= width/2`` on irregular times, several widths in one pass."""
-    specs = {n: (f"avg(`{value}`)", w / 2 + EDGE, w / 2 + EDGE) for n, w in widths.items()}
-    return range_around(df, line, specs)
+    return range_means(df, line, value, {n: (w / 2 + EDGE, w / 2 + EDGE) for n, w in widths.items()})
 
 
-def centred_median(df: DataFrame, line: Line, value: str, out: str, width: float = 9.0) -> DataFrame:
-    return range_around(df, line, {out: (f"percentile(`{value}`, 0.5D)", width / 2, width / 2)})
+def centred_median(df: DataFrame, line: Line, value: str, out: str, width: float = 9.0, buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+    """Median over ``|dt| <= width/2``.
+
+    The key's values are cut into ``buckets`` by its quantiles. How many values of each bucket a frame holds
+    is a difference of running counts, which tells the buckets of the one or two middle ranks. A bucket of one value is
+    the answer; of others only the frame's rows of that bucket are gathered and ordered.
+    """
+    keys, half = list(line.keys), width / 2
+    d = df.withColumn("_v", F.when(~F.isnan(value), F.col(value).cast("double")))
+    cuts = quantiles(d, keys, F.col("_v"), {f"_q{i}": i / buckets for i in range(1, buckets)})
+    cuts = cuts.select(*keys, F.array_distinct(F.array(*[f"_q{i}" for i in range(1, buckets)])).alias("_cuts"))
+    d = d.join(cuts, keys, "left").withColumn("_b", F.when(F.col("_v").isNotNull(), F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))))
+    d = written(d.drop("_cuts").withColumn("_id", F.monotonically_increasing_id()))
+    counts = {str(i): (F.col("_b") == i).cast("long") for i in range(buckets)}
+    focal = range_totals(d.select(*keys, line.time, "_id", "_b"), line, counts, {"_f": (half, half)})
+    # running counts over the buckets place the middle ranks
+    n = F.array(*[F.col(f"_f_{i}") for i in range(buckets)])
+    upto = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.aggregate(F.slice(n, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    focal = focal.select(*keys, line.time, "_id", upto.alias("_upto")).withColumn("_all", F.get("_upto", F.lit(buckets - 1)))
+    ranks = F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))
+    focal = focal.where(F.col("_all") > 0).withColumn("_rank", F.explode(F.array_distinct(ranks)))
+    focal = focal.withColumn("_b", F.size(F.filter("_upto", lambda x: x <= F.col("_rank"))))
+    before = F.when(F.col("_b") > 0, F.get("_upto", F.col("_b") - 1)).otherwise(0)
+    focal = focal.select(*keys, line.time, "_id", "_b", (F.col("_rank") - before).alias("_at"))
+
+    ends = d.where("_b is not null").groupBy(*keys, "_b").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    focal = focal.join(ends, [*keys, "_b"])
+    alike = F.col("_lo") == F.col("_hi")
+    easy = focal.where(alike).select("_id", F.col("_lo").alias("_m"))
+    mixed = ends.where(~alike).select(*keys, "_b")
+    both = focal.where(~alike).select(*keys, line.time, "_b", "_id", "_at").unionByName(
+        d.join(mixed, [*keys, "_b"], "left_semi").select(*keys, line.time, "_b", "_v"), allowMissingColumns=True
+    )
+    hard = range_around(both, line.by("_b"), {"_near": ("collect_list(`_v`)", half, half)}).where(F.col("_at").isNotNull())
+    hard = hard.select("_id", F.get(F.array_sort("_near"), F.col("_at").cast("int")).alias("_m"))
+    middle = easy.unionByName(hard).groupBy("_id").agg(F.avg("_m").alias(out))
+    return d.drop("_v", "_b", *([out] if out in d.columns else [])).join(middle, "_id", "left").drop("_id")
 
 
+@dealt
 def trailing_mean(df: DataFrame, line: Line, value: str, out: str, rows: int = 10) -> DataFrame:
     """Mean of the last ``rows`` non-null rows, shorter at the start; null rows stay null."""
     # null rows are a line of their own, so frames count known rows only
@@ -344,6 +380,7 @@ def trailing_mean(df: DataFrame, line: Line, value: str, out: str, rows: int = 1
     return d.drop("_known")
 
 
+@dealt
 def running_sums(df: DataFrame, line: Line, value: str) -> DataFrame:
     """Sum, count and mean so far of the non-null rows; null on null rows."""
     v = F.col(value)

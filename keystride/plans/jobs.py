@@ -23,61 +23,61 @@ HALF = (*PLAYER, "period")
 HALF_STARTS = {1: 0.0, 2: 45.0}
 
 
-def half_line(width: float | None = None) -> Line:
-    return Line(HALF, "video_time_s", ("frameNum",), width)
+def half_line(whole: bool = False) -> Line:
+    return Line(HALF, "video_time_s", ("frameNum",), whole)
 
 
-def player_line(width: float | None = None) -> Line:
-    return Line(PLAYER, "video_time_s", ("frameNum",), width)
+def player_line(whole: bool = False) -> Line:
+    return Line(PLAYER, "video_time_s", ("frameNum",), whole)
 
 
-def kinematic_panel(track: DataFrame, width: float | None = None, **kw) -> DataFrame:
+def kinematic_panel(track: DataFrame, whole: bool = False, **kw) -> DataFrame:
     """Track with velocities, accelerations, jerks and step distances per half."""
-    d = K.stride_kinematics(track, half_line(width), **kw)
+    d = K.stride_kinematics(track, half_line(whole), **kw)
     # every later job reads the panel several times
-    return stage(K.step_distance(d, half_line(width)))
+    return stage(K.step_distance(d, half_line(whole)))
 
 
-def player_minutes(panel: DataFrame, width: float | None = None) -> DataFrame:
+def player_minutes(panel: DataFrame, whole: bool = False) -> DataFrame:
     """Long regulation minutes of every player and metric."""
-    return W.regulation_minutes(panel, player_line(width), "periodGameClockTime")
+    return W.regulation_minutes(panel, player_line(whole), "periodGameClockTime")
 
 
-def relative_speed(panel: DataFrame, positions: DataFrame, profiles: DataFrame, metrics=("speed",), width: float | None = None) -> DataFrame:
+def relative_speed(panel: DataFrame, positions: DataFrame, profiles: DataFrame, metrics=("speed",), whole: bool = False) -> DataFrame:
     """Scores of every player-minute against the detailed profile of the player's position."""
-    minutes = player_minutes(panel, width).where(F.col("metric").isin(*metrics)).join(positions, list(PLAYER))
+    minutes = player_minutes(panel, whole).where(F.col("metric").isin(*metrics)).join(positions, list(PLAYER))
     ref = profiles.where((F.col("level") == "detailed") & F.col("metric").isin(*metrics)).withColumnRenamed("group", "position")
     return fits.relative_scores(minutes, ref, [*PLAYER, "position", "metric"], ["position", "metric"])
 
 
-def sprints(panel: DataFrame, width: float | None = None, speed: str = "speed", **kw) -> DataFrame:
+def sprints(panel: DataFrame, whole: bool = False, speed: str = "speed", **kw) -> DataFrame:
     """Merged high-intensity events with recovery restarted per half."""
-    line = half_line(width)
+    line = half_line(whole)
     d = panel.withColumn("clock_min", S.clock_minutes(F.col("periodGameClockTime")))
     d = K.time_derivative(d, line, "a_tan_use", "j_tan")
     return E.sprint_table(d, line, speed, PLAYER, clock="clock_min", step="step_dist", acc="a_tan_use", jerk="j_tan", **kw)
 
 
-def sprint_recovery(table: DataFrame, *, rows: int = 6, min_rows: int = 4, min_range: float = 20.0, width: float | None = None, scales: Mapping[str, float] = fits.SCALE_Y, s_x: float = fits.SCALE_X) -> DataFrame:
+def sprint_recovery(table: DataFrame, *, rows: int = 6, min_rows: int = 4, min_range: float = 20.0, whole: bool = False, scales: Mapping[str, float] = fits.SCALE_Y, s_x: float = fits.SCALE_X) -> DataFrame:
     """Angle curves of output over recovery for each metric, from a sprint table."""
     out = None
     for y, s_y in scales.items():
-        line = Line(HALF, "start_time_s", ("end_time_s",), width)
+        line = Line(HALF, "start_time_s", ("end_time_s",), whole)
         d = fits.rolling_line(table, line, "recovery_before_s", y, table_keys=PLAYER, rows=rows, min_rows=min_rows, min_range=min_range, s_x=s_x, s_y=s_y, x_ref=s_x)
         c = fits.line_angle_curve(d, y, PLAYER, "start_clock_min")
         out = c if out is None else out.unionByName(c)
     return out
 
 
-def local_work_rate(panel: DataFrame, k: int = 2, width: float | None = None, bin_s: float = 60.0) -> tuple[DataFrame, DataFrame]:
+def local_work_rate(panel: DataFrame, k: int = 2, whole: bool = False, bin_s: float = 60.0) -> tuple[DataFrame, DataFrame]:
     """Minute table of every player against the nearest ``k`` of both sides, and its lead curves."""
     frame = ["match_id", "period", "frameNum"]
     near = N.k_nearest(panel, frame, "player_id", "team_id", k)
     clock = panel.select(*frame, "player_id", "periodGameClockTime", "video_time_s")
     near = near.join(clock, [*frame, "player_id"])
-    minutes = N.nearest_minutes(near, N.fps_of(clock, player_line(width)), [*HALF], "periodGameClockTime", bin_s=bin_s)
+    minutes = N.nearest_minutes(near, N.fps_of(clock, player_line(whole)), [*HALF], "periodGameClockTime", bin_s=bin_s)
     minutes = stage(minutes)
-    line = Line(HALF, "t_centre_min", (), None if width is None else width / 60.0)
+    line = Line(HALF, "t_centre_min", (), whole)
     minutes = minutes.withColumn("phase", S.match_phase(F.col("period"), F.col("t_centre_min")))
     return minutes, W.signed_lead(minutes, line, {"d_resid_tm": "teammates", "d_resid_op": "opponents"})
 
@@ -111,9 +111,9 @@ def shot_table(events: DataFrame) -> DataFrame:
     return X.shot_features(match_events.shots(events).where("placed"))
 
 
-def synergy_curve(df: DataFrame, keys=PLAYER, width: float | None = None) -> DataFrame:
+def synergy_curve(df: DataFrame, keys=PLAYER, whole: bool = False) -> DataFrame:
     """Capped synergy (kept where already computed) with its centred means."""
-    line = Line((*keys, "period"), "minute", (), width)
+    line = Line((*keys, "period"), "minute", (), whole)
     cols = df.columns
     if "minute" not in cols:
         df = df.withColumn("minute", S.clock_minutes(F.col("game_clock_s")))
@@ -127,38 +127,38 @@ def standing_curve(df: DataFrame) -> DataFrame:
     return fits.standing_curve(df)
 
 
-def possession(otb: DataFrame, dead: DataFrame, frames: DataFrame, match=("match_id",), *, radius: float | Column, focal_player: Column, time: str = "video_time_s", ident: str = "gameEventId", frame: str = "frameNum", width: float | None = None) -> DataFrame:
+def possession(otb: DataFrame, dead: DataFrame, frames: DataFrame, match=("match_id",), *, radius: float | Column, focal_player: Column, time: str = "video_time_s", ident: str = "gameEventId", frame: str = "frameNum", whole: bool = False) -> DataFrame:
     """Event-based (``_a``) and geometry-based (``_b``) possession labels of every frame.
 
     ``otb`` has ``t0, t1, label, how, sequence, player_otb, is_instant``; ``frames`` the geometry columns
     of :func:`nearest.team_distances`.
     """
-    spans = P.possession_spans(otb, dead, match, ident, width=width)
-    spans = spans if width is None else stage(spans)
-    a = P.label_frames(frames, otb, spans, match, time=time, width=width)
+    spans = P.possession_spans(otb, dead, match, ident, whole=whole)
+    spans = spans if whole else stage(spans)
+    a = P.label_frames(frames, otb, spans, match, time=time, whole=whole)
     a = a.withColumnsRenamed({"team_possession": "team_a", "possession_context": "context_a", "player_otb": "player_a"})
     a = a.withColumns({"event_dead": F.col("team_a") == S.DEAD, "fallback": F.col("team_a")})
-    a = a if width is None else stage(a)
-    b = P.carry_possession(P.zone_states(a, radius), Line(tuple(match), time, (frame,), width), focal_player=focal_player)
+    a = a if whole else stage(a)
+    b = P.carry_possession(P.zone_states(a, radius), Line(tuple(match), time, (frame,), whole), focal_player=focal_player)
     return b.withColumnsRenamed({"team_possession": "team_b", "possession_context": "context_b", "player_otb": "player_b"})
 
 
-def profiles(panel: DataFrame, positions: DataFrame, width: float | None = None) -> DataFrame:
+def profiles(panel: DataFrame, positions: DataFrame, whole: bool = False) -> DataFrame:
     """Reference profiles of all matches; players with fewer than ten frames are left out."""
     sizes = panel.groupBy(*PLAYER).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 10).drop("_n")
-    minutes = player_minutes(panel, width).join(sizes, list(PLAYER), "left_semi").join(positions, list(PLAYER))
+    minutes = player_minutes(panel, whole).join(sizes, list(PLAYER), "left_semi").join(positions, list(PLAYER))
     return A.reference_profiles(minutes, "position")
 
 
-def mix_cases(curves: DataFrame, width: float | None = None) -> DataFrame:
-    return M.mix(curves, ["case"], width=width)
+def mix_cases(curves: DataFrame, whole: bool = False) -> DataFrame:
+    return M.mix(curves, ["case"], whole=whole)
 
 
-def player_report(panel: DataFrame, *, width: float | None = None, min_frames: int = W.MIN_FRAMES, win: float = W.WINDOW_MIN, step: float = W.STEP_MIN) -> dict[str, DataFrame]:
+def player_report(panel: DataFrame, *, whole: bool = False, min_frames: int = W.MIN_FRAMES, win: float = W.WINDOW_MIN, step: float = W.STEP_MIN) -> dict[str, DataFrame]:
     """The report's tables for every player-half: peaks, distance, bins, profile, fingerprint, peers."""
     d = panel.withColumn("clock_min", S.clock_minutes(F.col("periodGameClockTime")))
     kw = {"win": win, "step": step, "min_frames": min_frames}
-    clock = Line(HALF, "periodGameClockTime", ("frameNum",), width)
+    clock = Line(HALF, "periodGameClockTime", ("frameNum",), whole)
     out = {
         "peaks": W.rolling_peaks(d, HALF, "clock_min", ["speed", "acc_use", "jerk_use"], **kw),
         "distance": W.rolling_distance(d, HALF, "clock_min", **kw),

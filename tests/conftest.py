@@ -17,8 +17,8 @@ def spark():
 
 
 @pytest.fixture
-def sliced(spark):
-    """Every ordered pass of the catalogue takes its sliced form."""
-    spark.conf.set("spark.keystride.sliced", "true")
+def whole(spark):
+    """Every ordered pass of the catalogue takes one window per key."""
+    spark.conf.set("spark.keystride.whole", "true")
     yield spark
-    spark.conf.unset("spark.keystride.sliced")
+    spark.conf.unset("spark.keystride.whole")

@@ -26,19 +26,19 @@ def gap(df, *pairs):
     return max(row[f"d{i}"] for i in range(len(pairs)))
 
 
-@pytest.mark.parametrize("width", [None, 7.0])
-def test_centred_means(spark, width):
+@pytest.mark.parametrize("whole", [True, False])
+def test_centred_means(spark, whole):
     d = read(spark, "01f_pc_synergy_m_80_1450_timewin.csv")
-    out = W.centred_mean(d, Line(("period",), "minute", ("i",), width), "m", {"a1": 1.0, "a3": 3.0, "a5": 5.0, "a10": 10.0})
+    out = W.centred_mean(d, Line(("period",), "minute", ("i",), whole), "m", {"a1": 1.0, "a3": 3.0, "a5": 5.0, "a10": 10.0})
     assert out.count() == d.count()
     assert gap(out, ("a1", "m_w1"), ("a3", "m_w3"), ("a5", "m_w5"), ("a10", "m_w10")) < 1e-12
 
 
-@pytest.mark.parametrize("width", [None, 7.0])
-def test_lead(spark, width):
+@pytest.mark.parametrize("whole", [True, False])
+def test_lead(spark, whole):
     d = read(spark, "03_self_nearest_distance_lead.csv")
     wide = d.groupBy("period", "minute").pivot("reference", ["teammates", "opponents"]).agg(F.max("r"))
-    out = W.signed_lead(wide, Line(("period",), "minute", (), width), {"teammates": "teammates", "opponents": "opponents"})
+    out = W.signed_lead(wide, Line(("period",), "minute", (), whole), {"teammates": "teammates", "opponents": "opponents"})
     both = out.join(d.select("period", "minute", "reference", F.col("C").alias("c0"), F.col("N").alias("n0"), F.col("ma7").alias("m0")), ["period", "minute", "reference"])
     assert both.count() == d.count()
     assert gap(both, ("C", "c0"), ("N", "n0"), ("ma7", "m0")) < 1e-10
@@ -54,9 +54,9 @@ def test_probability_composite_and_norms(spark):
     assert gap(s, ("a", "worst_vulnerability_5min_norm"), ("b", "trailing_median_5min_norm")) < 1e-14
 
 
-@pytest.mark.parametrize("width", [None, 11.0])
-def test_blended_scores(spark, width):
-    out = jobs.mix_cases(C.read_curves(spark, ROOT), width)
+@pytest.mark.parametrize("whole", [True, False])
+def test_blended_scores(spark, whole):
+    out = jobs.mix_cases(C.read_curves(spark, ROOT), whole)
     r = out.groupBy("case").agg(
         F.count("*").alias("n"), F.count("cognitive").alias("nc"), F.count("kinematic").alias("nk"), F.avg("cognitive").alias("c"), F.avg("kinematic").alias("k"), F.avg("both").alias("b")
     ).first()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystride.functions import scalar as S
 from keystride.operators import fits, quantiles as Q, windows as W
-from keystride.operators.ordered import Line, neighbour, prefix, range_around, rows_around, run_starts
+from keystride.operators.ordered import Line, deal, neighbour, part_of, prefix, range_means, range_totals, rows_around, run_starts
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def data(spark):
     return pdf.sort_values(["k", "t", "i"]), df
 
 
-LINES = [Line(("k",), "t", ("i",)), Line(("k",), "t", ("i",), 3.0)]
+LINES = [Line(("k",), "t", ("i",), True), Line(("k",), "t", ("i",))]
 
 
 def by_id(df, *cols):
@@ -55,7 +55,7 @@ def test_neighbours_and_frames(data, line):
     d = neighbour(df, line, {"p": F.col("v"), "pi": F.col("i")})
     d = neighbour(d, line, {"n": F.col("i")}, following=True)
     d = rows_around(d, line, 4, 2, lambda p, w: p.withColumn("s", F.sum("i").over(w.rowsBetween(-4, 2))), chunk=7)
-    d = range_around(d, line, {"r": ("sum(i)", 2.5, 1.0)})
+    d = range_totals(d, line, {"i": F.col("i")}, {"r": (2.5, 1.0)}).withColumnRenamed("r_i", "r")
     got = by_id(d, "p", "pi", "n", "s", "r")
     assert len(got) == len(pdf)
     for _, g in pdf.groupby("k"):
@@ -69,6 +69,52 @@ def test_neighbours_and_frames(data, line):
             assert r == np.array(ids)[near].sum()
 
 
+def test_one_key_fills_all_partitions(spark):
+    """All rows of one key, most of them at one time: parts are even, shrink as partitions grow, and follow row order."""
+    df = spark.range(4000).select(F.lit("hot").alias("k"), F.when(F.col("id") < 3000, 7.0).otherwise(F.col("id") / 8.0).alias("t"), F.col("id").alias("i"))
+    line, before = Line(("k",), "t", ("i",)), spark.conf.get("spark.sql.shuffle.partitions")
+    largest = []
+    try:
+        for n in (4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            d = deal(df, line)
+            assert deal(d, line.by("more")) is d  # dealt once for all finer lines
+            parts = d.groupBy(part_of(d, line)).agg(F.count("*").alias("n"), F.min(F.struct("t", "i")).alias("lo"), F.max(F.struct("t", "i")).alias("hi")).orderBy(part_of(d, line)).collect()
+            assert len(parts) == n and sum(p.n for p in parts) == 4000
+            assert all(a.hi < b.lo for a, b in zip(parts, parts[1:]))
+            largest.append(max(p.n for p in parts))
+            # what a task of a pass holds is one key's rows of one part
+            out = prefix(d, line, {"c": ("count", F.lit(1))})
+            assert "__part" in out._jdf.queryExecution().optimizedPlan().toString() and out.agg(F.max("c")).first()[0] == 4000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert largest[0] < 1500 and largest[1] < largest[0] / 2
+
+
+@pytest.mark.parametrize("line", LINES)
+def test_means_and_median_of_time_frames(spark, data, line):
+    pdf, df = data
+    df = df.withColumn("v", F.when(F.col("i") % 11 == 0, float("nan")).when(F.col("i") % 3 == 0, 5.0).otherwise(F.col("v"))).withColumn("t", F.when(F.col("i") != 50, F.col("t")))
+    pdf = df.toPandas().sort_values(["k", "t", "i"])
+    got = by_id(W.centred_median(range_means(df, line, "v", {"a": (1.0, 1.0), "b": (4.0, 0.5)}), line, "v", "med", 6.0, buckets=5), "a", "b", "med")
+    assert got[50] == (None, None, None)
+    for _, g in pdf[pdf.i != 50].groupby("k"):
+        ts, vs = g.t.to_numpy(), g.v.to_numpy(float)
+        for i, t in zip(g.i, ts):
+            for x, f, lo, hi in zip(got[i], (np.mean, np.mean, np.median), (1.0, 4.0, 3.0), (1.0, 0.5, 3.0)):
+                near = vs[(ts >= t - lo) & (ts <= t + hi)]
+                near = near[~np.isnan(near)]
+                assert x is None if not len(near) else x == pytest.approx(f(near), abs=1e-12)
+
+
+def test_means_keep_their_digits(spark):
+    """A short frame after a long run of large values."""
+    df = spark.range(3000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"), F.when(F.col("id") < 2990, 1e8 / 3).otherwise(F.col("id") / 1e4).alias("v"))
+    for line in (Line(("k",), "t"), Line(("k",), "t", (), True)):
+        got = range_means(df, line, "v", {"m": (1.0, 1.0)}).where("t = 2997").first().m
+        assert got == pytest.approx(0.2997, rel=1e-13)
+
+
 @pytest.mark.parametrize("line", LINES)
 def test_run_starts(data, line):
     pdf, df = data
@@ -149,8 +195,8 @@ def test_rolling_line_gates(spark):
     """Too few rows, too small a range, unusable rows between, restart at the period."""
     xs = [(1, 1, None, 5.0), (1, 2, 10.0, 5.0), (1, 3, 12.0, 6.0), (1, 4, None, 9.0), (1, 5, 40.0, 9.0), (1, 6, -1.0, 9.0), (1, 7, 41.0, 2.0), (2, 8, 90.0, 1.0)]
     df = spark.createDataFrame([("e", p, float(t), x, y) for p, t, x, y in xs], "k string, p int, t double, x double, y double")
-    for width in (None, 2.0):
-        r = fits.rolling_line(df, Line(("k", "p"), "t", (), width), "x", "y", table_keys=["k"], rows=3, min_rows=2, min_range=20.0, s_x=2.0, s_y=1.0, x_ref=10.0)
+    for whole in (True, False):
+        r = fits.rolling_line(df, Line(("k", "p"), "t", (), whole), "x", "y", table_keys=["k"], rows=3, min_rows=2, min_range=20.0, s_x=2.0, s_y=1.0, x_ref=10.0)
         r = {int(x.t): x for x in r.collect()}
         assert [r[t].roll_method for t in range(1, 9)] == [None, "too_few", "x_range", None, "ols", None, "ols", "too_few"]
         b, a = np.polyfit([10, 12, 40], [5, 6, 9], 1)

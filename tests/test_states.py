@@ -52,15 +52,15 @@ HAND = {
 }
 
 
-@pytest.mark.parametrize("width", [None, 3.0])
-def test_hysteresis(spark, width):
+@pytest.mark.parametrize("whole", [True, False])
+def test_hysteresis(spark, whole):
     rnd = random.Random(2)
     cases = dict(HAND)
     for c in range(60):
         cases[f"r{c}"] = [rnd.choice([None, rnd.randint(0, 10), rnd.randint(0, 10), rnd.randint(3, 10)]) for _ in range(rnd.randint(1, 30))]
     rows = [(k, float(i), None if x is None else float(x)) for k, v in cases.items() for i, x in enumerate(v)]
     df = spark.createDataFrame(rows, "k string, t double, v double").withColumns({"t_low": F.lit(5.0), "t_high": F.lit(8.0), "z": F.lit(1.0)})
-    ev = E.hysteresis_events(df, Line(("k",), "t", (), width), "v", clock="t", step="z", acc="z", jerk="z").collect()
+    ev = E.hysteresis_events(df, Line(("k",), "t", (), whole), "v", clock="t", step="z", acc="z", jerk="z").collect()
     got = sorted((r.k, int(r.start_time_s), int(r.end_time_s)) for r in ev)
     assert got == sorted((k, a, b) for k, v in cases.items() for a, b in hysteresis_loop(v, 5, 8))
     for r in ev:
@@ -70,12 +70,12 @@ def test_hysteresis(spark, width):
         assert r.peak_time_s == r.start_time_s + v.index(top)
 
 
-@pytest.mark.parametrize("width", [None, 4.0])
-def test_merge_close(spark, width):
+@pytest.mark.parametrize("whole", [True, False])
+def test_merge_close(spark, whole):
     """Gap 0, just under and at the limit, a chain of three, and the period border."""
     ev = [(1, 0.0, 2.0), (1, 2.0, 3.0), (1, 4.2, 5.0), (1, 6.25, 7.0), (2, 7.5, 8.0), (2, 8.5, 9.0), (2, 9.9, 10.5)]
     df = spark.createDataFrame(ev, "p int, start_time_s double, end_time_s double")
-    got = E.merge_clusters(df, Line(("p",), "t", (), width), 1.25).collect()
+    got = E.merge_clusters(df, Line(("p",), "t", (), whole), 1.25).collect()
     assert sorted((r.p, r._c0, r._c1, r.n_atoms) for r in got) == [(1, 0.0, 5.0, 3), (1, 6.25, 7.0, 1), (2, 7.5, 10.5, 3)]
 
 
@@ -122,9 +122,9 @@ def span_loop(otb, dead, t_min, respect=True):
     return [tuple(r) for r in merged]
 
 
-@pytest.mark.parametrize("width", [None, 6.0])
+@pytest.mark.parametrize("whole", [True, False])
 @pytest.mark.parametrize("respect", [True, False])
-def test_spans(spark, width, respect):
+def test_spans(spark, whole, respect):
     rnd = random.Random(8)
     matches, ticks = {}, 0
     for m in range(60):
@@ -141,7 +141,7 @@ def test_spans(spark, width, respect):
     o = spark.createDataFrame(o, "m int, i int, t0 double, t1 double, label string, sequence int").withColumn("how", F.lit("team_id"))
     d = spark.createDataFrame([(m, x) for m, (_, dead) in matches.items() for x in dead], "m int, t_dead double")
     lim = spark.createDataFrame([(m, 0.0, None) for m in matches], "m int, t_min double, t_max double")
-    got = P.possession_spans(o, d, ["m"], "i", width=width, limits=lim, respect_sequence=respect).collect()
+    got = P.possession_spans(o, d, ["m"], "i", whole=whole, limits=lim, respect_sequence=respect).collect()
     for m, (otb, dead) in matches.items():
         mine = sorted((r.t0, r.t1, r.team_possession) for r in got if r.m == m)
         assert mine == span_loop(otb, dead, 0.0, respect), m
@@ -166,14 +166,14 @@ def carry_loop(frames):
     return out
 
 
-@pytest.mark.parametrize("width", [None, 5.0])
-def test_carry(spark, width):
+@pytest.mark.parametrize("whole", [True, False])
+def test_carry(spark, whole):
     rnd = random.Random(4)
     cases = {c: [(rnd.random() < 0.15, rnd.choice([None, None, None, "FOCAL", "OPP"]), rnd.choice(["FOCAL", "OPP", "DEAD", "UNRESOLVED"])) for _ in range(40)] for c in range(40)}
     rows = [(c, float(i), d, None if d else ct, fb) for c, fr in cases.items() for i, (d, ct, fb) in enumerate(fr)]
     df = spark.createDataFrame(rows, "c int, t double, event_dead boolean, control_team string, fallback string")
     df = df.withColumns({"ball_state": F.when(F.col("control_team").isNotNull(), "CONTROL").otherwise("FREE"), "control_player_id": F.lit(1)})
-    got = P.carry_possession(df, Line(("c",), "t", (), width), focal_player=F.lit(1)).orderBy("c", "t").collect()
+    got = P.carry_possession(df, Line(("c",), "t", (), whole), focal_player=F.lit(1)).orderBy("c", "t").collect()
     for c, fr in cases.items():
         mine = [r for r in got if r.c == c]
         assert [r.team_possession for r in mine] == carry_loop(fr)
