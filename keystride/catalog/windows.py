@@ -31,8 +31,8 @@ KEYS = ["user_id", "period"]
 @query("w01_window_grid", f"""
 WITH {EV}, {G} SELECT user_id, period, t0, count(*) AS n FROM inw GROUP BY ALL HAVING count(*) >= 2""")
 def _(spark, d):
-    t = W.sliding(ev(spark, d), KEYS, "clock").groupBy(*KEYS, "t0").agg(F.count("*").alias("n"))
-    return t.where(F.col("n") >= 2)
+    t = W.window_aggregate(ev(spark, d), KEYS, "clock", {}, min_frames=2)
+    return t.select(*KEYS, "t0", F.col("n_frames").alias("n"))
 
 
 @query("w02_rolling_peaks", f"""
@@ -125,6 +125,15 @@ def _(spark, d):
     return W.presence_diagnostics(peers(spark, d), ["event_type"])
 
 
+@query("w07_presence_by_player", f"""
+WITH {PEER_SQL}, wa AS (SELECT event_type, period, count(DISTINCT t_centre) AS na FROM pr GROUP BY ALL),
+ ow AS (SELECT event_type, period, user_id, count(*) AS n, count(*) FILTER (WHERE n_team < 10) AS st, count(*) FILTER (WHERE n_all < 20) AS sa FROM pr GROUP BY ALL)
+SELECT p.event_type, p.period, p.user_id, coalesce(n, 0) AS n_windows, coalesce(na, 0) - coalesce(n, 0) AS focal_missing, coalesce(st, 0) AS short_team, coalesce(sa, 0) AS short_all
+FROM (SELECT DISTINCT event_type, period, user_id FROM ev) p LEFT JOIN wa USING (event_type, period) LEFT JOIN ow USING (event_type, period, user_id)""")
+def _(spark, d):
+    return W.presence_by_player(peers(spark, d), ev(spark, d), ["event_type", "period"], "user_id")
+
+
 @query("w08_second_bins", f"""
 WITH {EV} SELECT user_id, period, floor(clock_s / 30)::BIGINT AS time_bin, round(avg(clock_s), 3) AS clock_s, round(avg(value), 8) AS speed, round(avg(k), 8) AS acc_use, round(avg(vn), 8) AS jerk_use,
   round(coalesce(sum(vn), 0), 6) AS distance_1s, count(value) AS n_frames FROM ev GROUP BY user_id, period, floor(clock_s / 30)""")

@@ -82,26 +82,24 @@ def quantiles(
     return df.select(*keys).distinct().join(out, keys, "left") if keys else out
 
 
-def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str, *, bounded: bool = False) -> DataFrame:
-    """Add ``100 * share of the group's non-null values <= this value``, for groups of any size."""
+def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str, *, size: str | None = None) -> DataFrame:
+    """Add ``100 * share of the group's non-null values <= this value``, for groups of any size (and their number, as ``size``).
+
+    Equal values are counted first; the distinct ones are ranked within value buckets, with carries across the buckets.
+    So a value that many rows have is one row of the ranking.
+    """
     keys = list(keys)
-    if bounded:
-        group = Window.partitionBy(*keys)
-        upto = group.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        pct = F.lit(100.0) * F.count(value).over(upto) / F.count(value).over(group)
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), pct))
-    d = df.withColumn("__b", value_bucket(F.col(value)))
     w = Window.partitionBy(*keys)
-    hist = d.where(F.col(value).isNotNull()).groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__nb"))
-    hist = hist.select(
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__b", value_bucket(F.col(value)))
+    hist = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__nb")).select(
         *keys,
         "__b",
         F.coalesce(F.sum("__nb").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__at"),
         F.sum("__nb").over(w).alias("__all"),
     )
-    inside = (
-        Window.partitionBy(*keys, "__b").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    d = d.withColumn("__in", F.count(value).over(inside)).join(hist, [*keys, "__b"], "left")
+    inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.withColumn("__in", F.sum("__n").over(inside)).join(hist, [*keys, "__b"])
     pct = F.lit(100.0) * (F.col("__at") + F.col("__in")) / F.col("__all")
-    return d.withColumn(out, F.when(F.col(value).isNotNull(), pct)).drop("__b", "__in", "__at", "__all")
+    more = [F.col("__all").alias(size)] if size else []
+    return df.join(ranks.select(*keys, value, pct.alias(out), *more), [*keys, value], "left").select(*df.columns, out, *([size] if size else []))

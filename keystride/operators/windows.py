@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ HEAT_TOP = {"speed": 10.0, "acc_use": 5.0, "jerk_use": 8.0, "distance_1s": 10.0}
 KERNEL_SIGMA, KERNEL_REACH, KERNEL_WEIGHT = 1.25, 2.5, 0.15
 METRICS = ("speed", "acceleration", "distance", "jerk")
 MEDIAN_BUCKETS = 16
+SHORT_TEAM, SHORT_ALL = 10, 20
 
 
 def step_for(win: float, overlap_s: float) -> float:
@@ -32,60 +35,84 @@ def step_for(win: float, overlap_s: float) -> float:
     return step
 
 
-def sliding(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    win: float | Column = WINDOW_MIN,
-    step: float = STEP_MIN,
-    *,
-    from_first: bool = False,
-) -> DataFrame:
-    """Copy each row into every sliding window that holds it; adds ``t0``.
+def pane_width(*lengths: float) -> float:
+    """Longest step that divides all lengths and one unit, so that panes also meet windows that start at whole units."""
+    parts = [Fraction(str(x)) for x in (*lengths, 1)]
+    common = lcm(*(f.denominator for f in parts))
+    return float(Fraction(gcd(*(f.numerator * (common // f.denominator) for f in parts)), common))
+
 
-    Windows start at the floor of the group's first time (or at it, ``from_first``), every ``step``,
-    while they fit before the last time. Only a group's first and last time are shuffled for that;
-    ``from_first`` also keeps a last, partly filled window.
+def panes(df: DataFrame, keys: Sequence[str], time: str, parts: Mapping[str, Column], width: float, within: Sequence[str] = ()) -> DataFrame:
+    """Rows aggregated once to pieces ``_j`` of ``width`` along the time, per key (and ``within``), with ``n`` and last time.
+
+    ``parts`` are aggregates that can be merged later (counts, sums, largest, smallest values).
     """
-    keys = list(keys)
-    win = F.lit(float(win)) if isinstance(win, (int, float)) else win
     t = F.col(time)
-    spans = df.where(t.isNotNull()).groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    spans = spans.withColumn("_lo", F.col("_lo") if from_first else F.floor("_lo").cast("double"))
-    d = df.join(spans, keys)
-    room = F.col("_hi") - win + (F.lit(step) if from_first else F.lit(1e-9)) - F.col("_lo")
-    last = F.ceil(room / step) - 1
-    # one window more on both sides, then an exact comparison: no rounding of the window number
-    lo = F.greatest(F.lit(0), F.floor((t - F.col("_lo") - win) / step)).cast("long")
-    hi = F.least(last, F.floor((t - F.col("_lo")) / step) + 1).cast("long")
-    d = d.where(t.isNotNull() & (hi >= lo)).withColumn("_k", F.explode(F.sequence(lo, hi)))
-    d = d.withColumn("t0", F.col("_lo") + F.col("_k") * F.lit(float(step)))
-    return d.where((t >= F.col("t0")) & (t < F.col("t0") + win)).drop("_lo", "_hi", "_k")
+    # a border that floor() misses by rounding is settled by comparison with the border itself
+    j = F.floor(t / width).cast("long")
+    j = F.when(t < j * F.lit(width), j - 1).when(t >= (j + 1) * F.lit(width), j + 1).otherwise(j)
+    return df.where(t.isNotNull()).groupBy(*keys, *within, j.alias("_j")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(t).alias("_last"), *[c.alias(n) for n, c in parts.items()]
+    )
+
+
+def windows_of(pieces: DataFrame, keys: Sequence[str], wins: Sequence[float], step: float, width: float, merge: Mapping[str, Column], within: Sequence[str] = ()) -> DataFrame:
+    """Sliding windows put together from panes: one row per (key, window length ``win_min``, start ``t0``, ``within``).
+
+    Windows start at the floor of the key's first time, every ``step``, while they fit before its last time.
+    """
+    keys = list(keys)
+    unit, s = round(1 / width), round(step / width)
+    spans = pieces.groupBy(*keys).agg((F.floor(F.min("_j") / unit) * unit).alias("_lo"), F.max("_last").alias("_hi"))
+    lengths = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("win_min"), F.lit(round(w / width)).cast("long").alias("_w")) for w in wins]))
+    d = pieces.join(spans, keys).select("*", lengths.alias("_win")).select("*", "_win.*").drop("_win")
+    at = F.col("_j") - F.col("_lo")
+    last = F.floor((F.col("_hi") - F.col("win_min") + 1e-9 - F.col("_lo") * width) / step).cast("long")
+    first, upto = F.greatest(F.lit(0), F.floor((at - F.col("_w")) / s).cast("long") + 1), F.least(last, F.floor(at / s).cast("long"))
+    d = d.where(upto >= first).withColumn("_k", F.explode(F.sequence(first, upto)))
+    t0 = (F.col("_lo") * width + F.col("_k") * F.lit(float(step))).alias("t0")
+    return d.groupBy(*keys, "win_min", t0, *within).agg(F.sum("_n").alias("n_frames"), *[c.alias(n) for n, c in merge.items()])
+
+
+#: How an aggregate is cut into parts per pane, and put together again.
+_MERGED = {
+    "max": ((("", F.max),), lambda n: F.max(f"{n}")),
+    "min": ((("", F.min),), lambda n: F.min(f"{n}")),
+    "sum": ((("", F.sum),), lambda n: F.sum(f"{n}")),
+    "count": ((("", F.count),), lambda n: F.sum(f"{n}")),
+    "mean": ((("_s", F.sum), ("_c", F.count)), lambda n: F.sum(f"{n}_s") / F.nullif(F.sum(f"{n}_c"), F.lit(0))),
+}
 
 
 def window_aggregate(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    aggs: Mapping[str, Column],
-    win: float = WINDOW_MIN,
-    step: float = STEP_MIN,
-    min_frames: int = MIN_FRAMES,
+    df: DataFrame, keys: Sequence[str], time: str, aggs: Mapping[str, tuple[str, Column]], win: float | Sequence[float] = WINDOW_MIN, step: float = STEP_MIN,
+    min_frames: int = MIN_FRAMES, within: Sequence[str] = (),
 ) -> DataFrame:
-    """Aggregates per sliding window with at least ``min_frames`` rows."""
-    d = sliding(df, keys, time, win, step).groupBy(*keys, "t0")
-    d = d.agg(F.count(F.lit(1)).alias("n_frames"), *[c.alias(n) for n, c in aggs.items()])
-    return d.where(F.col("n_frames") >= min_frames).select(
-        *keys, (F.col("t0") + win / 2).alias("t_centre"), *aggs
-    )
+    """Aggregates ``name: (max | min | sum | count | mean, column)`` per sliding window with at least ``min_frames`` rows.
+
+    ``within`` groups the rows of a window further; windows still follow the times of ``keys``. Rows are read once
+    for all window lengths: they become panes, of which windows are made.
+    """
+    wins = [win] if isinstance(win, (int, float)) else list(win)
+    width = pane_width(*wins, step)
+    # distinct names keep a part from reading another one's column
+    parts = {f"_p_{n}{tail}": f(c) for n, (kind, c) in aggs.items() for tail, f in _MERGED[kind][0]}
+    merge = {n: _MERGED[kind][1](f"_p_{n}") for n, (kind, _) in aggs.items()}
+    d = windows_of(panes(df, keys, time, parts, width, within), keys, wins, step, width, merge, within)
+    return d.where(F.col("n_frames") >= min_frames)
+
 
+def _centred(d: DataFrame, win: float) -> DataFrame:
+    return d.withColumn("t_centre", F.col("t0") + win / 2).drop("t0", "win_min", "n_frames")
 
-def rolling_peaks(df: DataFrame, keys, time: str, cols: Sequence[str], **kw) -> DataFrame:
-    return window_aggregate(df, keys, time, {f"max_{c}": F.max(c) for c in cols}, **kw)
 
+def rolling_peaks(df: DataFrame, keys, time: str, cols: Sequence[str], win: float = WINDOW_MIN, **kw) -> DataFrame:
+    return _centred(window_aggregate(df, keys, time, {f"max_{c}": ("max", F.col(c)) for c in cols}, win, **kw), win)
 
-def rolling_distance(df: DataFrame, keys, time: str, step_col: str = "step_dist", **kw) -> DataFrame:
-    return window_aggregate(df, keys, time, {"window_distance": F.coalesce(F.sum(step_col), F.lit(0.0))}, **kw)
+
+def rolling_distance(df: DataFrame, keys, time: str, step_col: str = "step_dist", win: float = WINDOW_MIN, **kw) -> DataFrame:
+    d = window_aggregate(df, keys, time, {"window_distance": ("sum", F.col(step_col))}, win, **kw)
+    return _centred(d.withColumn("window_distance", F.coalesce("window_distance", F.lit(0.0))), win)
 
 
 def majority_label(centres: DataFrame, points: DataFrame, keys, centre: str, time: str, label: str, win: float) -> DataFrame:
@@ -106,17 +133,16 @@ def _majority(n_in: Column, n_out: Column, n_other: Column) -> Column:
 
 
 def label_proportions(
-    df: DataFrame, keys, time: str, label: str, win: float | Column = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES
+    df: DataFrame, keys, time: str, label: str, win: float | Sequence[float] = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES
 ) -> DataFrame:
-    """Share of each possession class per sliding window, the largest share and its class."""
-    counts = [F.count_if(F.col(label) == c) for c in (S.IN_POSS, S.OUT_POSS, S.NEUTRAL)]
-    d = sliding(df, keys, time, win, step).groupBy(*keys, "t0").agg(
-        F.count(F.lit(1)).alias("n_frames"), *[c.alias(f"_n{i}") for i, c in enumerate(counts)]
-    )
+    """Share of each possession class per sliding window, the largest share and its class (and ``win_min`` of several lengths)."""
+    classes = {f"_n{i}": ("count", F.when(F.col(label) == c, 1)) for i, c in enumerate((S.IN_POSS, S.OUT_POSS, S.NEUTRAL))}
+    d = window_aggregate(df, keys, time, classes, win, step, min_frames)
+    d = d.drop("win_min") if isinstance(win, (int, float)) else d
     total = F.col("_n0") + F.col("_n1") + F.col("_n2")
     # a window without any known class has zero shares
     shares = {n: F.when(total > 0, F.col(f"_n{i}") / F.greatest(total, F.lit(1))).otherwise(0.0) for i, n in enumerate(("p_ip", "p_oop", "p_dead"))}
-    d = d.where(F.col("n_frames") >= min_frames).withColumns(shares)
+    d = d.withColumns(shares)
     return d.withColumns(
         {
             "p_max": F.greatest("p_ip", "p_oop", "p_dead"),
@@ -129,8 +155,7 @@ def window_length_sweep(
     df: DataFrame, keys, time: str, label: str, wins=(0.5, 1.0, 3.0), step: float = 0.5, thresholds=(0.5, 0.6, 0.7), min_frames: int = MIN_FRAMES
 ) -> DataFrame:
     """How window length changes the dominance of one class; one row per length over all groups."""
-    d = df.withColumn("win_min", F.explode(F.array(*[F.lit(float(w)) for w in wins])))
-    d = label_proportions(d, [*keys, "win_min"], time, label, F.col("win_min"), step, min_frames)
+    d = label_proportions(df, keys, time, label, [float(w) for w in wins], step, min_frames)
     aggs = [
         F.count(F.lit(1)).alias("n_windows"),
         F.avg("p_max").alias("p_max_mean"),
@@ -151,39 +176,47 @@ def window_length_sweep(
 
 
 def peer_percentiles(
-    df: DataFrame, match: Sequence[str], player: str, team: str, time: str, win: float = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES, bounded: bool = True
+    df: DataFrame, match: Sequence[str], player: str, team: str, time: str, win: float = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES
 ) -> DataFrame:
-    """Per window and player: inclusive percentile of four metrics among the team and among all.
-
-    ``bounded``: the players of one window are one match's rosters; say False for other groups.
-    """
+    """Per window and player: inclusive percentile of four metrics among the team and among all."""
     match = list(match)
-    means = {"mean_speed": F.avg("speed"), "mean_acc": F.avg("acc_use"), "mean_jerk": F.avg("jerk_use")}
-    means["total_distance"] = F.coalesce(F.sum("step_dist"), F.lit(0.0))
-    d = sliding(df, match, time, win, step).groupBy(*match, "t0", player, team)
-    d = d.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in means.items()]).where(F.col("_n") >= min_frames)
-    d = stage(d)  # small against the rows, and read by both rankings and both sizes
+    means = {"mean_speed": ("mean", F.col("speed")), "mean_acc": ("mean", F.col("acc_use")), "mean_jerk": ("mean", F.col("jerk_use")), "total_distance": ("sum", F.col("step_dist"))}
+    d = window_aggregate(df, match, time, means, win, step, min_frames, within=(player, team))
+    d = d.withColumn("total_distance", F.coalesce("total_distance", F.lit(0.0)))
     everyone = [*match, "t0"]
-    sizes_all = d.groupBy(*everyone).agg(F.count(F.lit(1)).alias("n_all"))
-    sizes_team = d.groupBy(*everyone, team).agg(F.count(F.lit(1)).alias("n_team"))
-    # long form: two ranking passes serve all four metrics
     ident = [*everyone, player, team]
-    long = d.unpivot(ident, list(means), "metric", "_v")
-    long = share_at_or_below(long, [*everyone, "metric"], "_v", "all_pct", bounded=bounded)
-    long = share_at_or_below(long, [*everyone, "metric", team], "_v", "team_pct", bounded=bounded)
+    # long form: one ranking pass among all and one among the team serve all metrics and both sizes
+    long = d.select(*ident, F.lit(1.0).alias("_one"), *means).unpivot(ident, ["_one", *means], "metric", "_v")
+    long = share_at_or_below(long, [*everyone, "metric"], "_v", "all_pct", size="_n_all")
+    long = share_at_or_below(long, [*everyone, "metric", team], "_v", "team_pct", size="_n_team")
     out = long.groupBy(*ident).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in means for p in ("team_pct", "all_pct")]
+        *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in means for p in ("team_pct", "all_pct")],
+        *[F.max(F.when(F.col("metric") == "_one", F.col(f"_{n}"))).alias(n) for n in ("n_team", "n_all")],
     )
-    out = out.join(sizes_team, [*everyone, team]).join(sizes_all, everyone)
     return out.withColumn("t_centre", F.col("t0") + win / 2).drop("t0")
 
 
+def presence_by_player(peers: DataFrame, players: DataFrame, match: Sequence[str], player: str) -> DataFrame:
+    """Per player of ``players`` (match keys, player): windows with them, windows of others without them, and short windows.
+
+    A window counts as missing where it has peers but the player has too few frames in it.
+    """
+    match = list(match)
+    windows = peers.groupBy(*match).agg(F.count_distinct("t_centre").alias("_all"))
+    own = peers.groupBy(*match, player).agg(
+        F.count(F.lit(1)).alias("_own"), F.count_if(F.col("n_team") < SHORT_TEAM).alias("_st"), F.count_if(F.col("n_all") < SHORT_ALL).alias("_sa")
+    )
+    d = players.select(*match, player).distinct().join(windows, match, "left").join(own, [*match, player], "left")
+    n, everyone = (F.coalesce(c, F.lit(0)).cast("long") for c in ("_own", "_all"))
+    return d.select(*match, player, n.alias("n_windows"), (everyone - n).alias("focal_missing"), *[F.coalesce(c, F.lit(0)).cast("long").alias(o) for c, o in (("_st", "short_team"), ("_sa", "short_all"))])
+
+
 def presence_diagnostics(peers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """How many peers the windows had: windows per (team size, overall size), with short flags."""
     return (
         peers.groupBy(*by, "n_team", "n_all")
         .agg(F.count(F.lit(1)).alias("n_windows"))
-        .withColumns({"short_team": F.col("n_team") < 10, "short_all": F.col("n_all") < 20})
+        .withColumns({"short_team": F.col("n_team") < SHORT_TEAM, "short_all": F.col("n_all") < SHORT_ALL})
     )
 
 
@@ -211,14 +244,26 @@ def heat_scale(zoom: str = "full") -> tuple[dict[str, float], int]:
 
 
 def sliding_histogram(df: DataFrame, keys, time: str, value: str, top: float, bins: int, win: float = 180.0, step: float = 120.0) -> DataFrame:
-    """Counts per (window, value bin) over ``[0, top]``, zero bins included, last bin closed."""
+    """Counts per (window, value bin) over ``[0, top]``, zero bins included, last bin closed.
+
+    Windows start at the group's first time and one partly filled window is kept. Rows become counts per (pane from that
+    time, bin) before any window is made.
+    """
     keys = list(keys)
+    width = pane_width(win, step)
+    w, s = round(win / width), round(step / width)
     d = df.where(F.col(time).isNotNull() & F.col(value).isNotNull())
-    d = sliding(d, keys, time, win, step, from_first=True)
-    v = F.col(value)
+    v, t = F.col(value), F.col(time)
     slot = F.least(F.floor(v * bins / top), F.lit(bins - 1)).cast("int")
     slot = F.when((v >= 0) & (v <= top), slot)
-    counts = d.groupBy(*keys, "t0", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spans = d.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    j = F.floor((t - F.col("_lo")) / width).cast("long")
+    j = F.when(t < F.col("_lo") + j * F.lit(width), j - 1).when(t >= F.col("_lo") + (j + 1) * F.lit(width), j + 1).otherwise(j)
+    pieces = d.join(spans, keys).groupBy(*keys, "_lo", "_hi", j.alias("_j"), slot.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    last = F.ceil((F.col("_hi") - win + step - F.col("_lo")) / step).cast("long") - 1
+    first, upto = F.greatest(F.lit(0), F.floor((F.col("_j") - w) / s).cast("long") + 1), F.least(last, F.floor(F.col("_j") / s).cast("long"))
+    pieces = pieces.where(upto >= first).withColumn("_k", F.explode(F.sequence(first, upto)))
+    counts = pieces.groupBy(*keys, (F.col("_lo") + F.col("_k") * F.lit(float(step))).alias("t0"), "bin").agg(F.sum("_n").alias("n"))
     grid = counts.select(*keys, "t0").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = grid.join(counts, [*keys, "t0", "bin"], "left")
     return full.select(

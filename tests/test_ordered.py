@@ -141,11 +141,10 @@ def test_quantiles(data, bounded):
     assert whole == pytest.approx(pdf.v.median())
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_share_at_or_below(data, bounded):
+def test_share_at_or_below(data):
     pdf, df = data
     df = df.withColumn("q", F.round("v"))
-    got = by_id(Q.share_at_or_below(df, ["k"], "q", "s", bounded=bounded), "q", "s")
+    got = by_id(Q.share_at_or_below(df, ["k"], "q", "s"), "q", "s")
     for _, g in pdf.groupby("k"):
         v = np.array([got[i][0] for i in g.i if got[i][0] is not None])
         for i in g.i:
