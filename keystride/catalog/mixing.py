@@ -60,6 +60,21 @@ def _(spark, d):
     return rounded(M.interpolate(curves(spark, d), ["region"]), "value", digits=8)
 
 
+@query("m02_equal_knots", """
+WITH e AS (SELECT user_id, event_id, floor(epoch(ts) / 86400)::BIGINT % 90 AS day, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+ kn AS (SELECT user_id, day / 2.0::DOUBLE AS minute, arg_max(value, event_id) AS va, arg_min(value, event_id) AS vf FROM e GROUP BY ALL),
+ nx AS (SELECT *, lead(minute) OVER w AS t1, lead(vf) OVER w AS v1 FROM kn WINDOW w AS (PARTITION BY user_id ORDER BY minute)),
+ g AS (SELECT nx.*, g AS m FROM nx, generate_series(0, 45) s(g) WHERE g >= minute AND (g < t1 OR g = minute))
+SELECT user_id::VARCHAR AS "case", m::DOUBLE AS minute, round(CASE WHEN m = minute THEN va ELSE va + (v1 - va) / (t1 - minute) * (m - minute) END, 6) AS value FROM g""")
+def _(spark, d):
+    """Several values a day: a stretch ends at the first and begins at the last of equal knots."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000) % 90
+    c = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("case"), F.lit(1).alias("period"), (day / 2.0).alias("minute"), F.lit("s").alias("series"), "value", F.col("event_id").alias("source_row")
+    )
+    return rounded(M.interpolate(c, ["case"]).select("case", "minute", "value"), "value")
+
+
 @query("m03_weighted_mean", """
 WITH t AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value / 500 END AS a, CASE WHEN event_id % 4 <> 0 THEN value / 700 END AS b, CASE WHEN event_id % 5 <> 0 THEN 0.25 END AS c FROM events)
 SELECT event_id, round((coalesce(a, 0) + 1.5 * coalesce(b, 0) + 0.5 * coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + 1.5 * (b IS NOT NULL)::INT + 0.5 * (c IS NOT NULL)::INT, 0), 8) AS score FROM t""")

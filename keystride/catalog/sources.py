@@ -31,8 +31,10 @@ def vendor_events(spark, d):
     k, e = F.col("k"), ev(spark, d)
     kind = F.when(F.col("event_type") == "error", "OUT").when(F.col("event_type") == "signup", "END").otherwise("OTB")
     poss = F.when(F.col("event_type") == "view", "PA").when(F.col("event_type") == "purchase", "SH")
-    body = F.to_json(
-        F.struct(
+    ball = F.struct((F.col("value") / 10).alias("x"), (k / 4.0).alias("y"))
+
+    def body(ball):
+        return F.to_json(F.struct(
             F.col("event_id").alias("gameEventId"),
             F.when(k % 9 == 0, "junk").otherwise(F.col("value").cast("string")).alias("eventTime"),
             F.col("value").cast("string").alias("startTime"), (F.col("value") + 1).cast("string").alias("endTime"), (k % 7).cast("string").alias("sequence"),
@@ -47,12 +49,14 @@ def vendor_events(spark, d):
                 F.when(k % 2 == 0, "HE").otherwise("L").alias("bodyType"), F.when(k % 6 == 0, "P").alias("pressureType"), F.substring(F.lit("GSBCOFL"), k % 7 + 1, 1).alias("shotOutcomeType"), F.lit(120.0).alias("gameClock"),
             ).alias("possessionEvents"),
             F.struct(F.when(k % 2 == 0, "L").otherwise("R").alias("teamAttackingDirection")).alias("stadiumMetadata"),
-            F.when(k % 8 < 6, F.array(F.struct((F.col("value") / 10).alias("x"), (k / 4.0).alias("y")))).alias("ball"),
+            F.when(k % 8 < 6, ball).alias("ball"),
             F.when(k % 8 != 7, F.array(F.struct((k % 11).cast("long").alias("playerId"), (F.col("value") / 20).alias("x"), (k / 5.0).alias("y"), F.lit("CM").alias("positionGroupType")))).alias("homePlayers"),
             F.array(F.struct(F.lit(99).cast("long").alias("playerId"), F.lit(50.0).alias("x"), F.lit(1.0).alias("y"), F.lit("gk").alias("positionGroupType"))).alias("awayPlayers"),
-        )
-    )
-    return ME.parse_events(e.select(F.col("user_id").cast("string").alias("match_id"), body.alias("value")))
+        ))
+
+    # the ball is a list in half of the events, one object in the others
+    text = F.when(k % 16 < 8, body(F.array(ball))).otherwise(body(ball))
+    return ME.parse_events(e.select(F.col("user_id").cast("string").alias("match_id"), text.alias("value")))
 
 
 @query("s02_event_scan", f"""
@@ -241,6 +245,25 @@ def _(spark, d):
     return C.missing_series(long_curves(spark, d))
 
 
+@query("s12_curve_files", f"""
+WITH {EV}, c AS (SELECT *, user_id % 4 AS cs FROM ev)
+SELECT 'case_' || cs AS "case", period, round(clock, 4) AS minute, 'tight_w3' AS series, round(value / 500, 6) AS value FROM c WHERE cs <> 3
+UNION ALL SELECT 'case_' || cs, period, round(clock, 4), 'standing', round(1 - value / 700, 6) FROM c WHERE cs <> 1""")
+def _(spark, d):
+    """Curve files whose headers differ by case, written to the shared folder and read back by name."""
+    root = f"{shared_folder(spark)}/curves-{uuid.uuid4().hex}"
+    e = ev(spark, d).withColumn("cs", F.col("user_id") % 4)
+    period, minute, m = "period", F.col("clock").alias("minute"), F.col("value").alias("m")
+    m3, standing = (F.col("value") / 500).alias("m_w3"), (F.col("value") / 700).alias("worst_vulnerability_5min_norm")
+    # as described, turned round, with further columns before, without the series' column
+    tight = [[period, minute, m, m3], [m3, m, minute, period], [F.lit("x").alias("section"), m, period, minute, m3], [period, minute, m]]
+    for cs, columns in enumerate(tight):
+        files = {"01f_pc_synergy_m_80_1450_timewin.csv": columns} | ({"06_standing_position.csv": [standing, minute, period]} if cs != 1 else {})
+        for file, cols in files.items():
+            e.where(F.col("cs") == cs).select(*cols).write.option("header", True).csv(f"{root}/case_{cs}/source/{file}")
+    return rounded(rounded(C.read_curves(spark, root).drop("source_row"), "value"), "minute", digits=4)
+
+
 @query("s13_partitioned_sink", f"WITH {EV} SELECT period, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY ALL")
 def _(spark, d):
     """Written to and read back from the shared folder; only its own new folder is used."""

@@ -30,14 +30,15 @@ def unit_grid(curves: DataFrame, case: Sequence[str]) -> DataFrame:
 def _knots(curves: DataFrame, case: Sequence[str], whole: bool) -> DataFrame:
     """Knots with their follower ``_t1``/``_v1``; equal knots (same minute) are reduced to one first.
 
-    Of equal knots the one latest in its source counts, where ``curves`` says so in ``source_row``;
-    else the largest value.
+    A stretch that ends at equal knots runs to the first of them in their source, the one that begins there
+    starts from the last, which also holds at the minute itself. ``source_row`` gives their order; without it the largest value counts.
     """
     keys = [*case, "period", "series"]
-    one = F.max_by("value", "source_row") if "source_row" in curves.columns else F.max("value")
-    knots = curves.groupBy(*keys, "minute").agg(one.alias("value"))
+    ordered = "source_row" in curves.columns
+    first, last = (F.min_by("value", "source_row"), F.max_by("value", "source_row")) if ordered else (F.max("value"), F.max("value"))
+    knots = curves.groupBy(*keys, "minute").agg(last.alias("value"), first.alias("_first"))
     line = Line(tuple(keys), "minute", (), whole)
-    return neighbour(knots, line, {"_t1": F.col("minute"), "_v1": F.col("value")}, following=True)
+    return neighbour(knots, line, {"_t1": F.col("minute"), "_v1": F.col("_first")}, following=True).drop("_first")
 
 
 def _own_minutes() -> Column:
@@ -52,7 +53,7 @@ def _value_at(g: Column) -> Column:
     return F.when((g == t0) | t1.isNull(), v0).otherwise(v0 + (v1 - v0) / (t1 - t0) * (g - t0))
 
 
-def interpolate(curves: DataFrame, case: Sequence[str], whole: bool = False) -> DataFrame:
+def interpolate(curves: DataFrame, case: Sequence[str], whole: bool = True) -> DataFrame:
     """Linear interpolation at whole minutes inside each series' range, long.
 
     A knot knows its follower, so the stretch between them yields its own grid minutes: no join of
@@ -63,7 +64,7 @@ def interpolate(curves: DataFrame, case: Sequence[str], whole: bool = False) ->
     return d.select(*case, "period", "series", g.alias("_m"), _value_at(g).alias("value")).withColumnRenamed("_m", "minute")
 
 
-def wide_grid(curves: DataFrame, case: Sequence[str], series: Sequence[str], whole: bool = False) -> DataFrame:
+def wide_grid(curves: DataFrame, case: Sequence[str], series: Sequence[str], whole: bool = True) -> DataFrame:
     """One row per grid minute with a column per series, null where a series has no value."""
     if not whole:
         rows = interpolate(curves, case, whole).unionByName(unit_grid(curves, case), allowMissingColumns=True)
@@ -97,7 +98,7 @@ def weighted_mean(values: Mapping[str, float]) -> Column:
 
 def mix(
     curves: DataFrame, case: Sequence[str], *, weights: Mapping[str, float] = SERIES_WEIGHTS,
-    groups: Mapping[str, Sequence[str]] = GROUPS, group_weights: Mapping[str, float] = GROUP_WEIGHTS, whole: bool = False,
+    groups: Mapping[str, Sequence[str]] = GROUPS, group_weights: Mapping[str, float] = GROUP_WEIGHTS, whole: bool = True,
 ) -> DataFrame:
     """Group scores and their blend on the unit grid, for all cases in one job.
 

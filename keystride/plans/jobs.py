@@ -150,7 +150,7 @@ def profiles(panel: DataFrame, positions: DataFrame, whole: bool = False) -> Dat
     return A.reference_profiles(minutes, "position")
 
 
-def mix_cases(curves: DataFrame, whole: bool = False) -> DataFrame:
+def mix_cases(curves: DataFrame, whole: bool = True) -> DataFrame:
     return M.mix(curves, ["case"], whole=whole)
 
 

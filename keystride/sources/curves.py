@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,37 +34,72 @@ def series_value(series: str, raw: Column) -> Column:
 
 def case_of(path: Column) -> Column:
     """Folder of the case: the last folder above ``source/``, or the one holding the file."""
-    return F.regexp_extract(path, r"([^/]+)/(?:source/)?[^/]+$", 1)
+    folder = F.regexp_extract(path, r"([^/]+)/(?:source/)?[^/]+?(?:/part-[^/]+)?$", 1)
+    return F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
 
 
 def long_curve(rows: DataFrame, file: str) -> DataFrame:
-    """One file's rows (text or typed columns plus ``case``) as ``(case, period, minute, series, value)``."""
+    """One file's rows (text or typed columns plus ``case``) as ``(case, period, minute, series, value)``.
+
+    ``source_row``, the order of the rows in their file, is kept where ``rows`` has it.
+    """
     minute_col, parts = FILES[file]
     minute = S.num(F.col(minute_col))
     period = S.num(F.col("period")).cast("int") if "period" in rows.columns else S.infer_period(minute)
+    order = [c for c in ("source_row",) if c in rows.columns]
     out = None
     for series, col, only in parts:
-        if col not in rows.columns:
+        if col not in rows.columns or (only and only[0] not in rows.columns):
             continue  # a missing column means the series is absent
         d = rows if only is None else rows.where(F.col(only[0]) == only[1])
-        d = d.select("case", period.alias("period"), minute.alias("minute"), F.lit(series).alias("series"), series_value(series, S.num(F.col(col))).alias("value"))
+        d = d.select("case", period.alias("period"), minute.alias("minute"), F.lit(series).alias("series"), series_value(series, S.num(F.col(col))).alias("value"), *order)
         d = d.dropna(subset=["period", "minute", "value"])
         out = d if out is None else out.unionByName(d)
     return out
 
 
+def file_of(path: Column) -> Column:
+    """Name of the curve file; a folder of that name with part files, as Spark writes it, counts as one file."""
+    return F.regexp_extract(path, r"([^/]+\.csv)(?:/part-[^/]+)?$", 1)
+
+
+def headers(spark: SparkSession, root: str) -> DataFrame:
+    """Path, file name and first line of every curve file under ``root``."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), file_of(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    lines = lines.where((F.col("at") == 0) & F.col("file").isin(*FILES)).withColumn("row", F.monotonically_increasing_id())
+    return lines.groupBy("path", "file").agg(F.min_by("value", "row").alias("header"))
+
+
+def _columns(header: str) -> list[str]:
+    """Column names of a header line; of equal names the first keeps its name."""
+    names: list[str] = []
+    for n in next(csv.reader([header.lstrip("\ufeff").rstrip("\r")]), []):
+        k = 0
+        while (n if not k else f"{n}.{k}") in names:
+            k += 1
+        names.append(n if not k else f"{n}.{k}")
+    return names
+
+
 def read_curves(spark: SparkSession, root: str) -> DataFrame:
-    """All cases' curve files under ``root/<case>/source/``; files may be missing per case or altogether."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    """All cases' curve files under ``root/<case>/source/``; files may be missing per case or altogether.
+
+    Files are grouped by their header and every group is read by it, so columns are found by name wherever a file
+    has them. ``source_row`` orders the rows of a file.
+    """
+    layouts: dict[tuple[str, str], list[str]] = {}
+    for r in headers(spark, root).collect():  # one row per file, as in Spark's own listing
+        layouts.setdefault((r.file, r.header), []).append(unquote(r.path))
     out = None
-    for file in FILES:
-        glob = f"{root}/*/source/{file}"
-        path = hadoop.Path(glob)
-        hits = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        if not hits:
-            continue
-        d = spark.read.option("header", True).csv(glob).withColumn("case", case_of(F.col("_metadata.file_path")))
-        d = long_curve(d, file)
+    for (file, header), paths in sorted(layouts.items()):
+        names = _columns(header)
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        d = spark.read.schema(schema).option("header", True).csv(sorted(paths))
+        d = d.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names if n.lower() not in ("case", "source_row")], case_of(F.col("_metadata.file_path")).alias("case"),
+                     F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+        d = d.withColumn("source_row", F.format_string("%s %020d %020d", "_file", "_at", F.monotonically_increasing_id())).drop("_file", "_at")
+        d = long_curve(d, file) if FILES[file][0] in names else None
         out = d if out is None else (out if d is None else out.unionByName(d))
     if out is None:
         raise FileNotFoundError(f"no curve files under {root}")
@@ -75,8 +112,11 @@ def missing_series(curves: DataFrame, case: Sequence[str] = ("case",), expected:
     return all_of.join(curves.select(*case, "series").distinct(), [*case, "series"], "left_anti")
 
 
-def write_table(df: DataFrame, path: str, by: Sequence[str] = ("match_id",), fmt: str = "parquet") -> None:
-    """Write partitioned by match (or case). Rows are spread by the partition keys and a salt within."""
-    d = df.repartition(*[F.col(c) for c in by], F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    w = d.write.mode("overwrite").partitionBy(*by)
+def write_table(df: DataFrame, path: str, by: Sequence[str] = ("match_id",), fmt: str = "parquet", rows_per_file: int = 5_000_000) -> None:
+    """Write partitioned by match (or case).
+
+    Rows are rebalanced by the partition keys: adaptive execution sizes the writers, several for a key with much data,
+    one for many small keys. No file holds more than ``rows_per_file`` rows.
+    """
+    w = df.hint("rebalance", *by).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by)
     (w.option("header", True).csv if fmt == "csv" else w.parquet)(path)

@@ -72,8 +72,10 @@ def shots(events: DataFrame) -> DataFrame:
     everyone = F.concat(F.coalesce("homePlayers", F.array()), F.coalesce("awayPlayers", F.array()))
     # the later of two placed entries of the shooter counts
     mine = F.filter(everyone, lambda q: (q["playerId"].cast("string") == p["shooterPlayerId"]) & q["x"].isNotNull() & q["y"].isNotNull())
-    ball = F.get("ball", 0)
-    ball = F.when(ball["x"].isNotNull() & ball["y"].isNotNull(), F.struct(ball["x"].alias("x"), ball["y"].alias("y")))
+    # `ball` is read as text, since a file may hold one object, a list of them, or both forms in turn
+    ball = F.get(F.from_json("ball", schemas.EVENT_BALL), 0)
+    ball = F.struct(S.num(ball["x"]).alias("x"), S.num(ball["y"]).alias("y"))
+    ball = F.when(ball["x"].isNotNull() & ball["y"].isNotNull(), ball)
     d = events.where(p["possessionEventType"] == "SH")
     d = d.withColumn("_mine", mine).withColumn("_who", F.get("_mine", F.size("_mine") - 1))
     d = d.withColumn("_at", F.coalesce(ball, F.struct(F.col("_who.x").alias("x"), F.col("_who.y").alias("y"))))

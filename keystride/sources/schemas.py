@@ -20,9 +20,10 @@ EVENTS = (
     "possessionEvents struct<possessionEventType: string, passOutcomeType: string, passerPlayerId: string, receiverPlayerId: string, "
     "targetPlayerId: string, shooterPlayerId: string, shooterPlayerName: string, shotType: string, bodyType: string, pressureType: string, "
     "shotOutcomeType: string, gameClock: double, formattedGameClock: string>, "
-    "stadiumMetadata struct<teamAttackingDirection: string>, ball array<struct<x: double, y: double>>, "
+    "stadiumMetadata struct<teamAttackingDirection: string>, ball string, "
     f"homePlayers array<{FRAME_PLAYER}>, awayPlayers array<{FRAME_PLAYER}>"
 )
+EVENT_BALL = "array<struct<x: string, y: string>>"  # also reads a single object
 PERSON = "struct<id: string, nickname: string, name: string>"
 ROSTER_RECORD = f"player {PERSON}, team struct<id: string, name: string>, positionGroupType string, shirtNumber string"
 ROSTER_ROW = f"struct<player: {PERSON}, team: struct<id: string, name: string>, positionGroupType: string, shirtNumber: string>"

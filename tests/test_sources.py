@@ -3,11 +3,13 @@
 import bz2
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from keystride.operators import nearest as N
 from keystride.plans import jobs
+from keystride.operators import mix as M
 from keystride.sources import curves as C, dims as D, match_events as ME, tracking as T
 from keystride.streaming import tracking as ST
 
@@ -131,7 +133,7 @@ def test_curves_missing_and_sinks(spark, tmp_path):
     (a / "04_speed_roll10_phi.csv").write_text("section,minute,phi_roll10\ns,1,0.25\ns,50,0.5\ns,bad,0.5\ns,60,\n")
     (a / "01f_pc_synergy_m_80_1450_timewin.csv").write_text("section,period,minute,m\ns,1,1,0.5\n")
     cur = C.read_curves(spark, str(tmp_path / "in"))
-    assert sorted(map(tuple, cur.collect())) == [("case_x", 1, 1.0, "speed_phi", 0.25), ("case_x", 2, 50.0, "speed_phi", 0.5)]
+    assert sorted(map(tuple, cur.drop("source_row").collect())) == [("case_x", 1, 1.0, "speed_phi", 0.25), ("case_x", 2, 50.0, "speed_phi", 0.5)]
     assert C.missing_series(cur).count() == 6
     out = jobs.mix_cases(cur).orderBy("period", "minute").collect()
     assert [(r.period, r.minute, r.kinematic, r.cognitive, r.both) for r in out] == [(1, 1.0, 0.25, None, 0.25), (2, 50.0, 0.5, None, 0.5)]
@@ -142,6 +144,33 @@ def test_curves_missing_and_sinks(spark, tmp_path):
         C.read_curves(spark, str(tmp_path / "csv"))
 
 
+def test_curves_are_found_by_name(spark, tmp_path):
+    """Columns permuted, missing and added from case to case; equal minutes in the order of their file."""
+    for case, text in {
+        "a": "section,period,minute,m,m_w1,m_w3\ns,1,1,0.1,0.2,0.3\ns,1,3,0.1,0.2,0.5\ns,1,3,0.1,0.2,0.4\ns,1,5,0.1,0.2,0.9\n",
+        "b b": "\ufeffm_w3,m,minute,period\n0.3,0.1,1,1\n", "c": "m,minute\n1,2\n", "d": 'note,m_w3,minute,m_w3\r\n"x, y",0.6,50,9\r\n', "e": "",
+    }.items():
+        f = tmp_path / case / "source"
+        f.mkdir(parents=True)
+        (f / "01f_pc_synergy_m_80_1450_timewin.csv").write_text(text)
+        (f / "other.csv").write_text("m_w3,minute\n7,7\n")
+    cur = C.read_curves(spark, str(tmp_path))
+    got = sorted((r.case, r.period, r.minute, r.series, r.value) for r in cur.collect())
+    assert got == [("a", 1, 1.0, "tight_w3", 0.3), ("a", 1, 3.0, "tight_w3", 0.4), ("a", 1, 3.0, "tight_w3", 0.5), ("a", 1, 5.0, "tight_w3", 0.9), ("b b", 1, 1.0, "tight_w3", 0.3), ("d", 2, 50.0, "tight_w3", 0.6)]
+    grid = {r.minute: r.value for r in M.interpolate(cur.where("case = 'a'"), ["case"]).collect()}
+    want = dict(zip(range(1, 6), np.interp(range(1, 6), [1, 3, 3, 5], [0.3, 0.5, 0.4, 0.9])))
+    assert grid == pytest.approx(want)
+
+
+@pytest.mark.parametrize("ball, x", [([{"x": 10.0, "y": 4.0}], 10.0), ({"x": 10.0, "y": "4"}, 10.0), ([], -40.0), ({"x": None, "y": 1}, -40.0), (None, -40.0), ([{"x": 1}], -40.0)])
+def test_ball_shapes(spark, root, ball, x):
+    e = EVENTS[1] | {"ball": ball}
+    (root / "shapes").mkdir(exist_ok=True)
+    (root / "shapes" / "300_events.json").write_text(json.dumps([e, EVENTS[1] | {"ball": [{"x": 0, "y": 0}], "gameEventId": 9}]))
+    got = {r.gameEventId: r.x for r in ME.shots(ME.read_events(spark, f"{root}/shapes")).collect()}
+    assert got == {2: pytest.approx((52.5 - x) * 120 / 105), 9: pytest.approx(60.0)}
+
+
 def test_stream_players(spark, root, squad, tmp_path):
     out, ck = str(tmp_path / "rows"), str(tmp_path / "ck")
     for _ in range(2):  # the second run finds nothing new
