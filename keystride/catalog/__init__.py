@@ -4,6 +4,6 @@ from . import base  # noqa: F401
 
 
 def load() -> dict:
-    from . import aggregates, events, joins, kinematics, mixing, plans, possession, scalar, shots, sources, windows  # noqa: F401
+    from . import aggregates, events, joins, kinematics, mixing, plans, reports, possession, scalar, shots, sources, windows  # noqa: F401
 
     return base.REGISTRY

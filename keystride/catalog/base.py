@@ -76,8 +76,8 @@ USER = Line(("user_id",), "clock", ("event_id",))
 
 
 def chosen(spark: SparkSession, line: Line) -> Line:
-    """Any user may hold any share of the rows, so lines are dealt; ``spark.keystride.whole`` asks for one window per user."""
-    return line.bounded() if spark.conf.get("spark.keystride.whole", "false") == "true" else line
+    """Any user may hold any share of the rows, so no line of the catalogue is bounded."""
+    return line
 
 
 def half(spark: SparkSession, sf_dir: str) -> Line:

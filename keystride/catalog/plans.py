@@ -157,7 +157,7 @@ def _(spark, d):
         {"match_id": F.col("frame") % 3, "player_id": F.col("vec_id") % 10, "period": F.lit(1), "periodGameClockTime": F.col("frame") * 20.0}
     )
     clock = e.select((F.col("frame") % 3).alias("match_id"), (F.col("vec_id") % 10).alias("player_id"), F.col("periodGameClockTime").alias("video_time_s"), F.lit(0).alias("frameNum")).distinct()
-    mins = jobs.N.nearest_minutes(near, jobs.N.fps_of(clock, jobs.player_line(6000.0)), list(jobs.HALF), "periodGameClockTime")
+    mins = jobs.N.nearest_minutes(near, jobs.N.fps_of(clock, jobs.player_line()), list(jobs.HALF), "periodGameClockTime")
     lead = jobs.W.signed_lead(mins, Line(jobs.HALF, "t_centre_min"), {"d_resid_tm": "teammates", "d_resid_op": "opponents"})
     return rounded(rounded(lead.drop("period"), "r", "ma7", digits=7), "C").withColumn("N", F.round("N", 8))
 

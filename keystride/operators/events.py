@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .joins import as_of_label
-from .ordered import Line, deal, dealt, neighbour, prefix, rows_around, run_starts
+from .ordered import Line, dealt, neighbour, prefix, rows_around, run_starts, settle
 from .quantiles import quantiles
 
 # Fixed values
@@ -115,7 +115,8 @@ def threshold_events(df: DataFrame, line: Line, v: str, threshold: float = SPRIN
 def merge_clusters(events: DataFrame, line: Line, gap: float) -> DataFrame:
     """Outer times and number of atoms of events whose gap is in ``[0, gap)``."""
     ev = Line(line.keys, "start_time_s", ("end_time_s",), line.whole)
-    d = neighbour(deal(events, ev), ev, {"_pe": F.col("end_time_s")})
+    events, ev = settle(events, ev)
+    d = neighbour(events, ev, {"_pe": F.col("end_time_s")})
     between = F.col("start_time_s") - F.col("_pe")
     d = d.withColumn("_new", F.when((between >= 0) & (between < gap), 0).otherwise(1))
     d = prefix(d, ev, {"_cluster": ("sum", F.col("_new"))})
@@ -168,7 +169,7 @@ def label_segments(df: DataFrame, line: Line, label: str) -> DataFrame:
 @dealt
 def phase_durations(df: DataFrame, line: Line, label: str) -> DataFrame:
     """Segment lengths plus one median sample step, so they match the frames they cover."""
-    d = _cut(neighbour(df, line, {"_t": F.col(line.time)}), line)
+    d = neighbour(df, line, {"_t": F.col(line.time)})
     step = quantiles(d, list(line.keys), F.col(line.time) - F.col("_t"), {"_dt": 0.5}, bounded=line.whole)
     segs = label_segments(d.drop("_t"), line, label).join(step, list(line.keys), "left")
     dt = F.when(F.col("_dt") > 0, F.col("_dt")).otherwise(DEFAULT_STEP_S)

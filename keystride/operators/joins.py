@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_join
-from .ordered import Line, deal, prefix, run_starts
+from .ordered import Line, prefix, run_starts, settle
 
 
 def as_of_label(
@@ -51,7 +51,7 @@ def nearest_in_time(points: DataFrame, frames: DataFrame, keys: Sequence[str], t
     pts = points.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.struct("*").alias("_row"))
     fr = frames.select(*keys, F.col(frame_time).alias("_t"), F.lit(1).alias("_kind"), F.struct(F.col(frame_time).alias("_ft"), *cols).alias("_fr"))
     line = Line(tuple(keys), "_t", ("_kind",), whole)
-    d = deal(pts.unionByName(fr, allowMissingColumns=True), line)
+    d, line = settle(pts.unionByName(fr, allowMissingColumns=True), line)
     d = prefix(d, line, {"_before": ("last", F.col("_fr"))})
     d = prefix(d, line, {"_after": ("last", F.col("_fr"))}, reverse=True).where(F.col("_kind") == 0)
     later = F.col("_before").isNull() | (F.col("_after._ft") - F.col("_t") < F.col("_t") - F.col("_before._ft"))

@@ -14,8 +14,9 @@ ordered operator of this package therefore goes through the passes below, driven
 * :func:`range_totals` - sums and counts over ``[t - before, t + after]``. Borders are looked up in one pass over
   rows and shifted borders, so the work does not depend on how many rows a frame holds.
 
-A line with ``whole`` set is not dealt: all passes are single windows on its keys. Both forms give the
-same rows, and nothing is measured to choose between them.
+A line with ``whole`` set is not dealt: all passes are single windows on its keys. So are those over a table that one
+task may hold altogether (:func:`one_task`), where no key can be too large for a task; any larger table is dealt,
+however its rows are spread over the keys. Both forms give the same rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 CHUNK_ROWS = 100_000
+JOIN_BYTES = 10 << 20
 _UNB = Window.unboundedPreceding
 
 
@@ -75,6 +77,26 @@ def part_of(df: DataFrame, line: Line) -> str | None:
     return next((n for n in map(line.part_name, range(len(line.keys), -1, -1)) if n in names), None)
 
 
+def one_task(df: DataFrame) -> bool:
+    """Whether the whole table is small enough for a single task, by the size that Spark plans with.
+
+    The limit is what Spark would broadcast; ``spark.keystride.oneTaskBytes`` sets another one (0 deals every table). Where
+    the size is not known the table counts as large.
+    """
+    conf = df.sparkSession.conf
+    limit = int(conf.get("spark.keystride.oneTaskBytes", None) or JOIN_BYTES)
+    if limit <= 0 or not hasattr(df, "_jdf"):
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def settle(df: DataFrame, line: Line) -> tuple[DataFrame, Line]:
+    """Rows and line as the passes take them: dealt already, bounded, or dealt now."""
+    if line.whole or part_of(df, line):
+        return df, line
+    return (df, line.bounded()) if one_task(df) else (deal(df, line), line)
+
+
 def deal(df: DataFrame, line: Line) -> DataFrame:
     """Rows dealt in row order to as many range partitions as shuffles have, written once, with their partition's number."""
     if line.whole or part_of(df, line):
@@ -89,7 +111,7 @@ def dealt(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(op)
     def run(df: DataFrame, line: Line, *args, **kw) -> DataFrame:
-        d = deal(df, line)
+        d, line = settle(df, line)
         out = op(d, line, *args, **kw)
         return out if d is df else out.drop(part_of(d, line))
 
@@ -135,14 +157,14 @@ def prefix(
     ``specs`` maps an output name to ``(kind, column)``. ``inclusive=False`` leaves the current row
     out; ``reverse=True`` runs from the end (``last`` is then the nearest following value).
     """
+    d0, line = settle(df, line)
     asc = [F.col(c).desc() if reverse else F.col(c).asc() for c in line.order]
     end = 0 if inclusive else -1
     if line.whole:
         w = Window.partitionBy(*line.keys).orderBy(*asc).rowsBetween(_UNB, end)
         return df.withColumns({n: _over(k, v, w) for n, (k, v) in specs.items()})
 
-    d = d0 = deal(df, line)
-    part = part_of(d, line)
+    d, part = d0, part_of(d0, line)
     flip = {"last": "first", "first": "last"} if reverse else {}
     order = F.struct(*[F.col(c) for c in line.order])
     names = list(specs)
@@ -169,6 +191,7 @@ def prefix(
     return d.drop(*[f"__{x}{i}" for i in range(len(names)) for x in "cl"], *([] if d0 is df else [part]))
 
 
+@dealt
 def neighbour(df: DataFrame, line: Line, names: Mapping[str, Column], *, following: bool = False) -> DataFrame:
     """``lag(1)`` (or ``lead(1)``) of several columns, nulls kept."""
     if line.whole:
@@ -180,6 +203,7 @@ def neighbour(df: DataFrame, line: Line, names: Mapping[str, Column], *, followi
     return d.withColumns({n: F.col("_near")[f"f{i}"] for i, n in enumerate(names)}).drop("_near")
 
 
+@dealt
 def rows_around(
     df: DataFrame,
     line: Line,
@@ -211,6 +235,8 @@ def range_totals(df: DataFrame, line: Line, values: Mapping[str, Column], frames
     there. Neither depends on how many rows a frame holds.
     """
     t = F.col(line.time)
+    if not line.whole and part_of(df, line) is None and one_task(df):
+        line = line.bounded()
     known = {n: F.when(t.isNotNull(), F.coalesce(c, F.lit(0))) for n, c in values.items()}
     if line.whole:
         d = df.withColumns({f"__v_{n}": c for n, c in known.items()})

@@ -271,12 +271,12 @@ def sliding_histogram(df: DataFrame, keys, time: str, value: str, top: float, bi
     )
 
 
-def fingerprint(df: DataFrame, line: Line, win: float | None, coverage: float = 0.8) -> DataFrame:
+def fingerprint(df: DataFrame, line: Line, win: float | None, coverage: float = 0.8, clock: str | None = None) -> DataFrame:
     """Mean |jerk|, mean positive acceleration, mean speed and distance per tumbling window.
 
-    Without ``win`` every row is its own window. ``line.time`` is the clock in seconds.
+    Without ``win`` every row is its own window. ``clock`` (seconds) cuts the windows, by default the time of the line.
     """
-    keys, t = list(line.keys), F.col(line.time)
+    keys, t = list(line.keys), F.col(clock or line.time)
     gain = F.when(F.col("a_tan_use").isNotNull(), F.greatest(F.col("a_tan_use"), F.lit(0.0)))
     if not win:
         return df.select(

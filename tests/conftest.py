@@ -11,14 +11,15 @@ from keystride.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("keystride-tests", "local[8]", 2)
+    s.conf.set("spark.keystride.oneTaskBytes", "0")  # every table is dealt to range partitions
     s.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny inputs: compiling costs more than running
     yield s
     s.stop()
 
 
 @pytest.fixture
-def whole(spark):
-    """Every ordered pass of the catalogue takes one window per key."""
-    spark.conf.set("spark.keystride.whole", "true")
+def sized(spark):
+    """Tables that one task may hold are not dealt, as outside of tests."""
+    spark.conf.unset("spark.keystride.oneTaskBytes")
     yield spark
-    spark.conf.unset("spark.keystride.whole")
+    spark.conf.set("spark.keystride.oneTaskBytes", "0")

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, at sf0.001; a subset again with one window per key."""
+"""Every registered query against its SQL in DuckDB, at sf0.001; a subset again with every table dealt to range partitions."""
 
 import math
 
@@ -12,11 +12,11 @@ from keystride import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 REGISTRY = catalog.load()
-WHOLE = [
+DEALT = [
     "k01_gap_segments", "k04_kinematics", "k05_step_distance", "k06_simple_speed", "k07_time_derivative", "k08_sample_interval", "w07_peer_percentiles",
     "w10_fingerprint", "w14_centred_mean", "w15_centred_median", "w16_trailing_mean", "w17_running_sums", "w18_signed_lead", "w20_rolling_line", "w21_theil_sen_line",
     "a04_segment_stats", "a14_phase_delta", "a16_pooled_scales", "a06_radius_calibration", "a10_setting_sweep", "a11_exemplars", "j01_as_of_label", "j03_label_frames", "j12_nearest_is_actor", "e02_hysteresis_events",
-    "e05_merge_close_events", "e09_label_segments", "e13_possession_spans", "e15_carry_possession", "e16_possession_both", "c03_sprint_recovery", "c05_synergy_windows",
+    "e05_merge_close_events", "e09_label_segments", "e13_possession_spans", "e15_carry_possession", "e16_possession_both", "c03_sprint_recovery", "c05_synergy_windows", "c04_work_rate_lead", "c07_from_events", "c10_fingerprint", "c10_phases", "w11_regulation_minutes",
 ]
 
 
@@ -62,13 +62,13 @@ def compare(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
-def test_query(spark, duck, name):
-    compare(spark, duck, name)
+def test_query(sized, duck, name):
+    compare(sized, duck, name)
 
 
-@pytest.mark.parametrize("name", WHOLE)
-def test_query_whole(whole, duck, name):
-    compare(whole, duck, name)
+@pytest.mark.parametrize("name", DEALT)
+def test_query_dealt(spark, duck, name):
+    compare(spark, duck, name)
 
 
 def test_entry(spark):
