@@ -35,42 +35,50 @@ def step_for(win: float, overlap_s: float) -> float:
     return step
 
 
-def pane_width(*lengths: float) -> float:
+def pane_width(*lengths: float) -> Fraction:
     """Longest step that divides all lengths and one unit, so that panes also meet windows that start at whole units."""
     parts = [Fraction(str(x)) for x in (*lengths, 1)]
     common = lcm(*(f.denominator for f in parts))
-    return float(Fraction(gcd(*(f.numerator * (common // f.denominator) for f in parts)), common))
+    return Fraction(gcd(*(f.numerator * (common // f.denominator) for f in parts)), common)
 
 
-def panes(df: DataFrame, keys: Sequence[str], time: str, parts: Mapping[str, Column], width: float, within: Sequence[str] = ()) -> DataFrame:
+def _border(j: Column, width: Fraction) -> Column:
+    """Start of pane ``j``, rounded once, so that a time written as the same decimal number lies on it."""
+    return j * F.lit(width.numerator) / F.lit(width.denominator)
+
+
+def _pane(t: Column, width: Fraction) -> Column:
+    """Pane of a time; a border that floor() misses by rounding is settled by comparison with the border itself."""
+    j = F.floor(t / float(width)).cast("long")
+    return F.when(t < _border(j, width), j - 1).when(t >= _border(j + 1, width), j + 1).otherwise(j)
+
+
+def panes(df: DataFrame, keys: Sequence[str], time: str, parts: Mapping[str, Column], width: Fraction, within: Sequence[str] = ()) -> DataFrame:
     """Rows aggregated once to pieces ``_j`` of ``width`` along the time, per key (and ``within``), with ``n`` and last time.
 
     ``parts`` are aggregates that can be merged later (counts, sums, largest, smallest values).
     """
     t = F.col(time)
-    # a border that floor() misses by rounding is settled by comparison with the border itself
-    j = F.floor(t / width).cast("long")
-    j = F.when(t < j * F.lit(width), j - 1).when(t >= (j + 1) * F.lit(width), j + 1).otherwise(j)
-    return df.where(t.isNotNull()).groupBy(*keys, *within, j.alias("_j")).agg(
+    return df.where(t.isNotNull()).groupBy(*keys, *within, _pane(t, width).alias("_j")).agg(
         F.count(F.lit(1)).alias("_n"), F.max(t).alias("_last"), *[c.alias(n) for n, c in parts.items()]
     )
 
 
-def windows_of(pieces: DataFrame, keys: Sequence[str], wins: Sequence[float], step: float, width: float, merge: Mapping[str, Column], within: Sequence[str] = ()) -> DataFrame:
+def windows_of(pieces: DataFrame, keys: Sequence[str], wins: Sequence[float], step: float, width: Fraction, merge: Mapping[str, Column], within: Sequence[str] = ()) -> DataFrame:
     """Sliding windows put together from panes: one row per (key, window length ``win_min``, start ``t0``, ``within``).
 
     Windows start at the floor of the key's first time, every ``step``, while they fit before its last time.
     """
     keys = list(keys)
-    unit, s = round(1 / width), round(step / width)
+    unit, s = int(1 / width), int(Fraction(str(step)) / width)
     spans = pieces.groupBy(*keys).agg((F.floor(F.min("_j") / unit) * unit).alias("_lo"), F.max("_last").alias("_hi"))
-    lengths = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("win_min"), F.lit(round(w / width)).cast("long").alias("_w")) for w in wins]))
+    lengths = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("win_min"), F.lit(int(Fraction(str(w)) / width)).cast("long").alias("_w")) for w in wins]))
     d = pieces.join(spans, keys).select("*", lengths.alias("_win")).select("*", "_win.*").drop("_win")
     at = F.col("_j") - F.col("_lo")
-    last = F.floor((F.col("_hi") - F.col("win_min") + 1e-9 - F.col("_lo") * width) / step).cast("long")
+    last = F.floor((F.col("_hi") - F.col("win_min") + 1e-9 - _border(F.col("_lo"), width)) / step).cast("long")
     first, upto = F.greatest(F.lit(0), F.floor((at - F.col("_w")) / s).cast("long") + 1), F.least(last, F.floor(at / s).cast("long"))
     d = d.where(upto >= first).withColumn("_k", F.explode(F.sequence(first, upto)))
-    t0 = (F.col("_lo") * width + F.col("_k") * F.lit(float(step))).alias("t0")
+    t0 = _border(F.col("_lo") + F.col("_k") * s, width).alias("t0")
     return d.groupBy(*keys, "win_min", t0, *within).agg(F.sum("_n").alias("n_frames"), *[c.alias(n) for n, c in merge.items()])
 
 
@@ -251,14 +259,14 @@ def sliding_histogram(df: DataFrame, keys, time: str, value: str, top: float, bi
     """
     keys = list(keys)
     width = pane_width(win, step)
-    w, s = round(win / width), round(step / width)
+    w, s = int(Fraction(str(win)) / width), int(Fraction(str(step)) / width)
     d = df.where(F.col(time).isNotNull() & F.col(value).isNotNull())
     v, t = F.col(value), F.col(time)
     slot = F.least(F.floor(v * bins / top), F.lit(bins - 1)).cast("int")
     slot = F.when((v >= 0) & (v <= top), slot)
     spans = d.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    j = F.floor((t - F.col("_lo")) / width).cast("long")
-    j = F.when(t < F.col("_lo") + j * F.lit(width), j - 1).when(t >= F.col("_lo") + (j + 1) * F.lit(width), j + 1).otherwise(j)
+    j = F.floor((t - F.col("_lo")) / float(width)).cast("long")
+    j = F.when(t < F.col("_lo") + _border(j, width), j - 1).when(t >= F.col("_lo") + _border(j + 1, width), j + 1).otherwise(j)
     pieces = d.join(spans, keys).groupBy(*keys, "_lo", "_hi", j.alias("_j"), slot.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
     last = F.ceil((F.col("_hi") - win + step - F.col("_lo")) / step).cast("long") - 1
     first, upto = F.greatest(F.lit(0), F.floor((F.col("_j") - w) / s).cast("long") + 1), F.least(last, F.floor(F.col("_j") / s).cast("long"))

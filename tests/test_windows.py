@@ -8,7 +8,7 @@ from keystride.operators import joins as J, ordered as O, windows as W
 
 
 def test_pane_width():
-    assert [W.pane_width(*x) for x in ((3.0, 2.0), (0.5, 1.0, 3.0), (0.7, 0.3), (4.0, 8.0), (2.5, 1.0))] == [1.0, 0.5, 0.1, 1.0, 0.5]
+    assert [float(W.pane_width(*x)) for x in ((3.0, 2.0), (0.5, 1.0, 3.0), (0.7, 0.3), (4.0, 8.0), (2.5, 1.0))] == [1.0, 0.5, 0.1, 1.0, 0.5]
 
 
 @pytest.mark.parametrize("wins, step", [((3.0,), 2.0), ((0.5, 2.0), 0.5), ((0.7,), 0.3), ((4.0, 6.0), 4.0)])
