@@ -82,15 +82,18 @@ def quantiles(
     return df.select(*keys).distinct().join(out, keys, "left") if keys else out
 
 
-def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str, *, size: str | None = None) -> DataFrame:
-    """Add ``100 * share of the group's non-null values <= this value``, for groups of any size (and their number, as ``size``).
+def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Number ``__n`` of rows per group and non-null value."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
 
-    Equal values are counted first; the distinct ones are ranked within value buckets, with carries across the buckets.
-    So a value that many rows have is one row of the ranking.
+
+def value_shares(counts: DataFrame, keys: Sequence[str], value: str, out: str, size: str | None = None) -> DataFrame:
+    """Of counted values (see :func:`counted`), ``100 * share of the group's values <= this one`` (and the group's number, as ``size``).
+
+    Distinct values are ranked within value buckets, with carries across the buckets; a value that many rows have is one row.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.withColumn("__b", value_bucket(F.col(value)))
     hist = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__nb")).select(
         *keys,
@@ -101,5 +104,11 @@ def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str,
     inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranks = counts.withColumn("__in", F.sum("__n").over(inside)).join(hist, [*keys, "__b"])
     pct = F.lit(100.0) * (F.col("__at") + F.col("__in")) / F.col("__all")
-    more = [F.col("__all").alias(size)] if size else []
-    return df.join(ranks.select(*keys, value, pct.alias(out), *more), [*keys, value], "left").select(*df.columns, out, *([size] if size else []))
+    return ranks.select(*keys, value, pct.alias(out), *([F.col("__all").alias(size)] if size else []))
+
+
+def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add ``100 * share of the group's non-null values <= this value``, for groups of any size."""
+    keys = list(keys)
+    ranks = value_shares(counted(df, keys, value), keys, value, out)
+    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)

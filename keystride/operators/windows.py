@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import stage, written
+from ..session import written
 from .bands import band_join
 from .kinematics import sample_interval
 from .ordered import Line, dealt, prefix, range_around, range_means, range_totals, rows_around
-from .quantiles import quantiles, share_at_or_below
+from .quantiles import counted, quantiles, value_shares
 
 # Fixed values
 WINDOW_MIN, STEP_MIN, MIN_FRAMES = 3.0, 2.0, 30
@@ -193,10 +193,13 @@ def peer_percentiles(
     d = d.withColumn("total_distance", F.coalesce("total_distance", F.lit(0.0)))
     everyone = [*match, "t0"]
     ident = [*everyone, player, team]
-    # long form: one ranking pass among all and one among the team serve all metrics and both sizes
+    # long form: one ranking among all and one among the team serve all metrics and both sizes; the values are counted once
     long = d.select(*ident, F.lit(1.0).alias("_one"), *means).unpivot(ident, ["_one", *means], "metric", "_v")
-    long = share_at_or_below(long, [*everyone, "metric"], "_v", "all_pct", size="_n_all")
-    long = share_at_or_below(long, [*everyone, "metric", team], "_v", "team_pct", size="_n_team")
+    group, own = [*everyone, "metric"], [*everyone, "metric", team]
+    counts = counted(long, own, "_v")
+    everywhere = counts.groupBy(*group, "_v").agg(F.sum("__n").alias("__n"))
+    long = long.join(value_shares(everywhere, group, "_v", "all_pct", "_n_all"), [*group, "_v"], "left")
+    long = long.join(value_shares(counts, own, "_v", "team_pct", "_n_team"), [*own, "_v"], "left")
     out = long.groupBy(*ident).agg(
         *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in means for p in ("team_pct", "all_pct")],
         *[F.max(F.when(F.col("metric") == "_one", F.col(f"_{n}"))).alias(n) for n in ("n_team", "n_all")],
