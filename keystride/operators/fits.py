@@ -21,6 +21,8 @@ SETTINGS = (  # (rows in the window, fewest rows, smallest x range)
     (8, 3, 20.0), (8, 5, 20.0), (10, 5, 20.0), (5, 3, 15.0), (5, 3, 30.0),
 )
 LOWESS_FRACTION = 0.5
+#: Rows of one minute series: the minutes of a half and of any overtime.
+LOWESS_ROWS = 120
 
 
 def usable(x: str, y: str) -> Column:
@@ -254,15 +256,19 @@ def _local_fit(points: Column, at: Column, far: Column, y: str) -> Column:
     return F.aggregate(F.transform(points, near), start, add, finish)
 
 
-def lowess(df: DataFrame, keys: Sequence[str], x: str, ys: Mapping[str, str], *, carry: Sequence[str] = (), fraction: float = LOWESS_FRACTION, min_n: int = 4) -> DataFrame:
+def lowess(df: DataFrame, keys: Sequence[str], x: str, ys: Mapping[str, str], *, carry: Sequence[str] = (), fraction: float = LOWESS_FRACTION, min_n: int = 4, most: int = LOWESS_ROWS) -> DataFrame:
     """Local linear smoothing of minute series (one pass, no robustness rounds).
 
-    A group is one half of one player: at most one row per clock minute, so its array is short.
+    A group is one half of one player: at most one row per clock minute, so its array is short. A group of more than
+    ``most`` rows fails before anything is gathered: rows are counted in order of ``x``, as they pass.
     ``ys`` maps output names to columns; null values are left out of their own fit.
     """
     names = {out: f"y{i}" for i, out in enumerate(ys)}
     row = F.struct(F.col(x).cast("double").alias("x"), *[F.col(ys[o]).cast("double").alias(names[o]) for o in ys], *[F.col(c) for c in carry])
-    d = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_pts"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(x))
+    fault = F.raise_error(F.concat(F.lit(f"lowess takes minute series of at most {most} rows in a group; more at "), F.to_json(F.struct(*keys))))
+    counted = df.withColumn("_place", place).withColumn("_row", F.when(F.col("_place") > most, fault.cast(df.select(row.alias("r")).schema["r"].dataType)).otherwise(row))
+    d = counted.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("_pts"))
 
     def known(y: str) -> Column:
         return F.filter("_pts", lambda p: p[y].isNotNull())

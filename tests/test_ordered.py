@@ -190,6 +190,13 @@ def test_lowess_against_weighted_polyfit(spark):
     assert got[(got.k == "few") | got.y.isna()].f.isna().all()
 
 
+def test_lowess_takes_minute_series_only(spark):
+    df = spark.range(200).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    assert fits.lowess(df, ["k"], "x", {"f": "y"}, most=100).where("abs(f - 1) < 1e-9").count() == 200
+    with pytest.raises(Exception, match="at most 99 rows"):
+        fits.lowess(df, ["k"], "x", {"f": "y"}, most=99).collect()
+
+
 def test_rolling_line_gates(spark):
     """Too few rows, too small a range, unusable rows between, restart at the period."""
     xs = [(1, 1, None, 5.0), (1, 2, 10.0, 5.0), (1, 3, 12.0, 6.0), (1, 4, None, 9.0), (1, 5, 40.0, 9.0), (1, 6, -1.0, 9.0), (1, 7, 41.0, 2.0), (2, 8, 90.0, 1.0)]
