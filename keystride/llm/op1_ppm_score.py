@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, blocked, buffers, mix64, staged, table, tiles, width, word_hashes, word_spans
 
-ORDER, PAD, STOP = 5, 0xFE, 0xFF
+ORDER, PAD, STOP, BLOCK = 5, 0xFE, 0xFF, 8 << 20
 _END = np.int64(-1)  # the end token's key; hashes have 63 bits
 _FRAG = "kind int, part int, block int, keys binary, n binary"
 
@@ -69,8 +69,32 @@ def normal(buf: np.ndarray, off: np.ndarray, ends: np.ndarray, first: np.ndarray
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each stands in training text."""
     codes, uniq = pd.factorize(keys)
-    return uniq, np.bincount(codes[train], minlength=len(uniq))
+    order = np.argsort(uniq)
+    return uniq[order], np.bincount(codes[train], minlength=len(uniq))[order]
+
+
+def _both(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs as one; equal keys are summed."""
+    keys, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")  # merges the two runs
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+def _push(runs: list, run: tuple) -> None:
+    while runs and len(runs[-1][0]) < 2 * len(run[0]):
+        run = _both(runs.pop(), run)
+    runs.append(run)
+
+
+def _merged(runs: list) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while runs:
+        out = _both(runs.pop(), out)
+    return out
 
 
 class Block:
@@ -80,19 +104,14 @@ class Block:
         self.order = order
         self.buf, self.off = buffers(texts.column("text"))
         self.train = texts.column("train").to_numpy()
-        found: list[list] = [[], []]
+        found: list[list] = [[], []]  # sorted runs of keys and counts, each at least twice as long as the next
         for i, j in tiles(self.off):
             words, doc, grams, first = self._tile(i, j)
             train = self.train[i:j]
-            found[0].append(_counted(np.append(words, np.full(j - i, _END)), np.append(train[doc], train)))
-            found[1].append(_counted(grams, np.repeat(train, np.diff(np.append(first, len(grams))))))
-        self.keys, self.n = [], []
-        for tiles_ in found:
-            keys = np.concatenate([k for k, _ in tiles_]) if tiles_ else np.zeros(0, np.int64)
-            n = np.concatenate([c for _, c in tiles_]) if tiles_ else np.zeros(0, np.int64)
-            u, at = np.unique(keys, return_inverse=True)
-            self.keys.append(u)
-            self.n.append(np.bincount(at, weights=n, minlength=len(u)).astype(np.int64))
+            _push(found[0], _counted(np.append(words, np.full(j - i, _END)), np.append(train[doc], train)))
+            _push(found[1], _counted(grams, np.repeat(train, np.diff(np.append(first, len(grams))))))
+        merged = [_merged(runs) for runs in found]
+        self.keys, self.n = [k for k, _ in merged], [n for _, n in merged]
 
     def _tile(self, i: int, j: int):
         b, o = self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
@@ -118,7 +137,7 @@ class Block:
             known = np.bincount(doc, weights=c > 0, minlength=j - i).astype(np.int64)
             base = np.bincount(doc, weights=np.log10((c + 1) / (total + kinds + 1)), minlength=j - i) + np.log10((end + 1) / (total + kinds + 1))
             codes, uniq = pd.factorize(grams)
-            score = np.add.reduceat(log[np.searchsorted(self.keys[1], uniq)][codes], first)
+            score = np.add.reduceat(log[np.searchsorted(self.keys[1], uniq)].astype(np.float64)[codes], first)
             yield n + 1, known + (end > 0), base, score
 
 
@@ -167,7 +186,7 @@ def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> D
         raise ValueError("one to six bytes of context")
     spark = docs.sparkSession
     parts = width(spark)
-    b = blocked(docs, 4 * (4 << 20)).withColumn("train", remainder(mod) != held)
+    b = blocked(docs, BLOCK).withColumn("train", remainder(mod) != held)
 
     def ask(t: pa.Table) -> pa.Table:
         own, block, rows = Block(t, order), t.column("block")[0].as_py(), []
@@ -208,7 +227,8 @@ def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> D
 
     def add(texts: pa.Table, got: pa.Table) -> pa.Table:
         own = Block(texts, order)
-        values = [np.zeros(len(own.keys[0]), np.int64), np.zeros(len(own.keys[1]), np.float64)]
+        own.n.clear()  # only asked for, not answered
+        values = [np.zeros(len(own.keys[0]), np.int64), np.zeros(len(own.keys[1]), np.float32)]
         where = [own.parts(0, parts), own.parts(1, parts)]
         raw, off = buffers(got.column("vals"))
         for r, (kind, p) in enumerate(zip(got.column("kind").to_pylist(), got.column("part").to_pylist())):
