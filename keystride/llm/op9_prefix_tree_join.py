@@ -325,7 +325,8 @@ def links(reps: DataFrame, pct: int, chunk: int) -> DataFrame:
         out = tree_links(members, probes, pct) if members and probes else []
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    tree = small.union(stay).union(go).groupBy("hood", "pc", "mc").applyInArrow(walk, "a long, b long")
+    # dealt by chunk whichever side the sizes were joined from: rows that lie by neighbourhood would satisfy the grouping too
+    tree = small.union(stay).union(go).repartition("hood", "pc", "mc").groupBy("hood", "pc", "mc").applyInArrow(walk, "a long, b long")
     return star.where("linked and rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(tree)
 
 
@@ -352,7 +353,7 @@ def all_links(reps: DataFrame, pct: int, chunk: int) -> DataFrame:
         out += [(r, None, sum(weight[x] for x in got)) for r, got in met.items() if got]
         return pa.table({c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate("abn")})
 
-    return staged(stay.union(go).groupBy("hood", "pc", "mc").applyInArrow(walk, "a long, b long, n long"))
+    return staged(stay.union(go).repartition("hood", "pc", "mc").groupBy("hood", "pc", "mc").applyInArrow(walk, "a long, b long, n long"))
 
 
 def _classes(docs: DataFrame, pct: int, k: int) -> tuple[DataFrame, DataFrame]:
