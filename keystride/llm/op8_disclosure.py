@@ -6,10 +6,10 @@ class, and every term t (a run of three letters or more, lower-cased) within `CO
     disclosure(t, e) = PMI(t, e) / IC(e) = 1 + ln P(e|t) / ln(W / c(e)),   IC = ln(W / c(e))
 with W windows of `CONTEXT` characters in all texts and c(e) occurrences of e. P(e|t) is c(t,e) / c(t), 1 at most, smoothed
 to independence: n texts that show t at e count n, and c(e) / W counts `SMOOTH`; c(t) are occurrences of t anywhere, c(t,e)
-occurrences of e with t near. Copies of a text are one text. A term that reaches `THRESHOLD` for an entity or class is a
-span wherever it stands, also far from the entity, and is generalised to a mark. A class at every window discloses nothing.
-One text is enough where W / c(e) passes 2 ** 20 (64 MB of text for an entity that occurs once), three are for W / c(e) over
-about 320.
+occurrences of e with t near. Copies of a text are one text. A term that reaches `THRESHOLD` for an entity or class, and
+that `SUPPORT` different texts show there, is a span wherever it stands, also far from the entity, and is generalised to
+a mark. A class at every window discloses nothing. The support is the same whatever the corpus's size: a term seen once
+beside an entity seen once is a coincidence in large corpora as in small ones. Terms exactly at either bound are spans.
 
 The context is taken by position: over other matches, and without a word that its edge cuts.
 
@@ -35,7 +35,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Kind, pattern, and a cheaper pattern that every text with a valid match has.
 KINDS = [("email", EMAIL, "@"), ("ip", IP, r"[0-9]\.[0-9]"), ("card", CARD, r"(?:[0-9][\x20-]?){15}[0-9]"), ("phone", PHONE, r"\+[0-9]")]
-CONTEXT, THRESHOLD, SMOOTH, BUCKET_BITS, RUN = 64, 0.95, 1.0, 20, 256
+CONTEXT, THRESHOLD, SUPPORT, SMOOTH, BUCKET_BITS, RUN = 64, 0.95, 3, 1.0, 20, 256
 
 
 def _none() -> Column:
@@ -120,7 +120,7 @@ def _classes(entity: Column) -> list[Column]:
     return [F.when(kind == "email", F.concat(F.lit("email:@"), F.substring_index(entity, "@", -1))), kind]
 
 
-def disclosing(texts: DataFrame, threshold: float = THRESHOLD, smooth: float = SMOOTH) -> DataFrame:
+def disclosing(texts: DataFrame, threshold: float = THRESHOLD, smooth: float = SMOOTH, support: int = SUPPORT) -> DataFrame:
     """`term, entity, disclosure` of the terms that disclose an entity or class; `texts` has a non-null `text`."""
     occ = staged(occurrences(texts))
     targets = F.array_compact(F.array("entity", *_classes(F.col("entity"))))
@@ -142,7 +142,7 @@ def disclosing(texts: DataFrame, threshold: float = THRESHOLD, smooth: float = S
     share = F.least(F.col("cte") / F.col("ct"), F.lit(1.0))
     share = (F.col("texts") * share + smooth * F.col("ce") / w) / (F.col("texts") + smooth)
     score = 1 + F.log(share) / F.log(w / F.col("ce"))
-    named = pairs.where(F.col("ce") < w).join(ct, F.col("term") == F.col("word")).select("term", "entity", score.alias("disclosure"))
+    named = pairs.where((F.col("ce") < w) & (F.col("texts") >= support)).join(ct, F.col("term") == F.col("word")).select("term", "entity", score.alias("disclosure"))
     return staged(named.where(F.col("disclosure") >= threshold))
 
 
@@ -153,7 +153,8 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD, smooth: float = SMOOTH)
     terms = disclosing(texts, threshold, smooth).select("term").distinct()
     hits = _words_in(texts.select("text", F.sha2("text", 256).alias("key")), terms, "key").distinct().join(terms, F.col("word") == F.col("term"))
     hits = staged(hits.groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("_terms")))
-    d = d.withColumn("_key", F.sha2("_text", 256)).join(hits, F.col("_key") == F.col("key"), "left").drop("key", "_key")
+    # one plan at every size: texts go once through an exchange, however few or many of them have terms
+    d = d.withColumn("_key", F.sha2("_text", 256)).join(hits.hint("merge"), F.col("_key") == F.col("key"), "left").drop("key", "_key")
     d = _matches(d, "_text", KINDS)
     rx = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
     d = d.withColumn("_rx", rx).withColumns({

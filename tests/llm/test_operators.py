@@ -332,6 +332,16 @@ def test_disclosure_of_rare_entities(spark):
         assert len(r) == 1 and set(r[0].terms) == want and r[0].entity == "card:" + card.replace(" ", ""), text
 
 
+@pytest.mark.parametrize("copies", [1, 200])
+def test_disclosure_needs_the_same_support_at_every_size(spark, copies):
+    """Two texts are a coincidence, three are evidence, in a corpus of 3 KB as in one of 600 KB."""
+    filler = [f"{' '.join(f'w{chr(97 + k % 26)}{chr(97 + j)}' for j in range(20))} stone river {k} " * 6 for k in range(8 * copies)]
+    own = lambda name, n: [f"ask {name} at u{len(name)}@h{len(name)}.example soon {' '.join(chr(97 + k) * 4 for _ in range(30))}" for k in range(n)]
+    texts = filler + own("zweifeld", 2) + own("dreifelda", 3)
+    got = {r.term for r in op8.disclosing(spark.createDataFrame([(t,) for t in texts], "text string"), threshold=0.8).collect()}
+    assert "dreifelda" in got and "zweifeld" not in got
+
+
 @pytest.mark.parametrize("chunk", [512, 2])
 def test_jaccard_links(spark, sample, chunk):
     """All links of each row, its class and component, against all pairs."""
