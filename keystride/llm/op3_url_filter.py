@@ -60,13 +60,27 @@ def possible(keys: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
     return hits.select(keys.columns)
 
 
+def block_count(keys: DataFrame) -> int:
+    """Blocks for a filter of `keys`: a power of two, 2 ** `LOG_BLOCKS` at most."""
+    return 1 << min(LOG_BLOCKS, max(4, (keys.count() * BITS_PER_KEY // 512).bit_length()))
+
+
+def marked(rows: DataFrame, filter_: DataFrame, blocks: int, name: str) -> DataFrame:
+    """All rows with a column that says whether the filter may hold their `key` (the columns of both stay)."""
+    hits = _hashed(rows, blocks).join(F.broadcast(filter_), "block", "left")
+    there = F.lit(True)
+    for i in range(8):
+        there = there & F.expr(f"(w{i} & shiftleft(1L, b{i})) <> 0")
+    return hits.withColumn(name, F.coalesce(there, F.lit(False)))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame) -> DataFrame:
     """`pages` with `host, path, rule, verdict`; `listed` has canonical URLs in `key`."""
     spark = pages.sparkSession
     lengths = sorted({len(r) - r.index("/") for r, _ in rules})
     named = spark.createDataFrame([(r, r, v) for r, v in rules], "key string, rule string, verdict string")
     all_ = named.union(listed.select(F.concat(F.lit(" "), "key"), F.lit(None).cast("string"), F.lit("block")).distinct())
-    blocks = 1 << min(LOG_BLOCKS, max(4, (all_.count() * BITS_PER_KEY // 512).bit_length()))
+    blocks = block_count(all_)
     urls = pages.select("url").where(F.col("url").contains("://")).distinct().withColumns({"h": host("url"), "p": path("url")})
     labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
