@@ -362,6 +362,19 @@ def test_jaccard_links(spark, sample, chunk):
     assert sorted((one(r.doc_id), one(r.component_id)) for r in got) == sorted((one(r.doc_id), one(r.component_id)) for r in parts)
 
 
+def test_language_without_labels(spark):
+    """Without a label no language is learned: what has a letter stays as it is."""
+    import corpus_pipeline
+
+    rows = [(1, "some words", None, "a"), (2, "12 34", None, "b"), (3, None, None, "c"), (4, "", None, "d"), (None, "élan", None, "e"), (1, "some words", None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, block string")
+    got = corpus_pipeline.language(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == ["some words", "some words", "élan"]
+    assert {r.lang for r in got.collect()} == {None}
+    left = corpus_pipeline.near_duplicates(spark, got, SF)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text, r.block) for r in left.collect()) == [(0, "élan", "e"), (1, "some words", "a")]
+
+
 def test_near_duplicates_by_row(spark, sample):
     """One row of each group of all pairs, where an id is repeated with different texts or missing."""
     import corpus_pipeline
