@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, blocked, buffers, mix64, staged, table, tiles, width, word_hashes, word_spans
 
-ORDER, PAD, STOP, BLOCK = 5, 0xFE, 0xFF, 8 << 20
+ORDER, PAD, STOP = 5, 0xFE, 0xFF
+#: Bytes of text of a block, whose distinct keys travel, and of a tile: a tile takes some 60 bytes of memory per byte.
+BLOCK, TILE = 16 << 20, 1 << 19
 _END = np.int64(-1)  # the end token's key; hashes have 63 bits
 _FRAG = "kind int, part int, block int, keys binary, n binary"
 
@@ -105,7 +107,7 @@ class Block:
         self.buf, self.off = buffers(texts.column("text"))
         self.train = texts.column("train").to_numpy()
         found: list[list] = [[], []]  # sorted runs of keys and counts, each at least twice as long as the next
-        for i, j in tiles(self.off):
+        for i, j in tiles(self.off, TILE):
             words, doc, grams, first = self._tile(i, j)
             train = self.train[i:j]
             _push(found[0], _counted(np.append(words, np.full(j - i, _END)), np.append(train[doc], train)))
@@ -128,7 +130,7 @@ class Block:
     def sums(self, values: list[np.ndarray], total: int, kinds: int):
         """Per document: tokens, known tokens, base score, score."""
         count, log = values
-        for i, j in tiles(self.off):
+        for i, j in tiles(self.off, TILE):
             words, doc, grams, first = self._tile(i, j)
             codes, uniq = pd.factorize(words)
             c = count[np.searchsorted(self.keys[0], uniq)][codes]

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from keystride.llm import (
@@ -395,3 +396,20 @@ def test_near_duplicates_by_row(spark, sample):
     where = {row: g for row, g in zip(rows, group)}
     kept = [(where[r.doc_id, r.text], (r.doc_id is None, r.doc_id or 0)) for r in got]
     assert sorted(kept) == sorted(first.items()) and sum(r.doc_id == 7000 for r in got) == 5
+
+
+def test_ppm_block_tiles(sample):
+    """A block's keys, counts and sums are the same whatever the tiles it is read by."""
+    texts = pa.table({"text": [t or "" for _, t in sample] * 3, "train": [k % 3 > 0 for k in range(3 * len(sample))]})
+
+    def read(tile):
+        old, op1.TILE = op1.TILE, tile
+        try:
+            b = op1.Block(texts, 5)
+            logs = -np.arange(1, len(b.keys[1]) + 1, dtype=np.float32)
+            return [*b.keys, *b.n, *(np.concatenate(x) for x in zip(*b.sums([b.n[0], logs], 100, 10)))]
+        finally:
+            op1.TILE = old
+
+    for a, b in zip(read(1 << 30), read(64)):
+        assert np.allclose(a, b)
