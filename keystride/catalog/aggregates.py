@@ -111,7 +111,7 @@ def _sweep_sql():
     return f"""WITH {ORD}, us AS (SELECT *, (o_orderkey % 5)::DOUBLE AS y2 FROM rec WHERE x > 0), al AS ({' UNION ALL '.join(parts)}),
  an AS (SELECT *, (atan(bs) + pi() / 2) / pi() AS a, degrees(atan(bs)) AS th FROM al), tot AS (SELECT {case}, count(*) AS n_usable FROM an GROUP BY ALL),
  fi AS (SELECT *, a - lag(a) OVER (PARTITION BY {case}, period ORDER BY day, o_orderkey) AS st, lag(a) OVER (PARTITION BY {case} ORDER BY day, o_orderkey) AS pa FROM an WHERE a IS NOT NULL),
- sm AS (SELECT {case}, count(*) AS n_fit, round(min(a), 6) AS min_A, round(max(a), 6) AS max_A, round(avg(abs(st)), 6) AS mean_abs_step_A, count(*) FILTER (WHERE sign(a - 0.5) <> sign(pa - 0.5)) AS n_cross_half, round(quantile_cont(a, 0.5), 6) AS median_A, round(quantile_cont(a, 0.75) - quantile_cont(a, 0.25), 6) AS iqr_A, round(quantile_cont(th, 0.5), 5) AS median_theta_star_deg FROM fi GROUP BY ALL)
+ sm AS (SELECT {case}, count(*) AS n_fit, round(min(a), 6) AS min_A, round(max(a), 6) AS max_A, round(avg(abs(st)), 6) AS mean_abs_step_A, count(*) FILTER (WHERE sign(round(a - 0.5, 9)) <> sign(round(pa - 0.5, 9))) AS n_cross_half, round(quantile_cont(a, 0.5), 6) AS median_A, round(quantile_cont(a, 0.75) - quantile_cont(a, 0.25), 6) AS iqr_A, round(quantile_cont(th, 0.5), 5) AS median_theta_star_deg FROM fi GROUP BY ALL)
 SELECT tot.o_custkey, tot.n_window, tot.min_n, tot.min_x_s::DOUBLE AS min_x_s, tot.y_metric, n_usable, coalesce(n_fit, 0) AS n_fit, min_A, max_A, mean_abs_step_A, coalesce(n_cross_half, 0) AS n_cross_half, median_A, iqr_A, median_theta_star_deg FROM tot LEFT JOIN sm ON tot.o_custkey = sm.o_custkey AND tot.n_window = sm.n_window AND tot.min_n = sm.min_n AND tot.min_x_s = sm.min_x_s AND tot.y_metric = sm.y_metric"""
 
 

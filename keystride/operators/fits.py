@@ -180,7 +180,10 @@ def setting_sweep(df: DataFrame, line: Line, x: str, ys: Mapping[str, float], s_
 
 
 def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
-    """Per setting and metric: fits, median, spread, mean step within a period, crossings of 0.5."""
+    """Per setting and metric: fits, median, spread, mean step within a period, crossings of 0.5.
+
+    A score within 5e-10 of 0.5 lies on it: the slope of a level line is 0 up to the order of its sums.
+    """
     case = ["n_window", "min_n", "min_x_s", "y_metric"]
     fits = fits if line.whole else stage(fits)
     total = fits.groupBy(*table_line.keys, *case).agg(F.count(F.lit(1)).alias("n_usable"))
@@ -189,7 +192,7 @@ def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
     d = neighbour(d, line.by(*case), {"_step_from": a})
     d = neighbour(d, table_line.by(*case), {"_cross_from": a})
     group = [*table_line.keys, *case]
-    crossed = F.signum(a - 0.5) != F.signum(F.col("_cross_from") - 0.5)
+    crossed = F.signum(F.round(a - 0.5, 9)) != F.signum(F.round(F.col("_cross_from") - 0.5, 9))
     out = d.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_fit"),
         F.min(a).alias("min_A"),

@@ -68,3 +68,13 @@ def test_small_tables_are_not_dealt(spark, sized, tmp_path):
     spark.conf.set("spark.keystride.oneTaskBytes", "100")
     d, same = O.settle(df, line)
     assert same == line and O.part_of(d, line)
+
+
+def test_level_lines_cross_nothing(spark):
+    from keystride.operators import fits
+
+    line = O.Line(("k", "p"), "t")
+    rows = [(1, 1, float(i), 5, 3, 20.0, "y", a, 0.0) for i, a in enumerate((0.5, 0.5 + 1e-16 * 3, 0.5 - 1e-16, 0.6, 0.4))]
+    d = spark.createDataFrame(rows, "k int, p int, t double, n_window int, min_n int, min_x_s double, y_metric string, roll_A double, roll_theta_deg double")
+    # on it three times, then above, then below
+    assert [r.n_cross_half for r in fits.sweep_summary(d, line, O.Line(("k",), "t")).collect()] == [2]
