@@ -73,11 +73,11 @@ def _heat_part(metric: str, top: float) -> str:
 
 
 @query("c10_heat", f"""
-WITH {PANEL}, sec AS (SELECT user_id, period, floor(clock_s) AS tb, avg(clock_s) AS cs, avg(speed) AS speed, avg(acc_use) AS acc_use, avg(jerk_use) AS jerk_use, coalesce(sum(step_dist), 0) AS distance_1s FROM panel GROUP BY user_id, period, floor(clock_s)),
+WITH {PANEL}, sec AS (SELECT user_id, period, floor(clock_s) AS tb, round(avg(clock_s), 9) AS cs, round(avg(speed), 9) AS speed, round(avg(acc_use), 9) AS acc_use, round(avg(jerk_use), 9) AS jerk_use, round(coalesce(sum(step_dist), 0), 9) AS distance_1s FROM panel GROUP BY user_id, period, floor(clock_s)),
  hh AS ({" UNION ALL ".join(_heat_part(m, t) for m, t in (("speed", 10.0), ("acc_use", 5.0), ("jerk_use", 8.0), ("distance_1s", 10.0)))})
 SELECT {P_KEYS}, period, round(t_centre, 4) AS t_centre, metric, bin, count(*) AS n FROM hh GROUP BY ALL""")
 def _(spark, d):
-    """Cells with rows; the table itself has the empty ones too."""
+    """Cells with rows; the table itself has the empty ones too. Times and values are taken at nine decimals."""
     return rounded(report(spark, d)["heat"].where("n > 0"), "t_centre", digits=4)
 
 

@@ -35,6 +35,8 @@ class Tables(dict):
 PLAYER = ("match_id", "player_id")
 HALF = (*PLAYER, "period")
 HALF_STARTS = {1: 0.0, 2: 45.0}
+#: Digits at which the report ranks means and puts values into cells, so that the order of a sum decides no tie and no border.
+REPORT_DIGITS = 9
 
 
 def half_line(whole: bool = False) -> Line:
@@ -303,8 +305,9 @@ def player_report(
 
     def heat() -> DataFrame:
         tops, bins = W.heat_scale(zoom)
+        exact = out["seconds"].withColumns({c: F.round(c, REPORT_DIGITS) for c in ("periodGameClockTime", *tops)})
         parts = [
-            W.sliding_histogram(out["seconds"], HALF, "periodGameClockTime", metric, top, bins, *heat_s).withColumn("metric", F.lit(metric)) for metric, top in tops.items()
+            W.sliding_histogram(exact, HALF, "periodGameClockTime", metric, top, bins, *heat_s).withColumn("metric", F.lit(metric)) for metric, top in tops.items()
         ]
         return reduce(DataFrame.unionByName, parts)
 

@@ -78,3 +78,12 @@ def test_level_lines_cross_nothing(spark):
     d = spark.createDataFrame(rows, "k int, p int, t double, n_window int, min_n int, min_x_s double, y_metric string, roll_A double, roll_theta_deg double")
     # on it three times, then above, then below
     assert [r.n_cross_half for r in fits.sweep_summary(d, line, O.Line(("k",), "t")).collect()] == [2]
+
+
+def test_heat_cells_at_nine_decimals(spark):
+    from keystride.plans import jobs
+
+    rows = [(1, 1, 1, i, float(i), v, v, v, v) for i, v in enumerate((0.25, 0.25 - 2**-54, 0.25 + 2**-52, 9.0))]
+    panel = spark.createDataFrame(rows, "match_id int, player_id int, period int, frameNum int, periodGameClockTime double, speed double, acc_use double, jerk_use double, step_dist double")
+    heat = jobs.player_report(panel.withColumn("video_time_s", F.col("periodGameClockTime")), heat_s=(3.0, 3.0))["heat"].where("n > 0")
+    assert {(r.metric, r.bin, r.n) for r in heat.collect()} == {("speed", 1, 3), ("acc_use", 2, 3), ("jerk_use", 1, 3), ("distance_1s", 1, 3)}
