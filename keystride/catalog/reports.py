@@ -45,7 +45,13 @@ PEERS = PEER_SQL.replace(PEER, "@").replace("event_type", "match_id").replace("6
 PEERS = PEERS.replace("@", PANEL + ", pe AS (SELECT user_id % 7 AS match_id, period, user_id, user_id % 2 AS team, clock, speed, acc_use, jerk_use, step_dist FROM panel)", 1)
 
 
-@query("c10_peers", f"WITH {PEERS} SELECT * RENAME (user_id AS player_id, team AS team_id) FROM pr")
+# metrics are ranked at nine decimals: the same values summed in another order tie
+RANKED = PEERS
+for _m in ("avg(speed)", "avg(acc_use)", "avg(jerk_use)", "coalesce(sum(step_dist), 0)"):
+    RANKED = RANKED.replace(f"{_m} AS", f"round({_m}, 9) AS")
+
+
+@query("c10_peers", f"WITH {RANKED} SELECT * RENAME (user_id AS player_id, team AS team_id) FROM pr")
 def _(spark, d):
     out = report(spark, d)["peers"]
     return rounded(out, *[c for c in out.columns if c.endswith("_pct")])

@@ -184,13 +184,19 @@ def window_length_sweep(
 
 
 def peer_percentiles(
-    df: DataFrame, match: Sequence[str], player: str, team: str, time: str, win: float = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES
+    df: DataFrame, match: Sequence[str], player: str, team: str, time: str, win: float = WINDOW_MIN, step: float = STEP_MIN, min_frames: int = MIN_FRAMES,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Per window and player: inclusive percentile of four metrics among the team and among all."""
+    """Per window and player: inclusive percentile of four metrics among the team and among all.
+
+    With ``digits`` metrics are ranked at so many decimals: sums of the same values in another order are equal then.
+    """
     match = list(match)
     means = {"mean_speed": ("mean", F.col("speed")), "mean_acc": ("mean", F.col("acc_use")), "mean_jerk": ("mean", F.col("jerk_use")), "total_distance": ("sum", F.col("step_dist"))}
     d = window_aggregate(df, match, time, means, win, step, min_frames, within=(player, team))
     d = d.withColumn("total_distance", F.coalesce("total_distance", F.lit(0.0)))
+    if digits is not None:
+        d = d.withColumns({m: F.round(m, digits) for m in means})
     everyone = [*match, "t0"]
     ident = [*everyone, player, team]
     # long form: one ranking among all and one among the team serve all metrics and both sizes; the values are counted once

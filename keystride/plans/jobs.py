@@ -325,7 +325,7 @@ def player_report(
     }
     if "team_id" in panel.columns:
         out |= {
-            "peers": lambda: W.peer_percentiles(d, match, "player_id", "team_id", "clock_min", **kw),
+            "peers": lambda: W.peer_percentiles(d, match, "player_id", "team_id", "clock_min", digits=REPORT_DIGITS, **kw),
             "presence": lambda: W.presence_diagnostics(out["peers"], match),
             "presence_by_player": lambda: W.presence_by_player(out["peers"], d, match, "player_id"),
         }

@@ -87,3 +87,13 @@ def test_heat_cells_at_nine_decimals(spark):
     panel = spark.createDataFrame(rows, "match_id int, player_id int, period int, frameNum int, periodGameClockTime double, speed double, acc_use double, jerk_use double, step_dist double")
     heat = jobs.player_report(panel.withColumn("video_time_s", F.col("periodGameClockTime")), heat_s=(3.0, 3.0))["heat"].where("n > 0")
     assert {(r.metric, r.bin, r.n) for r in heat.collect()} == {("speed", 1, 3), ("acc_use", 2, 3), ("jerk_use", 1, 3), ("distance_1s", 1, 3)}
+
+
+def test_same_values_tie_in_any_order(spark):
+    """Means of the same values in another order rank alike, and no value leaves its cell by its last digit."""
+    a, b = (0.1, 0.2, 0.3), (0.3, 0.2, 0.1)
+    assert (a[0] + a[1]) + a[2] != (b[0] + b[1]) + b[2]
+    rows = [("m", p, "t", 0.1 + i / 10, v, v, v, v) for p, vs in (("a", a), ("b", b)) for i, v in enumerate(vs)] + [("m", "z", "t", 2.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "m string, p string, team string, t double, speed double, acc_use double, jerk_use double, step_dist double").coalesce(1)
+    got = W.peer_percentiles(df, ["m"], "p", "team", "t", 1.0, 1.0, 2, digits=9).collect()
+    assert {(r.p, r.mean_speed_all_pct, r.total_distance_team_pct) for r in got} == {(p, 100.0, 100.0) for p in "ab"}
