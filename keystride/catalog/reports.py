@@ -1,5 +1,7 @@
 """The whole jobs' further tables over `events` and `embeddings`: report, work rate, speed ends, fit settings, totals."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import fits
@@ -173,8 +175,12 @@ def _(spark, d):
     return rounded(speed_tables(spark, d)["half_ends"].drop("sum_z_end"), "phi_5a_end", "phi_roll10_end")
 
 
+# the summary is taken of the scores themselves, not of rounded ones
+SCORES = re.sub(r"round\((.*?), [56]\) AS (z|phi_5a|phi_roll10)\b", r"\1 AS \2", SPEED)
+
+
 @query("c02_summary", f"""
-WITH {SPEED} SELECT match_id, player_id, metric, round(max(CASE WHEN minute = 45 THEN phi_roll10 END), 6) AS phi_p1_end, count(*) FILTER (WHERE minute <= 45 AND phi_roll10 > 0.5) AS n_above_half_p1, round(avg(CASE WHEN minute <= 45 THEN phi_roll10 END), 5) AS phi_p1_mean, round(avg(CASE WHEN minute > 45 THEN phi_roll10 END), 5) AS phi_p2_mean FROM sp GROUP BY ALL""")
+WITH {SCORES} SELECT match_id, player_id, metric, round(max(CASE WHEN minute = 45 THEN phi_roll10 END), 6) AS phi_p1_end, count(*) FILTER (WHERE minute <= 45 AND phi_roll10 > 0.5) AS n_above_half_p1, round(avg(CASE WHEN minute <= 45 THEN phi_roll10 END), 5) AS phi_p1_mean, round(avg(CASE WHEN minute > 45 THEN phi_roll10 END), 5) AS phi_p2_mean FROM sp GROUP BY ALL""")
 def _(spark, d):
     out = speed_tables(spark, d)["summary"].drop("phi_start")
     return rounded(rounded(out, "phi_p1_end"), "phi_p1_mean", "phi_p2_mean", digits=5)

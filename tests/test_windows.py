@@ -97,3 +97,9 @@ def test_same_values_tie_in_any_order(spark):
     df = spark.createDataFrame(rows, "m string, p string, team string, t double, speed double, acc_use double, jerk_use double, step_dist double").coalesce(1)
     got = W.peer_percentiles(df, ["m"], "p", "team", "t", 1.0, 1.0, 2, digits=9).collect()
     assert {(r.p, r.mean_speed_all_pct, r.total_distance_team_pct) for r in got} == {(p, 100.0, 100.0) for p in "ab"}
+
+
+def test_summary_sql_takes_unrounded_scores():
+    from keystride.catalog import reports as R
+
+    assert "round(" not in R.SCORES and R.SCORES.count(" AS phi_roll10 FROM") == 1
