@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..session import stage
-from .ordered import Line, dealt, neighbour, prefix, rows_around
+from .ordered import Line, dealt, neighbour, prefix, rows_around, short_keys
 from .quantiles import quantiles
 from .windows import running_sums, trailing_mean
 
@@ -89,8 +89,8 @@ def rolling_line(
     if s_y is None:
         needed.append("_y5")
     scales = None
-    if needed and line.whole:
-        # small tables: scales ride along as whole-table windows, on the same exchange as the frames
+    if needed and line.whole and short_keys(df, table_keys):
+        # short tables: scales ride along as whole-table windows, on the same exchange as the frames
         table = Window.partitionBy(*table_keys)
         df = df.withColumns({n: F.percentile(F.when(F.col("_ok"), F.col(wants[n][0])), F.lit(wants[n][1])).over(table) for n in needed})
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .ordered import Line, dealt, neighbour, prefix, rows_around
+from .ordered import Line, dealt, neighbour, part_of, prefix, rows_around, settle
 from .quantiles import quantiles
 
 # Fixed values
@@ -167,7 +167,8 @@ def time_derivative(df: DataFrame, line: Line, y: str, out: str) -> DataFrame:
 
 def sample_interval(df: DataFrame, line: Line) -> DataFrame:
     """Median positive time step per line (``median_dt``, null if unknown) and ``dt``/``fps``/``hz`` with defaults."""
-    d = df.where(F.col(line.time).isNotNull())
+    part = part_of(df, line)
+    d, line = settle(df.where(F.col(line.time).isNotNull()).select(*line.keys, *line.order, *([part] if part else [])), line)
     d = neighbour(d, line, {"_t0": F.col(line.time)}).withColumn("_dt", F.col(line.time) - F.col("_t0"))
     keys = list(line.keys)
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

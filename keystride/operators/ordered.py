@@ -14,9 +14,9 @@ ordered operator of this package therefore goes through the passes below, driven
 * :func:`range_totals` - sums and counts over ``[t - before, t + after]``. Borders are looked up in one pass over
   rows and shifted borders, so the work does not depend on how many rows a frame holds.
 
-A line with ``whole`` set is not dealt: all passes are single windows on its keys. So are those over a table that one
-task may hold altogether (:func:`one_task`), where no key can be too large for a task; any larger table is dealt,
-however its rows are spread over the keys. Both forms give the same rows.
+A line with ``whole`` set is not dealt: all passes are single windows on its keys. So are those over a table whose
+largest key one task may hold (:func:`short_keys`, which counts the rows of every key unless the whole table is small);
+a table with a larger key is dealt. Both forms give the same rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 CHUNK_ROWS = 100_000
+KEY_ROWS = 1_000_000
 JOIN_BYTES = 10 << 20
 _UNB = Window.unboundedPreceding
 
@@ -90,11 +91,28 @@ def one_task(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
+def short_keys(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether one task may hold any key: the table is small (:func:`one_task`), or no key has more than ``KEY_ROWS`` rows.
+
+    All rows are counted, in one aggregation of the key columns. ``spark.keystride.keyRows`` sets another number of rows;
+    where no table may stay in one task (``oneTaskBytes`` is 0), no key may either, unless that number is set.
+    """
+    if one_task(df):
+        return True
+    conf = df.sparkSession.conf
+    bytes_, rows = (conf.get(f"spark.keystride.{c}", None) for c in ("oneTaskBytes", "keyRows"))
+    most = int(rows) if rows else 0 if bytes_ == "0" else KEY_ROWS
+    if most <= 0:
+        return False
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (top or 0) <= most
+
+
 def settle(df: DataFrame, line: Line) -> tuple[DataFrame, Line]:
     """Rows and line as the passes take them: dealt already, bounded, or dealt now."""
     if line.whole or part_of(df, line):
         return df, line
-    return (df, line.bounded()) if one_task(df) else (deal(df, line), line)
+    return (df, line.bounded()) if short_keys(df, line.keys) else (deal(df, line), line)
 
 
 def deal(df: DataFrame, line: Line) -> DataFrame:
@@ -235,7 +253,7 @@ def range_totals(df: DataFrame, line: Line, values: Mapping[str, Column], frames
     there. Neither depends on how many rows a frame holds.
     """
     t = F.col(line.time)
-    if not line.whole and part_of(df, line) is None and one_task(df):
+    if not line.whole and part_of(df, line) is None and short_keys(df, line.keys):
         line = line.bounded()
     known = {n: F.when(t.isNotNull(), F.coalesce(c, F.lit(0))) for n, c in values.items()}
     if line.whole:

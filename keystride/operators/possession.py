@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..session import stage
 from .joins import as_of_label
-from .ordered import Line, deal, dealt, neighbour, one_task, prefix
+from .ordered import Line, deal, dealt, neighbour, prefix, short_keys
 
 INSTANT_S = 1.0 / 29.97
 DEFAULT_RADIUS = 1.5
@@ -63,7 +63,7 @@ def possession_spans(
     spans are running sums of flags.
     """
     m = tuple(match)
-    whole = whole or one_task(otb)
+    whole = whole or (short_keys(otb, m) and short_keys(dead, m))
     line = Line(m, "t0", (ident,), whole)
     # markers next to each interval; an interval sorts before a marker of the same instant
     marks = dead.select(*m, F.col("t_dead").alias("t0")).distinct()
@@ -195,7 +195,7 @@ def label_frames(frames: DataFrame, otb: DataFrame, spans: DataFrame, match: Seq
     numbers (ends included), otherwise on ``[t0, t1)``.
     """
     values = {"player_otb": S.NOBODY, "is_instant": False}
-    whole = whole or one_task(frames)
+    whole = whole or (short_keys(frames, match) and short_keys(otb, match))
     if frame:
         d = as_of_label(frames, otb, match, frame, "frame0", "frame1", values, whole=whole, closed=True)
     else:

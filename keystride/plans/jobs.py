@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates as A, events as E, fits, joins as J, kinematics as K, mix as M, nearest as N, possession as P, shots as X, windows as W
-from ..operators.ordered import Line, one_task, range_around, settle
+from ..operators.ordered import Line, range_around, settle, short_keys
 from ..session import stage, written
 from ..sources import match_events
 
@@ -96,6 +96,7 @@ def sprint_recovery(table: DataFrame, *, rows: int = 6, min_rows: int = 4, min_r
 def sprint_settings(table: DataFrame, whole: bool = False, settings=fits.SETTINGS, scales: Mapping[str, float] = fits.SCALE_Y, s_x: float = fits.SCALE_X) -> DataFrame:
     """How the choice of window, fewest rows and range changes the angle scores of a sprint table, per player and metric."""
     line = Line(HALF, "start_time_s", ("end_time_s",), whole)
+    table = table if whole else stage(table)
     swept = fits.setting_sweep(table, line, "recovery_before_s", scales, s_x, settings)
     by_player = Line(PLAYER, "start_time_s", ("end_time_s",), whole)
     return fits.sweep_summary(swept, line, by_player)
@@ -188,12 +189,12 @@ def possession(otb: DataFrame, dead: DataFrame, frames: DataFrame, match=("match
     of :func:`nearest.team_distances`.
     """
     spans = P.possession_spans(otb, dead, match, ident, whole=whole)
-    spans = spans if whole or one_task(otb) else stage(spans)
+    spans = stage(spans)
     return _both_labels(frames, otb, spans, match, radius, focal_player, time, frame, whole)
 
 
 def _both_labels(frames: DataFrame, otb: DataFrame, spans: DataFrame, match, radius, focal_player: Column, time: str, frame: str, whole: bool) -> DataFrame:
-    whole = whole or one_task(frames)
+    whole = whole or (short_keys(frames, match) and short_keys(otb, match))
     a = P.label_frames(frames, otb, spans, match, time=time, whole=whole)
     a = a.withColumnsRenamed({"team_possession": "team_a", "possession_context": "context_a", "player_otb": "player_a"})
     a = a.withColumns({"event_dead": F.col("team_a") == S.DEAD, "fallback": F.col("team_a")})

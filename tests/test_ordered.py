@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystride.functions import scalar as S
 from keystride.operators import fits, quantiles as Q, windows as W
-from keystride.operators.ordered import Line, deal, neighbour, part_of, prefix, range_means, range_totals, rows_around, run_starts
+from keystride.operators.ordered import Line, deal, neighbour, part_of, prefix, range_means, range_totals, rows_around, run_starts, settle, short_keys
 
 
 @pytest.fixture(scope="module")
@@ -216,3 +216,17 @@ def test_window_step():
     with pytest.raises(ValueError):
         W.step_for(1.0, 90.0)
     assert W.heat_scale("half")[1] == 56 and W.heat_scale("tight")[0] == {"jerk_use": 2.0}
+
+
+def test_short_keys_are_windows_in_large_tables(spark):
+    """What decides is the largest key, not the size of the table."""
+    df = spark.range(90).select((F.col("id") % 9).alias("k"), F.col("id").cast("double").alias("t"))
+    line = Line(("k",), "t")
+    for rows, whole in ((10, True), (9, False)):
+        spark.conf.set("spark.keystride.keyRows", str(rows))
+        try:
+            d, settled = settle(df, line)
+            table = short_keys(df, [])
+        finally:
+            spark.conf.unset("spark.keystride.keyRows")
+        assert settled.whole == whole and (part_of(d, line) is None) == whole and not table
