@@ -24,6 +24,7 @@ HEAT_TOP = {"speed": 10.0, "acc_use": 5.0, "jerk_use": 8.0, "distance_1s": 10.0}
 KERNEL_SIGMA, KERNEL_REACH, KERNEL_WEIGHT = 1.25, 2.5, 0.15
 METRICS = ("speed", "acceleration", "distance", "jerk")
 MEDIAN_BUCKETS = 16
+FRAME_ROWS = 200
 SHORT_TEAM, SHORT_ALL = 10, 20
 
 
@@ -391,15 +392,23 @@ def centred_mean(df: DataFrame, line: Line, value: str, widths: Mapping[str, flo
     return range_means(df, line, value, {n: (w / 2 + EDGE, w / 2 + EDGE) for n, w in widths.items()})
 
 
+def _frame_rows(df: DataFrame, line: Line, width: float) -> float:
+    """How many rows of its key fall into a row's own stretch of ``width``, on average over the rows."""
+    sizes = df.groupBy(*line.keys, F.floor(F.col(line.time) / (width or 1.0))).agg(F.count("_v").cast("double").alias("n"))
+    return sizes.agg(F.sum(F.col("n") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0.0))).first()[0] or 0.0
+
+
 def centred_median(df: DataFrame, line: Line, value: str, out: str, width: float = 9.0, buckets: int = MEDIAN_BUCKETS) -> DataFrame:
     """Median over ``|dt| <= width/2``.
 
-    The key's values are cut into ``buckets`` by its quantiles. How many values of each bucket a frame holds
+    Where a row shares its time frame with few rows, each frame is ordered by itself. Otherwise the key's values are cut into ``buckets`` by its quantiles. How many values of each bucket a frame holds
     is a difference of running counts, which tells the buckets of the one or two middle ranks. A bucket of one value is
     the answer; of others only the frame's rows of that bucket are gathered and ordered.
     """
     keys, half = list(line.keys), width / 2
     d = df.withColumn("_v", F.when(~F.isnan(value), F.col(value).cast("double")))
+    if _frame_rows(d, line, width) <= FRAME_ROWS:
+        return range_around(d, line, {out: ("percentile(`_v`, 0.5D)", half, half)}).drop("_v")
     cuts = quantiles(d, keys, F.col("_v"), {f"_q{i}": i / buckets for i in range(1, buckets)})
     cuts = cuts.select(*keys, F.array_distinct(F.array(*[f"_q{i}" for i in range(1, buckets)])).alias("_cuts"))
     d = d.join(cuts, keys, "left").withColumn("_b", F.when(F.col("_v").isNotNull(), F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))))

@@ -230,3 +230,15 @@ def test_short_keys_are_windows_in_large_tables(spark):
         finally:
             spark.conf.unset("spark.keystride.keyRows")
         assert settled.whole == whole and (part_of(d, line) is None) == whole and not table
+
+
+def test_median_of_short_and_long_frames(spark, monkeypatch):
+    from keystride.operators import windows as W
+
+    rows = [(k, i * 0.7 if i % 9 else None, None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(i * 37 % 11), i) for k in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, t double, v double, i int")
+    got = []
+    for most in (200, 0):
+        monkeypatch.setattr(W, "FRAME_ROWS", most)
+        got.append({(r.k, r.i): r.med for r in W.centred_median(df, Line(("k",), "t", ("i",)), "v", "med", 6.0).collect()})
+    assert got[0] == got[1] and len(got[0]) == 120 and sum(v is None for v in got[0].values()) == 14
