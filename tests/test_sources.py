@@ -176,3 +176,13 @@ def test_stream_players(spark, root, squad, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ST.append_available(ST.stream_players(spark, f"{root}/tracking/*.jsonl*", squad), out, ck)
     assert spark.read.parquet(out).count() == 6
+
+
+def test_events_are_parsed_once(spark, capsys):
+    from keystride.sources import match_events as ME
+
+    lines = spark.createDataFrame([("m", '{"gameEventId": 1, "possessionEvents": {"possessionEventType": "SH"}}'), ("m", "junk"), ("n", None)], "match_id string, value string")
+    ME.shots(ME.parse_events(lines)).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("from_json(StructField(gameEventId") == 1
+    assert [(r.match_id, r.gameEventId) for r in ME.parse_events(lines).orderBy("match_id", F.col("gameEventId").desc()).collect()] == [("m", 1), ("m", None), ("n", None)]
