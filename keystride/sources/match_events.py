@@ -19,7 +19,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def parse_events(lines: DataFrame, text: str = "value") -> DataFrame:
     """Events from a column with one JSON object per row, other columns kept.
 
-    The object is a generated row: as an expression Spark would parse the text again for every field that is read.
+    The object is a generated row: as an expression Spark would parse the text once for a filter and again for the columns.
     """
     keep = [c for c in lines.columns if c != text]
     return lines.select(*keep, F.explode(F.array(F.from_json(text, schemas.EVENTS))).alias("_e")).select(*keep, "_e.*")

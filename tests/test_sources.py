@@ -184,5 +184,5 @@ def test_events_are_parsed_once(spark, capsys):
     lines = spark.createDataFrame([("m", '{"gameEventId": 1, "possessionEvents": {"possessionEventType": "SH"}}'), ("m", "junk"), ("n", None)], "match_id string, value string")
     ME.shots(ME.parse_events(lines)).explain("simple")
     plan = capsys.readouterr().out
-    assert plan.count("from_json(StructField(gameEventId") == 1
+    assert plan.count("from_json(StructField(") == 1
     assert [(r.match_id, r.gameEventId) for r in ME.parse_events(lines).orderBy("match_id", F.col("gameEventId").desc()).collect()] == [("m", 1), ("m", None), ("n", None)]
