@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +34,18 @@ def series_value(series: str, raw: Column) -> Column:
 
 
 def case_of(path: Column) -> Column:
-    """Folder of the case: the last folder above ``source/``, or the one holding the file."""
-    folder = F.regexp_extract(path, r"([^/]+)/(?:source/)?[^/]+?(?:/part-[^/]+)?$", 1)
-    return F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    """Folder of the case: the last folder above ``source/``, or the one holding the file.
+
+    Evaluated for every row, so without a pattern that would be tried at every place of the path.
+    """
+
+    def part(k: int) -> Column:
+        return F.substring_index(F.substring_index(path, "/", -k), "/", 1)
+
+    inside, below = part(1).like("part-_%"), part(4)  # a part file in a folder that counts as one file
+    folder = F.when(inside & (part(3) == "source") & (below != ""), below)
+    folder = folder.when((inside | (part(2) == "source")) & (part(3) != ""), part(3)).otherwise(part(2))
+    return F.when(folder.contains("%"), F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(folder)
 
 
 def long_curve(rows: DataFrame, file: str) -> DataFrame:
@@ -64,11 +74,18 @@ def file_of(path: Column) -> Column:
 
 
 def headers(spark: SparkSession, root: str) -> DataFrame:
-    """Path, file name and first line of every curve file under ``root``."""
+    """Path, file name and first line of every CSV file under ``root``; null for a first line without a minute column.
+
+    Lines that cannot name such a column count as null, so a file has few different ones and the lines are counted down
+    by hash, not sorted. The file's name is taken from its one row; a filter on it here would be pushed down to all lines.
+    """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), file_of(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
-    lines = lines.where((F.col("at") == 0) & F.col("file").isin(*FILES)).withColumn("row", F.monotonically_increasing_id())
-    return lines.groupBy("path", "file").agg(F.min_by("value", "row").alias("header"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    bare = F.replace("value", F.lit('"'), F.lit(""))
+    named = reduce(Column.__or__, [bare.contains(c) for c in sorted({minute for minute, _ in FILES.values()})])
+    lines = lines.where(F.col("at") == 0).select("path", F.when(named, F.col("value")).alias("value"), F.monotonically_increasing_id().alias("row"))
+    firsts = lines.groupBy("path", "value").agg(F.min("row").alias("row")).groupBy("path").agg(F.min_by("value", "row").alias("header"))
+    return firsts.select("path", file_of(F.col("path")).alias("file"), "header")
 
 
 def _columns(header: str) -> list[str]:
@@ -90,7 +107,8 @@ def read_curves(spark: SparkSession, root: str) -> DataFrame:
     """
     layouts: dict[tuple[str, str], list[str]] = {}
     for r in headers(spark, root).collect():  # one row per file, as in Spark's own listing
-        layouts.setdefault((r.file, r.header), []).append(unquote(r.path))
+        if r.file in FILES and r.header is not None:
+            layouts.setdefault((r.file, r.header), []).append(unquote(r.path))
     out = None
     for (file, header), paths in sorted(layouts.items()):
         names = _columns(header)

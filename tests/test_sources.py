@@ -162,6 +162,24 @@ def test_curves_are_found_by_name(spark, tmp_path):
     assert grid == pytest.approx(want)
 
 
+def test_curve_paths_are_not_matched_per_row(spark, tmp_path, capsys):
+    """Lines are neither sorted nor searched by pattern to find a file's header and case; a later line is no header."""
+    name = "01f_pc_synergy_m_80_1450_timewin.csv"
+    for path, text in {
+        f"a%20+b/source/{name}/part-0.csv": '"minu"te,m_w3\n1,0.3\nminute,m_w3\n', f"c/{name}/part-1.csv": "minute,m_w3\n2,0.4\n",
+        f"d/{name}": "minute,m_w3\n3,0.5\n", f"e/source/{name}": "clock,m_w3\nminute,m_w3\n4,0.6\n", "f/source/minute.csv": "minute,m_w3\n5,0.7\n",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    cur = C.read_curves(spark, str(tmp_path)).drop("source_row")
+    assert sorted((r.case, r.minute, r.value) for r in cur.collect()) == [("a%20+b", 1.0, 0.3), ("c", 2.0, 0.4), ("d", 3.0, 0.5)]
+    C.headers(spark, str(tmp_path)).explain("simple")
+    lines = capsys.readouterr().out.split("HashAggregate")[-1]
+    assert "min(row" in lines and "FileScan text" in lines and "regexp" not in lines
+    cur.explain("simple")
+    assert "regexp" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("ball, x", [([{"x": 10.0, "y": 4.0}], 10.0), ({"x": 10.0, "y": "4"}, 10.0), ([], -40.0), ({"x": None, "y": 1}, -40.0), (None, -40.0), ([{"x": 1}], -40.0)])
 def test_ball_shapes(spark, root, ball, x):
     e = EVENTS[1] | {"ball": ball}
