@@ -10,7 +10,9 @@ Bounds: each length splits at most one run and opens at most two, so there are a
 the number of documents; a run of bins takes a new row only when all its bins take one more piece.
 
 Tokenising: the tokenizer never joins across ASCII white space, so each worker encodes its distinct white-space separated
-chunks once (it forgets them beyond `CACHE`) and gathers ids from there; texts are whole.
+chunks once (it forgets them beyond `CACHE` chunks or `CACHE_BYTES`) and gathers ids from there; texts are whole. New chunks
+are cut into a word and its punctuation where the tokenizer's own rules do so, and new words go to it `TOGETHER` in one text,
+each followed by a mark that has an id of its own: a call per word costs more than its ids.
 
 Nulls and empty texts have the closing id alone. A null doc_id is kept; repeated rows are documents of their own. An
 empty table gives no rows. Extra columns are ignored.
@@ -18,9 +20,12 @@ empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from collections import deque
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -31,7 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, tiles, width
 
-CAPACITY, END, CACHE = 4096, 1, 1_000_000
+CAPACITY, END, CACHE, CACHE_BYTES = 4096, 1, 1_000_000, 128 << 20
+MARK, TOGETHER = "\x01", 100
+JOIN = f" {MARK} ".encode()
+SUFFIX, PUNCTUATION = "</w>", string.punctuation.encode()
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,32 +49,117 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.parted = parts_words(json.loads(self.tok.to_str()))
+        if self.parted:  # words of a to z need none of the tokenizer's rules but its merges, and the last id of each tells its end
+            self.plain = Tokenizer(self.tok.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocab = self.tok.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(SUFFIX)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.codes = _Codes()
-        self.flat, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.chunks, self.parts, self.held = _Table(), _Table(), 0
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (and the last ends)."""
-        if len(self.codes) > CACHE:
+        if len(self.chunks.codes) > CACHE or self.held > CACHE_BYTES:
             self.clear()
         split = [t.split() for t in texts]
         counts = [len(s) for s in split]
-        codes = np.fromiter((c for s in split for c in map(self.codes.__getitem__, s)), np.int64, sum(counts))
-        if new := self.codes.new:
-            got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            size = np.cumsum([len(g) for g in got])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size[-1]))])
-            self.off = np.concatenate([self.off, self.off[-1] + size])
-            new.clear()
-        size = self.off[codes + 1] - self.off[codes]
+        codes = self.chunks.codes_of(chain.from_iterable(split), sum(counts))
+        if new := self.chunks.codes.new:
+            parts = self.parts.codes_of(chain.from_iterable(map(self.part, new)), 2 * len(new))
+            if fresh := self.parts.codes.new:
+                self.parts.add(*self.encode(fresh))
+            flat, ends = self.parts.gather(parts)
+            self.held += sum(map(len, new)) + flat.nbytes
+            self.chunks.add(flat, np.diff(ends[::2]))
+        flat, ends = self.chunks.gather(codes)
+        return flat, ends[np.concatenate(([0], np.cumsum(counts)))]
+
+    def part(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """A chunk's word and the ASCII punctuation after it, which the tokenizer never joins."""
+        if not self.parted:
+            return chunk, b""
+        if chunk.isalpha():
+            return chunk.lower(), b""
+        word = chunk.rstrip(PUNCTUATION)
+        if not word[-1:].isalnum() or b"<|" in chunk:  # special tokens are sought in the text as it is
+            return chunk, b""
+        return word.lower() if word.isascii() else word, chunk[len(word) :]
+
+    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts end to end and the number of each."""
+        letters = np.fromiter(map(bytes.isalpha, parts), bool, len(parts)) & self.parted
+        order = np.argsort(~letters, kind="stable")
+        n, ranked, done = int(letters.sum()), [parts[i] for i in order.tolist()], _Table()
+        got = [self.encode_words(ranked[i : min(i + TOGETHER, n)]) for i in range(0, n, TOGETHER)]
+        got += [self.encode_marked(ranked[i : i + TOGETHER]) for i in range(n, len(ranked), TOGETHER)]
+        done.add(*(np.concatenate(x) for x in zip(*got)))
+        flat, ends = done.gather(np.argsort(order))
+        return flat, np.diff(ends)
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of the letters a to z."""
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.last[ids])
+        return (ids, np.diff(at, prepend=-1)) if len(at) == len(words) else self.encode_marked(words)
+
+    def encode_marked(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same from one text with the mark after every part; each alone where one holds the mark's id itself."""
+        if self.mark is not None:
+            text = b"".join([p + JOIN for p in parts]).decode()
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(parts):
+                return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+        got = [e.ids for e in self.tok.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        size = np.array([len(g) for g in got], np.int64)
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+
+def parts_words(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases and cuts between letters or digits and punctuation, as `word_bpe_49k.json` does."""
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [{}])[0]
+    model = spec.get("model", {})
+    return (
+        (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("continuing_subword_prefix") or "") == ("BPE", SUFFIX, None, "")
+        and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True) and first["pattern"] == {"Regex": WORDS}
+        and all("<|" in t["content"] for t in spec.get("added_tokens", []))
+    )
+
+
+class _Table:
+    """Codes of byte strings, and the ids of each code."""
+
+    def __init__(self):
+        self.codes = _Codes()
+        self.flat, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def codes_of(self, strings: Iterable[bytes], n: int) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, strings), np.int64, n)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        """The ids of all new strings."""
+        self.flat = np.concatenate([self.flat, flat])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(size)])
+        self.codes.new.clear()
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the codes end to end, and where each code's begin (and the last ends)."""
+        start = self.off[codes]
+        size = self.off[codes + 1] - start
         ends = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(self.off[codes] - ends[:-1], size) + np.arange(ends[-1])
-        return self.flat[at], ends[np.concatenate(([0], np.cumsum(counts)))]
+        at = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+        return self.flat[at], ends
 
 
 class _Codes(dict):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -213,6 +214,39 @@ def test_packing(spark, sample):
     assert op10.pack(frame(spark, rows).where("false"), op10.tokenizer_path()).count() == 0
 
 
+def test_op10_new_words_go_to_the_tokenizer_together(monkeypatch):
+    """A hundred in one text, a word once whatever its case and punctuation; ids as from whole texts, also without the rules and the mark."""
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.texts = tok, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.tok.encode_batch_fast(texts, **more)
+
+    path, rng = op10.tokenizer_path(), random.Random(3)
+    tok, enc = Tokenizer.from_file(path), op10.Encoder(path)
+    counted = {n: Counted(t) for n, t in vars(enc).items() if isinstance(t, Tokenizer)}
+    vars(enc).update(counted)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    odd = [*"aZ9',.!_<>|\x00\x01\x1c\x85\u0301\u030c\u0338\u00e9\u0130\u03a3\u212a\u00a0\u00bb\u00b2", "'S", "it's", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n"]
+    texts = [f"{w} {w.upper()}, {w}. ({w})" for w in words]
+
+    def same(texts):
+        ids, at = enc.ids([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+    same(texts)
+    assert sum(c.texts for c in counted.values()) <= 20
+    same(["", " ", "\x01", "a \x01 b", *("".join(rng.choices(odd, k=rng.randint(1, 12))) for _ in range(3000))])
+    monkeypatch.setattr(op10, "CACHE_BYTES", 0)  # forgets at every call
+    same(texts)
+    enc.parted, enc.mark = False, None
+    same(["".join(rng.choices(odd, k=8)) for _ in range(500)])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_is_best_fit_decreasing(seed):
     rng = np.random.default_rng(seed)
