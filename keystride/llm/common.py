@@ -13,6 +13,8 @@ from ..session import shared_folder
 
 #: Bytes of text that one block aims at, and of text handled at once within a task.
 BLOCK_BYTES, TILE_BYTES = 8 << 20, 2 << 20
+#: Bytes of an Arrow batch. Spark keeps the buffers of larger ones outside its heap for the rest of an executor's life.
+BATCH_BYTES, BATCH_KEY = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,12 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold about `BATCH_BYTES` from now on, unless it has a size of its own."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,6 +69,24 @@ def tiles(off: np.ndarray, size: int = TILE_BYTES):
         i = j
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def packed(a: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers by planes of bytes, compressed; integers that ascend as their differences."""
+    wide = np.diff(a, prepend=a.dtype.type(0)) if ascending else a
+    planes = np.ascontiguousarray(wide).view(np.uint8).reshape(-1, a.itemsize).T
+    return len(a).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(b: bytes, kind, ascending: bool = False) -> np.ndarray:
+    """The numbers that `packed` has compressed."""
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_ZSTD.decompress(b[8:], n * size, asbytes=True), np.uint8).reshape(size, n)
+    a = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    return np.cumsum(a, dtype=kind) if ascending else a
+
+
 #: ASCII lower case, and the bytes that end a word (space and 0x09-0x0D).
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, blocked, buffers, mix64, staged, table, tiles, width, word_hashes, word_spans
+from .common import LOWER, SPACE, blocked, buffers, mix64, packed, small_batches, staged, table, tiles, unpacked, width, word_hashes, word_spans
 
 ORDER, PAD, STOP = 5, 0xFE, 0xFF
-#: Bytes of text of a block, whose distinct keys travel, and of a tile: a tile takes some 60 bytes of memory per byte.
-BLOCK, TILE = 16 << 20, 1 << 19
+#: Bytes of text of a block, whose distinct keys travel compressed, and of a tile: a tile takes some 60 bytes of memory per byte.
+BLOCK, TILE = 8 << 20, 1 << 19
 _END = np.int64(-1)  # the end token's key; hashes have 63 bits
 _FRAG = "kind int, part int, block int, keys binary, n binary"
 
@@ -148,14 +148,14 @@ def part_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((m >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def _each(t: pa.Table, column: str, kind) -> list[np.ndarray]:
+def _each(t: pa.Table, column: str, kind, ascending: bool = False):
     raw, off = buffers(t.column(column))
-    return [np.frombuffer(raw[a:z].tobytes(), kind) for a, z in zip(off[:-1], off[1:])]
+    return (unpacked(raw[a:z].tobytes(), kind, ascending) for a, z in zip(off[:-1], off[1:]))
 
 
 def _same(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Keys of each fragment; all distinct keys and their training counts."""
-    keys, n = _each(t, "keys", np.int64), np.concatenate(_each(t, "n", np.int64))
+    keys, n = list(_each(t, "keys", np.int64, True)), np.concatenate(list(_each(t, "n", np.int64)))
     u, at = np.unique(np.concatenate(keys), return_inverse=True)
     return keys, u, np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)
 
@@ -187,6 +187,7 @@ def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> D
     if not 1 <= order <= 6:
         raise ValueError("one to six bytes of context")
     spark = docs.sparkSession
+    small_batches(spark)
     parts = width(spark)
     b = blocked(docs, BLOCK).withColumn("train", remainder(mod) != held)
 
@@ -195,13 +196,13 @@ def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> D
         for kind in (0, 1):
             for p, at in enumerate(own.parts(kind, parts)):
                 if len(at):
-                    rows.append((kind, p, block, own.keys[kind][at].tobytes(), own.n[kind][at].tobytes()))
+                    rows.append((kind, p, block, packed(own.keys[kind][at], True), packed(own.n[kind][at])))
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[i] for r in rows], y) for i, y in enumerate(types)], names=["kind", "part", "block", "keys", "n"])
 
     def word_counts(t: pa.Table) -> pa.Table:
         keys, u, n = _same(t)
-        back = [n[np.searchsorted(u, k)].tobytes() for k in keys]
+        back = [packed(n[np.searchsorted(u, k)]) for k in keys]
         rows = t.num_rows
         return pa.table({
             "kind": pa.array([0] * (rows + 1), pa.int32()), "part": pa.array([t.column("part")[0].as_py()] * (rows + 1), pa.int32()),
@@ -217,7 +218,7 @@ def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> D
         u, v = model.column("gram").to_numpy(), model.column("log").to_numpy()
         o = np.argsort(u)
         u, v = u[o], v[o].astype(np.float32)
-        back = [v[np.searchsorted(u, k)].tobytes() for k in _each(frag, "keys", np.int64)]
+        back = [packed(v[np.searchsorted(u, k)]) for k in _each(frag, "keys", np.int64, True)]
         return pa.table({"kind": frag.column("kind"), "part": frag.column("part"), "block": frag.column("block"), "vals": pa.array(back, pa.binary())})
 
     asked = staged(b.groupBy("block").applyInArrow(ask, _FRAG))
@@ -234,7 +235,7 @@ def score(docs: DataFrame, order: int = ORDER, mod: int = 7, held: int = 2) -> D
         where = [own.parts(0, parts), own.parts(1, parts)]
         raw, off = buffers(got.column("vals"))
         for r, (kind, p) in enumerate(zip(got.column("kind").to_pylist(), got.column("part").to_pylist())):
-            values[kind][where[kind][p]] = np.frombuffer(raw[off[r] : off[r + 1]].tobytes(), np.float32 if kind else np.int64)
+            values[kind][where[kind][p]] = unpacked(raw[off[r] : off[r + 1]].tobytes(), np.float32 if kind else np.int64)
         sums = [np.concatenate(x) for x in zip(*own.sums(values, total, kinds))] or [np.zeros(0)] * 4
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": pa.array(~own.train), "n_tokens": pa.array(sums[0], pa.int64()), "n_known": pa.array(sums[1], pa.int64()),

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from keystride.llm import (
+    common,
     op1_ppm_score as op1,
     op2_block_topk as op2,
     op3_url_filter as op3,
@@ -86,6 +87,27 @@ def test_ppm_is_the_direct_model(spark, sample):
     assert all(abs(a[6] - b[6]) < 0.05 for a, b in zip(sorted(have), sorted(want)))
 
 
+def test_op1_fragments_are_compressed():
+    for a, up in ((np.array([-1, 0, 5, 2**62], np.int64), True), (np.array([3, 1, 2], np.int64), False), (np.array([-1.5, -0.25], np.float32), False), (np.zeros(0, np.int64), True)):
+        got = common.unpacked(common.packed(a, up), a.dtype, up)
+        assert got.dtype == a.dtype and got.tolist() == a.tolist()
+    keys = np.arange(10_000, dtype=np.int64) * 1000 + np.arange(10_000) % 7
+    assert len(common.packed(keys, True)) < keys.nbytes / 4 and len(common.packed(np.ones(10_000, np.int64))) < 1000
+
+
+@pytest.mark.parametrize("run", [lambda d: op1.score(d, 2)])
+def test_op1_pipeline_arrow_batches_are_bounded_by_bytes(spark, run):
+    spark.conf.unset(common.BATCH_KEY)
+    run(frame(spark, [(1, "one two three four five six")])).collect()
+    texts = spark.range(3000).selectExpr("id", "repeat('x', 3000) as text").coalesce(1)
+    sizes = texts.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.nbytes])}) for b in batches), "n long").toPandas().n
+    spark.conf.set(common.BATCH_KEY, "1m")  # a size of the session's own stays
+    run(frame(spark, [(1, "one")]))
+    own = spark.conf.get(common.BATCH_KEY)
+    spark.conf.unset(common.BATCH_KEY)
+    assert sizes.max() < 1.1 * common.BATCH_BYTES and sizes.sum() > 9e6 and own == "1m"
+
+
 def test_topk_edges(spark):
     rows = [(0, [1.0, -2.0]), (100, [0.5, 0.5]), (1, [1.0, -2.0]), (2, [1.0, -2.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1e6, 1e6]), (None, [1.0, 1.0]), (7, [1.0])]
     v = op2.integers(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, part int, score int"))
@@ -279,8 +301,7 @@ def test_sql(spark, name):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
-
+    
     out = corpus_pipeline.run(spark, SF).toPandas()
     docs = duckdb.connect().execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     items = [r[0] for r in duckdb.connect().execute(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
@@ -399,8 +420,7 @@ def test_jaccard_links(spark, sample, chunk):
 
 def test_language_without_labels(spark):
     """Without a label no language is learned: what has a letter stays as it is."""
-    import corpus_pipeline
-
+    
     rows = [(1, "some words", None, "a"), (2, "12 34", None, "b"), (3, None, None, "c"), (4, "", None, "d"), (None, "élan", None, "e"), (1, "some words", None, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, block string")
     got = corpus_pipeline.language(spark, docs, SF)
@@ -412,8 +432,7 @@ def test_language_without_labels(spark):
 
 def test_near_duplicates_by_row(spark, sample):
     """One row of each group of all pairs, where an id is repeated with different texts or missing."""
-    import corpus_pipeline
-
+    
     rows = [*sample, *((7000, f"unique {' '.join(f'{a}{k}' for a in 'abcdefgh')}") for k in range(5)), (7000, sample[45][1]), (None, sample[0][1] + " more"), (None, sample[46][1]), (None, "alone " * 3 + "x y z"), (None, "alone " * 3 + "x y z")]
     rows = [(i, t) for i, t in rows if words(t)]
     got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()
