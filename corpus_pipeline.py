@@ -20,6 +20,7 @@ from keystride.llm import common, op3_url_filter, op6_language_mixture, op7_qgra
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, `lang` being the predicted one; without labelled rows, all documents with a letter."""
+    common.small_batches(spark)
     known = F.col("lang_pred") != "und"
     named = op6_language_mixture.identify(docs).where(known | F.col("text").rlike(r"\p{L}"))
     return named.withColumn("lang", F.when(known, F.col("lang_pred")).otherwise(F.col("lang"))).select(docs.columns)
@@ -52,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    common.small_batches(spark)
     return op7_qgram_decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -62,6 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, placed in sequences."""
+    common.small_batches(spark)
     return op10_best_fit_packing.pack(docs, op10_best_fit_packing.tokenizer_path())
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 #: Bytes of text that one block aims at, and of text handled at once within a task.
-BLOCK_BYTES, TILE_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, TILE_BYTES, SHINGLE_TILE = 8 << 20, 2 << 20, 1 << 19
 #: Bytes of an Arrow batch. Spark keeps the buffers of larger ones outside its heap for the rest of an executor's life.
 BATCH_BYTES, BATCH_KEY = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -150,7 +150,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = 5):
     """For each document in turn its sorted distinct hashes of `k` following words (all its words, if fewer)."""
     odd = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)  # unrelated factors
-    for i, j in tiles(off):
+    for i, j in tiles(off, SHINGLE_TILE):
         b, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         starts, ends, first = word_spans(b, o)
         h = word_hashes(b, starts, ends)

@@ -24,16 +24,16 @@ from pyspark.sql import functions as F
 from .common import buffers, table, tiles
 from .op1_ppm_score import remainder
 
-BITS, MAX_LANGS, ROUNDS = 16, 256, 12
+BITS, MAX_LANGS, ROUNDS, TILE = 16, 256, 12, 1 << 19
 _CHARS: dict[str, np.ndarray] = {}
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Lower case of each code point, and whether it is a letter."""
     if not _CHARS:
-        points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-        _CHARS["low"] = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in points], np.uint32)
-        _CHARS["letter"] = np.array([c.isalpha() for c in points])
+        points = lambda: (chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
+        _CHARS["low"] = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in points()), np.uint32, 0x110000)
+        _CHARS["letter"] = np.fromiter((c.isalpha() for c in points()), bool, 0x110000)
     return _CHARS["low"], _CHARS["letter"]
 
 
@@ -66,7 +66,7 @@ def learn(docs: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
         for b in batches:
             texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist(), object)
             off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            for i, j in tiles(off):
+            for i, j in tiles(off, TILE):
                 for lang in dict.fromkeys(langs[i:j]):
                     g, _, _ = trigrams([t for t, x in zip(texts[i:j], langs[i:j]) if x == lang], bits)
                     total[lang] = total.get(lang, 0) + np.bincount(g, minlength=1 << bits)
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, training: Column | None = None, bits: int = BITS)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            got = [infer(texts[i:j], logp, bits) for i, j in tiles(off, 1 << 20)]
+            got = [infer(texts[i:j], logp, bits) for i, j in tiles(off, TILE)]
             pred, score, kinds = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
             new = [pa.array(names[pred].tolist(), pa.string()), pa.array(score.astype(np.float64)), pa.array(kinds.astype(np.int64))]
             yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "lang_pred", "lang_score", "lang_kinds"])

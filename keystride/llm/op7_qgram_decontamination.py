@@ -33,8 +33,8 @@ _FOLD: dict[str, np.ndarray] = {}
 def _fold() -> np.ndarray:
     """Lower case of letters and digits, 32 for all else."""
     if "map" not in _FOLD:
-        chars = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-        _FOLD["map"] = np.array([(ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalnum() else 32 for c in chars], np.uint32)
+        chars = (chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
+        _FOLD["map"] = np.fromiter(((ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalnum() else 32 for c in chars), np.uint32, 0x110000)
     return _FOLD["map"]
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, buffers, components, mix64, shingle_sets, staged, table, tiles, width
+from .common import blocked, buffers, components, mix64, shingle_sets, small_batches, staged, table, tiles, width
 
 #: Members of one prefix tree.
 CHUNK = 512
@@ -360,6 +360,7 @@ def _classes(docs: DataFrame, pct: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the signature of their set, and one representative of each set that may link."""
     if pct < 75:
         raise ValueError("the filter on halves needs a threshold of 75 % or more")
+    small_batches(docs.sparkSession)
     rows = staged(survivors(docs, k).withColumn("sig", F.sha2("hashes", 256)))
     alive = rows.where("hashes is not null")
     reps = alive.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes"), F.count("*").alias("copies"))

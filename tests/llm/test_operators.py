@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from keystride.llm import (
     common,
     op1_ppm_score as op1,
@@ -95,7 +96,7 @@ def test_op1_fragments_are_compressed():
     assert len(common.packed(keys, True)) < keys.nbytes / 4 and len(common.packed(np.ones(10_000, np.int64))) < 1000
 
 
-@pytest.mark.parametrize("run", [lambda d: op1.score(d, 2)])
+@pytest.mark.parametrize("run", [lambda d: op1.score(d, 2), op9.jaccard_components, lambda d: corpus_pipeline.language(d.sparkSession, d, SF)])
 def test_op1_pipeline_arrow_batches_are_bounded_by_bytes(spark, run):
     spark.conf.unset(common.BATCH_KEY)
     run(frame(spark, [(1, "one two three four five six")])).collect()
@@ -301,7 +302,8 @@ def test_sql(spark, name):
 
 
 def test_pipeline(spark):
-    
+    import corpus_pipeline
+
     out = corpus_pipeline.run(spark, SF).toPandas()
     docs = duckdb.connect().execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     items = [r[0] for r in duckdb.connect().execute(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
@@ -420,7 +422,8 @@ def test_jaccard_links(spark, sample, chunk):
 
 def test_language_without_labels(spark):
     """Without a label no language is learned: what has a letter stays as it is."""
-    
+    import corpus_pipeline
+
     rows = [(1, "some words", None, "a"), (2, "12 34", None, "b"), (3, None, None, "c"), (4, "", None, "d"), (None, "élan", None, "e"), (1, "some words", None, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, block string")
     got = corpus_pipeline.language(spark, docs, SF)
@@ -432,7 +435,8 @@ def test_language_without_labels(spark):
 
 def test_near_duplicates_by_row(spark, sample):
     """One row of each group of all pairs, where an id is repeated with different texts or missing."""
-    
+    import corpus_pipeline
+
     rows = [*sample, *((7000, f"unique {' '.join(f'{a}{k}' for a in 'abcdefgh')}") for k in range(5)), (7000, sample[45][1]), (None, sample[0][1] + " more"), (None, sample[46][1]), (None, "alone " * 3 + "x y z"), (None, "alone " * 3 + "x y z")]
     rows = [(i, t) for i, t in rows if words(t)]
     got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()
