@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -169,26 +169,52 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = 5):
                 yield s[:0]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that lead every node of some pairs, but the smallest of each component of theirs, to that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        lx, ly = label[x], label[y]
+        apart = lx != ly
+        if not apart.any():
+            break
+        x, y, lx, ly = x[apart], y[apart], lx[apart], ly[apart]
+        np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+    away = label < np.arange(len(nodes))
+    return nodes[away], nodes[label[away]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `a, b` pairs: `node, label`, the label being the component's smallest node.
 
-    Large-star and small-star rounds (Kiveris et al. 2014) over joins: no neighbour list is gathered, and each
-    round is written to the shared folder. Rounds grow with the logarithm of the largest component.
+    Small-star and large-star rounds (Kiveris et al. 2014), each star one exchange: no neighbour list is gathered. Every three
+    rounds go to the shared folder, until the last star meets only stars. Rounds grow with the logarithm of the largest component.
     """
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    was = None
-    while True:
-        # every node points its larger neighbours to its smallest one
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+    node = Window.partitionBy("u")
+    tasks = 4 * edges.sparkSession.sparkContext.defaultParallelism  # pairs are small: more tasks than that cost more than they save
+
+    def small(e: DataFrame) -> DataFrame:
         # every node points its smaller neighbours, and itself, to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = staged(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
+        met = e.repartition("u").dropDuplicates(["u", "v"]).withColumn("m", F.min("v").over(node))
+        return met.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).coalesce(tasks)
+
+    def large(e: DataFrame) -> DataFrame:
+        # every node points its larger neighbours to its smallest one; apart: it is neither a centre nor the end of one link
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        met = both.repartition("u").dropDuplicates(["u", "v"]).withColumn("m", F.least("u", F.min("v").over(node)))
+        met = met.withColumn("apart", (F.col("m") < F.col("u")) & (F.col("v") > F.col("m"))).where("v > u or apart")
+        return met.select(F.when(F.col("v") > F.col("u"), F.col("v")).alias("u"), F.col("m").alias("v"), "apart").coalesce(tasks)
+
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
+    while True:
+        for _ in range(3):
+            met = large(small(e))
+            e = met.where("u is not null").select("u", "v")
+        met = staged(met)
+        e = met.where("u is not null").select("u", "v")
+        if not met.agg(F.max("apart")).first()[0]:
             break
-        was = now
-    pairs = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-    return pairs.union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, buffers, components, mix64, shingle_sets, small_batches, staged, table, tiles, width
+from .common import blocked, buffers, components, mix64, shingle_sets, small_batches, staged, stars, table, tiles, width
 
 #: Members of one prefix tree.
 CHUNK = 512
@@ -54,6 +54,12 @@ def _split(part: np.ndarray, n: int):
             yield p, order[ends[p] : ends[p + 1]]
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """`a, b`: links to the smallest node, with the components of the given pairs."""
+    a, b = stars(a, b)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def survivors(docs: DataFrame, k: int = 5) -> DataFrame:
     """`doc_id, n, hashes`: the set only of documents that may link."""
     spark = docs.sparkSession
@@ -97,7 +103,7 @@ def survivors(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def neighbours(reps: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
-    """`a, b`: representatives that share a shingle of their prefixes; `rid, common`: shingles that others have too."""
+    """`a, b`: links with the components of those that share a shingle of their prefixes; `rid, common`: shingles that others have too."""
     parts = width(reps.sparkSession)
     frag = "part int, rids binary, tokens binary, n binary, df binary"
 
@@ -144,8 +150,7 @@ def neighbours(reps: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
         rid, tok = rid[o], tok[o]
         first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, np.int64)
         low = np.repeat(rid[first], np.diff(np.append(first, len(tok))))
-        pairs = np.unique(np.stack([low, rid], 1)[low != rid], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return linked(low, rid)
 
     def commons(batches):
         for b in batches:
@@ -158,7 +163,7 @@ def neighbours(reps: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
     counted = tokens.groupBy("part").applyInArrow(count, frag)
     pre = staged(counted.groupBy("part").applyInArrow(prefixes, frag))
     common = pre.select("rids", "tokens", "n", "df").mapInArrow(commons, "rid long, common long").groupBy("rid").agg(F.max("common").alias("common"))
-    return pre.groupBy("part").applyInArrow(meet, "a long, b long").distinct(), common
+    return pre.groupBy("part").applyInArrow(meet, "a long, b long"), common
 
 
 class PrefixTree:
@@ -284,9 +289,8 @@ def tree_links(members: list[tuple[int, np.ndarray]], probes: list[tuple[int, np
 
 
 def links(reps: DataFrame, pct: int, chunk: int) -> DataFrame:
-    """`a, b`: a subset of all links between representatives with the same components."""
+    """`a, b`: pairs of representatives with the same components as all links."""
     near, common = neighbours(reps, pct)
-    near = staged(near)
     hood = components(near).select(F.col("node").alias("rid"), F.col("label").alias("hood"))
     m = staged(reps.join(hood, "rid").join(common, "rid"))
     size = m.groupBy("hood").agg(F.count("*").alias("members"), F.max_by("rid", F.struct(F.col("common") / F.col("n"), "n", "rid")).alias("lead"))
@@ -322,8 +326,8 @@ def links(reps: DataFrame, pct: int, chunk: int) -> DataFrame:
         rid, isin, goes = (t.column(c).to_pylist() for c in ("rid", "member", "probe"))
         members = [(r, s) for r, s, y in zip(rid, sets, isin) if y]
         probes = [(r, s) for r, s, y in zip(rid, sets, goes) if y]
-        out = tree_links(members, probes, pct) if members and probes else []
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        out = np.array(tree_links(members, probes, pct) if members and probes else [], np.int64).reshape(-1, 2)
+        return linked(out[:, 0], out[:, 1])
 
     # dealt by chunk whichever side the sizes were joined from: rows that lie by neighbourhood would satisfy the grouping too
     tree = small.union(stay).union(go).repartition("hood", "pc", "mc").groupBy("hood", "pc", "mc").applyInArrow(walk, "a long, b long")

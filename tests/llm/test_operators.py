@@ -470,3 +470,18 @@ def test_ppm_block_tiles(sample):
 
     for a, b in zip(read(1 << 30), read(64)):
         assert np.allclose(a, b)
+
+
+def test_components_in_few_passes(spark, monkeypatch):
+    """Stars with common ends are joined by two writes at most; a path needs more, and all get their smallest node."""
+    written = []
+    monkeypatch.setattr(common, "staged", lambda df, real=common.staged: written.append(1) or real(df))
+    hub = [(i, 1000 + i % 7) for i in range(200)] + [(1000 + i, 1001 + i) for i in range(6)] + [(2000 + i, 3000) for i in range(5)] + [(9, 9)]
+    got = common.components(spark.createDataFrame(hub, "a long, b long")).collect()
+    assert len(written) <= 2
+    assert sorted((r.node, r.label) for r in got) == sorted([(i, 0) for i in [*range(200), *range(1000, 1007)]] + [(i, 2000) for i in [*range(2000, 2005), 3000]])
+    path = [(i * 37 % 400, (i + 1) * 37 % 400) for i in range(399)]
+    got = common.components(spark.createDataFrame(path, "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in got) == [(i, 0) for i in range(400)]
+    a, b = common.stars(np.array([7, 5, -2, 8, 1]), np.array([5, 3, 8, 8, 1]))
+    assert dict(zip(a.tolist(), b.tolist())) == {5: 3, 7: 3, 8: -2}
