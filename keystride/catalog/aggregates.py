@@ -119,8 +119,7 @@ SELECT tot.o_custkey, tot.n_window, tot.min_n, tot.min_x_s::DOUBLE AS min_x_s, t
 def _(spark, d):
     g = order_gaps(spark, d).withColumn("y2", (F.col("o_orderkey") % 5).cast("double"))
     line = ord_line(spark, d)
-    swept = fits.setting_sweep(g, line, "x", {"y": 420000.0, "y2": 3.0}, 400.0, fits.SETTINGS)
-    out = fits.sweep_summary(swept, line, CUST_LINE.bounded() if line.whole else CUST_LINE)
+    out = fits.setting_table(g, line, CUST_LINE.bounded() if line.whole else CUST_LINE, "x", {"y": 420000.0, "y2": 3.0}, 400.0, fits.SETTINGS)
     return rounded(rounded(out, "min_A", "max_A", "mean_abs_step_A", "median_A", "iqr_A"), "median_theta_star_deg", digits=5)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..session import stage
-from .ordered import Line, dealt, neighbour, prefix, rows_around, short_keys
+from .ordered import Line, dealt, neighbour, one_task, prefix, rows_around, short_keys
 from .quantiles import quantiles
 from .windows import running_sums, trailing_mean
 
@@ -21,6 +21,8 @@ SETTINGS = (  # (rows in the window, fewest rows, smallest x range)
     (8, 3, 20.0), (8, 5, 20.0), (10, 5, 20.0), (5, 3, 15.0), (5, 3, 30.0),
 )
 LOWESS_FRACTION = 0.5
+#: Fits of a setting sweep that one task makes and sorts.
+FITS_PER_TASK = 4_000_000
 #: Rows of one minute series: the minutes of a half and of any overtime.
 LOWESS_ROWS = 120
 
@@ -208,6 +210,81 @@ def sweep_summary(fits: DataFrame, line: Line, table_line: Line) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_fit", "n_cross_half")})
 
 
+def setting_table(
+    df: DataFrame, line: Line, table_line: Line, x: str, ys: Mapping[str, float], s_x: float = SCALE_X, settings=SETTINGS
+) -> DataFrame:
+    """:func:`setting_sweep` and its :func:`sweep_summary` in one.
+
+    Where the keys of ``table_line`` are short, a key's rows go to one task once, and frames, steps, crossings and quantiles
+    are taken there: the fits, one per row, setting and metric, are columns that are neither sent nor written. Tasks are as many as the
+    fits ask for. A longer key goes through the two functions, which write the fits.
+    """
+    keys = list(table_line.keys)
+    if not (line.whole or short_keys(df, keys, len(settings))):
+        return sweep_summary(setting_sweep(df, line, x, ys, s_x, settings), line, table_line)
+
+    n = None
+    if not (line.whole or one_task(df)):
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = max(least, -(-df.count() * len(settings) * len(ys) // FITS_PER_TASK))
+    d = df.repartition(*keys) if n is None else df.repartition(n, *keys)
+    names = dict.fromkeys([*keys, *line.keys, *line.order, *table_line.order, x])
+    metrics = F.array(*[F.struct(F.lit(y).alias("y_metric"), F.lit(float(s)).alias("_s"), F.col(y).cast("double").alias("_y")) for y, s in ys.items()])
+    d = d.select(*names, F.inline(metrics)).where(usable(x, "_y"))
+
+    def score(b: Column) -> Mapping[str, Column]:
+        return S.slope_score(b, b, F.lit(1.0), F.lit(1.0), F.lit(0.0))
+
+    w, along = line.by("y_metric").window(), table_line.by("y_metric").window()
+    so_far = (Window.unboundedPreceding, -1)
+    frames = {}
+    for rows in sorted({r for r, _, _ in settings}):
+        f = w.rowsBetween(-(rows - 1), 0)
+        frames |= {f"_n{rows}": F.count(F.lit(1)).over(f), f"_r{rows}": F.max(x).over(f) - F.min(x).over(f), f"_b{rows}": F.regr_slope("_y", x).over(f)}
+    held = [*dict.fromkeys([*keys, *table_line.order]), "y_metric"]
+    at = range(len(settings))
+    d = d.withColumns(frames)
+    ok = [(F.col(f"_n{rows}") >= least) & (F.col(f"_r{rows}") >= span) for rows, least, span in settings]
+    d = d.withColumns({f"_f{i}": S.slope_score(b, b, F.lit(s_x), F.col("_s"), F.lit(0.0))["roll_b_star"] for i in at for b in [F.when(ok[i], F.col(f"_b{settings[i][0]}"))]})
+    d = d.withColumns({f"_a{i}": score(F.col(f"_f{i}"))["roll_A"] for i in at})
+    d = d.withColumns({f"_from{i}": F.last(f"_a{i}", ignorenulls=True).over(w.rowsBetween(*so_far)) for i in at})
+    d = d.select(
+        *held, *[F.col(f"_f{i}") for i in at], *[F.abs(F.col(f"_a{i}") - F.col(f"_from{i}")).alias(f"_step{i}") for i in at],
+        *[F.signum(F.round(F.col(f"_a{i}") - 0.5, 9)).alias(f"_side{i}") for i in at],
+    )
+    d = d.withColumns({f"_last{i}": F.last(f"_side{i}", ignorenulls=True).over(along.rowsBetween(*so_far)) for i in at})
+    d = d.groupBy(*keys, "y_metric").agg(
+        F.count(F.lit(1)).alias("n_usable"),
+        *[F.sort_array(F.collect_list(f"_f{i}")).alias(f"_f{i}") for i in at],
+        *[F.avg(f"_step{i}").alias(f"_step{i}") for i in at],
+        *[F.count_if(F.col(f"_side{i}") != F.col(f"_last{i}")).alias(f"_cross{i}") for i in at],
+    )
+
+    def summary(i: int) -> Column:
+        fits, size = F.col(f"_f{i}"), F.size(f"_f{i}")
+
+        def ranked(rank: Column, name: str) -> Column:
+            return score(F.get(fits, rank.cast("int")))[name]
+
+        def quantile(p: float, name: str = "roll_A") -> Column:
+            pos = F.lit(p) * (size - 1)
+            lo, hi = ranked(F.floor(pos), name), ranked(F.ceil(pos), name)
+            return lo + (hi - lo) * (pos - F.floor(pos))
+
+        rows, least, span = settings[i]
+        # score and angle rise with the fit, so its order is theirs
+        return F.struct(
+            F.lit(rows).alias("n_window"), F.lit(least).alias("min_n"), F.lit(span).alias("min_x_s"),
+            size.cast("long").alias("n_fit"), ranked(F.lit(0), "roll_A").alias("min_A"), ranked(size - 1, "roll_A").alias("max_A"),
+            F.col(f"_step{i}").alias("mean_abs_step_A"), F.col(f"_cross{i}").alias("n_cross_half"), quantile(0.5).alias("median_A"),
+            (quantile(0.75) - quantile(0.25)).alias("iqr_A"), quantile(0.5, "roll_theta_deg").alias("median_theta_star_deg"),
+        )
+
+    d = d.select(*keys, "y_metric", "n_usable", F.inline(F.array(*[summary(i) for i in at])))
+    case = ["n_window", "min_n", "min_x_s", "y_metric"]
+    return d.select(*keys, *case, "n_usable", *[c for c in d.columns if c not in (*keys, *case, "n_usable")])
+
+
 def exemplars(df: DataFrame, keys: Sequence[str], score: str, ident: str, whole: bool = False) -> DataFrame:
     """Rows with the lowest, middle and highest score per group (all rows when there are three or fewer)."""
     d = df.where(F.col(score).isNotNull()).withColumn("_one", F.lit(1))

@@ -91,10 +91,11 @@ def one_task(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
-def short_keys(df: DataFrame, keys: Sequence[str]) -> bool:
+def short_keys(df: DataFrame, keys: Sequence[str], held: int = 1) -> bool:
     """Whether one task may hold any key: the table is small (:func:`one_task`), or no key has more than ``KEY_ROWS`` rows.
 
-    All rows are counted, in one aggregation of the key columns. ``spark.keystride.keyRows`` sets another number of rows;
+    A row of which a task holds ``held`` values at once counts so many times. All rows are counted, in one aggregation of the
+    key columns. ``spark.keystride.keyRows`` sets another number of rows;
     where no table may stay in one task (``oneTaskBytes`` is 0), no key may either, unless that number is set.
     """
     if one_task(df):
@@ -105,7 +106,7 @@ def short_keys(df: DataFrame, keys: Sequence[str]) -> bool:
     if most <= 0:
         return False
     top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (top or 0) <= most
+    return (top or 0) * held <= most
 
 
 def settle(df: DataFrame, line: Line) -> tuple[DataFrame, Line]:

@@ -97,9 +97,8 @@ def sprint_settings(table: DataFrame, whole: bool = False, settings=fits.SETTING
     """How the choice of window, fewest rows and range changes the angle scores of a sprint table, per player and metric."""
     line = Line(HALF, "start_time_s", ("end_time_s",), whole)
     table = table if whole else stage(table)
-    swept = fits.setting_sweep(table, line, "recovery_before_s", scales, s_x, settings)
     by_player = Line(PLAYER, "start_time_s", ("end_time_s",), whole)
-    return fits.sweep_summary(swept, line, by_player)
+    return fits.setting_table(table, line, by_player, "recovery_before_s", scales, s_x, settings)
 
 
 def local_work_rate(panel: DataFrame, k: int = 2, whole: bool = False, bin_s: float = 60.0, coverage: float = 0.75, floor_m: float = 50.0, labels: str | None = None) -> dict[str, DataFrame]:

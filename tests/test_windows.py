@@ -103,3 +103,42 @@ def test_summary_sql_takes_unrounded_scores():
     from keystride.catalog import reports as R
 
     assert "round(" not in R.SCORES and R.SCORES.count(" AS phi_roll10 FROM") == 1
+
+
+def test_setting_table_writes_no_fits(spark, sized, tmp_path, monkeypatch):
+    """The table of settings equals the summary of its fits, which are neither written nor sent where keys are short."""
+    from keystride import catalog
+    from keystride.operators import fits
+
+    rng = np.random.default_rng(7)
+    rows = [(k, int(i > 20), float(i // 2), i, float(rng.integers(-3, 90)), None if i % 5 == k % 5 else float(rng.integers(0, 4)), float(rng.normal())) for k in range(9) for i in range(40)]
+    rows += [(9, 0, 0.0, 0, 5.0, 1.0, None), (10, 0, 0.0, 0, -1.0, 1.0, 1.0)]
+    spark.createDataFrame(rows, "k int, p int, t double, i int, x double, y double, z double").write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    line, by_key = O.Line(("k", "p"), "t", ("i",)), O.Line(("k",), "t", ("i",))
+    args = (df, line, by_key, "x", {"y": 2.0, "z": 1.0}, 20.0, ((3, 2, 5.0), (5, 3, 20.0), (4, 4, 500.0)))
+    want = fits.sweep_summary(fits.setting_sweep(df, line, *args[3:]), line, by_key)
+
+    def no(*_):
+        raise AssertionError("fits are written")
+
+    with monkeypatch.context() as m:
+        m.setattr(fits, "stage", no)
+        m.setattr(O, "written", no)
+        got = fits.setting_table(*args)
+        catalog.load()["a10_setting_sweep"][0](spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns and got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    order = ["k", "n_window", "min_x_s", "y_metric"]
+    got, want = got.orderBy(*order).collect(), want.orderBy(*order).collect()
+    assert len(got) == len(want) == 9 * 6 + 3 and {r.n_fit for r in got if r.n_window == 4} == {0}
+    for g, w in zip(got, want):
+        assert tuple(g) == pytest.approx(tuple(w), nan_ok=True)
+    # a key of more fits than one task may hold goes the other way
+    spark.conf.set("spark.keystride.oneTaskBytes", "100")
+    spark.conf.set("spark.keystride.keyRows", "100")
+    try:
+        assert not O.short_keys(df, ["k"], 3) and O.short_keys(df, ["k"])
+        dealt = fits.setting_table(*args).orderBy(*order).collect()
+    finally:
+        spark.conf.unset("spark.keystride.keyRows")
+    assert [tuple(r)[:6] for r in dealt] == [tuple(r)[:6] for r in want]
