@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import fits
 from ..plans import jobs
 from .base import EV, REGISTRY, ev, query, rounded
@@ -86,7 +87,7 @@ WITH {PANEL}, sec AS (SELECT user_id, period, floor(clock_s) AS tb, round(avg(cl
 SELECT {P_KEYS}, period, round(t_centre, 4) AS t_centre, metric, bin, count(*) AS n FROM hh GROUP BY ALL""")
 def _(spark, d):
     """Cells with rows; the table itself has the empty ones too. Times and values are taken at nine decimals."""
-    return rounded(report(spark, d)["heat"].where("n > 0"), "t_centre", digits=4)
+    return report(spark, d)["heat"].where("n > 0").withColumn("t_centre", S.at_digits(F.col("t_centre"), 4))
 
 
 @query("c10_speed_profile", f"""

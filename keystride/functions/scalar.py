@@ -214,6 +214,16 @@ def slope_score(slope: Column, intercept: Column, s_x: Column, s_y: Column, x_re
     }
 
 
+def at_digits(x: Column, digits: int) -> Column:
+    """``x`` at so many decimals as SQL's ``round`` of a double takes it: the product with ``10 ** digits`` rounded half away from zero.
+
+    Spark's ``round`` goes by the shortest decimal text of ``x``, which calls ties what the product puts just below or above one.
+    """
+    scale = F.lit(float(10**digits))
+    scaled = x * scale
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / scale).otherwise(x)
+
+
 def composite(p: Column, w: Column, q: Column) -> Column:
     """``(1-w)p + wq`` where ``w > 0``, else ``p``."""
     return F.when(w > 0, (1.0 - w) * p + w * q).otherwise(p)

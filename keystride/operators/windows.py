@@ -264,24 +264,32 @@ def heat_scale(zoom: str = "full") -> tuple[dict[str, float], int]:
 def sliding_histogram(df: DataFrame, keys, time: str, value: str, top: float, bins: int, win: float = 180.0, step: float = 120.0) -> DataFrame:
     """Counts per (window, value bin) over ``[0, top]``, zero bins included, last bin closed.
 
-    Windows start at the group's first time and one partly filled window is kept. Rows become counts per (pane from that
-    time, bin) before any window is made.
+    Windows start at the group's first time and one partly filled window is kept. Window ``k`` starts at ``lo + k * step`` and ends ``win``
+    after that, in doubles; quotients only guess a row's windows. Rows become counts per (first window, last window, bin) before any window is made.
     """
     keys = list(keys)
-    width = pane_width(win, step)
-    w, s = int(Fraction(str(win)) / width), int(Fraction(str(step)) / width)
     d = df.where(F.col(time).isNotNull() & F.col(value).isNotNull())
-    v, t = F.col(value), F.col(time)
+    v, t, lo, hi = F.col(value), F.col(time), F.col("_lo"), F.col("_hi")
     slot = F.least(F.floor(v * bins / top), F.lit(bins - 1)).cast("int")
     slot = F.when((v >= 0) & (v <= top), slot)
     spans = d.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    j = F.floor((t - F.col("_lo")) / float(width)).cast("long")
-    j = F.when(t < F.col("_lo") + _border(j, width), j - 1).when(t >= F.col("_lo") + _border(j + 1, width), j + 1).otherwise(j)
-    pieces = d.join(spans, keys).groupBy(*keys, "_lo", "_hi", j.alias("_j"), slot.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
-    last = F.ceil((F.col("_hi") - win + step - F.col("_lo")) / step).cast("long") - 1
-    first, upto = F.greatest(F.lit(0), F.floor((F.col("_j") - w) / s).cast("long") + 1), F.least(last, F.floor(F.col("_j") / s).cast("long"))
-    pieces = pieces.where(upto >= first).withColumn("_k", F.explode(F.sequence(first, upto)))
-    counts = pieces.groupBy(*keys, (F.col("_lo") + F.col("_k") * F.lit(float(step))).alias("t0"), "bin").agg(F.sum("_n").alias("n"))
+
+    def start(k: Column) -> Column:
+        return lo + k * F.lit(float(step))
+
+    def last_with(holds, guess: Column) -> Column:
+        """The last window for which ``holds``, next to a guess that division rounded."""
+        k = guess.cast("long")
+        return F.when(~holds(k), k - 1).when(holds(k + 1), k + 1).otherwise(k)
+
+    end = hi if win == step else hi - win + step  # hi - win + win is not always hi
+    last = last_with(lambda k: start(k) < end, F.ceil((end - lo) / step) - 1)
+    upto = last_with(lambda k: start(k) <= t, F.floor((t - lo) / step))
+    over = last_with(lambda k: start(k) + win <= t, F.floor((t - lo - win) / step))
+    pieces = d.join(spans, keys).select(*keys, "_lo", F.greatest(F.lit(0), over + 1).alias("_first"), F.least(last, upto).alias("_upto"), slot.alias("bin"))
+    pieces = pieces.where(F.col("_upto") >= F.col("_first")).groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = pieces.withColumn("_k", F.explode(F.sequence("_first", "_upto")))
+    counts = pieces.groupBy(*keys, start(F.col("_k")).alias("t0"), "bin").agg(F.sum("_n").alias("n"))
     grid = counts.select(*keys, "t0").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = grid.join(counts, [*keys, "t0", "bin"], "left")
     return full.select(

@@ -305,7 +305,7 @@ def player_report(
 
     def heat() -> DataFrame:
         tops, bins = W.heat_scale(zoom)
-        exact = out["seconds"].withColumns({c: F.round(c, REPORT_DIGITS) for c in ("periodGameClockTime", *tops)})
+        exact = out["seconds"].withColumns({c: S.at_digits(F.col(c), REPORT_DIGITS) for c in ("periodGameClockTime", *tops)})
         parts = [
             W.sliding_histogram(exact, HALF, "periodGameClockTime", metric, top, bins, *heat_s).withColumn("metric", F.lit(metric)) for metric, top in tops.items()
         ]

@@ -142,3 +142,32 @@ def test_setting_table_writes_no_fits(spark, sized, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.keystride.keyRows")
     assert [tuple(r)[:6] for r in dealt] == [tuple(r)[:6] for r in want]
+
+
+def test_decimals_as_sql_takes_them(spark):
+    import duckdb
+
+    from keystride.functions import scalar as S
+
+    x = [4126.6680238875, 4219.4511117375, 2093.0161996125, 0.5e-9, -2.5e-9, -4126.6680238875, 1e305, float("inf"), 1.25, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(S.at_digits(F.col("x"), 9)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchone()[0] for v in x]
+
+
+def test_rows_on_a_window_border(spark):
+    """Rows whole steps after the first one: windows are those of a loop in doubles, as SQL's ``lo + i * step``."""
+    rng = np.random.default_rng(3)
+    rows = [(k, round(lo + 900.0 * i, 9), 1.0) for k, lo in enumerate(np.round(rng.uniform(0, 700, 300), 9).tolist()) for i in range(k % 4 + 1)]
+    df = spark.createDataFrame(rows, "k int, t double, v double")
+    for win, step in ((900.0, 900.0), (1800.0, 900.0), (900.0, 450.0)):
+        got = {(r.k, r.t_centre): r.n for r in W.sliding_histogram(df, ["k"], "t", "v", 10.0, 1, win, step).where("n > 0").collect()}
+        want = {}
+        for k in range(300):
+            ts = [t for q, t, _ in rows if q == k]
+            lo, hi = min(ts), max(ts)
+            for i in range(12):
+                t0 = lo + i * step
+                n = sum(t0 <= t < t0 + win for t in ts)
+                if t0 < (hi if win == step else hi - win + step) and n:
+                    want[k, t0 + win / 2] = n
+        assert got == want
