@@ -83,6 +83,26 @@ def windows_of(pieces: DataFrame, keys: Sequence[str], wins: Sequence[float], st
     return d.groupBy(*keys, "win_min", t0, *within).agg(F.sum("_n").alias("n_frames"), *[c.alias(n) for n, c in merge.items()])
 
 
+#: A value is summed exactly as a multiple of 2 ** -10 and one of 2 ** -50; beyond ``EXACT_MOST`` (or not finite) it is summed as a double.
+EXACT_MOST = float(2**33)
+
+
+def _exact(c: Column) -> tuple[Column, Column, Column]:
+    """Whole multiples of 2 ** -10 and 2 ** -50 that make up a value, and the value itself where it is too large for them."""
+    v = F.when(F.abs(c) < EXACT_MOST, c.cast("double"))
+    coarse = F.rint(v * 1024)
+    return coarse.cast("long"), F.rint((v - coarse / 1024) * float(2**50)).cast("long"), F.when(~(F.abs(c) < EXACT_MOST), c.cast("double"))
+
+
+def _exact_total(n: str) -> Column:
+    """The sum of a value's parts: the same for any order of the rows. Null without any value."""
+    fine = F.coalesce(F.sum(f"{n}_h"), F.lit(0)) / F.lit(1024.0) + F.coalesce(F.sum(f"{n}_l"), F.lit(0)) / F.lit(float(2**50))
+    return F.when(F.sum(f"{n}_c") > 0, F.coalesce(F.sum(f"{n}_b"), F.lit(0.0)) + fine)
+
+
+_EXACT_PARTS = (
+    ("_h", lambda c: F.sum(_exact(c)[0])), ("_l", lambda c: F.sum(_exact(c)[1])), ("_b", lambda c: F.sum(_exact(c)[2])), ("_c", F.count),
+)
 #: How an aggregate is cut into parts per pane, and put together again.
 _MERGED = {
     "max": ((("", F.max),), lambda n: F.max(f"{n}")),
@@ -90,6 +110,8 @@ _MERGED = {
     "sum": ((("", F.sum),), lambda n: F.sum(f"{n}")),
     "count": ((("", F.count),), lambda n: F.sum(f"{n}")),
     "mean": ((("_s", F.sum), ("_c", F.count)), lambda n: F.sum(f"{n}_s") / F.nullif(F.sum(f"{n}_c"), F.lit(0))),
+    "exact_sum": (_EXACT_PARTS, _exact_total),
+    "exact_mean": (_EXACT_PARTS, lambda n: _exact_total(n) / F.nullif(F.sum(f"{n}_c"), F.lit(0))),
 }
 
 
@@ -97,7 +119,7 @@ def window_aggregate(
     df: DataFrame, keys: Sequence[str], time: str, aggs: Mapping[str, tuple[str, Column]], win: float | Sequence[float] = WINDOW_MIN, step: float = STEP_MIN,
     min_frames: int = MIN_FRAMES, within: Sequence[str] = (),
 ) -> DataFrame:
-    """Aggregates ``name: (max | min | sum | count | mean, column)`` per sliding window with at least ``min_frames`` rows.
+    """Aggregates ``name: (max | min | sum | count | mean | exact_sum | exact_mean, column)`` per sliding window with at least ``min_frames`` rows.
 
     ``within`` groups the rows of a window further; windows still follow the times of ``keys``. Rows are read once
     for all window lengths: they become panes, of which windows are made.
@@ -190,14 +212,15 @@ def peer_percentiles(
 ) -> DataFrame:
     """Per window and player: inclusive percentile of four metrics among the team and among all.
 
-    With ``digits`` metrics are ranked at so many decimals: sums of the same values in another order are equal then.
+    With ``digits`` metrics are ranked at so many decimals, of sums that no order of the rows changes: the same values always tie.
     """
     match = list(match)
-    means = {"mean_speed": ("mean", F.col("speed")), "mean_acc": ("mean", F.col("acc_use")), "mean_jerk": ("mean", F.col("jerk_use")), "total_distance": ("sum", F.col("step_dist"))}
+    how = "" if digits is None else "exact_"
+    means = {n: (how + kind, F.col(c)) for n, kind, c in (("mean_speed", "mean", "speed"), ("mean_acc", "mean", "acc_use"), ("mean_jerk", "mean", "jerk_use"), ("total_distance", "sum", "step_dist"))}
     d = window_aggregate(df, match, time, means, win, step, min_frames, within=(player, team))
     d = d.withColumn("total_distance", F.coalesce("total_distance", F.lit(0.0)))
     if digits is not None:
-        d = d.withColumns({m: F.round(m, digits) for m in means})
+        d = d.withColumns({m: S.at_digits(F.col(m), digits) for m in means})
     everyone = [*match, "t0"]
     ident = [*everyone, player, team]
     # long form: one ranking among all and one among the team serve all metrics and both sizes; the values are counted once

@@ -171,3 +171,20 @@ def test_rows_on_a_window_border(spark):
                 if t0 < (hi if win == step else hi - win + step) and n:
                     want[k, t0 + win / 2] = n
         assert got == want
+
+
+def test_large_values_tie_in_any_order(spark):
+    """Where nine decimals of a double depend on the order of its sum, the same values tie all the same."""
+    a = (0.23, 1e8 / 3, 0.711, 1e8 / 7 + 10)
+    b = tuple(reversed(a))
+    assert round(((a[0] + a[1]) + a[2]) + a[3], 9) != round(((b[0] + b[1]) + b[2]) + b[3], 9)
+    rows = [("m", p, "t", 0.1 + i / 10, v, v, v, v) for p, vs in (("a", a), ("b", b)) for i, v in enumerate(vs)]
+    rows += [("m", "z", "t", 2.0, 0.0, 0.0, 0.0, 0.0)] + [("m", "n", "t", 0.3, 1.0, None, 1e300, None)] * 2
+    df = spark.createDataFrame(rows, "m string, p string, team string, t double, speed double, acc_use double, jerk_use double, step_dist double").coalesce(1)
+    got = {r.p: r for r in W.peer_percentiles(df, ["m"], "p", "team", "t", 1.0, 1.0, 2, digits=9).collect()}
+    for m in ("mean_acc", "mean_jerk", "total_distance"):
+        assert got["a"][f"{m}_all_pct"] == got["b"][f"{m}_all_pct"]
+    assert got["a"].mean_acc_all_pct == 100.0 and got["n"].mean_acc_all_pct is None and got["n"].mean_jerk_all_pct == 100.0
+    sums = W.window_aggregate(df, ["m"], "t", {n: (n, F.col("step_dist")) for n in ("exact_sum", "exact_mean")}, 1.0, 1.0, 2, within=("p",))
+    sums = {r.p: (r.exact_sum, r.exact_mean) for r in sums.collect()}
+    assert sums["a"] == sums["b"] == (pytest.approx(sum(a), rel=1e-15), pytest.approx(sum(a) / 4, rel=1e-15)) and sums["n"] == (None, None)
