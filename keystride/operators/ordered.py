@@ -96,13 +96,13 @@ def short_keys(df: DataFrame, keys: Sequence[str], held: int = 1) -> bool:
 
     A row of which a task holds ``held`` values at once counts so many times. All rows are counted, in one aggregation of the
     key columns. ``spark.keystride.keyRows`` sets another number of rows;
-    where no table may stay in one task (``oneTaskBytes`` is 0), no key may either, unless that number is set.
+    where the session sets ``oneTaskBytes``, that size alone decides, unless the number is set too.
     """
     if one_task(df):
         return True
     conf = df.sparkSession.conf
     bytes_, rows = (conf.get(f"spark.keystride.{c}", None) for c in ("oneTaskBytes", "keyRows"))
-    most = int(rows) if rows else 0 if bytes_ == "0" else KEY_ROWS
+    most = int(rows) if rows else KEY_ROWS if bytes_ is None else 0
     if most <= 0:
         return False
     top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
